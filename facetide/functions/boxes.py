@@ -54,6 +54,7 @@ def clamp(box: Box, frame_w: Column, frame_h: Column, width_from_raw: bool = Fal
 
 def overlap(a: Box, b: Box) -> Column:
     """Intersection over union; 0 when the union is empty."""
+    a, b = Box(*[side.cast("bigint") for side in a]), Box(*[side.cast("bigint") for side in b])
     wide = F.greatest(F.lit(0), F.least(a.x + a.w, b.x + b.w) - F.greatest(a.x, b.x))
     high = F.greatest(F.lit(0), F.least(a.y + a.h, b.y + b.h) - F.greatest(a.y, b.y))
     shared = (wide * high).cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,22 @@ PIXEL_STD = 0.5
 PIXEL_MAX = 255.0
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Stable softmax of an array column, with a small term in the denominator."""
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x) + F.lit(SOFTMAX_EPSILON)
-    return F.transform(powers, lambda x: x / total)
+
+    def scaled(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x) + F.lit(SOFTMAX_EPSILON)
+        return bind(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    return bind(
+        F.array_max(logits),
+        lambda top: bind(F.transform(logits, lambda x: F.exp(x - top)), scaled),
+    )
 
 
 def argmax(values: Column) -> Column:

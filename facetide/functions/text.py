@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # Fixed values.
 KPI_MISSING = "—"
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def fold_case(label: Column) -> Column:
