@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # Fixed values.
 KPI_MISSING = "—"
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"  # characters trimmed from label lines
 BYTE_ORDER_MARK = "\ufeff"
 
 
@@ -30,5 +31,6 @@ def parse_json(payload: Column, schema: T.StructType | str) -> Column:
 def label_lines(text: Column) -> Column:
     """Lines of a label file: trimmed, blanks and a leading byte-order mark removed."""
     body = F.regexp_replace(text, f"^{BYTE_ORDER_MARK}", "")
-    lines = F.transform(F.split(body, "\r\n|\r|\n"), lambda line: F.regexp_replace(line, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    edges = rf"\A{BLANK}+|{BLANK}+\z"
+    lines = F.transform(F.split(body, r"\r\n|\r|\n"), lambda line: F.regexp_replace(line, edges, ""))
     return F.filter(lines, lambda line: line != "")

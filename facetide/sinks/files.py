@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -50,12 +49,12 @@ def print_stream(events: DataFrame, checkpoint: str | None = None, trigger: str
     return with_trigger(writer, trigger).start()
 
 
-def compact_date(events: DataFrame, path: str, rows_per_file: int) -> None:
+def compact_dates(events: DataFrame, path: str, rows_per_file: int) -> None:
     """Rewrite ``events`` as fewer files under a new ``path``, keeping the date partitions.
 
-    Rows of one date are spread over as many files as ``rows_per_file`` asks for.
+    The rebalance hint merges small dates and splits a date that holds most of the rows.
     """
-    writer = events.repartition("event_date", F.spark_partition_id()).write
+    writer = events.hint("rebalance", "event_date").write
     writer.option("maxRecordsPerFile", rows_per_file).partitionBy("event_date").parquet(path)
 
 
