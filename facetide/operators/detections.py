@@ -15,7 +15,7 @@ from .folds import Columns, Fold, State
 from .ordered import chunk, last_known, running_count
 
 FRAME_KEYS = ("source_id", "frame_id")
-CELL_PIXELS = 64
+CELL_PIXELS = 128
 
 
 def sampled_frames(frames: DataFrame, every_n: int) -> DataFrame:

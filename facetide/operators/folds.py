@@ -45,6 +45,7 @@ class Fold(ABC):
     order: tuple[str, ...]
     inputs: tuple[str, ...]
     outputs: T.StructType
+    rows_per_chunk: int | None = None  # smaller than usual where a row is costly
 
     @abstractmethod
     def start(self) -> State:
@@ -177,10 +178,10 @@ def settle_by_repeating(fold: Fold, hot: HotRows) -> dict[Place, State]:
 
 def fold_table(df: DataFrame, fold: Fold, rows_per_chunk: int | None = None) -> DataFrame:
     """``df`` with the fold's output columns. All rows are kept."""
-    parts = chunk(df, fold.keys, fold.order, rows_per_chunk)
+    parts = chunk(df, fold.keys, fold.order, rows_per_chunk or fold.rows_per_chunk)
     starts = {} if parts.hot is None else fold.settle(HotRows(parts, fold.needed))
     schema = T.StructType([*df.schema.fields, *fold.outputs.fields])
-    arrow_schema = to_arrow_schema(schema, timezone="UTC")
+    arrow_schema = to_arrow_schema(schema)
     keys, needed, carried = list(fold.keys), fold.needed, df.columns
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

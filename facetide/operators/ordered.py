@@ -1,8 +1,8 @@
 """Ordered work over keys of any size.
 
 A key such as a camera may hold a large share of all rows, so nothing here puts one key's
-rows into one task. The (keys, order) sort is cut into chunks of about equal size; a chunk
-is worked on alone, and only one small row per chunk and hot key crosses to the next.
+rows into one task. The (keys, order) sort of large keys is cut into chunks of about equal size; a chunk is worked
+on alone, and only one small row per chunk and hot key crosses to the next.
 
 Cut points come from a hash sample of the sort keys, so a chunk number is a pure function of
 the row: a re-run after a lost executor gives the same chunks.
@@ -11,10 +11,11 @@ the row: a re-run after a lost executor gives the same chunks.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
@@ -69,32 +70,62 @@ def chunk(
 ) -> Chunked:
     """Number the chunks of the (keys, order) sort. ``order`` should make rows distinct.
 
-    A table of up to ``rows_per_chunk`` rows stays whole.
+    A table of up to ``rows_per_chunk`` rows stays whole, and so does every key of up to that
+    many rows: only the rows of larger keys are cut. This reads the sort columns of ``df``
+    up to three times, so ``df`` should be a stored table or cheap to compute.
     """
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
     by = [*keys, *order]
+    whole = Chunked(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), None)
     rows = df.select(*by).count()
     wanted = min(max_chunks, math.ceil(rows / rows_per_chunk))
-    cuts = _cut_points(df, by, wanted) if wanted > 1 else []
+    if wanted <= 1:
+        return whole
+    sample = _sample(df, by, wanted)
+    large = _large_keys(df, sample, keys, rows_per_chunk)
+    cuts = _cut_points(sample, keys, large, wanted)
     if not cuts:
-        return Chunked(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), None)
+        return whole
     position = _cuts_at_or_below(F.struct(*by), cuts, df.select(*by))
-    reaching = list({tuple(cut["key"][: len(keys)]) for cut in cuts})
-    hot = df.sparkSession.createDataFrame(reaching, df.select(*keys).schema) if keys else df.limit(0).select()
+    hot = df.limit(0).select()
+    if keys:
+        hot = df.sparkSession.createDataFrame(sorted({_key_of(cut, keys) for cut in cuts}, key=str), df.select(*keys).schema)
     return Chunked(df.withColumn(CHUNK, position), tuple(keys), tuple(order), hot)
 
 
-def _cut_points(df: DataFrame, by: list[str], wanted: int) -> list[dict]:
-    """Every SAMPLE_PER_CHUNK-th of a sorted hash sample: at most ``wanted`` - 1 keys."""
-    sample = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(wanted * SAMPLE_PER_CHUNK)
+def _key_of(spot: Row, keys: Sequence[str]) -> tuple:
+    return tuple(spot["spot"][: len(keys)])
+
+
+def _sample(df: DataFrame, by: list[str], wanted: int) -> list[Row]:
+    """A sorted hash sample of the sort columns: at most SAMPLE_PER_CHUNK * MAX_CHUNKS rows."""
+    smallest = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(wanted * SAMPLE_PER_CHUNK)
     as_json = F.to_json(F.struct(*by), {**MICROSECONDS, "ignoreNullFields": "false"})
-    listed = sample.orderBy(*by).select(F.struct(*by).alias("key"), as_json.alias("json")).collect()
-    step = max(1, len(listed) // wanted)
-    picked = listed[step::step]
-    return [{"key": r["key"], "json": r["json"]} for r, before in zip(picked, [None, *picked]) if before is None or r["json"] != before["json"]]
+    return smallest.orderBy(*by).select(F.struct(*by).alias("spot"), as_json.alias("json")).collect()
+
+
+def _large_keys(df: DataFrame, sample: list[Row], keys: Sequence[str], rows_per_chunk: int) -> set[tuple]:
+    """Keys of more than ``rows_per_chunk`` rows. Such a key is sampled SAMPLE_PER_CHUNK times
+    on average; keys sampled more than once are counted exactly."""
+    if not keys:
+        return {()}
+    seen = Counter(_key_of(spot, keys) for spot in sample)
+    repeated = [key for key, times in seen.items() if times > 1]
+    if not repeated:
+        return set()
+    suspects = df.sparkSession.createDataFrame(repeated, df.select(*keys).schema)
+    counted = join_small(df.select(*keys), suspects, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return {tuple(row[:-1]) for row in counted.where(F.col("n") > rows_per_chunk).collect()}
+
+
+def _cut_points(sample: list[Row], keys: Sequence[str], large: set[tuple], wanted: int) -> list[Row]:
+    """Every so many sampled rows one, at most ``wanted`` - 1 in all, inside large keys only."""
+    step = max(1, len(sample) // wanted)
+    picked = {spot["json"]: spot for spot in sample[step::step] if _key_of(spot, keys) in large}
+    return list(picked.values())
 
 
-def _cuts_at_or_below(point: Column, cuts: list[dict], typed: DataFrame) -> Column:
+def _cuts_at_or_below(point: Column, cuts: list[Row], typed: DataFrame) -> Column:
     """Binary search of ``point`` in the sorted cut points, as one built-in expression."""
     text = "[" + ",".join(c["json"] for c in cuts) + "]"
     table = F.from_json(F.lit(text), f"array<{typed.schema.simpleString()}>", MICROSECONDS)

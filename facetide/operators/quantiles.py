@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,26 +31,35 @@ class _Search:
 
 
 def percentiles(
-    df: DataFrame, column: Column, fractions: Sequence[float], small: int = SMALL, listed: int = LISTED
-) -> list[float | None]:
-    """Percentiles of the non-null values; all None when there are none.
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    fractions: Sequence[float],
+    small: int = SMALL,
+    listed: int = LISTED,
+) -> tuple[int, dict[str, list[float | None]]]:
+    """Row count of ``df``, and percentiles of each column's non-null values (None if none).
 
     Up to ``small`` values Spark's exact aggregate answers. Beyond it each wanted rank is
     closed in by a quantile sketch, the rows around it are counted exactly, and the few
     values left are listed: no task or driver ever holds the whole column, and the counts
     make the answer exact whatever the sketch's error.
     """
-    values = df.select(column.cast("double").alias("x")).where(F.col("x").isNotNull())
-    rows = values.count()
-    if rows == 0:
-        return [None] * len(fractions)
-    if rows <= small:
-        found = values.agg(F.percentile("x", F.array(*[F.lit(float(f)) for f in fractions])).alias("p")).first()
-        return list(found["p"])
-    spots = [f * (rows - 1) for f in fractions]
-    ranks = sorted({edge for spot in spots for edge in (math.floor(spot), math.ceil(spot))})
-    at = _values_at(values, ranks, rows, listed)
-    return [_between(at, spot) for spot in spots]
+    values = df.select(*[value.cast("double").alias(name) for name, value in columns.items()])
+    counts = values.agg(F.count(F.lit(1)), *[F.count(name) for name in columns]).first()
+    rows = dict(zip(columns, counts[1:]))
+    found: dict[str, list[float | None]] = {name: [None] * len(fractions) for name in columns}
+    wanted = F.array(*[F.lit(float(f)) for f in fractions])
+    if direct := [name for name in columns if 0 < rows[name] <= small]:
+        exact = values.agg(*[F.percentile(name, wanted).alias(name) for name in direct]).first()
+        found.update({name: list(exact[name]) for name in direct})
+    for name in columns:
+        if rows[name] > small:
+            spots = [f * (rows[name] - 1) for f in fractions]
+            ranks = sorted({edge for spot in spots for edge in (math.floor(spot), math.ceil(spot))})
+            column = values.select(F.col(name).alias("x")).where(F.col("x").isNotNull())
+            at = _values_at(column, ranks, rows[name], listed)
+            found[name] = [_between(at, spot) for spot in spots]
+    return counts[0], found
 
 
 def _between(at: dict[int, float], spot: float) -> float:

@@ -16,12 +16,25 @@ from .folds import Columns, Fold, State, fold_table
 ID, BOX, SEEN, TAKEN = range(4)
 
 
-def _overlap(a: Sequence[int], b: Sequence[int]) -> float:
-    wide = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    high = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    shared = max(0, wide) * max(0, high)
-    union = a[2] * a[3] + b[2] * b[3] - shared
-    return shared / union if union > 0 else 0.0
+def best_overlap(box: Sequence[int], tracks: list[list]) -> tuple[float, list | None, list[list]]:
+    """The largest overlap (intersection over union) of ``box`` with tracks that have not taken
+    a box, the first track that has it, and the others that have it too."""
+    left, top, wide, high = box
+    right, bottom, area = left + wide, top + high, wide * high
+    best, found, equals = 0.0, None, []
+    for track in tracks:
+        x, y, w, h = track[BOX]
+        if track[TAKEN] is not None or x >= right or y >= bottom or x + w <= left or y + h <= top:
+            continue
+        across = (right if right < x + w else x + w) - (left if left > x else x)
+        down = (bottom if bottom < y + h else y + h) - (top if top > y else y)
+        shared = across * down
+        overlap = shared / (area + w * h - shared)
+        if overlap > best:
+            best, found, equals = overlap, track, []
+        elif overlap == best:
+            equals.append(track)
+    return best, found, equals
 
 
 class TrackFold(Fold):
@@ -33,6 +46,8 @@ class TrackFold(Fold):
     marked as tied, and the chunk is run again from its true start.
     """
 
+    rows_per_chunk = 50_000
+
     def __init__(
         self,
         keys: Sequence[str] = ("source_id",),
@@ -59,15 +74,9 @@ class TrackFold(Fold):
             if current != [time, frame]:
                 tracks = self._next_frame(tracks, current, time)
                 current = [time, frame]
-            best, found = 0.0, None
-            for track in tracks:
-                if track[TAKEN] is not None:
-                    continue
-                shared = _overlap(box, track[BOX])
-                if shared > best:
-                    best, found = shared, track
-                elif found is not None and shared == best and track[ID] < 0 and found[ID] < 0:
-                    tied = tied or (best >= self.least and track[1:] != found[1:])
+            best, found, equals = best_overlap(box, tracks)
+            if equals and best >= self.least:
+                tied = tied or any(t[ID] < 0 and found[ID] < 0 and t[1:] != found[1:] for t in equals)
             if found is None or best < self.least:
                 found = [following, list(box), time, None]
                 tracks.append(found)

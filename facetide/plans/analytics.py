@@ -154,17 +154,20 @@ def sources(events: DataFrame) -> DataFrame:
 def kpis(events: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: event count, p50 and p95 of latency and processing time, and their texts."""
     measures = {"latency": "e2e_latency_ms", "processing": "processing_time_ms"}
-    numbers = {}
-    for label, name in measures.items():
-        value = times.number(F.col(name)) if name in events.columns else F.lit(None).cast("double")
-        if approximate:
-            p50, p95 = events.agg(F.percentile_approx(value, [0.5, 0.95], 10_000).alias("p")).first()["p"] or (None, None)
-        else:
-            p50, p95 = percentiles(events, value, (0.5, 0.95))
-        numbers[f"{label}_p50"], numbers[f"{label}_p95"] = p50, p95
-    counted = events.agg(F.count(F.lit(1)).alias("events"))
-    with_numbers = counted.withColumns({name: F.lit(value).cast("double") for name, value in numbers.items()})
-    return with_numbers.withColumns({f"{name}_text": text.kpi_text(F.col(name)) for name in numbers})
+    values = {
+        label: times.number(F.col(name)) if name in events.columns else F.lit(None).cast("double")
+        for label, name in measures.items()
+    }
+    if approximate:
+        sketches = [F.percentile_approx(value, [0.5, 0.95], 10_000).alias(label) for label, value in values.items()]
+        row = events.agg(F.count(F.lit(1)), *sketches).first()
+        rows, found = row[0], {label: row[label] or [None, None] for label in values}
+    else:
+        rows, found = percentiles(events, values, (0.5, 0.95))
+    numbers = {f"{label}_{rank}": at for label, pair in found.items() for rank, at in zip(("p50", "p95"), pair)}
+    schema = T.StructType([T.StructField("events", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in numbers]])
+    result = events.sparkSession.createDataFrame([(rows, *numbers.values())], schema)
+    return result.withColumns({f"{name}_text": text.kpi_text(F.col(name)) for name in numbers})
 
 
 def shown_columns(events: DataFrame) -> DataFrame:

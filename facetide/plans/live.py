@@ -14,6 +14,7 @@ from ..operators.smoothing import smooth
 from ..operators.throttle import throttle
 from ..operators.tracking import assign_tracks
 from ..schemas import EMOTIONS, EVENT_WIRE
+from ..session import stored
 
 
 def faces_on_frames(
@@ -21,7 +22,8 @@ def faces_on_frames(
 ) -> DataFrame:
     """Confident boxes, held over frames that were not searched, cut to the frame, with tracks."""
     shown = D.hold_boxes(frames, D.confident(detections, settings.min_confidence), settings, rows_per_chunk)
-    return assign_tracks(D.clamped(shown), settings=settings, rows_per_chunk=rows_per_chunk)
+    boxes = stored(D.clamped(shown), "boxes")
+    return assign_tracks(boxes, settings=settings, rows_per_chunk=rows_per_chunk)
 
 
 def events_from_faces(
@@ -32,10 +34,15 @@ def events_from_faces(
     settings: LiveSettings = LiveSettings(),
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Score, smooth per track, limit per source, and shape as wire events."""
+    """Score, smooth per track, limit per source, and shape as wire events.
+
+    What the model and the smoothing give is stored: the ordered passes read their input more
+    than once, and a face must be scored only once.
+    """
     scored = usable(score_faces(faces, scorer_factory, features)).drop(features, "logits", "score_failed")
-    shown = smooth(scored, ["source_id", "track_id"], ["ts", "frame_id"], labels, settings, rows_per_chunk).drop("probs")
-    sent = throttle(shown, "ts", settings.send_interval, ties=("frame_id", "det_no"), rows_per_chunk=rows_per_chunk)
+    track = ["source_id", "track_id"]
+    shown = smooth(stored(scored, "scored"), track, ["ts", "frame_id"], labels, settings, rows_per_chunk)
+    sent = throttle(stored(shown.drop("probs"), "smoothed"), "ts", settings.send_interval, ties=("frame_id", "det_no"), rows_per_chunk=rows_per_chunk)
     event = {
         "face_id": F.col("track_id"),
         "producer_ts": F.col("ts"),

@@ -442,7 +442,7 @@ def stream_throttle(spark, folder):
 def stream_smooth(spark, folder):
     vectors = _as_stream(views.face_probs(spark, folder), "face-probs")
     fold = SmoothFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, SMOOTHING)
-    shown = timely(fold_stream(vectors, fold, forget_after_ms=3_600_000)).drop("probs")
+    shown = timely(fold_stream(vectors, fold)).drop("probs")
     return _smoothed_columns(jobs.run_to_end(shown, "stream-smooth"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,26 @@ STATE = T.StructType([T.StructField("body", T.StringType())])
 LATE = T.StructField("late", T.BooleanType())
 
 
-def fold_stream(rows: DataFrame, fold: Fold, forget_after_ms: int | None = None) -> DataFrame:
+class Forget(NamedTuple):
+    """Drop a key's state once the watermark is ``after_ms`` past the key's newest row.
+
+    ``event_time`` is the timestamp column the stream has its watermark on. Spark leaves out
+    rows that are behind the watermark, so its delay must cover how late rows may come.
+    """
+
+    event_time: str
+    after_ms: int
+
+
+def fold_stream(rows: DataFrame, fold: Fold, forget: Forget | None = None) -> DataFrame:
     """``rows`` with the fold's outputs and ``late``.
 
     A micro-batch's rows of a key are put in order before they meet the state, so the result
     does not depend on how a batch was read. A row older than the newest row the state has
     seen does not rewind it: it comes out with ``late`` set and null outputs. Bound the rows
     of a trigger (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``) to bound what is held
-    of one key at a time. ``forget_after_ms`` drops the state of a key that got no rows for that
-    long (by the clock); use it for keys that end for good, such as face tracks.
+    of one key at a time. ``forget`` drops the state of keys that end for good, such as
+    face tracks; without it every key's state is kept.
     """
     schema = T.StructType([*rows.schema.fields, *fold.outputs.fields, LATE])
     columns, outputs = rows.columns, fold.outputs.fieldNames()
@@ -54,14 +66,15 @@ def fold_stream(rows: DataFrame, fold: Fold, forget_after_ms: int | None = None)
                 made[name] = filled.reindex(given.index)
             last = [value.item() if hasattr(value, "item") else value for value in timely[order].iloc[-1]]
             state.update((json.dumps({"fold": after, "newest": last}),))
-        if forget_after_ms is not None:
-            state.setTimeoutDuration(forget_after_ms)
+        if forget is not None:
+            newest_ms = int(given[forget.event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + forget.after_ms)
         given[outputs] = made
         given[LATE.name] = late
         yield given[[*columns, *outputs, LATE.name]].astype({name: object for name in outputs})
 
     keyed = rows.groupBy(*fold.keys)
-    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout
     return keyed.applyInPandasWithState(advance, schema, STATE, "append", timeout)
 
 
