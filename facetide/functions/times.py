@@ -15,14 +15,13 @@ LAST_SECOND = 253402300799.0  # 9999-12-31T23:59:59
 
 def number(value: Column) -> Column:
     """Numeric reading of anything; unreadable text and NaN become null."""
-    as_double = value.try_cast("double")
-    return F.when(~F.isnan(as_double), as_double)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def epoch_seconds(value: Column) -> Column:
     """Epoch seconds from a value that is in seconds or in milliseconds."""
     plain = number(value)
-    return F.when(plain > F.lit(MILLISECOND_LIMIT), plain / F.lit(1000.0)).otherwise(plain)
+    return plain / F.when(plain > F.lit(MILLISECOND_LIMIT), F.lit(1000.0)).otherwise(F.lit(1.0))
 
 
 def seconds_to_timestamp(seconds: Column) -> Column:

@@ -165,8 +165,9 @@ def kpis(events: DataFrame, approximate: bool = False) -> DataFrame:
     else:
         rows, found = percentiles(events, values, (0.5, 0.95))
     numbers = {f"{label}_{rank}": at for label, pair in found.items() for rank, at in zip(("p50", "p95"), pair)}
-    schema = T.StructType([T.StructField("events", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in numbers]])
-    result = events.sparkSession.createDataFrame([(rows, *numbers.values())], schema)
+    result = events.sparkSession.range(1).select(
+        F.lit(rows).cast("bigint").alias("events"), *[F.lit(at).cast("double").alias(n) for n, at in numbers.items()]
+    )
     return result.withColumns({f"{name}_text": text.kpi_text(F.col(name)) for name in numbers})
 
 
