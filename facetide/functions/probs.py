@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 # Fixed values.
 SOFTMAX_EPSILON = 1e-9
 PIXEL_MEAN = 0.5
@@ -14,11 +14,6 @@ PIXEL_STD = 0.5
 PIXEL_MAX = 255.0
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row, also inside nested lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def softmax(logits: Column) -> Column:
     """Stable softmax of an array column, with a small term in the denominator."""
 

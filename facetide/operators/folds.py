@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import replace
 from itertools import groupby
 from typing import Any
 
@@ -89,8 +90,8 @@ class HotRows:
         shared_folder(parts.rows.sparkSession)
         self.keys = list(parts.keys)
         columns = list(dict.fromkeys([*parts.keys, CHUNK, *columns]))
-        narrow = Chunked(parts.hot_rows().select(*columns), parts.keys, parts.order, parts.hot)
-        self.rows = _laid_out(narrow).checkpoint()
+        narrow = replace(parts, rows=parts.hot_rows().select(*columns))
+        self.rows = narrow.laid_out().checkpoint()
 
     def summaries(
         self,
@@ -179,7 +180,7 @@ def settle_by_repeating(fold: Fold, hot: HotRows) -> dict[Place, State]:
 def fold_table(df: DataFrame, fold: Fold, rows_per_chunk: int | None = None) -> DataFrame:
     """``df`` with the fold's output columns. All rows are kept."""
     parts = chunk(df, fold.keys, fold.order, rows_per_chunk or fold.rows_per_chunk)
-    starts = {} if parts.hot is None else fold.settle(HotRows(parts, fold.needed))
+    starts = fold.settle(HotRows(parts, fold.needed)) if parts.cut else {}
     schema = T.StructType([*df.schema.fields, *fold.outputs.fields])
     arrow_schema = to_arrow_schema(schema)
     keys, needed, carried = list(fold.keys), fold.needed, df.columns
@@ -198,12 +199,7 @@ def fold_table(df: DataFrame, fold: Fold, rows_per_chunk: int | None = None) ->
             added = [_to_arrow(made[f.name], arrow_schema.field(f.name).type) for f in fold.outputs.fields]
             yield pa.RecordBatch.from_arrays([*kept, *added], schema=arrow_schema)
 
-    return _laid_out(parts).mapInArrow(label, schema)
-
-
-def _laid_out(parts: Chunked) -> DataFrame:
-    placed = parts.rows.repartition(*parts.keys, CHUNK)
-    return placed.sortWithinPartitions(*parts.keys, CHUNK, *parts.order)
+    return parts.laid_out().mapInArrow(label, schema)
 
 
 def _segments(batch: pa.RecordBatch, keys: list[str], needed: list[str]) -> Iterator[Segment]:

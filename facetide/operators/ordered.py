@@ -14,10 +14,14 @@ import math
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 CHUNK = "_chunk"
 ROWS_PER_CHUNK = 250_000
 MAX_CHUNKS = 4_096
@@ -27,38 +31,48 @@ MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 @dataclass(frozen=True)
 class Chunked:
-    """``rows`` with a CHUNK column; ``hot`` holds the keys that reach over a cut point.
+    """``rows`` with a CHUNK column: 0, 1, ... in keys that reach over a cut point (hot keys),
+    -1 in all other rows. ``chunks`` is their number, 0 if nothing was cut.
 
-    ``hot`` and every table of one row per (hot key, chunk) have at most MAX_CHUNKS and
-    2 * MAX_CHUNKS rows, which is what makes broadcasting them safe.
+    A table of one row per (hot key, chunk) has at most 2 * MAX_CHUNKS rows, which is what
+    makes broadcasting it safe.
     """
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    hot: DataFrame | None
+    chunks: int = 0
 
     @property
-    def within(self) -> list[str]:
-        return [*self.keys, CHUNK] if self.hot is not None else list(self.keys)
+    def cut(self) -> bool:
+        return self.chunks > 0
 
     def window(self):
-        return Window.partitionBy(*self.within).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, *([CHUNK] if self.cut else [])).orderBy(*self.order)
 
     def hot_rows(self) -> DataFrame:
-        return join_small(self.rows, self.hot, self.keys, "left_semi")
+        return self.rows.where(F.col(CHUNK) >= 0)
+
+    def laid_out(self) -> DataFrame:
+        """Each key, or each chunk of a hot key, in order inside one partition.
+
+        Chunks get a partition of their own number, so no two of them meet by chance.
+        """
+        spark = self.rows.sparkSession
+        if self.cut:
+            parts = max(self.chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            spread = F.pmod(F.hash(*self.keys), F.lit(parts)) if self.keys else F.lit(0)
+            placed = self.rows.repartitionById(parts, F.when(F.col(CHUNK) >= 0, F.col(CHUNK)).otherwise(spread))
+        else:
+            placed = self.rows.repartition(*self.keys)
+        return placed.sortWithinPartitions(*self.keys, CHUNK, *self.order)
 
 
 def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Null-safe equi-join with a broadcast table of proven size; join columns kept once."""
-    if not on:
-        return rows if how == "left_semi" else rows.join(F.broadcast(small), how="left")
     renamed = small.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in small.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    return rows.join(F.broadcast(renamed), condition, how).drop(*[f"_r_{c}" for c in on])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return rows.join(F.broadcast(renamed), same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def chunk(
@@ -76,7 +90,7 @@ def chunk(
     """
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
     by = [*keys, *order]
-    whole = Chunked(df.withColumn(CHUNK, F.lit(0)), tuple(keys), tuple(order), None)
+    whole = Chunked(df.withColumn(CHUNK, F.lit(-1)), tuple(keys), tuple(order))
     rows = df.select(*by).count()
     wanted = min(max_chunks, math.ceil(rows / rows_per_chunk))
     if wanted <= 1:
@@ -86,11 +100,7 @@ def chunk(
     cuts = _cut_points(sample, keys, large, wanted)
     if not cuts:
         return whole
-    position = _cuts_at_or_below(F.struct(*by), cuts, df.select(*by))
-    hot = df.limit(0).select()
-    if keys:
-        hot = df.sparkSession.createDataFrame(sorted({_key_of(cut, keys) for cut in cuts}, key=str), df.select(*keys).schema)
-    return Chunked(df.withColumn(CHUNK, position), tuple(keys), tuple(order), hot)
+    return Chunked(df.withColumn(CHUNK, _chunk_number(df, keys, by, cuts)), tuple(keys), tuple(order), len(cuts) + 1)
 
 
 def _key_of(spot: Row, keys: Sequence[str]) -> tuple:
@@ -125,18 +135,25 @@ def _cut_points(sample: list[Row], keys: Sequence[str], large: set[tuple], wante
     return list(picked.values())
 
 
-def _cuts_at_or_below(point: Column, cuts: list[Row], typed: DataFrame) -> Column:
-    """Binary search of ``point`` in the sorted cut points, as one built-in expression."""
-    text = "[" + ",".join(c["json"] for c in cuts) + "]"
-    table = F.from_json(F.lit(text), f"array<{typed.schema.simpleString()}>", MICROSECONDS)
+def _chunk_number(df: DataFrame, keys: Sequence[str], by: list[str], cuts: list[Row]) -> Column:
+    """How many cut points are at or before a row, by binary search in one built-in
+    expression; -1 in a key without a cut point."""
+    text = "[" + ",".join(cut["json"] for cut in cuts) + "]"
+    table = F.from_json(F.lit(text), f"array<{df.select(*by).schema.simpleString()}>", MICROSECONDS)
     size = len(cuts)
     steps = [1 << bit for bit in range(size.bit_length() - 1, -1, -1)]
 
     def advance(found: Column, step: Column) -> Column:
-        reached = (found + step <= size) & (F.get(table, found + step - 1) <= point)
+        reached = (found + step <= size) & (F.get(table, found + step - 1) <= F.struct(*by))
         return F.when(reached, found + step).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    def same_key(index: Column) -> Column:
+        cut = F.get(table, index)
+        matches = [cut[key].eqNullSafe(F.col(key)) for key in keys]
+        return reduce(and_, matches, (index >= 0) & (index < size))
+
+    number = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    return bind(number, lambda n: F.when(same_key(n - 1) | same_key(n), n).otherwise(F.lit(-1)))
 
 
 def _carried(parts: Chunked, summary: Sequence[Column], carry: dict[str, Callable]) -> DataFrame:
@@ -149,7 +166,7 @@ def _carried(parts: Chunked, summary: Sequence[Column], carry: dict[str, Callabl
 def running_count(parts: Chunked, name: str) -> DataFrame:
     """1-based row number per key in order."""
     local = parts.rows.withColumn(name, F.row_number().over(parts.window()).cast("bigint"))
-    if parts.hot is None:
+    if not parts.cut:
         return local.drop(CHUNK)
     offsets = _carried(parts, [F.count(F.lit(1)).alias("_n")], {"_offset": lambda w: F.sum("_n").over(w)})
     joined = join_small(local, offsets, [*parts.keys, CHUNK], "left")
@@ -160,7 +177,7 @@ def last_known(parts: Chunked, value: str, name: str) -> DataFrame:
     """The newest non-null ``value`` of the key up to and including each row."""
     running = parts.window().rowsBetween(Window.unboundedPreceding, 0)
     local = parts.rows.withColumn(name, F.last(value, ignorenulls=True).over(running))
-    if parts.hot is None:
+    if not parts.cut:
         return local.drop(CHUNK)
     known = F.when(F.col(value).isNotNull(), F.struct(*parts.order))
     newest = F.max_by(F.col(value), known).alias("_newest")
@@ -184,7 +201,7 @@ def trailing(
     as context and dropped again afterwards.
     """
     parts = chunk(df, keys, order, rows_per_chunk)
-    if parts.hot is None:
+    if not parts.cut:
         frame = parts.window().rowsBetween(-(size - 1), 0)
         return df.withColumns({name: make(frame) for name, make in results.items()})
     length = max(rows_per_chunk or ROWS_PER_CHUNK, size)

@@ -19,7 +19,7 @@ from ..operators.smoothing import SmoothFold, average_probs, smooth, switch_labe
 from ..operators.throttle import ThrottleFold, throttle
 from ..operators.tracking import TrackFold, assign_tracks
 from ..schemas import EMOTIONS
-from ..session import fresh_folder, prepare
+from ..session import fresh_folder, prepare, stored
 from ..sources import labels as label_source
 from ..sources.store import stream_events, union_events
 from ..streaming import jobs
@@ -234,7 +234,7 @@ def frame_counter(spark, folder):
 
 @query
 def iou_match(spark, folder):
-    found = D.clamped(views.detections(spark, folder))
+    found = stored(D.clamped(views.detections(spark, folder)), "boxes")
     matched = D.matches_before(found)
     return matched.select("source_id", "frame_id", "det_no", "prev_det_no", F.round("iou", 6).alias("iou"))
 
@@ -247,7 +247,7 @@ def held_boxes(spark, folder):
 
 @query
 def track_assign(spark, folder):
-    found = D.clamped(views.detections(spark, folder))
+    found = stored(D.clamped(views.detections(spark, folder)).drop("conf", "frame_w", "frame_h"), "boxes")
     return assign_tracks(found).select("source_id", "frame_id", "det_no", "track_id")
 
 

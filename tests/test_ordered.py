@@ -52,7 +52,9 @@ def test_chunks_follow_the_sort_and_bound_hot_keys(frame, rows):
     assert hot == sorted(hot)
     sizes = [hot.count(c) for c in set(hot)]
     assert max(sizes) < 400 and len(sizes) > 8
-    assert {tuple(r) for r in parts.hot.collect()} == {("hot",)}
+    assert {r.k for r in parts.hot_rows().select("k").distinct().collect()} == {"hot"}
+    spread = parts.laid_out().where("k = 'hot'").select(F.spark_partition_id().alias("p"), CHUNK).distinct()
+    assert spread.count() == spread.select("p").distinct().count() == len(sizes)
 
 
 def test_chunks_are_the_same_again(frame):
@@ -62,9 +64,9 @@ def test_chunks_are_the_same_again(frame):
 
 
 def test_small_table_and_small_keys_stay_whole(spark, frame):
-    assert chunk(frame, ["k"], ["t", "n"]).hot is None
+    assert chunk(frame, ["k"], ["t", "n"]).cut is False
     even = spark.range(2000).select((F.col("id") % 500).alias("k"), "id")
-    assert chunk(even, ["k"], ["id"], rows_per_chunk=50).hot is None
+    assert chunk(even, ["k"], ["id"], rows_per_chunk=50).cut is False
 
 
 @pytest.mark.parametrize("rows_per_chunk", [None, 100, 17])
@@ -117,5 +119,5 @@ def test_cut_points_on_timestamps(spark):
 
 def test_most_chunks(frame):
     parts = chunk(frame, ["k"], ["t", "n"], rows_per_chunk=10, max_chunks=6)
-    assert parts.rows.select(CHUNK).distinct().count() <= 6
+    assert parts.hot_rows().select(CHUNK).distinct().count() <= 6
     assert ordered.MAX_CHUNKS >= 6
