@@ -141,7 +141,8 @@ def matches_before(detections: DataFrame, least: float = LiveSettings.match_over
     at_corner = (_cell(F.greatest(mine.x, theirs.x)) == F.col("_cell_x")) & (
         _cell(F.greatest(mine.y, theirs.y)) == F.col("_cell_y")
     )
-    pairs = now.join(before, [*FRAME_KEYS, "_cell_x", "_cell_y"]).where(at_corner)
+    # Both sides grow with the data, so neither is broadcast.
+    pairs = now.join(before.hint("merge"), [*FRAME_KEYS, "_cell_x", "_cell_y"]).where(at_corner)
     scored = pairs.withColumn("iou", boxes.overlap(mine, theirs)).where(F.col("iou") >= F.lit(least))
     best = scored.groupBy(*FRAME_KEYS, *box).agg(
         F.max(F.struct("iou", (-F.col("prev_det_no")).alias("_behind"))).alias("_best")
@@ -149,7 +150,7 @@ def matches_before(detections: DataFrame, least: float = LiveSettings.match_over
     matched = best.select(
         *FRAME_KEYS, *box, (-F.col("_best._behind")).alias("prev_det_no"), F.col("_best.iou").alias("iou")
     )
-    return detections.join(matched, [*FRAME_KEYS, *box])
+    return detections.join(matched.hint("merge"), [*FRAME_KEYS, *box])
 
 
 def _cell(pixel: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import bind
 
 CHUNK = "_chunk"
-ROWS_PER_CHUNK = 250_000
+ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 4_096
 SAMPLE_PER_CHUNK = 16
 MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}

@@ -46,8 +46,6 @@ class TrackFold(Fold):
     marked as tied, and the chunk is run again from its true start.
     """
 
-    rows_per_chunk = 50_000
-
     def __init__(
         self,
         keys: Sequence[str] = ("source_id",),
