@@ -95,7 +95,7 @@ def chunk(
     wanted = min(max_chunks, math.ceil(rows / rows_per_chunk))
     if wanted <= 1:
         return whole
-    sample = _sample(df, by, wanted)
+    sample = _sample(df, by, rows, wanted)
     large = _large_keys(df, sample, keys, rows_per_chunk)
     cuts = _cut_points(sample, keys, large, wanted)
     if not cuts:
@@ -107,11 +107,18 @@ def _key_of(spot: Row, keys: Sequence[str]) -> tuple:
     return tuple(spot["spot"][: len(keys)])
 
 
-def _sample(df: DataFrame, by: list[str], wanted: int) -> list[Row]:
-    """A sorted hash sample of the sort columns: at most SAMPLE_PER_CHUNK * MAX_CHUNKS rows."""
-    smallest = df.select(*by).orderBy(F.xxhash64(*by), *by).limit(wanted * SAMPLE_PER_CHUNK)
+def _sample(df: DataFrame, by: list[str], rows: int, wanted: int) -> list[Row]:
+    """A sorted hash sample of the sort columns, SAMPLE_PER_CHUNK rows per chunk on average.
+
+    The hash filter runs in the scan; equal spots are merged (``_copies``) before anything is
+    collected, and the limit keeps the list small even for a hash that falls badly.
+    """
+    size = wanted * SAMPLE_PER_CHUNK
+    drawn = df.select(*by).where(F.pmod(F.xxhash64(*by), F.lit(max(1, rows // size))) == 0)
+    spots = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("_copies"))
     as_json = F.to_json(F.struct(*by), {**MICROSECONDS, "ignoreNullFields": "false"})
-    return smallest.orderBy(*by).select(F.struct(*by).alias("spot"), as_json.alias("json")).collect()
+    sorted_spots = spots.orderBy(*by).limit(4 * size)
+    return sorted_spots.select(F.struct(*by).alias("spot"), as_json.alias("json"), "_copies").collect()
 
 
 def _large_keys(df: DataFrame, sample: list[Row], keys: Sequence[str], rows_per_chunk: int) -> set[tuple]:
@@ -124,15 +131,20 @@ def _large_keys(df: DataFrame, sample: list[Row], keys: Sequence[str], rows_per_
     if not repeated:
         return set()
     suspects = df.sparkSession.createDataFrame(repeated, df.select(*keys).schema)
-    counted = join_small(df.select(*keys), suspects, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return {tuple(row[:-1]) for row in counted.where(F.col("n") > rows_per_chunk).collect()}
+    counted = join_small(df.select(*keys), suspects, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return {tuple(row[:-1]) for row in counted.where(F.col("_rows") > rows_per_chunk).collect()}
 
 
 def _cut_points(sample: list[Row], keys: Sequence[str], large: set[tuple], wanted: int) -> list[Row]:
-    """Every so many sampled rows one, at most ``wanted`` - 1 in all, inside large keys only."""
-    step = max(1, len(sample) // wanted)
-    picked = {spot["json"]: spot for spot in sample[step::step] if _key_of(spot, keys) in large}
-    return list(picked.values())
+    """The spots at which another ``wanted``-th of the sample is behind, in large keys only."""
+    step = max(1.0, sum(spot["_copies"] for spot in sample) / wanted)
+    picked, behind, goal = [], 0, step
+    for spot in sample:
+        if behind >= goal:
+            picked.append(spot)
+            goal = (behind // step + 1) * step
+        behind += spot["_copies"]
+    return [spot for spot in picked if _key_of(spot, keys) in large]
 
 
 def _chunk_number(df: DataFrame, keys: Sequence[str], by: list[str], cuts: list[Row]) -> Column:
