@@ -15,16 +15,14 @@ from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.binding import bind
-
 CHUNK = "_chunk"
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 4_096
+MAX_CHUNKS = 1_024
 SAMPLE_PER_CHUNK = 16
 MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -148,24 +146,32 @@ def _cut_points(sample: list[Row], keys: Sequence[str], large: set[tuple], wante
 
 
 def _chunk_number(df: DataFrame, keys: Sequence[str], by: list[str], cuts: list[Row]) -> Column:
-    """How many cut points are at or before a row, by binary search in one built-in
-    expression; -1 in a key without a cut point."""
-    text = "[" + ",".join(cut["json"] for cut in cuts) + "]"
-    table = F.from_json(F.lit(text), f"array<{df.select(*by).schema.simpleString()}>", MICROSECONDS)
-    size = len(cuts)
-    steps = [1 << bit for bit in range(size.bit_length() - 1, -1, -1)]
-
-    def advance(found: Column, step: Column) -> Column:
-        reached = (found + step <= size) & (F.get(table, found + step - 1) <= F.struct(*by))
-        return F.when(reached, found + step).otherwise(found)
-
-    def same_key(index: Column) -> Column:
-        cut = F.get(table, index)
-        matches = [cut[key].eqNullSafe(F.col(key)) for key in keys]
-        return reduce(and_, matches, (index >= 0) & (index < size))
-
-    number = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
-    return bind(number, lambda n: F.when(same_key(n - 1) | same_key(n), n).otherwise(F.lit(-1)))
+    """How many cut points are at or before a row; -1 in a key without a cut point.
+
+    A balanced tree of comparisons with constants, so a row costs as many comparisons as the
+    tree is deep and Spark can compile it.
+    """
+    spot = F.struct(*by)
+    kind = df.select(*by).schema
+    points = [F.from_json(F.lit(cut["json"]), kind, MICROSECONDS) for cut in cuts]
+
+    def in_key_of(number: int) -> Column:
+        matches = [F.col(key).eqNullSafe(points[number][key]) for key in keys]
+        return reduce(and_, matches, F.lit(True))
+
+    def leaf(number: int) -> Column:
+        beside = [n for n in (number - 1, number) if 0 <= n < len(cuts)]
+        if len(beside) == 2 and _key_of(cuts[beside[0]], keys) == _key_of(cuts[beside[1]], keys):
+            beside.pop()
+        return F.when(reduce(or_, [in_key_of(n) for n in beside]), F.lit(number)).otherwise(F.lit(-1))
+
+    def between(least: int, most: int) -> Column:
+        if least == most:
+            return leaf(least)
+        middle = (least + most) // 2
+        return F.when(spot < points[middle], between(least, middle)).otherwise(between(middle + 1, most))
+
+    return between(0, len(cuts))
 
 
 def _carried(parts: Chunked, summary: Sequence[Column], carry: dict[str, Callable]) -> DataFrame:

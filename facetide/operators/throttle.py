@@ -66,17 +66,19 @@ class ThrottleFold(Fold):
 
     def run(self, state: State, rows: Columns, size: int) -> tuple[State, Columns]:
         times = np.asarray(rows[self.time], dtype="float64")
-        passed = np.zeros(size, dtype=bool)
         timed = np.flatnonzero(~np.isnan(times))  # missing times sort to the ends
         at, stop = (int(timed[0]), int(timed[-1]) + 1) if timed.size else (0, 0)
-        last = state["last"]
+        times, passed, last = times.tolist(), [False] * size, state["last"]
         while at < stop:
             if last is not None:
-                at = bisect_left(times, True, at, stop, key=lambda time: time - last >= self.interval)
+                reach = 1  # look ever further ahead, then back
+                while at + reach < stop and times[at + reach - 1] - last < self.interval:
+                    at, reach = at + reach, 2 * reach
+                at = bisect_left(times, True, at, min(at + reach, stop), key=lambda time: time - last >= self.interval)
                 if at == stop:
                     break
             passed[at] = True
-            last = float(times[at])
+            last = times[at]
             at += 1
         return {"last": last}, {"passed": passed}
 
