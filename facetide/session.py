@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,24 +44,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one under the warehouse.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Both are Spark's own settings; a cluster keeps its warehouse on shared storage too.
     """
     context = spark.sparkContext
     configured = context.getConf().get(CHECKPOINT_SETTING, None) or spark.conf.get(CHECKPOINT_SETTING, None)
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured.rstrip("/")
     current = context.getCheckpointDir()
-    if current:
+    if not configured and current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="facetide-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
+    folder = configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_intermediate")
+    if current is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
