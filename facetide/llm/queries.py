@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import minhash
+from . import minhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +20,14 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
 }
 
 LLM_ORACLES: dict[str, str] = {}
