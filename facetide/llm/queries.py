@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-from . import minhash, toxicity
+from ..session import prepare, stored
+from . import minhash, packing, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,9 +26,15 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    parts = packing.pieces(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(stored(parts, "pieces")).withColumnRenamed("id", "doc_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 LLM_ORACLES: dict[str, str] = {}
