@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored
-from . import minhash, packing, toxicity
+from . import minhash, packing, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.shared_passages(_table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "head": "kept_doc_id", "start": "start_word", "end": "end_word", "head_start": "kept_start_word", "head_end": "kept_end_word"})
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
@@ -32,6 +37,7 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
