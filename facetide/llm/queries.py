@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored
-from . import minhash, packing, substrings, toxicity
+from . import decontaminate, minhash, packing, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,11 +36,17 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(stored(parts, "pieces")).withColumnRenamed("id", "doc_id")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "start": "start_word", "end": "end_word"})
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 LLM_ORACLES: dict[str, str] = {}

@@ -20,6 +20,12 @@ def only(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def without(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``docs`` whose ``on`` is not in ``ids`` (one row per id), by the same rule."""
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, on, "left_anti")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node``, ``component`` (smallest node reachable) of every node of the undirected links.
 

@@ -38,8 +38,9 @@ HASHES = 4
 ENOUGH = 2
 SHINGLE = 5
 LEAST_WORDS = 50
-GAP = 12  # tokens a passage may lose at one place: two edited words close together
+GAPS = (12, 6, 1)  # tokens a passage may lose at one place: two edited words close together, one, none
 STEPS = (8, 4, 1)
+SPANS_SENT = 250_000  # passages of 16 bytes that may go to the scans; more are joined by shuffle
 _SIDE = (1 << 16) - 1  # reach of a window to either side that is kept; a passage needs far less
 
 WINDOWS = "key long, id long, place long, head long, head_place long"
@@ -153,25 +154,33 @@ def _ties(windows: DataFrame) -> DataFrame:
     return ties.select("id", "place", F.col("first.id").alias("head"), F.col("first.place").alias("head_place"))
 
 
+def _runs(places: np.ndarray, gap: int) -> list[np.ndarray]:
+    return np.split(places, np.flatnonzero(np.diff(places) > gap) + 1) if len(places) else []
+
+
 def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """Spans [p, q] of tokens ``a`` and [r, s] of ``b`` that hold a common passage, with its similarity."""
+    """Spans [p, q] of tokens ``a`` and [r, s] of ``b`` that hold a common passage, with its similarity.
+
+    A span too unlike as a whole is tried again in parts, cut at ever smaller gaps.
+    """
     out = []
-    places = np.flatnonzero(np.isin(a, b))
-    for run in np.split(places, np.flatnonzero(np.diff(places) > GAP) + 1) if len(places) else ():
+    todo = [(run, 0) for run in _runs(np.flatnonzero(np.isin(a, b)), GAPS[0])]
+    while todo:
+        run, level = todo.pop()
         p, q = int(run[0]), int(run[-1])
         if q - p + 1 < least:
             continue
         inside = a[p : q + 1]
-        there = np.flatnonzero(np.isin(b, inside))
-        runs = np.split(there, np.flatnonzero(np.diff(there) > GAP) + 1)
-        theirs = max(runs, key=len)
+        theirs = max(_runs(np.flatnonzero(np.isin(b, inside)), GAPS[level]), key=len)
         r, s = int(theirs[0]), int(theirs[-1])
         one, two = np.unique(inside), np.unique(b[r : s + 1])
         common = len(np.intersect1d(one, two, assume_unique=True))
         union = len(one) + len(two) - common
         if s - r + 1 >= least and 100 * common >= percent * union:
             out.append((p, q, r, s, common / union))
-    return out
+        elif level + 1 < len(GAPS):
+            todo.extend((part, level + 1) for part in _runs(run, GAPS[level + 1]))
+    return sorted(out)
 
 
 def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enough: int, step: int) -> DataFrame:
@@ -264,9 +273,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "start", "end", "head", "head_start", "head_end", "similarity").distinct()
 
 
-def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the words of the passages; a text that loses nothing stays as it is."""
-    spans = passages.groupBy(F.col("id").alias(id_col)).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # one text's
+def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = None) -> DataFrame:
+    """``docs`` without the words of the passages; a text that loses nothing stays as it is.
+
+    ``n_chars`` names a column that holds the number of characters and follows the cut.
+    """
+    few = passages.count() <= SPANS_SENT
+    spans = passages.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # one text's
     names, text_at = docs.columns, docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +299,8 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             keep[int(starts[s["start"]]) : stop] = False
         return data[keep].tobytes().decode()[:-1]
 
-    joined = docs.join(spans, id_col, "left").select(*(docs[c] for c in names), "_spans")
+    joined = docs.join(F.broadcast(spans) if few else spans, F.col(id_col) == F.col("_id"), "left").drop("_id")
     cut = joined.where("_spans IS NOT NULL").mapInArrow(of, docs.schema)
+    if n_chars:
+        cut = cut.withColumn(n_chars, F.length(text_col).cast(docs.schema[n_chars].dataType))
     return cut.unionByName(joined.where("_spans IS NULL").drop("_spans"))
