@@ -189,8 +189,18 @@ def _linked(bare: DataFrame, classes: DataFrame, shingle: int, percent: int, lea
 
 
 def _heads(members: DataFrame) -> DataFrame:
-    """``a`` (head) and ``b`` (member): every list's head is its class with most copies, then the smallest id."""
-    heads = members.groupBy("key").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("a"))
+    """``a`` (head) and ``b`` (member): what each member of a long list is compared with.
+
+    A list proposes its class with most copies, then the smallest id; of the proposals it meets, a member prefers the one
+    that stands for most members; a list's head is what most of its members prefer. So the many lists of one
+    group of near copies have one head, and each member is compared once.
+    """
+    lists = members.groupBy("key").agg(F.max_by("id", F.struct("copies", -F.col("id"))).alias("head"), F.count(F.lit(1)).alias("size"))
+    weight = lists.groupBy("head").agg(F.sum("size").alias("weight"))
+    met = members.join(lists.select("key", "head"), "key").join(weight, "head")
+    preferred = met.groupBy("id").agg(F.max_by("head", F.struct("weight", -F.col("head"))).alias("head"))
+    votes = members.select("key", "id").join(preferred, "id").groupBy("key", "head").agg(F.count(F.lit(1)).alias("votes"))
+    heads = votes.groupBy("key").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("a"))
     return stored(members.join(heads, "key").where("a != id").select("a", F.col("id").alias("b")).distinct(), "heads")
 
 
