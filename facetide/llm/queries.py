@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, stored
-from . import decontaminate, minhash, packing, substrings, toxicity
+from . import decontaminate, htmltext, minhash, packing, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.main_texts(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
@@ -44,6 +53,8 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,

@@ -25,6 +25,7 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
+_AS_IS = np.arange(256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the n + 1 places where each text's words start."""
     data, offsets = buffer_of(texts)
     if not len(data):
@@ -103,7 +104,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(data)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER[data] + U(1)) * _powers(BASE, len(data)), out=sums[1:])
+    np.cumsum(((_LOWER if lower else _AS_IS)[data] + U(1)) * _powers(BASE, len(data)), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets)
 
