@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, stored
-from . import decontaminate, htmltext, minhash, packing, quality, substrings, toxicity
+from ..session import fresh_folder, prepare, stored
+from . import decontaminate, htmltext, licenses, minhash, packing, quality, rollups, substrings, toxicity, urlfilter
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +32,23 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents are inserted as one batch; rows whose text an earlier document has are taken out again by a second one
+    that is sent twice; what stays has its count revised from words to the tokenizer's by a third."""
+    docs = _table(spark, folder, "documents")
+    rows = stored(rollups.counted(docs, {rollups.WORDS: "", "word_bpe_49k": public_tokenizers.path("word_bpe_49k.json")}), "counted")
+    words, tokens = (rows.where(F.col("tokenizer") == t) for t in (rollups.WORDS, "word_bpe_49k"))
+    first = docs.groupBy(F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("m")).agg(F.min("doc_id").alias("id"))
+    kept = stored(first.select("id"), "kept")
+    rollup = rollups.Rollup(spark, fresh_folder(spark, "rollup"))
+    rollup.commit("inserted", rollups.delta(None, words))
+    copies = rollups.delta(words.join(kept, "id", "left_anti"), None)
+    rollup.commit("copies", copies)
+    rollup.commit("copies", copies)
+    rollup.commit("revised", rollups.delta(words.join(kept, "id", "left_semi"), rows.join(kept, "id", "left_semi")))
+    return rollup.totals()
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.main_texts(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -45,19 +63,32 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(stored(parts, "pieces")).withColumnRenamed("id", "doc_id")
 
 
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    found = urlfilter.judged(pages, urlfilter.document_labels(pages, _table(spark, folder, "labels")))
+    return found.withColumnRenamed("id", "page_id")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "start": "start_word", "end": "end_word"})
 
 
+def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.found_licenses(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_license_scans": op10_license_scans,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = dict(ORACLES)
