@@ -4,7 +4,7 @@ Documents become token ids (one tokenizer file, a separator id at the end); only
 pieces of ``capacity`` ids and a shorter last one. Pieces are then dealt at random over groups and every group
 packs its own: around its largest piece left, completions of the rest of the sequence are searched depth
 first, largest piece first. A filling is dominated, and skipped, if it takes a smaller length where an unused larger
-one fits and completes no less (equal lengths count once; of the last piece only the largest that fits is tried).
+one fits and completes no less (equal lengths count once; as the last piece only the largest that fits is tried).
 A branch is pruned when even all room it can still use would leave more waste than the incumbent, the
 first of which is the plain best-fit filling; a filling without waste ends the search, as does
 ``NODES`` visited nodes, with the best incumbent kept. What remains of a group's badly filled sequences is
@@ -209,9 +209,9 @@ def _filling(gap: int, largest, left: list[int], smallest: int, nodes: int) -> l
         x = largest(min(room, longest)) if longest > 0 else 0
         if x and visited < nodes and waste:
             visited += 1
-            # a longer sibling stays dominant over shorter ones if it leaves no room for another piece
             rest = room - x
-            stack.append((room, x - 1 if rest >= smallest else 0))
+            # as a last piece x dominates every shorter one; a shorter one is tried only if more fits beside it
+            stack.append((room, x - 1 if rest >= smallest else min(x - 1, room - smallest)))
             path.append(x)
             left[x] -= 1
             if rest < waste:

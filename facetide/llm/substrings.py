@@ -279,7 +279,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
     ``n_chars`` names a column that holds the number of characters and follows the cut.
     """
     few = passages.count() <= SPANS_SENT
-    spans = passages.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # one text's
+    spans = passages.groupBy(F.col("id").alias("_passage_of")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # one text's
     names, text_at = docs.columns, docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
             keep[int(starts[s["start"]]) : stop] = False
         return data[keep].tobytes().decode()[:-1]
 
-    joined = docs.join(F.broadcast(spans) if few else spans, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    joined = docs.join(F.broadcast(spans) if few else spans, F.col(id_col) == F.col("_passage_of"), "left").drop("_passage_of")
     cut = joined.where("_spans IS NOT NULL").mapInArrow(of, docs.schema)
     if n_chars:
         cut = cut.withColumn(n_chars, F.length(text_col).cast(docs.schema[n_chars].dataType))

@@ -80,6 +80,8 @@ def as_large(texts: pa.Array) -> pa.Array:
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one blank after each, and the n + 1 places where they start."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     joined = pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     offsets = np.frombuffer(joined.buffers()[1], dtype=np.int64)[joined.offset : joined.offset + len(joined) + 1]
     data = np.frombuffer(joined.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -118,7 +120,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int, whole_if_short: bool
     factors = odd_constants(k, 7)
     grams = np.zeros(max(n - k + 1, 0), dtype=np.uint64)
     for j in range(k):
-        grams += words[j : n - k + 1 + j] * factors[j]
+        grams += words[j : j + len(grams)] * factors[j]
     each = np.maximum(counts - k + 1, 0)
     keep = np.ones(len(grams), dtype=bool)
     for j in range(1, k):  # places whose shingle would run into the next text
