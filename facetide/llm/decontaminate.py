@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import map_texts
 
 WINDOW = 5
 PROBED_WINDOWS = 1_000_000
@@ -196,7 +197,7 @@ def _probe(docs: DataFrame, items, units: np.ndarray, percent: int) -> DataFrame
                     rows.extend(_matches(names[i + r].as_py(), t.words[words], t.templates[words], grams[at[r] : at[r + 1]], own, known, percent))
             yield _batch(rows)
 
-    return docs.mapInArrow(of, SCHEMA)
+    return map_texts(docs, of, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", percent: int = 80, probed: int = PROBED_WINDOWS) -> DataFrame:
@@ -234,8 +235,8 @@ def _joined(bare: DataFrame, items: DataFrame, units: np.ndarray, percent: int)
                 rows.extend(_matches(name, t.words, t.templates, grams, np.flatnonzero(np.isin(grams, known.hashes)), known, percent))
             yield _batch(rows)
 
-    known = items.withColumnRenamed("item_id", "id").mapInArrow(grams_of, "id long, gram long, n long").withColumnRenamed("id", "item_id")
-    grams = bare.mapInArrow(grams_of, "id long, gram long, n long").drop("n")
+    known = map_texts(items.withColumnRenamed("item_id", "id"), grams_of, "id long, gram long, n long").withColumnRenamed("id", "item_id")
+    grams = map_texts(bare, grams_of, "id long, gram long, n long").drop("n")
     found = grams.join(known, "gram").groupBy("id", "item_id", "n").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") * 100 >= F.col("n") * percent)
     both = found.select("id", "item_id").join(bare, "id").join(items.withColumnRenamed("text", "item_text"), "item_id")
-    return both.select("id", "text", "item_id", "item_text").mapInArrow(verified, SCHEMA)
+    return map_texts(both.select("id", "text", "item_id", "item_text"), verified, SCHEMA)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import map_texts
+
 # HTML's tags without content, tags that hold no article text, tags that begin a new block, and tags that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg canvas object menu dialog".split())
@@ -228,4 +230,4 @@ def main_texts(pages: DataFrame, html_col: str = "html", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), sizes], [*names, text_col, "n_chars"])
 
     kinds = [pages.schema[c] for c in names] + [T.StructField(text_col, T.StringType()), T.StructField("n_chars", T.LongType())]
-    return pages.select(F.col(f"`{html_col}`").alias("_html"), *(F.col(f"`{c}`") for c in names)).mapInArrow(of, T.StructType(kinds))
+    return map_texts(pages.select(F.col(f"`{html_col}`").alias("_html"), *(F.col(f"`{c}`") for c in names)), of, T.StructType(kinds))

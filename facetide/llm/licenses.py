@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_texts
+
 
 BLOCKS_REMEMBERED = 200_000
 LEVEL = 3
@@ -174,4 +176,4 @@ def found_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = bare.schema["id"].dataType.simpleString()
-    return bare.mapInArrow(of, f"id {kind}, license string, start long, end long, wording string, saved double, agreement double")
+    return map_texts(bare, of, f"id {kind}, license string, start long, end long, wording string, saved double, agreement double")

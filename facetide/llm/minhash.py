@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import words as W
-from .shared import components, only
+from .shared import components, map_texts, only
 
 COORDINATES = 256  # two bits of each are kept to count agreement: eight longs
 PLANE = COORDINATES // 64
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         columns = [ids, pa.array(sizes, pa.int64()), *(pa.array(sums[:, k].view(np.int64)) for k in (0, 1)), lists(bits), lists(posted)]
         return pa.RecordBatch.from_arrays(columns, ["id", "n", "set_a", "set_b", "bits", "posted"])
 
-    return docs.mapInArrow(of, "id long, n long, set_a long, set_b long, bits array<long>, posted array<int>")
+    return map_texts(docs, of, "id long, n long, set_a long, set_b long, bits array<long>, posted array<int>")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, differences: bool) -> DataFrame:
@@ -119,7 +119,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, differences: boo
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(of, "a long, b long, n_a long, n_b long, common long, differences array<long>")
+    return map_texts(rows, of, "a long, b long, n_a long, n_b long, common long, differences array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

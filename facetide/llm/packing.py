@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import words as W
+from .shared import map_texts
 
 NODES = 400
 PIECES_PER_GROUP = 20_000
@@ -153,7 +154,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = bare.schema["id"].dataType.simpleString()
-    return bare.mapInArrow(of, f"id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_texts(bare, of, f"id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def completed(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> np.ndarray:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import map_texts
 from .packing import encoder
 
 GROUP = ("source", "lang", "tokenizer")
@@ -58,7 +59,7 @@ def counted(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id",
 
     bare = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text_col).alias("text"))
     kind = bare.schema["id"].dataType.simpleString()
-    return bare.mapInArrow(of, f"id {kind}, source string, lang string, tokenizer string, n_chars long, n_tokens long")
+    return map_texts(bare, of, f"id {kind}, source string, lang string, tokenizer string, n_chars long, n_tokens long")
 
 
 def delta(before: DataFrame | None, after: DataFrame | None) -> DataFrame:

@@ -1,15 +1,25 @@
-"""Helpers for tables: intermediate tables, size-checked broadcast, groups by links."""
+"""Helpers for tables: maps over texts, size-checked broadcast, groups by links."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 
+TEXTS_PER_BATCH = 500
 BROADCAST_ROWS = 2_000_000  # ids of 8 bytes: at most about 16 MB to each executor
 
 
+def map_texts(rows: DataFrame, of: Callable, schema: str | T.StructType) -> DataFrame:
+    """``rows.mapInArrow``, with batches small enough for rows that hold texts."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+    return rows.mapInArrow(of, schema)
+
+
 def only(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``docs`` whose ``on`` is in ``ids`` (one row per id).
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import words as W
-from .shared import only
+from .shared import map_texts, only
 
 HASHES = 4
 ENOUGH = 2
@@ -127,7 +127,7 @@ def _all_windows(bare: DataFrame, least: int) -> DataFrame:
         if keys:
             yield from _tied(np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(places))
 
-    return bare.where("text IS NOT NULL").select("id", "text").mapInArrow(of, WINDOWS)
+    return map_texts(bare.where("text IS NOT NULL").select("id", "text"), of, WINDOWS)
 
 
 def _tied(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -244,7 +244,7 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
     rows = pairs.join(texts.withColumnRenamed("text", "mine"), "id")
     rows = rows.join(texts.select(F.col("id").alias("head"), F.col("text").alias("theirs")), "head")
     rows = rows.select("id", "head", "places", "head_places", "mine", "theirs")
-    return rows.mapInArrow(of, "key long, id long, place long, head long, start long, end long, head_start long, head_end long, similarity double")
+    return map_texts(rows, of, "key long, id long, place long, head long, start long, end long, head_start long, head_end long, similarity double")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
@@ -300,7 +300,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
         return data[keep].tobytes().decode()[:-1]
 
     joined = docs.join(F.broadcast(spans) if few else spans, F.col(id_col) == F.col("_passage_of"), "left").drop("_passage_of")
-    cut = joined.where("_spans IS NOT NULL").mapInArrow(of, docs.schema)
+    cut = map_texts(joined.where("_spans IS NOT NULL"), of, docs.schema)
     if n_chars:
         cut = cut.withColumn(n_chars, F.length(text_col).cast(docs.schema[n_chars].dataType))
     return cut.unionByName(joined.where("_spans IS NULL").drop("_spans"))

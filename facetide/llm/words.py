@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # text worked on at once; one longer text is still one slice
+SLICE_BYTES = 1 << 20  # text worked on at once; one longer text is still one slice
 
 BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
