@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000  # rows up to which one aggregate may hold all values
+SMALL = 0  # rows up to which one aggregate may hold all values; none, so one method answers at every size
 LISTED = 50_000  # rows of a search range that may be listed
 SKETCH_ACCURACY = 10_000
 
@@ -39,7 +39,7 @@ def percentiles(
 ) -> tuple[int, dict[str, list[float | None]]]:
     """Row count of ``df``, and percentiles of each column's non-null values (None if none).
 
-    Up to ``small`` values Spark's exact aggregate answers. Beyond it each wanted rank is
+    Up to ``small`` values Spark's exact aggregate may answer. Otherwise each wanted rank is
     closed in by a quantile sketch, the rows around it are counted exactly, and the few
     values left are listed: no task or driver ever holds the whole column, and the counts
     make the answer exact whatever the sketch's error.
@@ -64,7 +64,8 @@ def percentiles(
 
 def _between(at: dict[int, float], spot: float) -> float:
     low, high = at[math.floor(spot)], at[math.ceil(spot)]
-    return low + (high - low) * (spot - math.floor(spot))
+    share = spot - math.floor(spot)
+    return low if low == high or share == 0 else low + (high - low) * share  # equal infinite neighbours have no difference
 
 
 def _values_at(values: DataFrame, ranks: Sequence[int], rows: int, listed: int) -> dict[int, float]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 
+LABELS_SENT = 100_000
+
 Scorer = Callable[[np.ndarray], np.ndarray]  # (rows, features) -> (rows, classes) logits
 
 
@@ -30,7 +32,8 @@ def score_faces(
         for batch in batches:
             yield _score_batch(scorer, batch)
 
-    scored = faces.withColumn("logits", logits(F.col(features)))
+    # not to be repeated: else Spark would score a face once more for each filter on the outcome
+    scored = faces.withColumn("logits", logits.asNondeterministic()(F.col(features)))
     return scored.withColumns({"probs": P.softmax(F.col("logits")), "score_failed": F.col("logits").isNull()})
 
 
@@ -60,7 +63,9 @@ def failures(scored: DataFrame) -> DataFrame:
 
 def with_labels(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """``idx``, ``label`` and ``score`` of the likeliest class; a class without a name is
-    called class_<idx>. The label table joins by size as Spark sees it, one row per class."""
+    called class_<idx>. The label table has one row per class and is counted: up to ``LABELS_SENT``
+    rows it is sent to the faces, which then need no shuffle by their few class numbers."""
+    labels = F.broadcast(labels) if labels.count() <= LABELS_SENT else labels
     best = scored.withColumns({"idx": P.argmax(F.col("probs")), "score": F.array_max("probs")})
     named = best.join(labels, "idx", "left")
     return named.withColumn("label", F.coalesce("label", F.concat(F.lit("class_"), F.col("idx").cast("string"))))

@@ -39,7 +39,12 @@ class BaseTime:
 
     name: str
     column: Column
-    newest: dt.datetime
+    newest_us: int  # microseconds since 1970 in UTC, whatever the driver's own time zone is
+
+    @property
+    def newest(self) -> dt.datetime:
+        """As a UTC time without zone."""
+        return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=self.newest_us)
 
 
 def normalise(events: DataFrame) -> DataFrame:
@@ -76,13 +81,14 @@ def choose_time(events: DataFrame, date_column: str | None = None) -> BaseTime |
     if date_column and date_column in events.columns and "event_ts" in events.columns:
         newest_date = events.agg(F.max(date_column)).first()[0]
         if newest_date is not None:
-            newest = events.where(F.col(date_column) == F.lit(newest_date)).agg(F.max(_as_time(events, "event_ts"))).first()[0]
+            newest = events.where(F.col(date_column) == F.lit(newest_date)).agg(F.unix_micros(F.max(_as_time(events, "event_ts")))).first()[0]
             if newest is not None:
                 return BaseTime("event_ts", _as_time(events, "event_ts"), newest)
     present = [name for name in TIME_CANDIDATES if name in events.columns]
     if not present:
         return None
-    found = time_counts(events).first()
+    counts = time_counts(events)
+    found = counts.select(*[F.unix_micros(c).alias(c) if c.endswith("_newest") else F.col(c) for c in counts.columns]).first()
     for name in present:
         if found[f"{name}_rows"] > 0:
             return BaseTime(name, _as_time(events, name), found[f"{name}_newest"])
@@ -103,10 +109,10 @@ def recent(
     base = base or choose_time(events, date_column)
     if base is None:
         return events
-    start = base.newest - dt.timedelta(minutes=minutes)
-    kept = events.where(base.column >= F.lit(start))
+    start = F.timestamp_micros(F.lit(base.newest_us - minutes * 60_000_000))
+    kept = events.where(base.column >= start)
     if date_column and base.name == "event_ts" and date_column in events.columns:
-        kept = kept.where(F.col(date_column) >= F.lit(start.date()))
+        kept = kept.where(F.col(date_column) >= F.to_date(start))
     return kept
 
 
@@ -218,11 +224,18 @@ def timeline(
     return counted.withColumn("emotion", text.fold_case(F.col("emotion"))) if legacy_case else counted
 
 
-def timeline_pivot(events: DataFrame, time: Column, labels: Sequence[str]) -> DataFrame:
-    """One row per minute, one column per label, 0 where a label is absent."""
-    counted = timeline(events, time)
-    wide = counted.groupBy("minute").pivot("emotion", list(labels)).agg(F.sum("count"))
-    return wide.na.fill(0, list(labels)).orderBy("minute")
+def timeline_pivot(events: DataFrame, time: Column, labels: Sequence[str] | None = None) -> DataFrame:
+    """One row per minute, one column per label, 0 where a label is absent.
+
+    The columns are the labels of the data (one more pass over it) unless the caller names them.
+    """
+    label = text.fold_case(F.col("emotion"))
+    complete = events.where(time.isNotNull() & F.col("emotion").isNotNull())
+    if labels is None:
+        labels = sorted(row[0] for row in complete.select(label).distinct().collect())
+    counts = [F.count_if(label == F.lit(name)).alias(name) for name in labels]
+    minutes = complete.groupBy(times.floor_minute(time).alias("minute"))
+    return (minutes.agg(*counts) if counts else minutes.agg(F.count(F.lit(1)).alias("n")).drop("n")).orderBy("minute")
 
 
 def frame_rate(frames: DataFrame, time: Column) -> DataFrame:

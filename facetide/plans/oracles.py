@@ -80,8 +80,13 @@ powers AS (
 probs AS (
   SELECT track_id, frame_id, list_transform(e, lambda x: x / (list_sum(e) + 1e-9::DOUBLE)) AS p FROM powers)"""
 
+FOLDED = """
+logit AS (
+  SELECT track_id, frame_id, list_transform(range(1, 9), lambda j:
+           10::DOUBLE * list_sum(list_transform(range(0, 8), lambda m: f[8 * m + j]))) AS logits FROM vec)"""
+
 FACE_PROBS = f"""{VECTORS},
-logit AS (SELECT track_id, frame_id, list_transform(f[1:8], lambda x: x * 10::DOUBLE) AS logits FROM vec),
+{FOLDED},
 {SOFTMAX}"""
 
 NAMES = "['anger', 'contempt', 'disgust', 'fear', 'happiness', 'neutral', 'sadness', 'surprise']"
@@ -264,6 +269,13 @@ v2 AS (
   SELECT source_id, frame_id, face_id, producer_ts, emotion, score, bbox_x, bbox_y, bbox_w, bbox_h, producer_ts_sec,
          event_ts, CAST(event_time AS VARCHAR) AS event_time, e2e_latency_ms, event_date FROM stored)
 SELECT * FROM v1 UNION ALL BY NAME SELECT * FROM v2""",
+    "union_drift": """
+SELECT CAST(event_id AS BIGINT) AS n, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v, CAST(user_id AS VARCHAR) AS k FROM events
+UNION ALL SELECT event_id + 1099511627776, value, event_type FROM events""",
+    "recent_by_date": f"""WITH {EVENTS},{RECENT} SELECT source_id, frame_id, event_ts, emotion, score FROM recent""",
+    "store_mixed_depth": f"""WITH {EVENTS}
+SELECT source_id, frame_id, face_id, emotion, score, event_ts, CASE WHEN frame_id % 2 = 0 THEN event_date END AS event_date FROM stored""",
+    "recent_by_clock": f"""WITH {EVENTS},{RECENT} SELECT source_id, frame_id, event_ts FROM recent""",
     "frame_rate": FRAME_RATE,
     "bbox_to_pixels": """
 SELECT l_orderkey, l_linenumber, CAST(trunc(l_discount * 640) AS INTEGER) AS x, CAST(trunc(l_tax * 480) AS INTEGER) AS y,
@@ -316,11 +328,7 @@ SELECT track_id, frame_id, stable AS stable_label, round(stable_score, 6) AS sta
     "smooth_tracks": SMOOTH,
     "throttle_events": THROTTLE,
     "throttle_faces": _throttle("source_id, face_id", "frame_id"),
-    "score_faces_labels": f"""WITH {VECTORS},
-logit AS (
-  SELECT track_id, frame_id, list_transform(range(1, 9), lambda j:
-           10::DOUBLE * list_sum(list_transform(range(0, 8), lambda m: f[8 * m + j]))) AS logits FROM vec),
-{SOFTMAX},{_labelled(8)}
+    "score_faces_labels": f"""WITH {FACE_PROBS},{_labelled(8)}
 SELECT track_id, frame_id, idx, label, round(score, 6) AS score FROM named""",
     "class_index": """
 SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS idx, lang AS label FROM (SELECT DISTINCT lang FROM documents)""",

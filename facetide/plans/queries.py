@@ -21,7 +21,7 @@ from ..operators.tracking import TrackFold, assign_tracks
 from ..schemas import EMOTIONS
 from ..session import fresh_folder, prepare, stored
 from ..sources import labels as label_source
-from ..sources.store import stream_events, union_events
+from ..sources.store import read_events, stream_events, union_events
 from ..streaming import jobs
 from ..streaming.stateful import fold_stream, timely
 from . import analytics, ingest, live, views
@@ -154,8 +154,7 @@ def timeline_5s(spark, folder):
 
 @query
 def timeline_pivot(spark, folder):
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    return analytics.timeline_pivot(views.emotion_events(spark, folder), F.col("event_ts"), kinds)
+    return analytics.timeline_pivot(views.emotion_events(spark, folder), F.col("event_ts"))
 
 
 @query
@@ -174,6 +173,49 @@ def union_v1_v2(spark, folder):
     return union_events(views.events_v1(spark, folder), stored)
 
 
+@query
+def union_drift(spark, folder):
+    """Whole numbers of two widths stay numbers; a number against text becomes text."""
+    events = views.table(spark, folder, "events")
+    narrow = events.select(F.col("event_id").cast("int").alias("n"), F.col("value").cast("float").alias("v"), F.col("user_id").alias("k"))
+    wide = events.select((F.col("event_id") + F.lit(1 << 40)).alias("n"), F.col("value").alias("v"), F.col("event_type").alias("k"))
+    return union_events(narrow, wide)
+
+
+def _stored_by_date(spark, folder, name):
+    path = fresh_folder(spark, name)
+    views.emotion_events(spark, folder).write.partitionBy("event_date").parquet(path)
+    return path
+
+
+@query
+def recent_by_date(spark, folder):
+    """The recent window over a store partitioned by date, whose old dates are not read."""
+    events = read_events(spark, _stored_by_date(spark, folder, "by-date"))
+    return analytics.recent(events, WINDOW_MINUTES, date_column="event_date").select("source_id", "frame_id", "event_ts", "emotion", "score")
+
+
+@query
+def store_mixed_depth(spark, folder):
+    """A folder with files of narrower columns at its root beside those of each date, united with a folder that is missing."""
+    path = fresh_folder(spark, "mixed")
+    events = views.emotion_events(spark, folder)
+    late = F.col("frame_id") % 2 == 0
+    events.where(late).write.partitionBy("event_date").parquet(path)
+    events.where(~late).drop("event_date").withColumn("frame_id", F.col("frame_id").cast("int")).write.mode("append").parquet(path)
+    found = union_events(read_events(spark, path), read_events(spark, fresh_folder(spark, "missing")))
+    return found.select("source_id", "frame_id", "face_id", "emotion", "score", "event_ts", "event_date")
+
+
+@query
+def recent_by_clock(spark, folder):
+    """The wall-clock window with its clock set to the newest event, in random order as training takes it."""
+    events = views.emotion_events(spark, folder)
+    newest = F.timestamp_micros(F.lit(analytics.choose_time(events).newest_us))
+    kept = analytics.recent_by_clock(events, WINDOW_MINUTES, F.col("event_ts"), newest)
+    return E.shuffled(kept.select("source_id", "frame_id", "event_ts"), seed=7)
+
+
 @query
 def frame_rate(spark, folder):
     moment = F.timestamp_millis(F.col("frame_id") * 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,32 +10,51 @@ from pyspark.sql import types as T
 from ..schemas import EVENT_STORED
 
 NOTHING_TO_READ = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+WIDENED = (T.NumericType, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def read_events(spark: SparkSession, path: str | None, schema: T.StructType = EVENT_STORED) -> DataFrame:
     """A Parquet folder, files merged by column name, Hive partitions as columns.
 
-    A missing or empty folder gives an empty table with ``schema``.
+    Files at the root and in partition folders may stand side by side (partition columns are null for the former). Columns
+    whose type differs between files are read as ``schema`` declares them. A missing or empty folder gives
+    an empty table with ``schema``.
     """
     if not path:
         return spark.createDataFrame([], schema)
+    root = path.rstrip("/")
+    parts = [x for x in (_files(spark, f"{root}/*.parquet", root, schema), _files(spark, f"{root}/*=*", root, schema)) if x is not None]
+    if parts:
+        return parts[0] if len(parts) == 1 else union_events(*parts)
+    whole = _files(spark, root, root, schema)
+    return spark.createDataFrame([], schema) if whole is None else whole
+
+
+def _files(spark: SparkSession, glob: str, base: str, schema: T.StructType) -> DataFrame | None:
+    """The files of a pattern, None if there are none."""
+    reader = spark.read.option("basePath", base)
     try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in NOTHING_TO_READ:
+        return reader.option("mergeSchema", True).parquet(glob)
+    except PySparkException as error:
+        if error.getCondition() in NOTHING_TO_READ:
+            return None
+        if error.getCondition() != "CANNOT_MERGE_SCHEMAS":
             raise
-        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", base).schema(schema).parquet(glob)
 
 
 def union_events(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All rows, columns matched by name; a column one side lacks is null there.
 
-    A column both sides have under different types is widened to text.
+    Numbers of different width, and dates with times, are widened as Spark's union does; other columns that both
+    sides have under different types become text.
     """
     for other in others:
-        kinds, other_kinds = dict(first.dtypes), dict(other.dtypes)
+        kinds, other_kinds = ({f.name: f.dataType for f in side.schema.fields} for side in (first, other))
         for name in kinds.keys() & other_kinds.keys():
-            if kinds[name] != other_kinds[name]:
+            pair = (kinds[name], other_kinds[name])
+            alike = any(all(isinstance(kind, family) for kind in pair) for family in WIDENED)
+            if pair[0] != pair[1] and not alike:
                 first = first.withColumn(name, F.col(name).cast("string"))
                 other = other.withColumn(name, F.col(name).cast("string"))
         first = first.unionByName(other, allowMissingColumns=True)
