@@ -9,12 +9,13 @@ intervals: where windows of at least ``ENOUGH`` hashes share ``least`` tokens in
 then verified on the texts: the span of shared tokens (gaps of a few edited words are bridged) must be ``least`` tokens
 long and, as a set, similar by ``percent`` or more in both texts.
 
-A minimum that many texts share is never expanded into pairs. Each task ties its windows of one minimum to the
-first of them (before any shuffle), then one window a task goes by the minimum, and these are tied to the first of all.
-Windows in no verified passage are tied anew among themselves, now by their minimum and two tokens at its sides: a passage of
-``least`` tokens around c holds c - l and c + r for some l + r >= least - 2 * step + 1 on a grid of ``step``; the grid gets
-finer (``STEPS``) until the tokens span the whole least passage, and then ties go on until none is left. So texts that share a
-passage among themselves but not with the first one are found, and what shares only a short line falls apart.
+A minimum that many texts share is never expanded into pairs. A least passage around place c reaches at least half its length to
+one side, so windows are tied if, beside the minimum, the token there is equal too: a common short line ties nothing. Each
+task ties its windows of one key to the first of them (before any shuffle), then one window a task goes by the key, and these are
+tied to the first of all. Windows in no verified passage are tied anew among themselves, by their minimum and a token at each
+side: a passage of ``least`` tokens around c holds c - l and c + r for some l + r >= least - 2 * step + 1 on a grid of
+``step``; the grid gets finer (``STEPS``) until the tokens span the whole least passage, and then ties go on until
+none is left. So texts that share a passage among themselves but not with the first one are found.
 
 Defined cases: null, empty and short texts have no windows; null ids are dropped; a passage repeated within one text is
 not reported; equal texts share one passage of their whole length; of equal passages the holder of the smallest id is
@@ -43,7 +44,8 @@ STEPS = (8, 4, 1)
 SPANS_SENT = 250_000  # passages of 16 bytes that may go to the scans; more are joined by shuffle
 _SIDE = (1 << 16) - 1  # reach of a window to either side that is kept; a passage needs far less
 
-WINDOWS = "key long, id long, place long, head long, head_place long"
+WINDOWS = "key long, right long, left long, id long, place long, head long, head_place long"
+BATCH = 50_000
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,11 +101,12 @@ def _opened(place: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _all_windows(bare: DataFrame, least: int) -> DataFrame:
-    """Windows of all texts; those whose minimum an earlier window of their task holds come with that one as head."""
+    """Windows of all texts, to be tied by ``key`` and a side, and ties of those that an earlier window of their task can be the head of."""
     factors = W.odd_constants(HASHES, 11)
+    reach = (least - 1) // 2  # a passage of ``least`` tokens around c holds c + reach or c - reach
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, places = [], [], []
+        found: list[tuple] = []
         for batch in batches:
             texts = W.as_large(batch.column(1))
             names = batch.column(0).to_numpy()
@@ -121,34 +124,60 @@ def _all_windows(bare: DataFrame, least: int) -> DataFrame:
                     values[divider] = here[divider]
                     a, c, b = compact_windows(values, least, bits)
                     owner = np.searchsorted(starts, c, side="right") - 1
-                    keys.append(W.mix(hashed[c] + np.uint64(k)))
-                    ids.append(names[i + owner])
-                    places.append(_place(k, a - starts[owner], c - starts[owner], b - starts[owner]))
-        if keys:
-            yield from _tied(np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(places))
+                    right = np.where(c + reach <= b, _short(tokens[np.minimum(c + reach, len(tokens) - 1)]), 0)
+                    left = np.where(c - reach >= a, _short(tokens[np.maximum(c - reach, 0)]), 0)
+                    first = starts[owner]
+                    found.append((W.mix(hashed[c] + np.uint64(k)).view(np.int64), right, left, names[i + owner], _place(k, a - first, c - first, b - first)))
+        if found:
+            yield from _tied(*(np.concatenate(x) for x in zip(*found)))
 
     return map_texts(bare.where("text IS NOT NULL").select("id", "text"), of, WINDOWS)
 
 
-def _tied(key: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((place, ids, key))
-    key, ids, place = key[order], ids[order], place[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    again = np.zeros(len(key), dtype=bool)  # the same text once more
-    again[1:] = ~first[1:] & (ids[1:] == ids[:-1])
-    for i in range(0, len(key), 100_000):
-        x = slice(i, i + 100_000)
-        keep = ~again[x] & (first[x] | (ids[head[x]] != ids[x]))
-        none = first[x][keep]
-        columns = [pa.array(v[x][keep]) for v in (key, ids, place)]
-        columns += [pa.array(v[head[x]][keep], mask=none) for v in (ids, place)]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "head", "head_place"])
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """31 bits of a token, never 0."""
+    return (W.mix(tokens) >> np.uint64(33)).astype(np.int64) | 1
+
+
+def _tied(key: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of windows with one key and side the first goes on; the others are tied to it here."""
+    goes_on = np.zeros(len(key), dtype=bool)
+    ties = []
+    for side in (right, left):
+        own = np.flatnonzero(side)
+        own = own[np.lexsort((place[own], ids[own], side[own], key[own]))]
+        first = np.ones(len(own), dtype=bool)
+        first[1:] = (key[own][1:] != key[own][:-1]) | (side[own][1:] != side[own][:-1])
+        goes_on[own[first]] = True
+        head = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))] if len(own) else own
+        other = ids[own] != ids[head]
+        ties.append(np.stack([own[other], head[other]], axis=1))
+    pairs = np.unique(np.concatenate(ties), axis=0)
+    names = WINDOWS.replace(" long", "").split(", ")
+    rows = np.flatnonzero(goes_on)
+    for i in range(0, len(rows), BATCH):
+        x = rows[i : i + BATCH]
+        none = pa.nulls(len(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, right, left, ids, place)), none, none], names)
+    for i in range(0, len(pairs), BATCH):
+        x, h = pairs[i : i + BATCH, 0], pairs[i : i + BATCH, 1]
+        spread, none = W.mix(place[x].view(np.uint64)).view(np.int64), pa.nulls(len(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(spread), none, none, *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
+
+
+def _first_ties(windows: DataFrame) -> DataFrame:
+    """Ties of all texts: those made in the tasks, and of the windows that go by key to the first with the same side."""
+    by_key = windows.repartition("key")
+    first = lambda side: F.min(F.struct("id", "place")).over(Window.partitionBy("key", side))
+    heads = by_key.withColumns({"first_right": first("right"), "first_left": first("left")})
+    given = F.struct(F.col("head").alias("id"), F.col("head_place").alias("place"))
+    some = lambda side: F.when((F.col(side) != 0) & F.col("head").isNull(), F.col(f"first_{side}"))
+    tied = heads.select("id", "place", F.explode(F.array_distinct(F.array(some("right"), some("left"), F.when(F.col("head").isNotNull(), given)))).alias("first"))
+    return tied.where("first IS NOT NULL AND id != first.id").select("id", "place", F.col("first.id").alias("head"), F.col("first.place").alias("head_place"))
 
 
 def _ties(windows: DataFrame) -> DataFrame:
-    """``id``, ``place``, ``head``, ``head_place``: windows of one key tied to the one of smallest id, texts with themselves not."""
+    """Windows of one key tied to the one of smallest id, texts with themselves not."""
     first = F.min(F.struct("id", "place")).over(Window.partitionBy("key")).alias("first")
     ties = windows.select("id", "place", first).where("id != first.id")
     return ties.select("id", "place", F.col("first.id").alias("head"), F.col("first.place").alias("head_place"))
@@ -252,9 +281,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place (``head``, ``head_start``, ``head_end``) and the ``similarity`` of the passages' shingle sets."""
     least = least_words - SHINGLE + 1
     bare = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    windows = stored(_all_windows(bare, least), "windows")
-    ties = windows.where("head IS NOT NULL").select("id", "place", "head", "head_place").union(_ties(windows.where("head IS NULL")))
-    ties = stored(ties, "ties")
+    ties = stored(_first_ties(_all_windows(bare, least)), "ties")
     ids = ties.select("id").union(ties.select(F.col("head").alias("id"))).distinct()
     texts = stored(only(bare, ids, "id").dropDuplicates(["id"]), "texts")
     passages: list[DataFrame] = []
