@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,14 +43,14 @@ def clamped(detections: DataFrame, width_from_raw: bool = False) -> DataFrame:
 
 
 def numbered_faces(
-    detections: DataFrame,
-    order: Sequence[str],
-    keys: Sequence[str] = FRAME_KEYS,
-    name: str = "face_id",
-    rows_per_chunk: int | None = None,
+    detections: DataFrame, order: Sequence[str], keys: Sequence[str] = FRAME_KEYS, name: str = "face_id"
 ) -> DataFrame:
-    """1-based position of each box in its frame, counted before any box is dropped."""
-    return running_count(chunk(detections, keys, order, rows_per_chunk), name)
+    """1-based position of each box in its frame, counted before any box is dropped.
+
+    A frame is one picture with few boxes, so its rows are numbered where they meet, at every size of the table.
+    """
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return detections.withColumn(name, position.cast("bigint"))
 
 
 def numbered_frames(

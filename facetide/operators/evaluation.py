@@ -60,8 +60,8 @@ def best_epoch(accuracies: DataFrame, floor: float = 0.0) -> DataFrame:
 def improvements(accuracies: DataFrame, floor: float = 0.0) -> DataFrame:
     """Epochs that beat every epoch before them: the ones at which a model is saved.
 
-    Over all epochs up to one, the running best is the largest (accuracy, earliest epoch); an
-    epoch improves when that is itself. Epochs are few (one row each after ``accuracy``).
+    An epoch improves when its accuracy is above the largest of all earlier epochs and ``floor``. The one
+    ordered window is over the epochs (one row each after ``accuracy``), not over predictions.
     """
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     best_before = F.greatest(F.lit(floor), F.max("accuracy").over(before))

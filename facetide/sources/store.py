@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,12 @@ def _files(spark: SparkSession, glob: str, base: str, schema: T.StructType) -> D
     reader = spark.read.option("basePath", base)
     try:
         return reader.option("mergeSchema", True).parquet(glob)
-    except PySparkException as error:
-        if error.getCondition() in NOTHING_TO_READ:
-            return None
-        if error.getCondition() != "CANNOT_MERGE_SCHEMAS":
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_TO_READ:
+            raise
+        return None
+    except Py4JJavaError as error:  # pyspark has no class of its own for it
+        if "CANNOT_MERGE_SCHEMAS" not in str(error.java_exception):
             raise
     return spark.read.option("basePath", base).schema(schema).parquet(glob)
 

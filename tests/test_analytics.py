@@ -131,3 +131,55 @@ def test_union_by_name_widens_to_text(spark):
 def test_latest_takes_the_top_without_a_full_sort(events):
     plan = analytics.latest(events, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_recent_window_is_free_of_the_drivers_time_zone(spark, monkeypatch):
+    """Python datetimes of a driver far from UTC never decide what is kept."""
+    import time
+
+    rows = [(T0 - dt.timedelta(hours=h), (T0 - dt.timedelta(hours=h)).date()) for h in range(9)]
+    events = spark.createDataFrame(rows, "t timestamp_ntz, event_date date").selectExpr("CAST(t AS timestamp) AS event_ts", "event_date")
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        base = analytics.choose_time(events, "event_date")
+        assert base.newest == T0
+        assert analytics.recent(events, 8 * 60, base, "event_date").count() == 9
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_mixed_depth_and_drifting_store(spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    spark.sql("SELECT 1 AS frame_id, 'a' AS source_id").write.parquet(path)
+    spark.sql("SELECT 2L AS frame_id, 'b' AS source_id, 0.5D AS score").write.mode("append").parquet(path)
+    spark.sql("SELECT 3L AS frame_id, 'c' AS source_id, DATE'2026-02-13' AS event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    found = read_events(spark, path).select("frame_id", "source_id", "event_date").collect()
+    assert sorted((r.frame_id, r.source_id, r.event_date) for r in found) == [(1, "a", None), (2, "b", None), (3, "c", dt.date(2026, 2, 13))]
+
+
+def test_union_widens_numbers_and_pivot_takes_all_labels(spark):
+    both = union_events(spark.sql("SELECT 1 AS n, 1.5F AS v, 'x' AS k"), spark.sql("SELECT 2L AS n, 2.5D AS v, 3 AS k"))
+    assert dict(both.dtypes) == {"n": "bigint", "v": "double", "k": "string"}
+    events = spark.createDataFrame([(T0, f"label{i % 7}") for i in range(70)], "event_ts timestamp, emotion string")
+    row = analytics.timeline_pivot(events, F.col("event_ts")).first().asDict()
+    assert sum(v for k, v in row.items() if k != "minute") == 70 and len(row) == 8
+
+
+def test_percentiles_of_infinite_values(spark):
+    frame = spark.createDataFrame([(x,) for x in [float("-inf")] * 20 + [1.0] * 60 + [float("inf")] * 20], "x double")
+    for small in (0, 1000):
+        assert percentiles(frame, {"x": F.col("x")}, (0.1, 0.5, 0.95), small)[1]["x"] == [float("-inf"), 1.0, float("inf")]
+
+
+def test_a_face_is_scored_once(spark):
+    from facetide.operators import scoring
+    from facetide.sources import labels as label_source
+
+    faces = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "face_id int, features array<double>")
+    scored = scoring.usable(scoring.score_faces(faces, lambda: lambda x: x))
+    named = scoring.with_labels(scored, label_source.label_values(spark, ["calm", "glad"]))
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 1 and "hashpartitioning(idx" not in plan
+    assert sorted((r.face_id, r.label) for r in named.collect()) == [(1, "glad"), (2, "calm")]
