@@ -14,8 +14,8 @@ one side, so windows are tied if, beside the minimum, the token there is equal t
 task ties its windows of one key to the first of them (before any shuffle), then one window a task goes by the key, and these are
 tied to the first of all. Windows in no verified passage are tied anew among themselves, by their minimum and a token at each
 side: a passage of ``least`` tokens around c holds c - l and c + r for some l + r >= least - 2 * step + 1 on a grid of
-``step``; the grid gets finer (``STEPS``) until the tokens span the whole least passage, and then ties go on until
-none is left. So texts that share a passage among themselves but not with the first one are found.
+``step``, which gets finer (``STEPS``). Last, what is still open is tied by whole passages of ``least`` tokens. So texts
+that share a passage among themselves but not with the first one are found.
 
 Defined cases: null, empty and short texts have no windows; null ids are dropped; a passage repeated within one text is
 not reported; equal texts share one passage of their whole length; of equal passages the holder of the smallest id is
@@ -257,16 +257,35 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
                 i += 1
             found = _shared_spans(a[p : q + 1], b[r : s + 1], least, percent)
             spans.extend((int(p) + x[0], int(p) + x[1], int(r) + x[2], int(r) + x[3], x[4]) for x in found)
-        failed = []
-        for i in range(len(k)):
-            if not any(p <= c[i] <= q for p, q, *_ in spans):
-                reach = max(0, least - 2 * step + 1 if step > 1 else least - 1)
-                for l in range(0, reach + 1, step):
-                    low, high = c[i] - l, c[i] + -(-(reach - l) // step) * step
-                    if low >= left[i] and high <= right[i]:
-                        key = W.mix(W.mix(a[c[i] : c[i] + 1] + np.uint64(k[i])) + a[low : low + 1] * np.uint64(W.BASE) + a[high : high + 1] + np.uint64(l))
-                        failed.append((int(key.view(np.int64)[0]), int(place[i])))
-        return spans, failed
+        covered = np.zeros(len(a) + 1, dtype=bool)
+        for p, q, *_ in spans:
+            covered[p : q + 1] = True
+        open_ = np.flatnonzero(~covered[c])
+        if not step:  # what shares a whole passage with the head has been verified
+            return spans, []
+        if step > 1:
+            return spans, [x for i in open_ for x in _sided(a, int(k[i]), int(left[i]), int(c[i]), int(right[i]), int(place[i]))]
+        return spans, _whole(a, left[open_], c[open_], right[open_], place[open_])
+
+    def _sided(a: np.ndarray, k: int, first: int, c: int, last: int, place: int) -> list[tuple[int, int]]:
+        """Keys of the minimum with a token on each side."""
+        reach = max(0, least - 2 * step + 1)
+        lows = c - np.arange(0, reach + 1, step)
+        highs = c + -(-(reach - (c - lows)) // step) * step
+        fits = (lows >= first) & (highs <= last)
+        lows, highs = lows[fits], highs[fits]
+        keys = W.mix(W.mix(a[c : c + 1] + np.uint64(k)) + a[lows] * np.uint64(W.BASE) + a[highs] + (c - lows).astype(np.uint64))
+        return [(x, place) for x in keys.view(np.int64).tolist()]
+
+    def _whole(a: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """Keys of all passages of ``least`` tokens around the minimum, token by token."""
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * W._powers(W.BASE, len(a)))])
+        out = []
+        for f, x, z, own in zip(first.tolist(), c.tolist(), last.tolist(), place.tolist()):
+            lows = np.arange(max(f, x - least + 1), min(x, z - least + 1) + 1)
+            keys = W.mix((sums[lows + least] - sums[lows]) * W._powers(W._INVERSE, len(a))[lows])
+            out.extend((key, own) for key in keys.view(np.int64).tolist())
+        return out
 
     pairs = ties.groupBy("id", "head").agg(F.collect_list(F.struct("place", "head_place")).alias("x"))  # windows of two texts
     pairs = pairs.select("id", "head", F.col("x.place").alias("places"), F.col("x.head_place").alias("head_places"))
@@ -285,15 +304,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = ties.select("id").union(ties.select(F.col("head").alias("id"))).distinct()
     texts = stored(only(bare, ids, "id").dropDuplicates(["id"]), "texts")
     passages: list[DataFrame] = []
-    steps = [*STEPS, STEPS[-1]]
-    enough, n = ENOUGH, 0
-    while True:
-        checked = stored(_verified(ties, texts, least, percent, enough, steps[min(n, len(steps) - 1)]), "checked")
+    for n, step in enumerate((*STEPS, 0)):
+        checked = _verified(ties, texts, least, percent, ENOUGH if n == 0 else 1, step)
+        checked = stored(checked, "checked")
         passages.append(checked.where("key IS NULL").drop("key", "place"))
         ties = stored(_ties(checked.where("key IS NOT NULL").select("key", "id", "place").distinct()).distinct(), "ties")
         if ties.isEmpty():
             break
-        enough, n = 1, n + 1
     out = passages[0]
     for x in passages[1:]:
         out = out.union(x)
