@@ -220,6 +220,13 @@ trimmed AS (
            regexp_replace(line, '\A[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+|[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+\z', '', 'g')),
          lambda line: line <> '') AS lines FROM raw)
 SELECT doc_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS idx, unnest(lines) AS label FROM trimmed""",
+    "required_fields": f"""WITH {EVENTS} SELECT source_id, frame_id, emotion, score FROM ev WHERE score IS NOT NULL""",
+    "zoneless_times": f"""WITH {EVENTS} SELECT frame_id, event_ts FROM stored""",
+    "labelled_folder": "SELECT DISTINCT lang AS label FROM documents WHERE lang IS NOT NULL",
+    "class_list_files": """
+WITH classes AS (SELECT row_number() OVER (ORDER BY source) - 1 AS idx, source AS label FROM (SELECT DISTINCT source FROM documents))
+SELECT 'json' AS kind, idx, label FROM classes UNION ALL SELECT 'text', NULL, label FROM classes""",
+    "compacted_store": f"""WITH {EVENTS} SELECT source_id, frame_id, event_ts, event_date FROM stored""",
     "pick_timestamp": f"""WITH {EVENTS}
 SELECT count(event_ts) AS event_ts_rows, max(event_ts) AS event_ts_newest,
        count(spark_ts) AS spark_ts_rows, max(spark_ts) AS spark_ts_newest,
@@ -330,6 +337,9 @@ SELECT track_id, frame_id, stable AS stable_label, round(stable_score, 6) AS sta
     "throttle_faces": _throttle("source_id, face_id", "frame_id"),
     "score_faces_labels": f"""WITH {FACE_PROBS},{_labelled(8)}
 SELECT track_id, frame_id, idx, label, round(score, 6) AS score FROM named""",
+    "bad_faces_skipped": f"""WITH {FACE_PROBS},
+good AS (SELECT p.* FROM probs p JOIN vec v USING (track_id, frame_id) WHERE v.f[1] >= 0)
+SELECT track_id, frame_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS idx, round(unnest(p), 6) AS p FROM good""",
     "class_index": """
 SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS idx, lang AS label FROM (SELECT DISTINCT lang FROM documents)""",
     "class_weights": """
@@ -371,6 +381,8 @@ SELECT epoch, round(accuracy, 6) AS accuracy, round(best_before, 6) AS best_befo
     "epoch_loss": """
 SELECT CAST(o_orderkey % 12 + 1 AS INTEGER) AS epoch, round(avg(o_totalprice / 1e5::DOUBLE), 6) AS train_loss FROM orders GROUP BY 1""",
     "stream_ingest": INGEST,
+    "stream_to_both": f"""WITH {EVENTS}
+SELECT source_id, frame_id, emotion, place FROM stored, (VALUES (0), (1)) places(place)""",
     "stream_timeline": TIMELINE,
     "stream_frame_rate": FRAME_RATE,
     "stream_throttle": THROTTLE,

@@ -20,6 +20,7 @@ from ..operators.throttle import ThrottleFold, throttle
 from ..operators.tracking import TrackFold, assign_tracks
 from ..schemas import EMOTIONS
 from ..session import fresh_folder, prepare, stored
+from ..sinks.files import append_to_both, compact_dates, write_labels
 from ..sources import labels as label_source
 from ..sources.store import read_events, stream_events, union_events
 from ..streaming import jobs
@@ -92,6 +93,49 @@ def label_lines(spark, folder):
     return label_source.label_table(documents, "text", keep=("doc_id",))
 
 
+@query
+def required_fields(spark, folder):
+    """Messages of which some lack a field; the camera, the frame and the score are required."""
+    wire = views.wire_events(views.table(spark, folder, "events"))
+    value = F.to_json(F.struct("source_id", "frame_id", "emotion", "score")).cast("binary").alias("value")
+    schema = T.StructType([wire.schema[name] for name in ("source_id", "frame_id", "emotion", "score")])
+    return ingest.parse_messages(wire.select(value), schema, required=("source_id", "frame_id", "score"))
+
+
+@query
+def zoneless_times(spark, folder):
+    events = views.emotion_events(spark, folder)
+    return events.select("frame_id", times.drop_zone(F.col("event_ts")).alias("event_ts"))
+
+
+@query
+def labelled_folder(spark, folder):
+    """Label files of each language's documents, written into a folder of its name and listed again."""
+    path = fresh_folder(spark, "labelled")
+    documents = views.table(spark, folder, "documents").where("lang IS NOT NULL")
+    documents.select("lang", "text").repartition("lang").write.partitionBy("lang").parquet(path)
+    found = label_source.read_labelled_folder(spark, path).where(F.col("path").endswith(".parquet"))
+    return found.select(F.regexp_replace("label", "^lang=", "").alias("label")).distinct()
+
+
+@query
+def class_list_files(spark, folder):
+    """The class list written as JSON lines and as text; both read back."""
+    index = E.class_index(views.table(spark, folder, "documents"), "source")
+    as_json, as_text = fresh_folder(spark, "classes-json"), fresh_folder(spark, "classes-text")
+    write_labels(index, as_json, as_text)
+    lines = spark.read.text(as_text).select(F.lit("text").alias("kind"), F.lit(None).cast("bigint").alias("idx"), F.col("value").alias("label"))
+    return spark.read.schema("idx bigint, label string").json(as_json).select(F.lit("json").alias("kind"), "idx", "label").union(lines)
+
+
+@query
+def compacted_store(spark, folder):
+    """A store by date, rewritten as fewer files."""
+    path = fresh_folder(spark, "compacted")
+    compact_dates(read_events(spark, _stored_by_date(spark, folder, "small-files")), path, 50_000)
+    return read_events(spark, path).select("source_id", "frame_id", "event_ts", "event_date")
+
+
 # Analytics
 
 
@@ -376,6 +420,24 @@ def score_faces_labels(spark, folder):
     return named.select("track_id", "frame_id", "idx", "label", F.round("score", 6).alias("score"))
 
 
+def _choosy_scorer():
+    score = _fixed_scorer()
+
+    def checked(features: np.ndarray) -> np.ndarray:
+        if (features[:, 0] < 0).any():
+            raise ValueError("a face that cannot be scored")
+        return score(features)
+
+    return checked
+
+
+@query
+def bad_faces_skipped(spark, folder):
+    """Faces whose first feature is negative make the scorer fail; the others of their batch are scored all the same."""
+    scored = usable(score_faces(views.features(spark, folder), _choosy_scorer))
+    return scored.select("track_id", "frame_id", F.posexplode("probs").alias("idx", "p")).withColumn("p", F.round("p", 6))
+
+
 def _box_logits() -> object:
     return lambda features: features
 
@@ -453,6 +515,18 @@ def stream_ingest(spark, folder):
     return jobs.run_to_end(ingest.ingest(raw, arrival="timestamp"), "stream-ingest", "event_date")
 
 
+@query
+def stream_to_both(spark, folder):
+    """One stream into two folders by the default trigger's bounded form; both are read back."""
+    raw = views.messages(_table_stream(spark, folder, "events"))
+    events = ingest.ingest(raw, arrival="timestamp").select("source_id", "frame_id", "emotion")
+    places = [(fresh_folder(spark, "both"), fresh_folder(spark, "both-progress")) for _ in range(2)]
+    for running in append_to_both(events, *places, trigger="available-now"):
+        running.awaitTermination()
+    first, second = (spark.read.schema(events.schema).parquet(path).withColumn("place", F.lit(n)) for n, (path, _) in enumerate(places))
+    return first.union(second)
+
+
 @query
 def stream_timeline(spark, folder):
     raw = views.messages(_table_stream(spark, folder, "events"))
