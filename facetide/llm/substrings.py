@@ -46,6 +46,7 @@ _SIDE = (1 << 16) - 1  # reach of a window to either side that is kept; a passag
 
 WINDOWS = "key long, right long, left long, id long, place long, head long, head_place long"
 BATCH = 50_000
+JOINED = 256
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -219,6 +220,8 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
         kept: tuple = (None, None)
         for batch in batches:
             passages, left = [], []
+            places, head_places = (c.flatten().to_numpy() for c in batch.columns[2:4])
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
             mine, theirs = W.as_large(batch.column(4)), W.as_large(batch.column(5))
             for i, j in W.slices(mine):
                 tokens, at = W.shingles(*W.word_hashes(mine.slice(i, j - i)), SHINGLE)
@@ -226,8 +229,8 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
                     head = batch.column(1)[r].as_py()
                     if kept[0] != head:
                         kept = (head, W.shingles(*W.word_hashes(theirs.slice(r, 1)), SHINGLE)[0])
-                    places = np.array(batch.column(2)[r].as_py()), np.array(batch.column(3)[r].as_py())
-                    spans, failed = _compared(tokens[at[r - i] : at[r - i + 1]], kept[1], *places)
+                    own = slice(ends[r - 1] if r else 0, ends[r])
+                    spans, failed = _compared(tokens[at[r - i] : at[r - i + 1]], kept[1], places[own], head_places[own])
                     passages.extend((batch.column(0)[r].as_py(), head, *x) for x in spans)
                     left.extend((key, batch.column(0)[r].as_py(), place) for key, place in failed)
             rows = [(None, i, None, h, p, q + SHINGLE, r, s + SHINGLE, sim) for i, h, p, q, r, s, sim in passages]
@@ -240,11 +243,12 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
         k, left, c, right = _opened(place)
         _, head_left, _, head_right = _opened(head_place)
         spans: list = []
-        wide = lambda l1, r1, l2, r2: np.minimum(r1, r2) - np.maximum(l1, l2) + 1 >= least
         agree = np.zeros(len(k), dtype=bool)
-        for i in range(len(k)):
-            same = wide(left[i], right[i], left, right) & wide(head_left[i], head_right[i], head_left, head_right)
-            agree[i] = len(np.unique(k[same])) >= enough
+        for i in range(0, len(k), JOINED):  # windows against windows as intervals, a block at a time
+            x = slice(i, i + JOINED)
+            wide = np.minimum.outer(right[x], right) - np.maximum.outer(left[x], left) + 1 >= least
+            wide &= np.minimum.outer(head_right[x], head_right) - np.maximum.outer(head_left[x], head_left) + 1 >= least
+            agree[x] = sum(wide[:, k == h].any(axis=1).astype(np.int64) for h in range(HASHES)) >= enough
         order = np.flatnonzero(agree)[np.argsort(left[agree], kind="stable")]
         i = 0
         while i < len(order):  # windows that overlap are one region
