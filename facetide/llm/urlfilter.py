@@ -102,13 +102,13 @@ def judged(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col
     branches = branches.withColumn("branch", F.when(alone, F.col("template")).otherwise(F.lit("")))
     merged = branches.groupBy("host", "parent", "branch").agg(F.sum("n").alias("n_m"), F.sum("b").alias("b_m"))
     hosts = totals(["host"], "n_h", "b_h")
-    every = tree.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_e"), F.coalesce(F.sum("b"), F.lit(0)).alias("b_e"))
+    every = tree.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
 
-    purity_all = F.coalesce(F.try_divide(F.col("n_e") - F.col("b_e"), F.col("n_e")), F.lit(1.0))
+    purity_all = F.lit((every.n - every.b) / every.n if every.n else 1.0)
     purity_host = (F.col("n_h") - F.col("b_h") + SMOOTHING * purity_all) / (F.col("n_h") + SMOOTHING)
     purity = (F.col("n_m") - F.col("b_m") + SMOOTHING * purity_host) / (F.col("n_m") + SMOOTHING)
     found = branches.select("host", "parent", "template", "branch").join(merged, ["host", "parent", "branch"]).join(hosts, "host")
-    found = found.join(F.broadcast(every)).select("host", "template", F.when(purity < LEAST_PURITY, "block").otherwise("allow").alias("learned"))  # one row
+    found = found.select("host", "template", F.when(purity < LEAST_PURITY, "block").otherwise("allow").alias("learned"))
     named = tree.select("host", "lexical", "template").join(found, ["host", "template"])
     out = rows.join(named, ["host", "lexical"], "left")
     return out.select("id", "host", "path", "rule", F.coalesce("said", "learned").alias("verdict"), "template")
