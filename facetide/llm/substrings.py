@@ -4,17 +4,19 @@ Tokens are the ``SHINGLE``-word shingles of a text. For each of ``HASHES`` hash
 token hashes is cut to the nodes that span at least ``least`` tokens: a node is the compact window (a, c, b), and every
 subsequence within [a, b] that holds place c has its min-hash there. (Such nodes are the places that are the minimum of
 some window of ``least`` tokens, so the tree is built over these few alone.) Windows of two texts with one
-hash and one minimum stand for passages that agree in it. For two texts the windows are joined as
-intervals: where windows of at least ``ENOUGH`` hashes share ``least`` tokens in both texts, a passage may be shared. It is
+hash and one minimum stand for passages that agree in it. For two texts the tied windows that overlap are one region, in which
+a passage may be shared; one window is enough, as an edit can leave a short passage no more. It is
 then verified on the texts: the span of shared tokens (gaps of a few edited words are bridged) must be ``least`` tokens
 long and, as a set, similar by ``percent`` or more in both texts.
 
 A minimum that many texts share is never expanded into pairs. A least passage around place c reaches at least half its length to
-one side, so windows are tied if, beside the minimum, the token there is equal too: a common short line ties nothing. Each
-task ties its windows of one key to the first of them (before any shuffle), then one window a task goes by the key, and these are
+one side, so windows are tied if, beside the minimum, some other evidence of a side (``SIDES``) is equal too: the token half a
+passage away, or the minimum, by another hash function, of the half or the quarter passage next to c. A word put in or left out
+shifts the token but seldom takes all of these minima. Each task ties its windows of one key to the first of them (before any shuffle), then one window a task goes by the key, and these are
 tied to the first of all. Windows in no verified passage are tied anew among themselves, by their minimum and a token at each
 side: a passage of ``least`` tokens around c holds c - l and c + r for some l + r >= least - 2 * step + 1 on a grid of
-``step``, which gets finer (``STEPS``). Last, what is still open is tied by whole passages of ``least`` tokens. So texts
+``step``, which gets finer (``STEPS``). Last, what is still open is tied by whole passages of ``least`` tokens. Every round also
+ties by sketches for edited passages: pairs of minima, by hash functions of the round, of nearly a passage around c. So texts
 that share a passage among themselves but not with the first one are found.
 
 Defined cases: null, empty and short texts have no windows; null ids are dropped; a passage repeated within one text is
@@ -36,17 +38,19 @@ from . import words as W
 from .shared import map_texts, only
 
 HASHES = 4
-ENOUGH = 2
 SHINGLE = 5
 LEAST_WORDS = 50
 GAPS = (12, 6, 1)  # tokens a passage may lose at one place: two edited words close together, one, none
 STEPS = (8, 4, 1)
 SPANS_SENT = 250_000  # passages of 16 bytes that may go to the scans; more are joined by shuffle
+GRID = 8  # tokens between the spans that are sketched around a minimum
+SKETCHES = 2  # pairs of minima of a span and round
 _SIDE = (1 << 16) - 1  # reach of a window to either side that is kept; a passage needs far less
 
-WINDOWS = "key long, right long, left long, id long, place long, head long, head_place long"
+SIDES = ("right", "left", "right_half", "left_half", "right_quarter", "left_quarter")
+WINDOWS = f"key long, {', '.join(f'{s} long' for s in SIDES)}, id long, place long, head long, head_place long"
 BATCH = 50_000
-JOINED = 256
+WORKED = 2_000  # windows whose keys are made at once
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +108,6 @@ def _opened(place: np.ndarray) -> tuple[np.ndarray, ...]:
 def _all_windows(bare: DataFrame, least: int) -> DataFrame:
     """Windows of all texts, to be tied by ``key`` and a side, and ties of those that an earlier window of their task can be the head of."""
     factors = W.odd_constants(HASHES, 11)
-    reach = (least - 1) // 2  # a passage of ``least`` tokens around c holds c + reach or c - reach
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -125,12 +128,11 @@ def _all_windows(bare: DataFrame, least: int) -> DataFrame:
                     values[divider] = here[divider]
                     a, c, b = compact_windows(values, least, bits)
                     owner = np.searchsorted(starts, c, side="right") - 1
-                    right = np.where(c + reach <= b, _short(tokens[np.minimum(c + reach, len(tokens) - 1)]), 0)
-                    left = np.where(c - reach >= a, _short(tokens[np.maximum(c - reach, 0)]), 0)
                     first = starts[owner]
-                    found.append((W.mix(hashed[c] + np.uint64(k)).view(np.int64), right, left, names[i + owner], _place(k, a - first, c - first, b - first)))
+                    found.append((W.mix(hashed[c] + np.uint64(k)).view(np.int64), *_sides(tokens, a, c, b, least), names[i + owner], _place(k, a - first, c - first, b - first)))
         if found:
-            yield from _tied(*(np.concatenate(x) for x in zip(*found)))
+            key, *sides, ids, place = (np.concatenate(x) for x in zip(*found))
+            yield from _tied(key, sides, ids, place)
 
     return map_texts(bare.where("text IS NOT NULL").select("id", "text"), of, WINDOWS)
 
@@ -140,11 +142,26 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return (W.mix(tokens) >> np.uint64(33)).astype(np.int64) | 1
 
 
-def _tied(key: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sides(tokens: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, least: int) -> list[np.ndarray]:
+    """Evidence beside each minimum, as in ``SIDES``; 0 where the window does not reach so far."""
+    reach = (least - 1) // 2  # a passage of ``least`` tokens around c holds c + reach or c - reach
+    right = np.where(c + reach <= b, _short(tokens[np.minimum(c + reach, len(tokens) - 1)]), 0)
+    left = np.where(c - reach >= a, _short(tokens[np.maximum(c - reach, 0)]), 0)
+    out = [right, left]
+    for width, factor in zip((reach, max(1, reach // 2)), W.odd_constants(2, 13)):
+        enough = max(1, width // 2)  # what an edit beside the end of a passage leaves
+        for sign, room in ((1, b - c), (-1, c - a)):
+            at = c[:, None] + sign * np.minimum(np.arange(1, width + 1), np.maximum(room, 0)[:, None])
+            least_hash = W.mix(tokens[at] * factor).min(axis=1) if len(c) else np.zeros(0, np.uint64)
+            out.append(np.where(room >= enough, _short(least_hash), 0))
+    return out
+
+
+def _tied(key: np.ndarray, sides: list[np.ndarray], ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of windows with one key and side the first goes on; the others are tied to it here."""
     goes_on = np.zeros(len(key), dtype=bool)
     ties = []
-    for side in (right, left):
+    for side in sides:
         own = np.flatnonzero(side)
         own = own[np.lexsort((place[own], ids[own], side[own], key[own]))]
         first = np.ones(len(own), dtype=bool)
@@ -159,21 +176,21 @@ def _tied(key: np.ndarray, right: np.ndarray, left: np.ndarray, ids: np.ndarray,
     for i in range(0, len(rows), BATCH):
         x = rows[i : i + BATCH]
         none = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, right, left, ids, place)), none, none], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, *sides, ids, place)), none, none], names)
     for i in range(0, len(pairs), BATCH):
         x, h = pairs[i : i + BATCH, 0], pairs[i : i + BATCH, 1]
         spread, none = W.mix(place[x].view(np.uint64)).view(np.int64), pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(spread), none, none, *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), *(none for _ in SIDES), *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
 
 
 def _first_ties(windows: DataFrame) -> DataFrame:
     """Ties of all texts: those made in the tasks, and of the windows that go by key to the first with the same side."""
     by_key = windows.repartition("key")
     first = lambda side: F.min(F.struct("id", "place")).over(Window.partitionBy("key", side))
-    heads = by_key.withColumns({"first_right": first("right"), "first_left": first("left")})
+    heads = by_key.withColumns({f"first_{side}": first(side) for side in SIDES})
     given = F.struct(F.col("head").alias("id"), F.col("head_place").alias("place"))
     some = lambda side: F.when((F.col(side) != 0) & F.col("head").isNull(), F.col(f"first_{side}"))
-    tied = heads.select("id", "place", F.explode(F.array_distinct(F.array(some("right"), some("left"), F.when(F.col("head").isNotNull(), given)))).alias("first"))
+    tied = heads.select("id", "place", F.explode(F.array_distinct(F.array(*(some(side) for side in SIDES), F.when(F.col("head").isNotNull(), given)))).alias("first"))
     return tied.where("first IS NOT NULL AND id != first.id").select("id", "place", F.col("first.id").alias("head"), F.col("first.place").alias("head_place"))
 
 
@@ -213,43 +230,47 @@ def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
     return sorted(out)
 
 
-def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enough: int, step: int) -> DataFrame:
+def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, step: int) -> DataFrame:
     """Passages (``key`` null) of the tied texts, and the windows in none of them, with new keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple = (None, None)
         for batch in batches:
-            passages, left = [], []
             places, head_places = (c.flatten().to_numpy() for c in batch.columns[2:4])
             ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
             mine, theirs = W.as_large(batch.column(4)), W.as_large(batch.column(5))
+            passages, left, waiting = [], [], 0
             for i, j in W.slices(mine):
                 tokens, at = W.shingles(*W.word_hashes(mine.slice(i, j - i)), SHINGLE)
                 for r in range(i, j):
-                    head = batch.column(1)[r].as_py()
+                    name, head = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                     if kept[0] != head:
                         kept = (head, W.shingles(*W.word_hashes(theirs.slice(r, 1)), SHINGLE)[0])
                     own = slice(ends[r - 1] if r else 0, ends[r])
                     spans, failed = _compared(tokens[at[r - i] : at[r - i + 1]], kept[1], places[own], head_places[own])
-                    passages.extend((batch.column(0)[r].as_py(), head, *x) for x in spans)
-                    left.extend((key, batch.column(0)[r].as_py(), place) for key, place in failed)
-            rows = [(None, i, None, h, p, q + SHINGLE, r, s + SHINGLE, sim) for i, h, p, q, r, s, sim in passages]
-            rows += [(*x, None, None, None, None, None, None) for x in left]
-            kinds = [pa.int64()] * 8 + [pa.float64()]
-            names = ["key", "id", "place", "head", "start", "end", "head_start", "head_end", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kinds[k]) for k in range(9)], names)
-
-    def _compared(a: np.ndarray, b: np.ndarray, place: np.ndarray, head_place: np.ndarray) -> tuple[list, list]:
+                    passages.extend((name, head, p, q + SHINGLE, x, y + SHINGLE, like) for p, q, x, y, like in spans)
+                    left.append((name, failed))
+                    waiting += failed.shape[1]
+                    if waiting > BATCH:
+                        yield _checked(passages, left)
+                        passages, left, waiting = [], [], 0
+            yield _checked(passages, left)
+
+    def _checked(passages: list[tuple], left: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        m, n = len(passages), sum(x.shape[1] for _, x in left)
+        none = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+        keys, places = np.concatenate([np.zeros((2, 0), np.int64), *(x for _, x in left)], axis=1)
+        names = np.repeat(np.array([i for i, _ in left], np.int64), [x.shape[1] for _, x in left])
+        kinds = [pa.int64()] * 6 + [pa.float64()]
+        spans = [pa.array([x[f] for x in passages], kind) for f, kind in enumerate(kinds)]
+        columns = [pa.concat_arrays(x) for x in ((none(m), pa.array(keys)), (spans[0], pa.array(names)), (none(m), pa.array(places)), *((x, none(n, x.type)) for x in spans[1:]))]
+        return pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "head", "start", "end", "head_start", "head_end", "similarity"])
+
+    def _compared(a: np.ndarray, b: np.ndarray, place: np.ndarray, head_place: np.ndarray) -> tuple[list, np.ndarray]:
         k, left, c, right = _opened(place)
         _, head_left, _, head_right = _opened(head_place)
         spans: list = []
-        agree = np.zeros(len(k), dtype=bool)
-        for i in range(0, len(k), JOINED):  # windows against windows as intervals, a block at a time
-            x = slice(i, i + JOINED)
-            wide = np.minimum.outer(right[x], right) - np.maximum.outer(left[x], left) + 1 >= least
-            wide &= np.minimum.outer(head_right[x], head_right) - np.maximum.outer(head_left[x], head_left) + 1 >= least
-            agree[x] = sum(wide[:, k == h].any(axis=1).astype(np.int64) for h in range(HASHES)) >= enough
-        order = np.flatnonzero(agree)[np.argsort(left[agree], kind="stable")]
+        order = np.argsort(left, kind="stable")
         i = 0
         while i < len(order):  # windows that overlap are one region
             x = order[i]
@@ -266,30 +287,46 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, enoug
             covered[p : q + 1] = True
         open_ = np.flatnonzero(~covered[c])
         if not step:  # what shares a whole passage with the head has been verified
-            return spans, []
-        if step > 1:
-            return spans, [x for i in open_ for x in _sided(a, int(k[i]), int(left[i]), int(c[i]), int(right[i]), int(place[i]))]
-        return spans, _whole(a, left[open_], c[open_], right[open_], place[open_])
-
-    def _sided(a: np.ndarray, k: int, first: int, c: int, last: int, place: int) -> list[tuple[int, int]]:
-        """Keys of the minimum with a token on each side."""
+            return spans, np.zeros((2, 0), np.int64)
+        keys, places = [], []
+        for i in range(0, len(open_), WORKED):
+            x = open_[i : i + WORKED]
+            for found in (_sketched, _sided if step > 1 else _whole):
+                of, own = found(a, k[x], left[x], c[x], right[x])
+                keys.append(of.view(np.int64))
+                places.append(place[x][own])
+        both = np.unique(np.stack([np.concatenate(keys), np.concatenate(places)]), axis=1) if keys else np.zeros((2, 0), np.int64)
+        return spans, both
+
+    def _sketched(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the minimum with pairs of minima of nearly a passage around it, whatever the places; and whose they are."""
+        width = max(1, least - GRID + 1)  # a passage around c holds one of these spans
+        lows = c[:, None] - np.arange(0, least, GRID)
+        fits = (lows >= first[:, None]) & (lows + width - 1 <= last[:, None])
+        own = np.nonzero(fits)[0]
+        tokens = a[lows[fits][:, None] + np.arange(width)]
+        base = W.mix(a[c[own]] + k[own].astype(np.uint64))
+        pairs = W.odd_constants(2 * SKETCHES, 17 + step).reshape(-1, 2)
+        keys = [W.mix(base + W.mix(W.mix(tokens * one).min(axis=1) + W.mix(tokens * two).min(axis=1) * np.uint64(W.BASE))) for one, two in pairs]
+        return np.concatenate(keys), np.tile(own, SKETCHES)
+
+    def _sided(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the minimum with a token on each side, and whose they are."""
         reach = max(0, least - 2 * step + 1)
-        lows = c - np.arange(0, reach + 1, step)
-        highs = c + -(-(reach - (c - lows)) // step) * step
-        fits = (lows >= first) & (highs <= last)
-        lows, highs = lows[fits], highs[fits]
-        keys = W.mix(W.mix(a[c : c + 1] + np.uint64(k)) + a[lows] * np.uint64(W.BASE) + a[highs] + (c - lows).astype(np.uint64))
-        return [(x, place) for x in keys.view(np.int64).tolist()]
-
-    def _whole(a: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
-        """Keys of all passages of ``least`` tokens around the minimum, token by token."""
+        back = np.arange(0, reach + 1, step)
+        lows, highs = c[:, None] - back, c[:, None] + -(-(reach - back) // step) * step
+        fits = (lows >= first[:, None]) & (highs <= last[:, None])
+        own, lows, highs = np.nonzero(fits)[0], lows[fits], highs[fits]
+        mine = W.mix(a[c[own]] + k[own].astype(np.uint64))
+        return W.mix(mine + a[lows] * np.uint64(W.BASE) + a[highs] + (c[own] - lows).astype(np.uint64)), own
+
+    def _whole(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all passages of ``least`` tokens around the minimum, token by token, and whose they are."""
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * W._powers(W.BASE, len(a)))])
-        out = []
-        for f, x, z, own in zip(first.tolist(), c.tolist(), last.tolist(), place.tolist()):
-            lows = np.arange(max(f, x - least + 1), min(x, z - least + 1) + 1)
-            keys = W.mix((sums[lows + least] - sums[lows]) * W._powers(W._INVERSE, len(a))[lows])
-            out.extend((key, own) for key in keys.view(np.int64).tolist())
-        return out
+        lows = c[:, None] - np.arange(least)
+        fits = (lows >= first[:, None]) & (lows + least - 1 <= last[:, None])
+        own, lows = np.nonzero(fits)[0], lows[fits]
+        return W.mix((sums[lows + least] - sums[lows]) * W._powers(W._INVERSE, len(a))[lows]), own
 
     pairs = ties.groupBy("id", "head").agg(F.collect_list(F.struct("place", "head_place")).alias("x"))  # windows of two texts
     pairs = pairs.select("id", "head", F.col("x.place").alias("places"), F.col("x.head_place").alias("head_places"))
@@ -308,8 +345,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = ties.select("id").union(ties.select(F.col("head").alias("id"))).distinct()
     texts = stored(only(bare, ids, "id").dropDuplicates(["id"]), "texts")
     passages: list[DataFrame] = []
-    for n, step in enumerate((*STEPS, 0)):
-        checked = _verified(ties, texts, least, percent, ENOUGH if n == 0 else 1, step)
+    for step in (*STEPS, 0):
+        checked = _verified(ties, texts, least, percent, step)
         checked = stored(checked, "checked")
         passages.append(checked.where("key IS NULL").drop("key", "place"))
         ties = stored(_ties(checked.where("key IS NOT NULL").select("key", "id", "place").distinct()).distinct(), "ties")

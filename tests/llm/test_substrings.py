@@ -61,6 +61,22 @@ def test_planted_passages(documents, words_of):
     assert whole and whole[0].head == 300
 
 
+def test_short_passages_with_a_word_put_in_or_left_out(documents, words_of):
+    """Every pair of texts whose planted passages are alike by brute force is found."""
+    rows, expected = [], set()
+    for n in range(60):
+        size, at = 50 + n % 11, 11 + (7 * n) % 28
+        passage = words_of(1000 + n, size + n % 2)
+        edited = passage[:at] + passage[at + 1 :] if n % 2 else [*passage[:at], "inserted", *passage[at:]]
+        one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, edited))
+        if 100 * len(one & two) >= 80 * len(one | two):
+            expected.add((2 * n + 1, 2 * n))
+        rows.append((2 * n, " ".join(words_of(2000 + n, 40 + n) + passage + words_of(3000 + n, 70))))
+        rows.append((2 * n + 1, " ".join(words_of(4000 + n, 65) + edited + words_of(5000 + n, 30 + n))))
+    found = {(r.id, r.head) for r in S.shared_passages(documents(rows)).collect()}
+    assert len(expected) > 50 and found == expected
+
+
 def test_odd_rows_and_cut(documents, odd_rows):
     docs = documents(odd_rows)
     found = S.shared_passages(docs)
