@@ -152,6 +152,20 @@ def test_templates_are_learned(spark):
     assert all((got[i].verdict == "block") == b for i, b in bad)
 
 
+def test_license_texts_and_wrapped_notices(documents, words_of):
+    """Whole terms and headers, notices without a license word, and notices broken over lines, each inside other text."""
+    t = licenses.TEMPLATES
+    texts = [*licenses.TEXTS, ("All-Rights-Reserved", "All rights reserved.")]
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    other = lambda n: " ".join(words_of(n, 400))
+    cases = [(name, text) for name, text in texts] + [(name, wrap(text, 3)) for name, text in [*t.items(), *texts]]
+    rows = [(k, f"{other(k)}\n{text}\n\n{other(k + 500)}") for k, (_, text) in enumerate(cases)]
+    got = collections.defaultdict(list)
+    for r in licenses.found_licenses(documents(rows)).collect():
+        got[r.id].append((r.license, r.wording.split()[0]))
+    assert dict(got) == {k: [(name, re.findall(r"\w+(?:[-.]\w+)*", text)[0])] for k, (name, text) in enumerate(cases)}
+
+
 def test_licenses(spark, documents, odd_rows):
     t = licenses.TEMPLATES
     rows = [*odd_rows, *((100 + k, f"Foo bar.\n{x}\nMore.") for k, x in enumerate(t.values()))]
