@@ -7,7 +7,9 @@ Windows of ``WINDOW`` template words of texts and benchmark items are joined by
 if it holds at least ``percent`` of the item's distinct windows and the slots are consistent: where a window of
 the text stands for one of the item, the words behind its placeholders pair up, and one word of the item must
 always pair with the same word of the text and the reverse (``slots`` tells whether all pairs are equal words: a copy, or
-renamed: a re-parameterised question). Items shorter than a window are one window of all their words.
+renamed: a re-parameterised question). Where the places of the whole text together are not consistent, as with several copies
+of other names and numbers or with passages that share some windows, each occurrence is judged alone: the places that follow
+one another near a diagonal (text place minus item place). One that passes is enough. Items shorter than a window are one window of all their words.
 
 The item side is a small table. Up to ``PROBED_WINDOWS`` windows (its size is counted first) it is sent to the scans, so that
 no text is shuffled; beyond it the windows of texts and items are joined by shuffle, and candidate texts are verified
@@ -139,23 +141,55 @@ def _matches(name: int, words: np.ndarray, templates: np.ndarray, grams: np.ndar
     out = []
     for i in np.unique(item[at]):
         own = item[at] == i
-        found = len(np.unique(hashes[at[own]]))
-        if found * 100 < percent * distinct[i]:
-            continue
-        theirs = bounds[i] + place[at[own]]
         size = min(WINDOW, bounds[i + 1] - bounds[i])
         span = np.arange(size)
-        a, b = (where[own][:, None] + span).ravel(), (theirs[:, None] + span).ravel()
-        slot = item_templates[b] <= 3
-        pairs = np.unique(np.stack([item_words[b[slot]], words[a[slot]]], axis=1), axis=0) if slot.any() else np.zeros((0, 2), np.uint64)
-        # a placeholder repeated in both may pair by chance in other windows: the pairing most slots agree on must be one to one
-        if len(pairs) and not _consistent(item_words[b[slot]], words[a[slot]]):
-            continue
-        kind = "none" if not slot.any() else "equal" if (item_words[b[slot]] == words[a[slot]]).all() else "renamed"
-        out.append((name, int(ids[i]), found, int(distinct[i]), int(where[own].min()), int(where[own].max()) + size, kind))
+        needed = -(-percent * int(distinct[i]) // 100)
+        for entries, places in _occurrences(at[own], where[own], place, needed, int(bounds[i + 1] - bounds[i])):
+            found = len(np.unique(hashes[entries]))
+            if found < needed:
+                continue
+            theirs = bounds[i] + place[entries]
+            a, b = (places[:, None] + span).ravel(), (theirs[:, None] + span).ravel()
+            slot = item_templates[b] <= 3
+            # a placeholder repeated in both may pair by chance in other windows: the pairing most slots agree on must be one to one
+            if slot.any() and not _consistent(item_words[b[slot]], words[a[slot]]):
+                continue
+            kind = "none" if not slot.any() else "equal" if (item_words[b[slot]] == words[a[slot]]).all() else "renamed"
+            out.append((name, int(ids[i]), found, int(distinct[i]), int(places.min()), int(places.max()) + size, kind))
+            break
     return out
 
 
+def _occurrences(entries: np.ndarray, where: np.ndarray, place: np.ndarray, needed: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hits of one item to judge together: all of the text, then those of every diagonal that can hold enough.
+
+    From a diagonal on, each item place takes the nearest text place to the diagonal of the place before it.
+    """
+    if len(entries) < needed:
+        return
+    yield entries, where
+    order = np.argsort(where - place[entries], kind="stable")
+    entries, where = entries[order], where[order]
+    theirs = place[entries]
+    diagonal = where - theirs
+    starts, counts = np.unique(diagonal, return_counts=True)
+    low, high = np.searchsorted(diagonal, starts - length), np.searchsorted(diagonal, starts + length, side="right")
+    for k in np.argsort(-counts, kind="stable"):
+        near = slice(low[k], high[k])
+        if high[k] - low[k] < needed:
+            continue
+        at, by = diagonal[near], np.argsort(theirs[near], kind="stable")  # of one place by diagonal
+        cuts = np.flatnonzero(np.diff(theirs[near][by])) + 1
+        if len(cuts) + 1 < needed:
+            continue
+        chosen, now = [], int(starts[k])
+        for same in np.split(by, cuts):
+            nearest = same[np.argmin(np.abs(at[same] - now))]
+            now = int(at[nearest])
+            chosen.append(nearest)
+        yield entries[near][chosen], where[near][chosen]
+
+
 def _consistent(item: np.ndarray, text: np.ndarray) -> bool:
     """Whether nearly all slots follow one pairing of words that is one to one."""
     pairs, counts = np.unique(np.stack([item, text], axis=1), axis=0, return_counts=True)

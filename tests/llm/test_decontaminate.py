@@ -51,6 +51,21 @@ def test_a_passage_inside_a_long_text_and_repeated_rows(documents, items, words_
     assert {r.start for r in got if r.id == 1} == {30_000}
 
 
+@pytest.mark.parametrize("probed", [D.PROBED_WINDOWS, 0])
+def test_several_versions_in_one_text(spark, documents, items, probed):
+    """Each occurrence alone decides, beside other versions and passages that share windows."""
+    first = ITEMS[0][1]
+    one = first.replace("Anna Keller", "Mary Brown").replace("12", "77").replace("30", "5").replace("4 euros", "9 euros")
+    two = first.replace("Anna Keller", "John Smith").replace("12", "8").replace("30", "61").replace("4 euros", "3 euros")
+    table = " ".join(str(k) for k in range(3000))
+    counted = "the rows of the list hold 17 23 42 56 61 78 80 94 and 99 in all and no more of them"
+    some = spark.createDataFrame([*ITEMS, (6, counted)], "item_id long, text string")
+    mixed = first.replace("Anna Keller", "Mary Brown", 1).replace("Anna Keller", "John Smith").replace("12", "9").replace("30", "9").replace("4 euros", "8 euros")
+    rows = [(1, f"{one} and then {two}"), (2, f"{first} and then {one} {two}"), (3, f"{table} {counted} {table}"), (4, f"{mixed} and {mixed}"), (5, table)]
+    got = found(documents(rows), some, probed=probed)
+    assert set(got) == {(1, 1), (2, 1), (3, 6)} and got[(3, 6)] == "equal"
+
+
 def test_empty_tables(spark, documents, items):
     assert found(documents([]), items) == {}
     assert found(documents([(1, "a b c")]), spark.createDataFrame([], "item_id long, text string")) == {}
