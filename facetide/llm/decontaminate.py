@@ -3,6 +3,8 @@
 Every word becomes a template word: one with a digit is the placeholder number (its trailing letters, if they are a
 unit, a unit), a word of ``UNITS`` the placeholder unit, a word with a capital that does not begin a sentence the
 placeholder name; any other its lower-case letters and digits without punctuation. Words that keep nothing are left out.
+A copy may have other capitals than the item, so windows are matched as well with the words
+themselves in place of the names, and count for the same window of the item.
 Windows of ``WINDOW`` template words of texts and benchmark items are joined by hash. A text is contaminated by an item
 if it holds at least ``percent`` of the item's distinct windows and the slots are consistent: where a window of
 the text stands for one of the item, the words behind its placeholders pair up, and one word of the item must
@@ -48,10 +50,11 @@ NUMBER, UNIT, NAME = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
 class Templates(NamedTuple):
-    """Template words of some texts one after the other; ``words`` hashes the words behind them."""
+    """Template words of some texts one after the other; ``plain`` has no names, ``words`` hashes the words behind them."""
 
     words: np.ndarray
     templates: np.ndarray
+    plain: np.ndarray
     bounds: np.ndarray
 
 
@@ -65,7 +68,7 @@ def canonical(texts: pa.Array, units: np.ndarray) -> Templates:
     lowered = pc.utf8_lower(texts)
     data, offsets = W.buffer_of(lowered)
     if not len(data):
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
+        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
     starts, ends = W.word_bounds(data)
     digit = (data >= 0x30) & (data <= 0x39)
     letter = ((data >= 0x61) & (data <= 0x7A)) | (data >= 0x80)
@@ -86,12 +89,12 @@ def canonical(texts: pa.Array, units: np.ndarray) -> Templates:
     begins[1:] |= stop[:-1]
     begins[np.searchsorted(starts, offsets[:-1][offsets[:-1] <= (starts[-1] if len(starts) else -1)])] = True
     name = ~begins & _capital(raw, data, starts, ends, texts, lowered)
-    templates = np.where(np.isin(words, units), UNIT, words)
-    templates = np.where(name, NAME, templates)
-    templates = np.where(number, NUMBER, templates)
+    plain = np.where(np.isin(words, units), UNIT, words)
+    plain = np.where(number, NUMBER, plain)
+    templates = np.where(name & ~number, NAME, plain)
     some = last > first
     counts = np.concatenate([[0], np.cumsum(some)])
-    return Templates(words[some], templates[some], counts[np.searchsorted(starts, offsets)])
+    return Templates(words[some], templates[some], plain[some], counts[np.searchsorted(starts, offsets)])
 
 
 def _capital(raw: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: pa.Array, lowered: pa.Array) -> np.ndarray:
@@ -104,12 +107,15 @@ def _capital(raw: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.nda
     return (changed[head] > changed[starts]) & (changed[ends] == changed[head])
 
 
-def _windows(t: Templates) -> tuple[np.ndarray, np.ndarray]:
-    return W.shingles(t.templates, t.bounds, WINDOW, whole_if_short=True)
+def _windows(t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows, of the same without names, and where each text's start."""
+    plain, at = W.shingles(t.plain, t.bounds, WINDOW, whole_if_short=True)
+    return W.shingles(t.templates, t.bounds, WINDOW, whole_if_short=True)[0], plain, at
 
 
 class Items(NamedTuple):
-    """The benchmark: ids, template words, and the windows of all items sorted by hash."""
+    """The benchmark: ids, template words, and the windows of all items, with and without names, sorted by hash; ``window`` tells
+    an item's distinct windows apart."""
 
     ids: np.ndarray
     words: np.ndarray
@@ -119,25 +125,40 @@ class Items(NamedTuple):
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    window: np.ndarray
 
 
 def prepared(ids: list[int], texts: list[str | None], units: np.ndarray) -> Items:
     t = canonical(W.as_large(pa.array(texts, pa.string())), units)
-    grams, at = _windows(t)
+    grams, plain, at = _windows(t)
     item = np.repeat(np.arange(len(ids)), np.diff(at))
     place = np.arange(len(grams)) - np.repeat(at[:-1], np.diff(at))
     distinct = np.array([len(np.unique(grams[at[i] : at[i + 1]])) for i in range(len(ids))], dtype=np.int64)
-    order = np.argsort(grams, kind="stable")
-    return Items(np.array(ids, dtype=np.int64), t.words, t.templates, t.bounds, distinct, grams[order], item[order], place[order])
+    other = np.flatnonzero(plain != grams)
+    hashes, whose = np.concatenate([grams, plain[other]]), np.concatenate([np.arange(len(grams)), other])
+    order = np.argsort(hashes, kind="stable")
+    whose = whose[order]
+    return Items(np.array(ids, dtype=np.int64), t.words, t.templates, t.bounds, distinct, hashes[order], item[whose], place[whose], grams[whose])
 
 
-def _matches(name: int, words: np.ndarray, templates: np.ndarray, grams: np.ndarray, hit: np.ndarray, items: tuple, percent: int) -> list[tuple]:
+def _hits(grams: np.ndarray, plain: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places whose window, with or without names, is one of the items'."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    known = lambda x: hashes[np.minimum(np.searchsorted(hashes, x), len(hashes) - 1)] == x
+    return np.flatnonzero(known(grams) | known(plain))
+
+
+def _matches(name: int, words: np.ndarray, grams: np.ndarray, plain: np.ndarray, hit: np.ndarray, items: tuple, percent: int) -> list[tuple]:
     """Rows of the items that one text holds."""
-    ids, item_words, item_templates, bounds, distinct, hashes, item, place = items
-    low, high = np.searchsorted(hashes, grams[hit]), np.searchsorted(hashes, grams[hit], side="right")
-    each = high - low
-    at = np.repeat(low - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
-    where = np.repeat(hit, each)
+    ids, item_words, item_templates, bounds, distinct, hashes, item, place, window = items
+    ats, wheres = [], []
+    for some, of in ((hit, grams), (hit[plain[hit] != grams[hit]], plain)):
+        low, high = np.searchsorted(hashes, of[some]), np.searchsorted(hashes, of[some], side="right")
+        each = high - low
+        ats.append(np.repeat(low - np.concatenate([[0], np.cumsum(each)])[:-1], each) + np.arange(each.sum()))
+        wheres.append(np.repeat(some, each))
+    at, where = np.concatenate(ats), np.concatenate(wheres)
     out = []
     for i in np.unique(item[at]):
         own = item[at] == i
@@ -145,7 +166,7 @@ def _matches(name: int, words: np.ndarray, templates: np.ndarray, grams: np.ndar
         span = np.arange(size)
         needed = -(-percent * int(distinct[i]) // 100)
         for entries, places in _occurrences(at[own], where[own], place, needed, int(bounds[i + 1] - bounds[i])):
-            found = len(np.unique(hashes[entries]))
+            found = len(np.unique(window[entries]))
             if found < needed:
                 continue
             theirs = bounds[i] + place[entries]
@@ -221,14 +242,13 @@ def _probe(docs: DataFrame, items, units: np.ndarray, percent: int) -> DataFrame
             rows: list[tuple] = []
             for i, j in W.slices(texts):
                 t = canonical(texts.slice(i, j - i), units)
-                grams, at = _windows(t)
-                place = np.minimum(np.searchsorted(known[5], grams), max(len(known[5]) - 1, 0))
-                hits = np.flatnonzero(known[5][place] == grams) if len(known[5]) else np.zeros(0, np.int64)
+                grams, plain, at = _windows(t)
+                hits = _hits(grams, plain, known[5])
                 owner = np.searchsorted(at, hits, side="right") - 1
                 for r in np.unique(owner).tolist():
                     words = slice(t.bounds[r], t.bounds[r + 1])
                     own = hits[owner == r] - at[r]
-                    rows.extend(_matches(names[i + r].as_py(), t.words[words], t.templates[words], grams[at[r] : at[r + 1]], own, known, percent))
+                    rows.extend(_matches(names[i + r].as_py(), t.words[words], grams[at[r] : at[r + 1]], plain[at[r] : at[r + 1]], own, known, percent))
             yield _batch(rows)
 
     return map_texts(docs, of, SCHEMA)
@@ -254,10 +274,15 @@ def _joined(bare: DataFrame, items: DataFrame, units: np.ndarray, percent: int)
         for batch in batches:
             texts = W.as_large(batch.column(1))
             for i, j in W.slices(texts):
-                grams, at = W.distinct_in_texts(*_windows(canonical(texts.slice(i, j - i), units)))
-                names = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), np.diff(at))
-                sizes = np.repeat(np.diff(at), np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(grams.view(np.int64)), pa.array(sizes)], ["id", "gram", "n"])
+                grams, plain, at = _windows(canonical(texts.slice(i, j - i), units))
+                owner = np.repeat(np.arange(j - i), np.diff(at))
+                named, sizes = W.distinct_in_texts(grams, at)
+                other = np.flatnonzero(plain != grams)
+                rows = np.concatenate([np.stack([np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(sizes)), named, named]), np.stack([owner[other].astype(np.uint64), plain[other], grams[other]])], axis=1)
+                owner, gram, window = np.unique(rows, axis=1)
+                owner = owner.astype(np.int64)
+                names = batch.column(0).slice(i, j - i).to_numpy()[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(gram.view(np.int64)), pa.array(window.view(np.int64)), pa.array(np.diff(sizes)[owner])], ["id", "gram", "window", "n"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,12 +290,13 @@ def _joined(bare: DataFrame, items: DataFrame, units: np.ndarray, percent: int)
             for name, text, item, item_text in zip(*(c.to_pylist() for c in batch.columns)):
                 known = prepared([item], [item_text], units)
                 t = canonical(W.as_large(pa.array([text], pa.string())), units)
-                grams, _ = _windows(t)
-                rows.extend(_matches(name, t.words, t.templates, grams, np.flatnonzero(np.isin(grams, known.hashes)), known, percent))
+                grams, plain, _ = _windows(t)
+                rows.extend(_matches(name, t.words, grams, plain, _hits(grams, plain, known.hashes), known, percent))
             yield _batch(rows)
 
-    known = map_texts(items.withColumnRenamed("item_id", "id"), grams_of, "id long, gram long, n long").withColumnRenamed("id", "item_id")
-    grams = map_texts(bare, grams_of, "id long, gram long, n long").drop("n")
-    found = grams.join(known, "gram").groupBy("id", "item_id", "n").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") * 100 >= F.col("n") * percent)
+    schema = "id long, gram long, window long, n long"
+    known = map_texts(items.withColumnRenamed("item_id", "id"), grams_of, schema).withColumnRenamed("id", "item_id")
+    grams = map_texts(bare, grams_of, schema).select("id", "gram")
+    found = grams.join(known, "gram").groupBy("id", "item_id", "n").agg(F.count_distinct("window").alias("found")).where(F.col("found") * 100 >= F.col("n") * percent)
     both = found.select("id", "item_id").join(bare, "id").join(items.withColumnRenamed("text", "item_text"), "item_id")
     return map_texts(both.select("id", "text", "item_id", "item_text"), verified, SCHEMA)

@@ -66,6 +66,16 @@ def test_several_versions_in_one_text(spark, documents, items, probed):
     assert set(got) == {(1, 1), (2, 1), (3, 6)} and got[(3, 6)] == "equal"
 
 
+@pytest.mark.parametrize("probed", [D.PROBED_WINDOWS, 0])
+def test_copies_with_other_capitals_and_lines(documents, items, probed):
+    """Names in the item, or capitals in the copy only."""
+    first, second = ITEMS[0][1], ITEMS[1][1]
+    wrapped = first.replace(" Anna Keller pay", "\nAnna Keller pay").replace("Keller", "\nKeller")
+    rows = [(1, first.lower()), (2, first.upper()), (3, first.title()), (4, wrapped), (5, second.title()), (6, second.replace("wolf", "Wolf")), (7, first.lower().replace("apples", "plums").replace("shop", "market").replace("buys", "eats"))]
+    got = found(documents(rows), items, probed=probed)
+    assert got == {(1, 1): "equal", (2, 1): "equal", (3, 1): "equal", (4, 1): "equal", (5, 2): "none", (6, 2): "none"}
+
+
 def test_empty_tables(spark, documents, items):
     assert found(documents([]), items) == {}
     assert found(documents([(1, "a b c")]), spark.createDataFrame([], "item_id long, text string")) == {}
