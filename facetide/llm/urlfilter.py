@@ -1,7 +1,6 @@
 """URL filters: explicit rules first, then a path-template tree per host. DataFrame functions only.
 
-A template is a host's path with every run of digits as ``#``. Level by level (``LEVELS``; deeper segments stay as they
-are) segments that vary become ``*``: where a prefix has more than ``BRANCHES`` different next segments, those that hold
+A template is a host's path with every run of digits as ``#``. Level by level, as deep as paths go, segments that vary become ``*``: where a prefix has more than ``BRANCHES`` different next segments, those that hold
 less than 1 / ``BRANCHES`` of its pages. Templates that differ in their last segment only are branches of one parent. A
 branch whose share of bad labelled pages does not differ from that of its siblings by more than ``Z`` standard errors is
 merged with the other such siblings; one that does stands alone. Purity is the share of good labelled pages, smoothed by ``SMOOTHING``
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-LEVELS = 3
+LEVELS = 3  # of the SQL in oracles.py; the tree here has as many as the paths
 BRANCHES = 50
 Z = 1.96
 SMOOTHING = 20
@@ -62,7 +61,9 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _tree(templates: DataFrame) -> DataFrame:
     """``host``, ``lexical`` (digits as #), ``template`` (varying segments as ``*``), ``parent``, and the counts."""
     rows = templates.withColumns({"segments": F.split("lexical", "/"), "prefix": F.lit("")})
-    for level in range(1, LEVELS + 1):
+    level = 0
+    while True:
+        level += 1
         here = F.get("segments", F.lit(level))
         children = rows.where(here.isNotNull()).groupBy("host", "prefix", here.alias("segment")).agg(F.sum("pages").alias("in_child"))
         parents = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kinds"), F.sum("in_child").alias("in_all"))
@@ -71,8 +72,12 @@ def _tree(templates: DataFrame) -> DataFrame:
         rows = rows.withColumn("segment", here).join(varying, ["host", "prefix", "segment"], "left")
         segment = F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment"))
         rows = rows.withColumn("prefix", F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), segment))).drop("segment", "varies")
-    rest = F.expr(f"array_join(slice(segments, {LEVELS + 2}, greatest(size(segments) - {LEVELS + 1}, 0)), '/')")
-    template = F.when(F.size("segments") > LEVELS + 1, F.concat("prefix", F.lit("/"), rest)).otherwise(F.col("prefix"))
+        rows = stored(rows, "level")
+        # a segment varies only below a prefix of more than BRANCHES templates that go on
+        if rows.where(F.size("segments") > level + 1).groupBy("host", "prefix").count().where(F.col("count") > BRANCHES).isEmpty():
+            break
+    rest = F.expr(f"array_join(slice(segments, {level + 2}, greatest(size(segments) - {level + 1}, 0)), '/')")
+    template = F.when(F.size("segments") > level + 1, F.concat("prefix", F.lit("/"), rest)).otherwise(F.col("prefix"))
     return rows.withColumn("template", template).withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")).drop("segments", "prefix")
 
 

@@ -152,6 +152,18 @@ def test_templates_are_learned(spark):
     assert all((got[i].verdict == "block") == b for i, b in bad)
 
 
+def test_url_segments_vary_at_any_depth(spark):
+    """A template that is wholly bad below the third segment is rejected, also where no page of a segment has a label."""
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    urls = [f"https://deep.net/one/two/three/four/{name(k)}/{last}" for k in range(120) for last in ("view", "read")]
+    pages = spark.createDataFrame([*enumerate(urls), (1000, "https://deep.net/one/two/three/four")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(160)], "id long, bad boolean")
+    got = {r.id: (r.template, r.verdict) for r in urlfilter.judged(pages, labels).collect()}
+    begin = "/one/two/three/four"
+    assert got.pop(1000)[0] == begin
+    assert got == {i: (f"{begin}/*/{('view', 'read')[i % 2]}", ("block", "allow")[i % 2]) for i in range(240)}
+
+
 def test_license_texts_and_wrapped_notices(documents, words_of):
     """Whole terms and headers, notices without a license word, and notices broken over lines, each inside other text."""
     t = licenses.TEMPLATES
