@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_folder, prepare, stored
-from . import decontaminate, htmltext, licenses, minhash, packing, quality, rollups, substrings, toxicity, urlfilter
+from . import codes, corpusorder, decontaminate, htmltext, licenses, minhash, packing, periods, quality, rollups, substrings, toxicity, urlfilter
 from .oracles import ORACLES
 
 
@@ -78,6 +78,19 @@ def op10_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.found_licenses(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return corpusorder.deduplicated(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", periods.repeated_tail("doc_id", "text").alias("text"))
+    return periods.digests(periods.periodic_runs(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compressed(_table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -89,6 +102,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scans": op10_license_scans,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 LLM_ORACLES: dict[str, str] = dict(ORACLES)

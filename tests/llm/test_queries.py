@@ -22,6 +22,9 @@ EXPECTED = {
     "op8_url_filters": (["page_id", "host", "path", "rule", "verdict"], "pages"),
     "op9_benchmark_decontamination": (["doc_id", "item_id"], None),
     "op10_license_scans": (["doc_id", "license"], None),
+    "op11_suffix_array_dedup": (["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "documents"),
+    "op12_periodic_runs": (["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"], "documents"),
+    "op13_vector_codes": (["vec_id", "code", "error", "label_error", "codebooks_sha256"], "embeddings"),
 }
 
 
