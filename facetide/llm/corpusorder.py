@@ -17,7 +17,8 @@ document loses the bytes of each class whose smallest id is not its own. The ord
    equal entries and suffixes are aggregated and joined by Spark over all tasks.
 
 In step 2 the asking is packed: a block of texts (``BLOCK_BYTES``) settles what it can alone, so one block asks at most once per
-phrase or trigger, and its questions go by hash buckets of about ``BUCKET_BYTES`` of text. No group grows with the copies of a phrase.
+phrase or trigger, and its questions go by hash buckets of about ``BUCKET_BYTES`` of text; the answers meet the texts by groups of
+that size. No group grows with the copies of a phrase.
 A trigger's 32 bits within its bucket are a filter, so a false match costs work but no exactness; long phrases are equal by 128
 bits of hash, short ones and suffixes by their bytes.
 
@@ -55,7 +56,7 @@ BASE_2 = 0xD1342543DE82EF95  # of the second hash
 
 TRIGGERS, PHRASES, TRIGGERS_FOUND, SETTLED = range(4)  # kinds of packed rows
 ASKED = "bucket long, kind int, keys binary, more binary, lines binary, ids binary, starts binary, ends binary"
-FOUND = "line long, keys array<long>, starts array<long>, ends array<long>"
+ENTRY_COLUMNS = ["trigger", "body", "line", "id", "start", "end"]
 COLUMNS = ASKED.split(" ")[::2]
 U = np.uint64
 
@@ -201,46 +202,41 @@ def _asked(rows: DataFrame, least: int, buckets: int) -> DataFrame:
     return map_texts(rows, of, ASKED)
 
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """Per text: its triggers that stand in another text too, and its places in long phrases that an earlier one owns."""
+def _joined(table: pa.Table, kind: int, name: str, dtype=np.int64) -> np.ndarray:
+    """The packed numbers of one kind and column."""
+    rows = [v.as_buffer() for k, v in zip(table.column("kind").to_pylist(), table.column(name)) if k == kind]
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(v, dtype) for v in rows)])
 
-    def joined(table: pa.Table, kind: int, name: str, dtype=np.int64) -> np.ndarray:
-        rows = [v.as_buffer() for k, v in zip(table.column("kind").to_pylist(), table.column(name)) if k == kind]
-        return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(v, dtype) for v in rows)])
 
-    def lists(lines: np.ndarray, *values: np.ndarray | None) -> list[pa.Array]:
-        """One row per text with the values of each column as its list."""
-        order = np.argsort(lines, kind="stable")
-        of_line = lines[order]
-        first = np.flatnonzero(np.r_[True, of_line[1:] != of_line[:-1]]) if len(of_line) else np.zeros(0, np.int64)
-        bounds = pa.array(np.append(first, len(of_line)).astype(np.int32))
-        none = pa.array(np.zeros(len(first) + 1, np.int32))
-        empty = pa.array([], pa.int64())
-        return [pa.array(of_line[first]), *(pa.ListArray.from_arrays(none, empty) if v is None else pa.ListArray.from_arrays(bounds, pa.array(v[order])) for v in values)]
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """By groups of texts, packed: triggers that stand in another text too, and places in long phrases that an earlier text owns."""
 
     def of(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        keys, lines = joined(table, TRIGGERS, "keys", np.uint32), joined(table, TRIGGERS, "lines")
-        several = joined(table, TRIGGERS, "more", np.uint8)
+        keys, lines = _joined(table, TRIGGERS, "keys", np.uint32), _joined(table, TRIGGERS, "lines")
+        several = _joined(table, TRIGGERS, "more", np.uint8)
         _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
         twice = (count > 1) | (np.bincount(number, weights=several, minlength=len(count)) > 0)
         hit = twice[number] & (several == 0)  # the others' blocks know
-        trigger_lines = np.concatenate([lines[hit], joined(table, TRIGGERS_FOUND, "lines")])
-        trigger_keys = np.concatenate([bucket << 32 | keys[hit].astype(np.int64), joined(table, TRIGGERS_FOUND, "keys")])
-        one, two = joined(table, PHRASES, "keys", np.uint64), joined(table, PHRASES, "more", np.uint64)
-        ids, lines = joined(table, PHRASES, "ids"), joined(table, PHRASES, "lines")
-        starts, ends = joined(table, PHRASES, "starts"), joined(table, PHRASES, "ends")
+        trigger_lines = np.concatenate([lines[hit], _joined(table, TRIGGERS_FOUND, "lines")])
+        trigger_keys = np.concatenate([bucket << 32 | keys[hit].astype(np.int64), _joined(table, TRIGGERS_FOUND, "keys")])
+        one, two = _joined(table, PHRASES, "keys", np.uint64), _joined(table, PHRASES, "more", np.uint64)
+        ids, lines = _joined(table, PHRASES, "ids"), _joined(table, PHRASES, "lines")
+        starts, ends = _joined(table, PHRASES, "starts"), _joined(table, PHRASES, "ends")
         order = np.lexsort((ids, two, one))
         new = np.ones(len(one), dtype=bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         owner = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(one)), 0))] if len(one) else ids
         later = order[ids[order] > owner]
-        lines, starts, ends = (np.concatenate([v[later], joined(table, SETTLED, name)]) for v, name in ((lines, "lines"), (starts, "starts"), (ends, "ends")))
-        lines, starts, ends = _merged(lines, starts, ends)
-        parts = [lists(trigger_lines, trigger_keys, None, None), lists(lines, None, starts, ends)]
-        return pa.concat_tables([pa.Table.from_arrays(p, ["line", "keys", "starts", "ends"]) for p in parts])
+        lines, starts, ends = (np.concatenate([v[later], _joined(table, SETTLED, name)]) for v, name in ((lines, "lines"), (starts, "starts"), (ends, "ends")))
+        return pa.Table.from_batches(
+            [
+                _packed(trigger_lines % buckets, TRIGGERS_FOUND, keys=trigger_keys, lines=trigger_lines),
+                _packed(lines % buckets, SETTLED, lines=lines, starts=starts, ends=ends),
+            ]
+        )
 
-    return asked.groupBy("bucket").applyInArrow(of, FOUND)
+    return asked.groupBy("bucket").applyInArrow(of, ASKED)
 
 
 def _merged(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,37 +273,42 @@ def _unpacked(texts: pa.Array) -> pa.Array:
 
 
 def _entries(rows: DataFrame, found: DataFrame, least: int, buckets: int) -> DataFrame:
-    """Dictionary entries outside settled phrases: ``trigger``, ``body`` (bytes), ``line``, ``id``, ``start``."""
-    lists = found.groupBy("line").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("keys", "starts", "ends")))  # one text's
-    joined = _packed_texts(rows).join(lists.where("size(keys) > 0"), "line").select("line", "id", "text", "keys", "starts", "ends")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, numbers, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unpacked(batch.column(2))
-            keys, starts, ends = (batch.column(k) for k in (3, 4, 5))
-            for i, j in W.slices(texts):
-                data = _Bytes(texts.slice(i, j - i))
+    """Dictionary entries outside settled phrases (``trigger``, ``body``, ``line``, ``id``, ``start``, ``end``), and the settled places (no ``body``)."""
+
+    def of(texts: pa.Table, known: pa.Table) -> pa.Table:
+        found_lines, found_keys = _joined(known, TRIGGERS_FOUND, "lines"), _joined(known, TRIGGERS_FOUND, "keys")
+        pairs = np.unique(_pair(found_lines, found_keys))
+        lines, starts, ends = _merged(*(_joined(known, SETTLED, c) for c in ("lines", "starts", "ends")))
+        some = np.unique(lines)
+        of_line = np.searchsorted(some, lines)
+        none = lambda kind: pa.nulls(len(lines), kind)
+        out = [pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.binary()), pa.array(lines), none(pa.int64()), pa.array(starts), pa.array(ends)], ENTRY_COLUMNS)]
+        for batch in texts.select(["line", "id", "text"]).to_batches():
+            names, numbers, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unpacked(batch.column(2))
+            for i, j in W.slices(opened):
+                data = _Bytes(opened.slice(i, j - i))
                 text, first, end, trigger = data.short_phrases(least)
-                wanted = trigger_key(trigger, buckets)
-                open_ = np.zeros(len(first), dtype=bool)
-                bounds = np.searchsorted(text, np.arange(j - i + 1))
-                for t in range(j - i):
-                    own = slice(bounds[t], bounds[t + 1])
-                    known = keys[i + t].values.to_numpy()
-                    hit = np.isin(wanted[own], known)
-                    one, two = (c[i + t].values.to_numpy() for c in (starts, ends))
-                    if len(one):
-                        _, one, two = _merged(np.zeros(len(one), np.int64), one, two)
-                        here = first[own] - data.starts[t]
-                        k = np.searchsorted(one, here, side="right") - 1
-                        hit &= ~((k >= 0) & (end[own] - data.starts[t] <= two[np.maximum(k, 0)]))
-                    open_[own] = hit
+                own = names[i + text]
+                here, stop = first - data.starts[text], end - data.starts[text]
+                open_ = np.isin(_pair(own, trigger_key(trigger, buckets)), pairs)
+                if len(lines):
+                    long = max(int(ends.max()), len(data.data)) + 1
+                    number = np.minimum(np.searchsorted(some, own), len(some) - 1)
+                    before = np.searchsorted(of_line * long + starts, number * long + here, side="right") - 1
+                    held = np.maximum(before, 0)
+                    open_ &= ~((some[number] == own) & (before >= 0) & (of_line[held] == number) & (stop <= ends[held]))
                 at = np.flatnonzero(open_)
                 body = [data.data[p:q].tobytes() for p, q in zip(first[at].tolist(), end[at].tolist())]
-                own = text[at]
-                yield pa.RecordBatch.from_arrays([pa.array(trigger[at].view(np.int64)), pa.array(body, pa.binary()), pa.array(names[i + own]), pa.array(numbers[i + own]), pa.array(first[at] - data.starts[own])], ["trigger", "body", "line", "id", "start"])
+                columns = [pa.array(trigger[at].view(np.int64)), pa.array(body, pa.binary()), pa.array(own[at]), pa.array(numbers[i + text[at]]), pa.array(here[at]), pa.array(stop[at])]
+                out.append(pa.RecordBatch.from_arrays(columns, ENTRY_COLUMNS))
+        return pa.Table.from_batches(out)
+
+    by_group = _packed_texts(rows).withColumn("bucket", F.col("line") % buckets).groupBy("bucket")
+    return by_group.cogroup(found.groupBy("bucket")).applyInArrow(of, "trigger long, body binary, line long, id long, start long, end long")
+
 
-    return map_texts(joined, of, "trigger long, body binary, line long, id long, start long")
+def _pair(lines: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(lines.astype(np.uint64)) + keys.astype(np.uint64))
 
 
 def suffix_classes(data: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
@@ -392,11 +393,10 @@ def _cold(entries: DataFrame, least: int) -> DataFrame:
 
 def _later_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans (``line``, ``start``, ``end``) of entries that a smaller id owns, and the owners' entries, which go on."""
-    owners = entries.groupBy("trigger", "body").agg(F.min("id").alias("owner"))
+    owners = _stored(entries.groupBy("trigger", "body").agg(F.min("id").alias("owner")), "owners")  # stored, so that Spark can split a large entry's rows
     own = F.col("id") == F.col("owner")
     joined = entries.join(owners, ["trigger", "body"])
-    end = (F.col("start") + F.octet_length("body")).alias("end")
-    marked = _stored(joined.select(F.when(own, F.col("body")).alias("body"), "line", "id", "start", end), "marked")
+    marked = _stored(joined.select(F.when(own, F.col("body")).alias("body"), "line", "id", "start", "end"), "marked")
     return marked.where("body IS NULL").select("line", "start", "end"), marked.where("body IS NOT NULL")
 
 
@@ -423,7 +423,8 @@ def _suffixes(entries: DataFrame, least: int) -> DataFrame:
 
 def _later_suffixes(suffixes: DataFrame, least: int) -> DataFrame:
     """Spans of the suffixes whose class, those that begin with the same bytes, has a smaller id."""
-    classes = suffixes.groupBy("prefix").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("prefix", "owner")
+    classes = suffixes.groupBy("prefix").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
+    classes = _stored(classes.select("prefix", "owner"), "classes")
     later = suffixes.join(classes, "prefix").where("id > owner")
     return later.select("line", "start", (F.col("start") + least).alias("end"))
 
@@ -437,15 +438,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= least))
     total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET_BYTES
-    found = _stored(_answered(_asked(long, least, buckets)), "found")
-    entries = _stored(_entries(long, found, least, buckets), "entries")
+    found = _answered(_asked(long, least, buckets), buckets)
+    made = _stored(_entries(long, found, least, buckets), "entries")
+    entries = made.where("body IS NOT NULL")
     hot = _stored(entries.groupBy("trigger").count().where(F.col("count") > HOT).select("trigger"), "hot")
     spans = _cold(without(entries, hot, "trigger"), least)
     if not hot.isEmpty():
         whole, open_ = _later_entries(only(entries, hot, "trigger"))
         spans = spans.unionByName(whole).unionByName(_later_suffixes(_stored(_suffixes(open_, least), "suffixes"), least))
-    settled = found.select("line", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("line", F.col("s.starts").alias("start"), F.col("s.ends").alias("end"))
-    return rows, settled.unionByName(spans)
+    return rows, made.where("body IS NULL").select("line", "start", "end").unionByName(spans)
 
 
 def kept_bytes(rows: DataFrame, spans: DataFrame) -> DataFrame:
