@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from ..config import LiveSettings
 from ..functions import boxes
 from ..functions.boxes import Box
-from .folds import Columns, Fold, State
-from .ordered import chunk, last_known, running_count
+from .folds import Body, Columns, Fold, State, before, bodies
+from .ordered import Bucketed, bucketed, last_known, running_count
 
 FRAME_KEYS = ("source_id", "frame_id")
 CELL_PIXELS = 128
@@ -54,10 +54,10 @@ def numbered_faces(
 
 
 def numbered_frames(
-    frames: DataFrame, order: Sequence[str] = ("ts", "frame_id"), rows_per_chunk: int | None = None
+    frames: DataFrame, order: Sequence[str] = ("ts", "frame_id"), span: float | None = None
 ) -> DataFrame:
     """Running frame number of each source."""
-    return running_count(chunk(frames, ["source_id"], order, rows_per_chunk), "frame_no")
+    return running_count(bucketed(frames, ["source_id"], order, span), "frame_no")
 
 
 def best_detection(detections: DataFrame, keys: Sequence[str] = FRAME_KEYS) -> DataFrame:
@@ -72,7 +72,7 @@ def hold_boxes(
     frames: DataFrame,
     detections: DataFrame,
     settings: LiveSettings = LiveSettings(),
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
 ) -> DataFrame:
     """Boxes per frame, where only every n-th frame was searched for faces.
 
@@ -83,7 +83,7 @@ def hold_boxes(
     """
     searched = F.when(is_sampled(F.col("frame_id"), settings.detect_every_n), F.struct("ts", "frame_id"))
     marked = frames.select("source_id", "frame_id", "ts", searched.alias("_searched"))
-    parts = chunk(marked, ["source_id"], ["ts", "frame_id"], rows_per_chunk)
+    parts = bucketed(marked, ["source_id"], ["ts", "frame_id"], span)
     known = last_known(parts, "_searched", "_from")
     age_ms = (F.col("ts") - F.col("_from.ts")) * F.lit(1000.0)
     fresh = (F.col("_from.frame_id") == F.col("frame_id")) | (age_ms <= F.lit(max(0.0, settings.hold_ms)))
@@ -121,6 +121,15 @@ class HoldFold(Fold):
             held_from.append(origin if held else None)
         return {"boxes": boxes, "ts": since, "frame_id": origin}, {"shown": shown, "held_from": held_from}
 
+    def heads(self, parts: Bucketed) -> DataFrame:
+        """The newest searched frame of each bucket."""
+        compose = lambda a, b: b if b["ts"] is not None else a
+        sum_up = lambda state, rows, size: (state, self.run(self.start(), rows, size)[0])
+        return before(bodies(parts, self, sum_up, compose), parts.keys, compose)
+
+    def enter(self, state: State, head: Body) -> State:
+        return head
+
 
 def matches_before(detections: DataFrame, least: float = LiveSettings.match_overlap) -> DataFrame:
     """Each box with the box of the frame before (``frame_id`` - 1, same source) it overlaps

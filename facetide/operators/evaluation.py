@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import chunk, running_count
+from .ordered import numbered
 
 
 def class_index(rows: DataFrame, label: str = "label") -> DataFrame:
     """(idx, label): distinct labels in text order, numbered from 0."""
     distinct = rows.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    numbered = running_count(chunk(distinct, [], ["label"]), "idx")
-    return numbered.select((F.col("idx") - 1).cast("int").alias("idx"), "label")
+    return numbered(distinct, ["label"], "idx").select((F.col("idx") - 1).cast("int").alias("idx"), "label")
 
 
 def with_class_index(rows: DataFrame, label: str = "label") -> DataFrame:

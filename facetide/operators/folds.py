@@ -2,14 +2,11 @@
 
 The same ``Fold`` runs over a table (here) and over a stream (``streaming.stateful``).
 
-Over a table every chunk of ``operators.ordered`` is folded on its own, starting from the
-state its predecessor ends in. For the keys that reach over a cut point a fold's ``settle``
-finds these states first. Three ways are used, all exact:
-
-* a fold that forgets (averages, vote windows, tracks) is run per chunk from the empty state,
-  then again from the predecessor's end until no start changes;
-* a fold with few states (label switch) is run from all of them at once;
-* a rate limit is run from every row it could start at.
+Over a table every bucket of ``operators.ordered`` is folded on its own, from the state the buckets before it lead to. To
+know that state a fold sums up each bucket in a small body that holds for every state the bucket can be entered with,
+and bodies of neighbouring buckets compose to one: an average is an affine map, a vote the newest labels, a label switch and a
+rate limit are small tables of entries and exits. ``before`` composes them in Spark. What a bucket starts from
+then travels to its rows as a head row of its own, sorted in front of them.
 """
 
 from __future__ import annotations
@@ -18,25 +15,27 @@ import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
-from itertools import groupby
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import shared_folder
-from .ordered import CHUNK, Chunked, chunk
+from ..session import stored
+from .ordered import BUCKET, Bucketed, bucketed, join_alike
 
 State = dict[str, Any]
 Columns = dict[str, Any]
-Place = tuple[tuple, int]  # (key values, chunk)
-Segment = tuple[Place, Columns, int]
+Body = Any  # a JSON value
 
-PARALLEL_ROUNDS = 4
+HEAD = "_head"  # JSON of what a bucket is entered with; null in the rows themselves
+BODY = "_body"
+BLOCK = "_block"
+FAN = 256  # buckets composed by one task at once
 
 
 class Fold(ABC):
@@ -55,164 +54,174 @@ class Fold(ABC):
     def run(self, state: State, rows: Columns, size: int) -> tuple[State, Columns]:
         """Walk over ``size`` rows (columns as arrays) and return the state and the outputs."""
 
-    def settle(self, hot: "HotRows") -> dict[Place, State]:
-        """The true start state of every place of the hot keys."""
-        return settle_by_repeating(self, hot)
-
-    # Hooks of ``settle_by_repeating``.
-
-    def neutral(self, state: State) -> State:
-        """``state`` without what does not influence later decisions."""
-        return state
-
-    def same(self, a: State, b: State) -> bool:
-        return a == b
+    @abstractmethod
+    def heads(self, parts: Bucketed) -> DataFrame:
+        """(keys, BUCKET, HEAD): what the buckets before lead to, in one or several rows."""
 
-    def resume(self, true_start: State, end: State) -> State | None:
-        """The true end of a place whose ``end`` was found from ``neutral(true_start)``;
-        None if that cannot be told without running it from ``true_start``."""
-        return end
+    @abstractmethod
+    def enter(self, state: State, head: Body) -> State:
+        """``state`` with what a head row tells."""
 
     @property
     def needed(self) -> list[str]:
         return list(dict.fromkeys([*self.order, *self.inputs]))
 
 
-class HotRows:
-    """Rows of the keys that reach over a cut point, kept sorted in the shared folder.
-
-    A summary made here has one row per place unless said otherwise, and there are at most
-    two places per cut point.
-    """
-
-    def __init__(self, parts: Chunked, columns: Sequence[str]):
-        shared_folder(parts.rows.sparkSession)
-        self.keys = list(parts.keys)
-        columns = list(dict.fromkeys([*parts.keys, CHUNK, *columns]))
-        narrow = replace(parts, rows=parts.hot_rows().select(*columns))
-        self.rows = narrow.laid_out().checkpoint()
-
-    def summaries(
-        self,
-        summarise: Callable[[Place, Iterator[Segment]], Iterable[Any]],
-        columns: Sequence[str],
-        chunks: Iterable[int] | None = None,
-    ) -> DataFrame:
-        """(place, summary) JSON rows; ``summarise`` sees the segments of one place in order."""
-        keys, needed = self.keys, list(columns)
-        schema = T.StructType([T.StructField("place", T.StringType()), T.StructField("summary", T.StringType())])
-
-        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            segments = (segment for batch in batches for segment in _segments(batch, keys, needed))
-            for place, group in groupby(segments, key=lambda segment: segment[0]):
-                made = [json.dumps(item) for item in summarise(place, group)]
-                where = [json.dumps([list(place[0]), place[1]])] * len(made)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.string()), pa.array(made, pa.string())], names=["place", "summary"]
-                )
+def fold_table(df: DataFrame, fold: Fold, span: float | None = None) -> DataFrame:
+    """``df`` with the fold's output columns. All rows are kept. ``df`` is read several times, so it should be
+    a stored table or cheap to compute."""
+    parts = bucketed(df, fold.keys, fold.order, span)
+    long = parts.long_keys()
+    entered = None
+    if not long.isEmpty():
+        rows = join_alike(parts.rows.select(*dict.fromkeys([*parts.place, *fold.needed])), long, parts.keys, "left_semi") if parts.keys else parts.rows
+        entered = fold.heads(replace(parts, rows=rows))
+    schema = T.StructType([*df.schema.fields, *fold.outputs.fields])
+    arrow_schema = to_arrow_schema(schema)
+    carried, outputs = df.columns, fold.outputs.fields
+    keys, needed = parts.keys, fold.needed
 
-        rows = self.rows if chunks is None else self.rows.where(F.col(CHUNK).isin(sorted(set(chunks))))
-        return rows.mapInArrow(work, schema)
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, state = None, None
+        for batch in batches:
+            made: dict[str, list] = {field.name: [] for field in outputs}
+            rows, columns = _opened(batch, needed)
+            for here, _, head, begin, end in _stretches(batch, [*keys, BUCKET]):
+                if here != place:
+                    place, state = here, fold.start()
+                for body in head:
+                    state = fold.enter(state, body)
+                if end > begin:
+                    state, out = fold.run(state, {k: v[begin:end] for k, v in columns.items()}, end - begin)
+                    for name, part in out.items():
+                        made[name].append(part)
+            kept = [rows.column(name).cast(arrow_schema.field(name).type) for name in carried]
+            added = [_to_arrow(made[f.name], arrow_schema.field(f.name).type) for f in outputs]
+            yield pa.RecordBatch.from_arrays([*kept, *added], schema=arrow_schema)
 
-    def ends(self, fold: Fold, starts: dict[Place, State], chunks: Iterable[int] | None = None) -> dict[Place, State]:
-        """End state of each place, started from ``starts`` or else from the empty state."""
+    return laid_out(parts, entered).mapInArrow(label, schema)
 
-        def finish(place: Place, segments: Iterator[Segment]) -> Iterable[State]:
-            state = starts.get(place) or fold.start()
-            for _, values, size in segments:
-                state, _ = fold.run(state, values, size)
-            yield state
 
-        return read_summaries(self.summaries(finish, fold.needed, chunks))
+def laid_out(parts: Bucketed, entered: DataFrame | None = None) -> DataFrame:
+    """Each bucket in order inside one partition, its head rows first."""
+    rows = parts.rows.withColumn(HEAD, F.lit(None).cast("string"))
+    if entered is not None:
+        rows = rows.unionByName(entered.select(*parts.place, HEAD), allowMissingColumns=True)
+    # As many tasks as the session has shuffle partitions: little data can still be much work in Python.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *parts.place).sortWithinPartitions(*parts.place, F.col(HEAD).isNull(), *parts.order)
 
 
-def read_summaries(summaries: DataFrame) -> dict[Place, Any]:
-    return {parse_place(row["place"]): json.loads(row["summary"]) for row in summaries.collect()}
+def bodies(parts: Bucketed, fold: Fold, sum_up: Callable[[State, Columns, int], tuple[State, Body]], compose: Callable[[Body, Body], Body], entered: DataFrame | None = None) -> DataFrame:
+    """(keys, BUCKET, BODY): one body per bucket, whose rows may come in several stretches."""
+    keys, needed = [*parts.keys, BUCKET], fold.needed
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, state, row, body, some = None, None, None, None, False
+        for batch in batches:
+            done = []
+            columns = _opened(batch, needed)[1]
+            for here, at, head, begin, end in _stretches(batch, keys):
+                if here != place:
+                    if some:
+                        done.append((row, body))
+                    place, state, row, some = here, fold.start(), batch.select(keys).slice(at, 1), False
+                for told in head:
+                    state = fold.enter(state, told)
+                if end > begin:
+                    state, more = sum_up(state, {k: v[begin:end] for k, v in columns.items()}, end - begin)
+                    body, some = (compose(body, more) if some else more), True
+            yield from _as_rows(done)
+        yield from _as_rows([(row, body)] if some else [])
 
-def parse_place(text: str) -> Place:
-    key, number = json.loads(text)
-    return tuple(key), number
+    schema = T.StructType([*(parts.rows.schema[k] for k in keys), T.StructField(BODY, T.StringType())])
+    return laid_out(parts, entered).mapInArrow(work, schema)
 
 
-def chunks_by_key(places: Iterable[Place]) -> dict[tuple, list[int]]:
-    found: dict[tuple, list[int]] = {}
-    for key, number in sorted(places, key=lambda place: place[1]):
-        found.setdefault(key, []).append(number)
-    return found
+def _as_rows(done: list[tuple[pa.RecordBatch, Body]], name: str = BODY) -> Iterator[pa.RecordBatch]:
+    if done:
+        table = pa.Table.from_batches([row for row, _ in done]).combine_chunks()
+        yield from table.append_column(name, pa.array([json.dumps(body) for _, body in done], pa.string())).to_batches()
 
 
-def settle_by_repeating(fold: Fold, hot: HotRows) -> dict[Place, State]:
-    """True start states of a fold that forgets.
+def before(table: DataFrame, keys: Sequence[str], compose: Callable[[Body, Body], Body]) -> DataFrame:
+    """(keys, BUCKET, HEAD) of every bucket but a key's first: the bodies of all earlier buckets, composed.
 
-    Rounds run all places whose start changed. What still differs after a few rounds is run
-    in order, one place after the other, so the outcome is always the sequential one.
+    Blocks of FAN bucket numbers are composed each by one task, then blocks of blocks, until each key has one; on the
+    way back a block's buckets start from what is before the block. So no task composes more than FAN bodies of a key.
     """
-    used: dict[Place, State] = {}
-    ends = hot.ends(fold, used)
-    chunks = chunks_by_key(ends)
-    for _ in range(PARALLEL_ROUNDS):
-        stale = {}
-        for key, numbers in chunks.items():
-            for before, number in zip(numbers, numbers[1:]):
-                wanted = fold.neutral(ends[key, before])
-                if not fold.same(wanted, used.get((key, number), fold.neutral(fold.start()))):
-                    stale[key, number] = wanted
-        if not stale:
-            break
-        again = hot.ends(fold, stale, [number for _, number in stale])
-        ends.update({place: again[place] for place in stale})
-        used.update(stale)
-    starts: dict[Place, State] = {}
-    for key, numbers in chunks.items():
-        state = fold.start()
-        for number in numbers:
-            place = (key, number)
-            starts[place] = state
-            end = None
-            if fold.same(fold.neutral(state), used.get(place, fold.neutral(fold.start()))):
-                end = fold.resume(state, ends[place])
-            state = hot.ends(fold, {place: state}, [number])[place] if end is None else end
-    return starts
-
-
-def fold_table(df: DataFrame, fold: Fold, rows_per_chunk: int | None = None) -> DataFrame:
-    """``df`` with the fold's output columns. All rows are kept."""
-    parts = chunk(df, fold.keys, fold.order, rows_per_chunk)
-    starts = fold.settle(HotRows(parts, fold.needed)) if parts.cut else {}
-    schema = T.StructType([*df.schema.fields, *fold.outputs.fields])
-    arrow_schema = to_arrow_schema(schema)
-    keys, needed, carried = list(fold.keys), fold.needed, df.columns
-
-    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, state = None, None
+    table = stored(table, "bodies")
+    block = F.expr(f"{BUCKET} div {FAN}")
+    reach = table.groupBy(*keys).agg((F.max(block) - F.min(block)).alias("_blocks"))
+    if reach.where("_blocks > 0").isEmpty():
+        return running(table, keys, compose)
+    blocks = table.withColumn(BLOCK, block)
+    totals = running(blocks, [*keys, BLOCK], compose, totals=True).drop(BUCKET).withColumnRenamed(BLOCK, BUCKET)
+    outer = before(totals, keys, compose).withColumnRenamed(BUCKET, BLOCK)
+    return running(blocks, [*keys, BLOCK], compose, outer).drop(BLOCK)
+
+
+def running(table: DataFrame, by: Sequence[str], step: Callable[[Body, Body], Body], entered: DataFrame | None = None, totals: bool = False) -> DataFrame:
+    """For each row of (``by``, BUCKET, BODY) the bodies before it in its group, composed (HEAD); with ``totals`` one
+    row per group with all of them (BODY). ``entered`` gives what is before a group. Rows stream through, none are gathered."""
+    rows = table.withColumn(HEAD, F.lit(None).cast("string"))
+    if entered is not None:
+        rows = rows.unionByName(entered, allowMissingColumns=True)
+    columns = list(dict.fromkeys([*by, BUCKET]))
+    in_order = rows.repartition(*by) if by else rows.repartition(1)
+    in_order = in_order.sortWithinPartitions(*by, F.col(HEAD).isNull(), BUCKET).select(*columns, HEAD, BODY)
+    by = list(by)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, body, some, last = None, None, False, None
         for batch in batches:
-            made: dict[str, list] = {field.name: [] for field in fold.outputs.fields}
-            for here, values, size in _segments(batch, keys, needed):
-                if here != place:
-                    place, state = here, starts.get(here) or fold.start()
-                state, out = fold.run(state, values, size)
-                for name, part in out.items():
-                    made[name].append(part)
-            kept = [batch.column(name).cast(arrow_schema.field(name).type) for name in carried]
-            added = [_to_arrow(made[f.name], arrow_schema.field(f.name).type) for f in fold.outputs.fields]
-            yield pa.RecordBatch.from_arrays([*kept, *added], schema=arrow_schema)
-
-    return parts.laid_out().mapInArrow(label, schema)
-
-
-def _segments(batch: pa.RecordBatch, keys: list[str], needed: list[str]) -> Iterator[Segment]:
-    """Stretches of one place in a sorted batch."""
-    if batch.num_rows == 0:
-        return
-    columns = {name: _to_values(batch.column(name)) for name in needed}
-    for begin, end in _runs([batch.column(name) for name in [*keys, CHUNK]], batch.num_rows):
-        place = tuple(batch.column(k)[begin].as_py() for k in keys), batch.column(CHUNK)[begin].as_py()
-        yield place, {name: values[begin:end] for name, values in columns.items()}, end - begin
+            names = [batch.column(k) for k in by]
+            heads, given = batch.column(HEAD), batch.column(BODY)
+            done = []
+            for begin, end in _runs(names, batch.num_rows):
+                here = tuple(k[begin].as_py() for k in names)
+                if here != group:
+                    if totals and some:
+                        done.append((last, body))
+                    group, some = here, False
+                for i in range(begin, end):
+                    row = batch.select(columns).slice(i, 1)
+                    if heads[i].is_valid:
+                        body, some = json.loads(heads[i].as_py()), True
+                        continue
+                    if some and not totals:
+                        done.append((row, body))
+                    more = json.loads(given[i].as_py())
+                    body, some, last = (step(body, more) if some else more), True, row
+            yield from _as_rows(done, BODY if totals else HEAD)
+        yield from _as_rows([(last, body)] if totals and some else [])
+
+    schema = T.StructType([*(rows.schema[k] for k in columns), T.StructField(BODY if totals else HEAD, T.StringType())])
+    return in_order.mapInArrow(work, schema)
+
+
+def _opened(batch: pa.RecordBatch, needed: list[str]) -> tuple[pa.RecordBatch, Columns]:
+    """The rows without head rows, and their columns as arrays."""
+    rows = batch.filter(pc.is_null(batch.column(HEAD)))
+    return rows, {name: _to_values(rows.column(name)) for name in needed}
+
+
+def _stretches(batch: pa.RecordBatch, place: list[str]) -> Iterator[tuple[tuple, int, list[Body], int, int]]:
+    """Stretches of one place in a sorted batch: the place, where it begins in the batch, its heads, and its rows
+    [begin, end) among the rows without heads."""
+    columns = [batch.column(name) for name in place]
+    heads = batch.column(HEAD)
+    is_head = heads.is_valid().to_numpy(zero_copy_only=False)
+    rows_before = np.concatenate([[0], np.cumsum(~is_head)])
+    for begin, end in _runs(columns, batch.num_rows):
+        told = [json.loads(heads[i].as_py()) for i in (begin + np.flatnonzero(is_head[begin:end])).tolist()]
+        yield tuple(c[begin].as_py() for c in columns), begin, told, int(rows_before[begin]), int(rows_before[end])
 
 
 def _runs(columns: list[pa.Array], size: int) -> list[tuple[int, int]]:
     """Stretches of consecutive rows with equal key columns."""
+    if not size:
+        return []
     change = np.zeros(size, dtype=bool)
     change[0] = True
     for column in columns:
@@ -232,12 +241,15 @@ def _to_values(column: pa.Array):
             return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), lengths[0].as_py())
         raise ValueError("vectors must be non-null and of one length")
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        return np.array(column.to_pylist(), dtype=object)
+        return np.array([*column.to_pylist(), None], dtype=object)[:-1]
     return column.to_numpy(zero_copy_only=False)
 
 
 def _to_arrow(parts: list, kind: pa.DataType) -> pa.Array:
-    flat: list = []
-    for part in parts:
-        flat.extend(part.tolist() if isinstance(part, np.ndarray) else part)
-    return pa.array(flat, type=kind)
+    if parts and all(isinstance(part, np.ndarray) for part in parts):
+        if parts[0].ndim == 2:  # one vector per row
+            values = np.concatenate(parts)
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())).cast(kind)
+        return pa.array(np.concatenate(parts)).cast(kind)
+    return pa.array([value for part in parts for value in part], type=kind)

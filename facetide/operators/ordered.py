@@ -1,207 +1,100 @@
 """Ordered work over keys of any size.
 
-A key such as a camera may hold a large share of all rows, so nothing here puts one key's
-rows into one task. The (keys, order) sort of large keys is cut into chunks of about equal size; a chunk is worked
-on alone, and only one small row per chunk and hot key crosses to the next.
-
-Cut points come from a hash sample of the sort keys, so a chunk number is a pure function of
-the row: a re-run after a lost executor gives the same chunks.
+A key such as a camera may hold a large share of all rows, so no key's rows are ever put into one task. Every key is cut into
+buckets of its first order column (time, frame number): a plain column, the same for every table size. A bucket is worked
+on alone, and what crosses to the next ones is one small row per bucket.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHUNK = "_chunk"
-ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 1_024
-SAMPLE_PER_CHUNK = 16
-MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+from ..session import stored
 
+BUCKET = "_bucket"
+SECONDS = 3_600.0  # of a bucket, where the order is a time
+NUMBERS = 100_000  # of a bucket, where it is a whole number
+ROWS_PER_BLOCK = 10_000  # of consecutive rows that look back only a little
+FARTHEST = 1 << 52  # number of the bucket that begins at zero; missing values come before, infinities and NaN after all others
 
-@dataclass(frozen=True)
-class Chunked:
-    """``rows`` with a CHUNK column: 0, 1, ... in keys that reach over a cut point (hot keys),
-    -1 in all other rows. ``chunks`` is their number, 0 if nothing was cut.
 
-    A table of one row per (hot key, chunk) has at most 2 * MAX_CHUNKS rows, which is what
-    makes broadcasting it safe.
-    """
+@dataclass(frozen=True)
+class Bucketed:
+    """``rows`` with a BUCKET column that follows ``order`` within ``keys``."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    chunks: int = 0
+    span: float | None = None
 
     @property
-    def cut(self) -> bool:
-        return self.chunks > 0
+    def place(self) -> tuple[str, ...]:
+        return (*self.keys, BUCKET)
 
     def window(self):
-        return Window.partitionBy(*self.keys, *([CHUNK] if self.cut else [])).orderBy(*self.order)
-
-    def hot_rows(self) -> DataFrame:
-        return self.rows.where(F.col(CHUNK) >= 0)
+        return Window.partitionBy(*self.place).orderBy(*self.order)
 
-    def laid_out(self) -> DataFrame:
-        """Each key, or each chunk of a hot key, in order inside one partition.
+    def long_keys(self) -> DataFrame:
+        """Keys of several buckets. Only for these does anything cross."""
+        reach = self.rows.groupBy(*self.keys).agg(F.min(BUCKET).alias("_low"), F.max(BUCKET).alias("_high"))
+        return reach.where("_low < _high").select(*self.keys)
 
-        Chunks get a partition of their own number, so no two of them meet by chance.
-        """
-        spark = self.rows.sparkSession
-        if self.cut:
-            parts = max(self.chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-            spread = F.pmod(F.hash(*self.keys), F.lit(parts)) if self.keys else F.lit(0)
-            placed = self.rows.repartitionById(parts, F.when(F.col(CHUNK) >= 0, F.col(CHUNK)).otherwise(spread))
-        else:
-            placed = self.rows.repartition(*self.keys)
-        return placed.sortWithinPartitions(*self.keys, CHUNK, *self.order)
 
+def bucket_number(column: Column, kind: T.DataType, span: float | None = None) -> Column:
+    """The bucket of a time in seconds, a timestamp, a date or a number, never negative; missing values first and NaN last, as they sort."""
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(F.floor(column / F.lit(span or NUMBERS)) + FARTHEST, F.lit(0))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        column = column.cast("timestamp").cast("double")
+    place = column.cast("double") / F.lit(float(span or SECONDS))
+    inside = F.floor(F.greatest(F.least(place, F.lit(float(FARTHEST))), F.lit(float(1 - FARTHEST))))
+    return F.when(column.isNull(), F.lit(0)).when(F.isnan(place), F.lit(2 * FARTHEST + 1)).otherwise(inside + FARTHEST)
 
-def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Null-safe equi-join with a broadcast table of proven size; join columns kept once."""
-    renamed = small.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in small.columns])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
-    return rows.join(F.broadcast(renamed), same, how).drop(*[f"_r_{c}" for c in on])
-
-
-def chunk(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rows_per_chunk: int | None = None,
-    max_chunks: int = MAX_CHUNKS,
-) -> Chunked:
-    """Number the chunks of the (keys, order) sort. ``order`` should make rows distinct.
-
-    A table of up to ``rows_per_chunk`` rows stays whole, and so does every key of up to that
-    many rows: only the rows of larger keys are cut. This reads the sort columns of ``df``
-    up to three times, so ``df`` should be a stored table or cheap to compute.
-    """
-    rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
-    by = [*keys, *order]
-    whole = Chunked(df.withColumn(CHUNK, F.lit(-1)), tuple(keys), tuple(order))
-    rows = df.select(*by).count()
-    wanted = min(max_chunks, math.ceil(rows / rows_per_chunk))
-    if wanted <= 1:
-        return whole
-    sample = _sample(df, by, rows, wanted)
-    large = _large_keys(df, sample, keys, rows_per_chunk)
-    cuts = _cut_points(sample, keys, large, wanted)
-    if not cuts:
-        return whole
-    return Chunked(df.withColumn(CHUNK, _chunk_number(df, keys, by, cuts)), tuple(keys), tuple(order), len(cuts) + 1)
-
-
-def _key_of(spot: Row, keys: Sequence[str]) -> tuple:
-    return tuple(spot["spot"][: len(keys)])
-
-
-def _sample(df: DataFrame, by: list[str], rows: int, wanted: int) -> list[Row]:
-    """A sorted hash sample of the sort columns, SAMPLE_PER_CHUNK rows per chunk on average.
-
-    The hash filter runs in the scan; equal spots are merged (``_copies``) before anything is
-    collected, and the limit keeps the list small even for a hash that falls badly.
-    """
-    size = wanted * SAMPLE_PER_CHUNK
-    drawn = df.select(*by).where(F.pmod(F.xxhash64(*by), F.lit(max(1, rows // size))) == 0)
-    spots = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("_copies"))
-    as_json = F.to_json(F.struct(*by), {**MICROSECONDS, "ignoreNullFields": "false"})
-    sorted_spots = spots.orderBy(*by).limit(4 * size)
-    return sorted_spots.select(F.struct(*by).alias("spot"), as_json.alias("json"), "_copies").collect()
-
-
-def _large_keys(df: DataFrame, sample: list[Row], keys: Sequence[str], rows_per_chunk: int) -> set[tuple]:
-    """Keys of more than ``rows_per_chunk`` rows. Such a key is sampled SAMPLE_PER_CHUNK times
-    on average; keys sampled more than once are counted exactly."""
-    if not keys:
-        return {()}
-    seen = Counter(_key_of(spot, keys) for spot in sample)
-    repeated = [key for key, times in seen.items() if times > 1]
-    if not repeated:
-        return set()
-    suspects = df.sparkSession.createDataFrame(repeated, df.select(*keys).schema)
-    counted = join_small(df.select(*keys), suspects, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return {tuple(row[:-1]) for row in counted.where(F.col("_rows") > rows_per_chunk).collect()}
-
-
-def _cut_points(sample: list[Row], keys: Sequence[str], large: set[tuple], wanted: int) -> list[Row]:
-    """The spots at which another ``wanted``-th of the sample is behind, in large keys only."""
-    step = max(1.0, sum(spot["_copies"] for spot in sample) / wanted)
-    picked, behind, goal = [], 0, step
-    for spot in sample:
-        if behind >= goal:
-            picked.append(spot)
-            goal = (behind // step + 1) * step
-        behind += spot["_copies"]
-    return [spot for spot in picked if _key_of(spot, keys) in large]
-
-
-def _chunk_number(df: DataFrame, keys: Sequence[str], by: list[str], cuts: list[Row]) -> Column:
-    """How many cut points are at or before a row; -1 in a key without a cut point.
-
-    A balanced tree of comparisons with constants, so a row costs as many comparisons as the
-    tree is deep and Spark can compile it.
-    """
-    spot = F.struct(*by)
-    kind = df.select(*by).schema
-    points = [F.from_json(F.lit(cut["json"]), kind, MICROSECONDS) for cut in cuts]
-
-    def in_key_of(number: int) -> Column:
-        matches = [F.col(key).eqNullSafe(points[number][key]) for key in keys]
-        return reduce(and_, matches, F.lit(True))
 
-    def leaf(number: int) -> Column:
-        beside = [n for n in (number - 1, number) if 0 <= n < len(cuts)]
-        if len(beside) == 2 and _key_of(cuts[beside[0]], keys) == _key_of(cuts[beside[1]], keys):
-            beside.pop()
-        return F.when(reduce(or_, [in_key_of(n) for n in beside]), F.lit(number)).otherwise(F.lit(-1))
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: float | None = None) -> Bucketed:
+    """``order`` should make rows distinct; ``span`` is the width of a bucket in units of its first column."""
+    number = bucket_number(F.col(order[0]), df.schema[order[0]].dataType, span)
+    return Bucketed(df.withColumn(BUCKET, number.cast("bigint")), tuple(keys), tuple(order), span)
 
-    def between(least: int, most: int) -> Column:
-        if least == most:
-            return leaf(least)
-        middle = (least + most) // 2
-        return F.when(spot < points[middle], between(least, middle)).otherwise(between(middle + 1, most))
 
-    return between(0, len(cuts))
+def join_alike(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Null-safe equi-join; join columns kept once. Which side is sent where is left to Spark."""
+    renamed = other.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in other.columns])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on], F.lit(True))
+    return rows.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
 
 
-def _carried(parts: Chunked, summary: Sequence[Column], carry: dict[str, Callable]) -> DataFrame:
-    """One row per (hot key, chunk): each summary folded over the key's earlier chunks."""
-    per_chunk = parts.hot_rows().groupBy(*parts.keys, CHUNK).agg(*summary)
-    before = Window.partitionBy(*parts.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(*parts.keys, CHUNK, *[fold(before).alias(name) for name, fold in carry.items()])
+def _carried(parts: Bucketed, summary: Sequence[Column], carry: dict[str, Callable]) -> DataFrame:
+    """One row per (key, bucket): each summary folded over the key's earlier buckets."""
+    per_bucket = parts.rows.groupBy(*parts.place).agg(*summary)
+    before = Window.partitionBy(*parts.keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return per_bucket.select(*parts.place, *[fold(before).alias(name) for name, fold in carry.items()])
 
 
-def running_count(parts: Chunked, name: str) -> DataFrame:
+def running_count(parts: Bucketed, name: str) -> DataFrame:
     """1-based row number per key in order."""
     local = parts.rows.withColumn(name, F.row_number().over(parts.window()).cast("bigint"))
-    if not parts.cut:
-        return local.drop(CHUNK)
     offsets = _carried(parts, [F.count(F.lit(1)).alias("_n")], {"_offset": lambda w: F.sum("_n").over(w)})
-    joined = join_small(local, offsets, [*parts.keys, CHUNK], "left")
-    return joined.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset", CHUNK)
+    joined = join_alike(local, offsets, parts.place, "left")
+    return joined.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset", BUCKET)
 
 
-def last_known(parts: Chunked, value: str, name: str) -> DataFrame:
+def last_known(parts: Bucketed, value: str, name: str) -> DataFrame:
     """The newest non-null ``value`` of the key up to and including each row."""
     running = parts.window().rowsBetween(Window.unboundedPreceding, 0)
     local = parts.rows.withColumn(name, F.last(value, ignorenulls=True).over(running))
-    if not parts.cut:
-        return local.drop(CHUNK)
     known = F.when(F.col(value).isNotNull(), F.struct(*parts.order))
     newest = F.max_by(F.col(value), known).alias("_newest")
     carried = _carried(parts, [newest], {"_before": lambda w: F.last("_newest", ignorenulls=True).over(w)})
-    joined = join_small(local, carried, [*parts.keys, CHUNK], "left")
-    return joined.withColumn(name, F.coalesce(name, "_before")).drop("_before", CHUNK)
+    joined = join_alike(local, carried, parts.place, "left")
+    return joined.withColumn(name, F.coalesce(name, "_before")).drop("_before", BUCKET)
 
 
 def trailing(
@@ -210,23 +103,37 @@ def trailing(
     order: Sequence[str],
     size: int,
     results: dict[str, Callable],
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Windows over the last ``size`` rows of a key, current row included.
 
-    ``results`` maps a new column to a function of the window. A hot key is cut into blocks
-    of consecutive rows; the last ``size`` - 1 rows of a block are also given to the next one
-    as context and dropped again afterwards.
+    ``results`` maps a new column to a function of the window. The rows of a key are numbered and cut into blocks
+    of consecutive ones; the last ``size`` - 1 rows of a block are also given to the next one as context and
+    dropped again afterwards.
     """
-    parts = chunk(df, keys, order, rows_per_chunk)
-    if not parts.cut:
-        frame = parts.window().rowsBetween(-(size - 1), 0)
-        return df.withColumns({name: make(frame) for name, make in results.items()})
-    length = max(rows_per_chunk or ROWS_PER_CHUNK, size)
-    numbered = running_count(parts, "_n").withColumn("_block", F.expr(f"(_n - 1) div {length}"))
+    length = max(rows_per_block, size)
+    numbered = running_count(bucketed(df, keys, order, span), "_n").withColumn("_block", F.expr(f"(_n - 1) div {length}"))
     tail = (F.col("_n") - 1) % length >= length - (size - 1)
     homes = F.when(tail, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array("_block"))
     spread = numbered.withColumn("_home", F.explode(homes))
     frame = Window.partitionBy(*keys, "_home").orderBy("_n").rowsBetween(-(size - 1), 0)
     done = spread.withColumns({name: make(frame) for name, make in results.items()})
     return done.where(F.col("_home") == F.col("_block")).drop("_n", "_block", "_home")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """1-based row number of a whole table in the order of any columns.
+
+    Spark's range partitions are written once with each row's partition and place; the rows before a partition are added
+    up from one count per partition.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(ranges, "ranges").withColumn("_part", F.shiftright("_at", 33))
+    before, total = [], 0
+    for part, size in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):  # one row per partition
+        before.append((part, total))
+        total += size
+    offsets = df.sparkSession.createDataFrame(before, "_part bigint, _offset bigint")
+    place = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_part", "_at", "_offset")

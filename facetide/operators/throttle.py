@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import fresh_folder
-from .folds import Columns, Fold, HotRows, Place, Segment, State, chunks_by_key, fold_table, parse_place
-
-LISTED_ENTRIES = 1_000_000  # entry rows up to which the driver reads them all
+from .folds import Body, Columns, Fold, State, before, bodies, fold_table
+from .ordered import Bucketed
 
 
 class Entries:
-    """Follows, in one walk over sorted times, every chain a chunk can be entered by.
+    """Follows, in one walk over sorted times, every chain a stretch can be entered by.
 
     A chain is the passed rows after some first passed row. All chains that pass at the same
     row are one from there on, so each row is added and taken off at most once.
@@ -82,60 +80,39 @@ class ThrottleFold(Fold):
             at += 1
         return {"last": last}, {"passed": passed}
 
-    def settle(self, hot: HotRows) -> dict[Place, State]:
+    def heads(self, parts: Bucketed) -> DataFrame:
         interval, time = self.interval, self.time
+        compose = lambda a, b: composed(a, b, interval)
 
-        def entries(place: Place, segments: Iterator[Segment]) -> Iterable[tuple[float, float]]:
+        def sum_up(state: State, rows: Columns, size: int) -> tuple[State, Body]:
             followed = Entries(interval)
-            for _, values, _ in segments:
-                for value in np.asarray(values[time], dtype="float64"):
-                    if value == value:
-                        followed.see(float(value))
-            return followed.table() or [(None, None)]
-
-        spark = hot.rows.sparkSession
-        folder = fresh_folder(spark, "entries")
-        pair = F.from_json("summary", "array<double>")
-        found = hot.summaries(entries, [time]).select("place", F.get(pair, F.lit(0)).alias("entry"), F.get(pair, F.lit(1)).alias("exit"))
-        found.write.parquet(folder)
-        table = spark.read.parquet(folder)
-        look = _listed(table, interval) if table.count() <= LISTED_ENTRIES else _looked_up(table, interval)
-        places = {parse_place(row[0]): row[0] for row in table.select("place").distinct().collect()}
-        starts: dict[Place, State] = {}
-        for key, numbers in chunks_by_key(places).items():
-            last = None
-            for number in numbers:
-                starts[key, number] = {"last": last}
-                last = look(places[key, number], last)
-        return starts
-
-
-def _listed(table: DataFrame, interval: float):
-    by_place: dict[str, tuple[list[float], list[float]]] = {}
-    for place, entry, leave in table.where(F.col("entry").isNotNull()).orderBy("place", "entry").collect():
-        entries, exits = by_place.setdefault(place, ([], []))
-        entries.append(entry)
-        exits.append(leave)
-
-    def look(place: str, last: float | None) -> float | None:
-        entries, exits = by_place.get(place, ([], []))
-        at = 0 if last is None else bisect_left(entries, True, key=lambda entry: entry - last >= interval)
-        return exits[at] if at < len(entries) else last
-
-    return look
-
-
-def _looked_up(table: DataFrame, interval: float):
-    """One filtered read per chunk, for data with very many rows inside one interval."""
-
-    def look(place: str, last: float | None) -> float | None:
-        rows = table.where((F.col("place") == place) & F.col("entry").isNotNull())
-        if last is not None:
-            rows = rows.where(F.col("entry") - F.lit(last) >= F.lit(interval))
-        row = rows.agg(F.min_by("exit", "entry")).first()
-        return last if row[0] is None else row[0]
-
-    return look
+            for value in np.asarray(rows[time], dtype="float64").tolist():
+                if value == value:
+                    followed.see(value)
+            return state, {"first": followed.first, "pairs": [list(pair) for pair in followed.table()]}
+
+        return before(bodies(parts, self, sum_up, compose), parts.keys, compose)
+
+    def enter(self, state: State, head: Body) -> State:
+        return {"last": leave(head["pairs"], None, self.interval)}
+
+
+def leave(pairs: list[list[float]], last: float | None, interval: float) -> float | None:
+    """The last passed row after a stretch that was entered with ``last``."""
+    at = 0 if last is None else bisect_left(pairs, True, key=lambda pair: pair[0] - last >= interval)
+    return pairs[at][1] if at < len(pairs) else last
+
+
+def composed(a: Body, b: Body, interval: float) -> Body:
+    """Two neighbouring stretches as one: entries of the first end where the second leaves them; what passes none of the
+    first enters at the second. No entry lies behind the first one that is an interval after the beginning."""
+    if a["first"] is None:
+        return b
+    pairs = [[entry, leave(b["pairs"], last, interval)] for entry, last in a["pairs"]]
+    if not pairs or pairs[-1][0] - a["first"] < interval:
+        reach = next((i + 1 for i, (entry, _) in enumerate(b["pairs"]) if entry - a["first"] >= interval), len(b["pairs"]))
+        pairs += b["pairs"][:reach]
+    return {"first": a["first"], "pairs": pairs}
 
 
 def throttle(
@@ -144,11 +121,12 @@ def throttle(
     interval: float,
     keys: Sequence[str] = ("source_id",),
     ties: Sequence[str] = ("frame_id", "face_id"),
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
 ) -> DataFrame:
     """The events that pass. By default the limit is per source, so of several faces in one
     frame only the first passes; put ``face_id`` in ``keys`` to limit each face alone."""
+    timed = events.where(F.col(time).isNotNull() & ~F.isnan(time))  # the others never pass
     if interval <= 0:
-        return events.where(F.col(time).isNotNull() & ~F.isnan(time))
-    marked = fold_table(events, ThrottleFold(keys, time, ties, interval), rows_per_chunk)
+        return timed
+    marked = fold_table(timed, ThrottleFold(keys, time, ties, interval), span)
     return marked.where("passed").drop("passed")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LiveSettings
-from .folds import Columns, Fold, State, fold_table
+from ..session import stored
+from .folds import BODY, HEAD, Body, Columns, Fold, State, bodies, fold_table, running
+from .ordered import BUCKET, Bucketed, bucket_number, join_alike
+
+SECONDS = 60.0  # of a bucket: many times a track's life
+MOMENTS = 10  # lives of a track at the end of a bucket from which the tracks at hand are guessed
 
 # A track in a state: its number, its box, when it was last seen, and the box it took in the
 # current frame (None if none yet). A track that has taken a box is not matched again before
@@ -40,10 +49,11 @@ def best_overlap(box: Sequence[int], tracks: list[list]) -> tuple[float, list |
 class TrackFold(Fold):
     """Track number per box. A frame is all rows of a key with one (time, frame).
 
-    In a state made by ``neutral`` the tracks at hand are numbered -1, -2, ... in an order
-    that depends on their boxes only, and new ones 1, 2, ...; ``resume`` puts the true numbers
-    back. When a choice between two such tracks rested on their order alone the end state is
-    marked as tied, and the chunk is run again from its true start.
+    A bucket's boxes can be followed before its true tracks are known: from tracks at hand that are only guessed, numbered -1,
+    -2, ... from the oldest, new ones 1, 2, ... Tracks live for a short time, so a guess soon makes no difference. ``heads``
+    follows the last moments of each bucket from no tracks at all, all buckets from what that gave, then those again
+    whose guess was not what the buckets before lead to, until every guess was right. A choice between two tracks at hand that
+    overlap a box equally rests on their age; such a bucket (tied) must have been followed with their true order too.
     """
 
     def __init__(
@@ -92,34 +102,99 @@ class TrackFold(Fold):
                 live.append([number, box, seen, None])
         return live
 
-    def neutral(self, state: State) -> State:
-        tracks = [[-place - 1, *track[1:]] for place, track in enumerate(_by_boxes(state["tracks"]))]
-        return {"tracks": tracks, "frame": state["frame"], "next": 1, "tied": False}
-
-    def same(self, a: State, b: State) -> bool:
-        return a["tracks"] == b["tracks"] and a["frame"] == b["frame"]
-
-    def resume(self, true_start: State, end: State) -> State | None:
-        if end["tied"]:
-            return None
-        at_hand = [track[ID] for track in _by_boxes(true_start["tracks"])]
-        shift = true_start["next"] - 1
-
-        def true_number(number: int) -> int:
-            return at_hand[-number - 1] if number < 0 else number + shift
-
-        tracks = sorted([true_number(track[ID]), *track[1:]] for track in end["tracks"])
-        return {**end, "tracks": tracks, "next": end["next"] + shift, "tied": False}
-
-
-def _by_boxes(tracks: list) -> list:
-    """Tracks in an order given by their boxes; equal ones oldest first."""
-
-    def place(track: list) -> tuple:
-        age = (0, -track[ID]) if track[ID] < 0 else (1, track[ID])
-        return track[BOX], track[SEEN], track[TAKEN] or [], age
-
-    return sorted(tracks, key=place)
+    def heads(self, parts: Bucketed) -> DataFrame:
+        time = self.order[0]
+
+        def sum_up(state: State, rows: Columns, size: int) -> tuple[State, Body]:
+            begun = state.get("begun")
+            if begun is None:
+                first = float(rows[time][0])
+                state = {**state, "tracks": self._next_frame(state["tracks"], None, first)}
+                begun = {"first": first, "start": [track[1:3] for track in state["tracks"]]}
+            after, _ = self.run(state, rows, size)
+            return {**after, "begun": begun}, {**begun, "tracks": after["tracks"], "frame": after["frame"], "new": after["next"] - 1, "tied": after["tied"]}
+
+        newest = lambda a, b: b  # noqa: E731  (a later stretch's body holds for all of the bucket)
+        soon = bucket_number(F.col(time) + MOMENTS * self.ttl, parts.rows.schema[time].dataType, parts.span)
+        ends = bodies(replace(parts, rows=parts.rows.where(soon > F.col(BUCKET))), self, sum_up, newest)
+        table = stored(bodies(parts, self, sum_up, newest, self._guesses_after(ends, parts)), "followed")
+        while True:
+            chain = stored(running(table, parts.keys, self.go_on), "chain")
+            stale = stored(self._wrong_guesses(table, chain, parts), "guesses")
+            if stale.isEmpty():
+                return chain
+            again = join_alike(parts.rows, stale.select(*parts.place), parts.place, "left_semi")
+            followed = bodies(replace(parts, rows=again), self, sum_up, newest, stale)
+            table = stored(join_alike(table, stale.select(*parts.place), parts.place, "left_anti").unionByName(followed), "followed")
+
+    def _guesses_after(self, ends: DataFrame, parts: Bucketed) -> DataFrame:
+        """(keys, BUCKET, HEAD) of the buckets next to those that end so."""
+        names = list(parts.place)
+
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                heads = []
+                for body in map(json.loads, batch.column(BODY).to_pylist()):
+                    live = self._next_frame(body["tracks"], body["frame"], body["frame"][0])
+                    heads.append(json.dumps({"guess": [track[1:3] for track in live]}))
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(heads, pa.string())], [*names, HEAD])
+
+        made = ends.mapInArrow(work, T.StructType([*(ends.schema[n] for n in names), T.StructField(HEAD, T.StringType())]))
+        return made.withColumn(BUCKET, F.col(BUCKET) + 1)
+
+    def _wrong_guesses(self, table: DataFrame, chain: DataFrame, parts: Bucketed) -> DataFrame:
+        """(keys, BUCKET, HEAD) of the buckets to follow again, with what the buckets before lead to."""
+        names = list(parts.place)
+        both = join_alike(table, chain, names, "inner").select(*names, BODY, HEAD)
+
+        def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, heads = [], []
+                for i in range(batch.num_rows):
+                    body, known = json.loads(batch.column(BODY)[i].as_py()), json.loads(batch.column(HEAD)[i].as_py())
+                    live = self.at_hand(known, body["first"])
+                    if not self.guessed(body, live):
+                        rows.append(i)
+                        heads.append(json.dumps({"guess": [track[1:3] for track in live]}))
+                kept = batch.select(names).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(heads, pa.string())], [*names, HEAD])
+
+        return both.mapInArrow(work, T.StructType([*(both.schema[n] for n in names), T.StructField(HEAD, T.StringType())]))
+
+    def at_hand(self, known: Body, time: float) -> list:
+        """Tracks that are alive at ``time``, oldest first."""
+        return sorted(self._next_frame(known["tracks"], known["frame"], time))
+
+    def guessed(self, body: Body, live: list) -> bool:
+        """Was the bucket followed from these tracks?"""
+        boxes = [list(track[1:3]) for track in live]
+        return boxes == body["start"] if body["tied"] else sorted(boxes) == sorted(body["start"])
+
+    def go_on(self, known: Body, body: Body) -> Body:
+        """What a bucket leads to from the true tracks ``known``: its own tracks with their true numbers.
+
+        The first bucket of a key needs none. After a wrong guess only the boxes hold, until the bucket is followed again.
+        """
+        live = self.at_hand(known, body["first"])
+        shift = known["new"]
+        numbers = [track[ID] for track in live]
+        if sorted(list(track[1:3]) for track in live) == sorted(body["start"]):
+            place = {at: numbers[own] for at, own in zip(_by_boxes(body["start"]), _by_boxes([track[1:3] for track in live]))}
+        else:
+            place = {at: -1 - at for at in range(len(body["start"]))}
+        tracks = [[place[-track[ID] - 1] if track[ID] < 0 else track[ID] + shift, *track[1:]] for track in body["tracks"]]
+        return {"tracks": tracks, "frame": body["frame"], "new": body["new"] + shift}
+
+    def enter(self, state: State, head: Body) -> State:
+        if "guess" in head:
+            tracks = [[-place - 1, box, seen, None] for place, (box, seen) in enumerate(head["guess"])]
+            return {**self.start(), "tracks": tracks}
+        return {"tracks": sorted(head["tracks"]), "frame": head["frame"], "next": head["new"] + 1, "tied": False}
+
+
+def _by_boxes(tracks: list) -> list[int]:
+    """Places of (box, last seen) in an order given by them; equal ones oldest first."""
+    return sorted(range(len(tracks)), key=lambda place: (tracks[place], place))
 
 
 def assign_tracks(
@@ -129,11 +204,11 @@ def assign_tracks(
     frame: str = "frame_id",
     number: str = "det_no",
     settings: LiveSettings = LiveSettings(),
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
 ) -> DataFrame:
     """``boxes`` (x, y, w, h per source, time in seconds, frame and box number) with ``track_id``.
 
     Track numbers count up from 1 per source. A track unseen for longer than its time to live
     is gone.
     """
-    return fold_table(boxes, TrackFold(keys, time, frame, number, settings), rows_per_chunk)
+    return fold_table(boxes, TrackFold(keys, time, frame, number, settings), span or SECONDS)

@@ -18,12 +18,12 @@ from ..session import stored
 
 
 def faces_on_frames(
-    frames: DataFrame, detections: DataFrame, settings: LiveSettings = LiveSettings(), rows_per_chunk: int | None = None
+    frames: DataFrame, detections: DataFrame, settings: LiveSettings = LiveSettings(), span: float | None = None
 ) -> DataFrame:
     """Confident boxes, held over frames that were not searched, cut to the frame, with tracks."""
-    shown = D.hold_boxes(frames, D.confident(detections, settings.min_confidence), settings, rows_per_chunk)
+    shown = D.hold_boxes(frames, D.confident(detections, settings.min_confidence), settings, span)
     boxes = stored(D.clamped(shown), "boxes")
-    return assign_tracks(boxes, settings=settings, rows_per_chunk=rows_per_chunk)
+    return assign_tracks(boxes, settings=settings, span=span)
 
 
 def events_from_faces(
@@ -32,7 +32,7 @@ def events_from_faces(
     features: str = "features",
     labels: Sequence[str] = EMOTIONS,
     settings: LiveSettings = LiveSettings(),
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
 ) -> DataFrame:
     """Score, smooth per track, limit per source, and shape as wire events.
 
@@ -41,8 +41,8 @@ def events_from_faces(
     """
     scored = usable(score_faces(faces, scorer_factory, features)).drop(features, "logits", "score_failed")
     track = ["source_id", "track_id"]
-    shown = smooth(stored(scored, "scored"), track, ["ts", "frame_id"], labels, settings, rows_per_chunk)
-    sent = throttle(stored(shown.drop("probs"), "smoothed"), "ts", settings.send_interval, ties=("frame_id", "det_no"), rows_per_chunk=rows_per_chunk)
+    shown = smooth(stored(scored, "scored"), track, ["ts", "frame_id"], labels, settings, span)
+    sent = throttle(stored(shown.drop("probs"), "smoothed"), "ts", settings.send_interval, ties=("frame_id", "det_no"), span=span)
     event = {
         "face_id": F.col("track_id"),
         "producer_ts": F.col("ts"),
@@ -62,8 +62,8 @@ def frames_to_events(
     features: str = "features",
     labels: Sequence[str] = EMOTIONS,
     settings: LiveSettings = LiveSettings(),
-    rows_per_chunk: int | None = None,
+    span: float | None = None,
 ) -> DataFrame:
     """``detections`` carry a feature vector per box; the result feeds ingest or a Kafka sink."""
-    faces = faces_on_frames(frames, detections, settings, rows_per_chunk)
-    return events_from_faces(faces, scorer_factory, features, labels, settings, rows_per_chunk)
+    faces = faces_on_frames(frames, detections, settings, span)
+    return events_from_faces(faces, scorer_factory, features, labels, settings, span)

@@ -397,12 +397,12 @@ def _timed(events: DataFrame) -> DataFrame:
 
 @query
 def throttle_events(spark, folder):
-    return throttle(_timed(views.emotion_events(spark, folder)), "t", THROTTLE_SECONDS)
+    return throttle(stored(_timed(views.emotion_events(spark, folder)), "timed"), "t", THROTTLE_SECONDS)
 
 
 @query
 def throttle_faces(spark, folder):
-    events = _timed(views.emotion_events(spark, folder))
+    events = stored(_timed(views.emotion_events(spark, folder)), "timed")
     return throttle(events, "t", THROTTLE_SECONDS, keys=("source_id", "face_id"), ties=("frame_id",))
 
 

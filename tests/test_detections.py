@@ -54,12 +54,12 @@ def test_matches_before_has_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 25])
-def test_hold(spark, rows_per_chunk):
+@pytest.mark.parametrize("span", [None, 2.5])
+def test_hold(spark, span):
     """Every third frame is searched, 100 ms apart, held for 150 ms: the second frame after is empty."""
     frames = spark.createDataFrame([("a", i, i * 0.1) for i in range(300)], "source_id string, frame_id long, ts double")
     found = spark.createDataFrame([("a", i, 1, i, 0, 5, 5) for i in range(300) if i % 6], SCHEMA)
-    held = D.hold_boxes(frames, found, LiveSettings(hold_ms=150), rows_per_chunk)
+    held = D.hold_boxes(frames, found, LiveSettings(hold_ms=150), span)
     got = {r.frame_id: (r.held_from, r.x) for r in held.collect()}
     searched = [i for i in range(0, 300, 3) if i % 6]  # every other search finds nothing, and holds nothing
     assert got == {f: (i, i) for i in searched for f in (i, i + 1)}

@@ -1,4 +1,4 @@
-"""Folds on whole and on cut keys, against the plain sequential rules."""
+"""Folds on keys of one and of many buckets, against the plain sequential rules."""
 
 import random
 
@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 import brute
 from facetide.config import LiveSettings
-from facetide.operators import smoothing, throttle as throttling
-from facetide.operators.folds import HotRows
-from facetide.operators.ordered import chunk
-from facetide.operators.smoothing import average_probs, smooth, switch_labels, vote_labels
-from facetide.operators.throttle import ThrottleFold, throttle
+from facetide.operators import folds
+from facetide.operators.folds import BODY, before
+from facetide.operators.ordered import BUCKET
+from facetide.operators.smoothing import Switching, SwitchState, average_probs, smooth, switch, switch_labels, vote_labels
+from facetide.operators.throttle import throttle
 from facetide.operators.tracking import assign_tracks
 
-SIZES = [None, 120, 37]
+SPANS = [None, 120, 37]
 
 
 def times(kind, size=2500):
@@ -33,26 +33,18 @@ def times(kind, size=2500):
 
 
 @pytest.mark.parametrize("kind", ["periodic", "bursts", "dense", "equal"])
-@pytest.mark.parametrize("rows_per_chunk", SIZES)
-def test_throttle(spark, kind, rows_per_chunk):
+@pytest.mark.parametrize("span", [None, 4.0, 0.7, 0.05])
+def test_throttle(spark, kind, span):
     series = times(kind)
     rows = [("cam", t, i, 0) for i, t in enumerate(series)] + [(f"c{i % 7}", float(i), i, 1) for i in range(300)]
     rows += [("cam", None, -1, 0), ("cam", float("nan"), -2, 0)]
     frame = spark.createDataFrame(rows, "source_id string, t double, frame_id long, face_id long").repartition(4)
-    sent = throttle(frame, "t", 0.5, rows_per_chunk=rows_per_chunk)
+    sent = throttle(frame, "t", 0.5, span=span)
     got = sorted(r.frame_id for r in sent.where("source_id = 'cam'").collect())
     assert got == [i for i, ok in enumerate(brute.throttle(series, 0.5)) if ok]
     assert sent.where("source_id <> 'cam'").count() == 300
 
 
-def test_throttle_looks_up_entries_when_there_are_many(spark, monkeypatch):
-    monkeypatch.setattr(throttling, "LISTED_ENTRIES", 10)
-    series = times("bursts", 900)
-    frame = spark.createDataFrame([("cam", t, i, 0) for i, t in enumerate(series)], "source_id string, t double, frame_id long, face_id long")
-    got = sorted(r.frame_id for r in throttle(frame, "t", 0.5, rows_per_chunk=100).collect())
-    assert got == [i for i, ok in enumerate(brute.throttle(series, 0.5)) if ok]
-
-
 def test_throttle_without_interval_and_per_face(spark):
     frame = spark.createDataFrame([("a", 1.0, 1, 1), ("a", 1.0, 1, 2), ("a", 1.2, 2, 1)], "source_id string, t double, frame_id long, face_id long")
     assert throttle(frame, "t", 0.0).count() == 3
@@ -78,56 +70,91 @@ def faces(spark, hot):
 TRACK = ["source_id", "track_id"]
 
 
-@pytest.mark.parametrize("rows_per_chunk", SIZES)
+@pytest.mark.parametrize("span", SPANS)
 @pytest.mark.parametrize("alpha", [0.65, 0.05])
-def test_average(spark, rows_per_chunk, alpha):
+def test_average(spark, span, alpha):
     hot = vectors(1, 1500, 3)
-    done = average_probs(faces(spark, hot), TRACK, ["frame_id"], alpha, rows_per_chunk)
+    done = average_probs(faces(spark, hot), TRACK, ["frame_id"], alpha, span)
     got = [r.ema for r in done.where("track_id = 1").orderBy("frame_id").collect()]
     for mine, want in zip(got, brute.averages(hot, alpha), strict=True):
         assert mine == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("rows_per_chunk", SIZES)
-def test_vote(spark, rows_per_chunk):
+@pytest.mark.parametrize("span", SPANS)
+def test_vote(spark, span):
     rng = random.Random(4)
     labels = [rng.choice("abcd") for _ in range(1500)]
     frame = spark.createDataFrame([("x", i, v) for i, v in enumerate(labels)], "k string, n long, label string")
-    got = [r.vote_label for r in vote_labels(frame, ["k"], ["n"], "label", 15, rows_per_chunk).orderBy("n").collect()]
+    got = [r.vote_label for r in vote_labels(frame, ["k"], ["n"], "label", 15, span).orderBy("n").collect()]
     assert got == brute.votes(labels, 15)
 
 
 @pytest.mark.parametrize("low", [0.0, 0.5, 1.01])
-@pytest.mark.parametrize("rows_per_chunk", SIZES)
-def test_switch(spark, rows_per_chunk, low):
+@pytest.mark.parametrize("span", SPANS)
+def test_switch(spark, span, low):
     """With ``low`` above every score nothing ever switches, so no chunk forgets its start."""
     rng = random.Random(5)
     offers = [(rng.choice("aabc"), rng.random()) for _ in range(1500)]
     rows = [("x", i, label, score) for i, (label, score) in enumerate(offers)]
     frame = spark.createDataFrame(rows, "k string, n long, candidate string, candidate_score double")
     settings = LiveSettings(min_score=low, confirm_frames=3)
-    shown = switch_labels(frame, ["k"], ["n"], settings, rows_per_chunk).orderBy("n").collect()
+    shown = switch_labels(frame, ["k"], ["n"], settings, span).orderBy("n").collect()
     assert [(r.stable_label, r.stable_score) for r in shown] == brute.switch(offers, low, 3)
 
 
-def test_switch_with_too_many_states_is_settled_by_repeating(spark, monkeypatch):
-    monkeypatch.setattr(smoothing, "MOST_STATES", 2)
+def test_switch_with_missing_labels_and_many_of_them(spark):
     rng = random.Random(6)
-    offers = [(rng.choice("ab"), rng.random()) for _ in range(600)]
+    names = [f"n{i}" for i in range(300)]
+    offers = [(rng.choice([None, None, "a", rng.choice(names)]), rng.random()) for _ in range(900)]
     rows = [("x", i, label, score) for i, (label, score) in enumerate(offers)]
     frame = spark.createDataFrame(rows, "k string, n long, candidate string, candidate_score double")
-    settings = LiveSettings(min_score=1.01, confirm_frames=3)
-    shown = switch_labels(frame, ["k"], ["n"], settings, 100).orderBy("n").collect()
-    assert [(r.stable_label, r.stable_score) for r in shown] == brute.switch(offers, 1.01, 3)
-
-
-@pytest.mark.parametrize("rows_per_chunk", SIZES)
+    settings = LiveSettings(min_score=0.2, confirm_frames=2)
+    shown = [switch_labels(frame, ["k"], ["n"], settings, span).orderBy("n").collect() for span in (None, 50, 7)]
+    assert shown[0] == shown[1] == shown[2]
+    state, want = SwitchState(), []
+    for label, score in offers:
+        state = switch(state, label, score, 0.2, 2)
+        want.append((state.stable, state.score))
+    assert [(r.stable_label, r.stable_score) for r in shown[0]] == want
+
+
+def test_switching_tables_compose():
+    rng = random.Random(2)
+    for confirm in (1, 2, 4):
+        rule = Switching(0.4, confirm)
+        for _ in range(60):
+            parts = [[(rng.choice([None, "a", "b", "c"]), rng.random()) for _ in range(rng.randint(1, 5))] for _ in range(4)]
+            bodies = [rule.sum_up(*zip(*part)) for part in parts]
+            left = rule.compose(rule.compose(bodies[0], bodies[1]), rule.compose(bodies[2], bodies[3]))
+            right = rule.compose(bodies[0], rule.compose(bodies[1], rule.compose(bodies[2], bodies[3])))
+            for label in (None, "a", "b", "z"):
+                for pending in (None, "a", "c", "y"):
+                    for seen in range(confirm):
+                        if label is None and (pending or seen) or pending is not None and not seen or pending == label:
+                            continue
+                        begun = state = SwitchState(label, 0.5, pending, seen)
+                        for offer in (o for part in parts for o in part):
+                            state = switch(state, *offer, 0.4, confirm)
+                        assert rule.follow(left, begun) == rule.follow(right, begun) == state
+
+
+def test_before_composes_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(folds, "FAN", 3)
+    rows = [("a", i, f'"{i} "') for i in range(100) if i % 7] + [("b", 5, '"x"'), (None, 1, '"y"'), (None, 2, '"z"')]
+    table = spark.createDataFrame(rows, f"k string, {BUCKET} long, {BODY} string").repartition(4)
+    got = {(r[0], r[1]): r[2] for r in before(table, ["k"], lambda a, b: a + b).collect()}
+    numbers = [i for i in range(100) if i % 7]
+    want = {("a", n): '"' + "".join(f"{m} " for m in numbers if m < n) + '"' for n in numbers[1:]}
+    assert got == {**want, (None, 2): '"y"'}
+
+
+@pytest.mark.parametrize("span", SPANS)
 @pytest.mark.parametrize("sharp", [1, 6])
-def test_smooth(spark, rows_per_chunk, sharp):
+def test_smooth(spark, span, sharp):
     hot = vectors(7, 1200, sharp)
     settings = LiveSettings(min_score=0.5, confirm_frames=3, vote_window=5)
     names = ["a", "b", "c"]  # class 3 has no name
-    shown = smooth(faces(spark, hot), TRACK, ["frame_id"], names, settings, rows_per_chunk)
+    shown = smooth(faces(spark, hot), TRACK, ["frame_id"], names, settings, span)
     got = shown.where("track_id = 1").orderBy("frame_id").collect()
     means = brute.averages(hot, settings.ema_alpha)
     top = [(m.index(max(m)), max(m)) for m in means]
@@ -166,9 +193,9 @@ def tie_frames():
     return frames
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 200, 61])
+@pytest.mark.parametrize("span", [None, 21.0, 5.0])
 @pytest.mark.parametrize("case", ["wander", "crowd", "still", "ties"])
-def test_tracks(spark, rows_per_chunk, case):
+def test_tracks(spark, span, case):
     frames = {
         "wander": lambda: walk(1, 700, 3),
         "crowd": lambda: walk(2, 150, 12),
@@ -179,18 +206,8 @@ def test_tracks(spark, rows_per_chunk, case):
     rows += [("other", float(i), i, 0, 0, 0, 9, 9) for i in range(40)]
     frame = spark.createDataFrame(rows, "source_id string, ts double, frame_id long, det_no long, x int, y int, w int, h int")
     settings = LiveSettings(match_overlap=0.25)
-    done = assign_tracks(frame.repartition(4), settings=settings, rows_per_chunk=rows_per_chunk)
+    done = assign_tracks(frame.repartition(4), settings=settings, span=span)
     got = {(r.frame_id, r.det_no): r.track_id for r in done.where("source_id = 'cam'").collect()}
     want = brute.tracks(frames, 0.9, 0.25)
     assert got == {(i, n): t for i, numbers in enumerate(want) for n, t in enumerate(numbers)}
     assert done.count() == len(rows)
-
-
-def test_hot_rows_summaries_stay_small(spark):
-    frame = spark.createDataFrame([("cam", i / 30, i, 0) for i in range(2000)], "source_id string, t double, frame_id long, face_id long")
-    fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), 0.5)
-    parts = chunk(frame, fold.keys, fold.order, 100)
-    hot = HotRows(parts, fold.needed)
-    starts = fold.settle(hot)
-    assert 15 <= len(starts) <= 21
-    assert hot.rows.count() == 2000

@@ -1,4 +1,4 @@
-"""Ordered operators on keys cut into chunks, against plain Python."""
+"""Ordered operators on keys cut into buckets, against plain Python."""
 
 import datetime as dt
 import random
@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from facetide.operators import ordered
-from facetide.operators.ordered import CHUNK, chunk, last_known, running_count, trailing
+from facetide.operators.evaluation import class_index
+from facetide.operators.ordered import BUCKET, FARTHEST, bucketed, last_known, numbered, running_count, trailing
 
 SCHEMA = "k string, t double, n long, v string"
 
@@ -44,48 +44,41 @@ def by_key(rows):
     return groups
 
 
-def test_chunks_follow_the_sort_and_bound_hot_keys(frame, rows):
-    parts = chunk(frame, ["k"], ["t", "n"], rows_per_chunk=100)
-    found = {r.n: r[CHUNK] for r in parts.rows.collect()}
+def test_buckets_follow_the_sort(frame, rows):
+    parts = bucketed(frame, ["k"], ["t", "n"], 10.0)
+    found = {r.n: r[BUCKET] for r in parts.rows.collect()}
     assert len(found) == len(rows)
     hot = [found[r[2]] for r in by_key(rows)["hot"]]
-    assert hot == sorted(hot)
-    sizes = [hot.count(c) for c in set(hot)]
-    assert max(sizes) < 400 and len(sizes) > 8
-    assert {r.k for r in parts.hot_rows().select("k").distinct().collect()} == {"hot"}
-    spread = parts.laid_out().where("k = 'hot'").select(F.spark_partition_id().alias("p"), CHUNK).distinct()
-    assert spread.count() == spread.select("p").distinct().count() == len(sizes)
+    assert hot == sorted(hot) and len(set(hot)) == 11  # one for missing times
+    assert {r.k for r in bucketed(frame, ["k"], ["t", "n"], 1000.0).long_keys().collect()} >= {"hot"}
+    assert bucketed(frame.where("t IS NOT NULL"), ["k"], ["t", "n"], 1000.0).long_keys().isEmpty()
 
 
-def test_chunks_are_the_same_again(frame):
-    first = chunk(frame, ["k"], ["t", "n"], rows_per_chunk=100).rows
-    again = chunk(frame.repartition(3), ["k"], ["t", "n"], rows_per_chunk=100).rows
-    assert first.exceptAll(again).isEmpty()
+def test_buckets_of_odd_values(spark):
+    odd = spark.createDataFrame([(None,), (float("-inf"),), (-0.5,), (0.0,), (3.0,), (1e300,), (float("inf"),), (float("nan"),)], "t double")
+    numbers = [r[BUCKET] for r in bucketed(odd, [], ["t"], 1.0).rows.orderBy("t").collect()]
+    assert numbers == sorted(numbers) and [n - FARTHEST for n in numbers[2:5]] == [-1, 0, 3] and min(numbers) == 0 and len(set(numbers)) == 7
+    days = spark.sql("SELECT DATE'2024-01-01' AS t UNION ALL SELECT DATE'2024-01-02'")
+    assert len({r[BUCKET] for r in bucketed(days, [], ["t"]).rows.collect()}) == 2
 
 
-def test_small_table_and_small_keys_stay_whole(spark, frame):
-    assert chunk(frame, ["k"], ["t", "n"]).cut is False
-    even = spark.range(2000).select((F.col("id") % 500).alias("k"), "id")
-    assert chunk(even, ["k"], ["id"], rows_per_chunk=50).cut is False
-
-
-@pytest.mark.parametrize("rows_per_chunk", [None, 100, 17])
-def test_running_count(frame, rows, rows_per_chunk):
-    counted = running_count(chunk(frame, ["k"], ["t", "n"], rows_per_chunk), "pos")
+@pytest.mark.parametrize("span", [None, 9.0, 0.7])
+def test_running_count(frame, rows, span):
+    counted = running_count(bucketed(frame, ["k"], ["t", "n"], span), "pos")
     want = {row[2]: i + 1 for group in by_key(rows).values() for i, row in enumerate(group)}
     assert {r.n: r.pos for r in counted.collect()} == want
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 100])
-def test_running_count_without_keys(frame, rows, rows_per_chunk):
-    counted = running_count(chunk(frame, [], ["t", "n"], rows_per_chunk), "pos")
+@pytest.mark.parametrize("span", [None, 9.0])
+def test_running_count_without_keys(frame, rows, span):
+    counted = running_count(bucketed(frame, [], ["t", "n"], span), "pos")
     want = {row[2]: i + 1 for i, row in enumerate(sorted(rows, key=sort_key))}
     assert {r.n: r.pos for r in counted.collect()} == want
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 100, 17])
-def test_last_known(frame, rows, rows_per_chunk):
-    known = last_known(chunk(frame, ["k"], ["t", "n"], rows_per_chunk), "v", "newest")
+@pytest.mark.parametrize("span", [None, 9.0, 0.7])
+def test_last_known(frame, rows, span):
+    known = last_known(bucketed(frame, ["k"], ["t", "n"], span), "v", "newest")
     want = {}
     for group in by_key(rows).values():
         newest = None
@@ -95,10 +88,10 @@ def test_last_known(frame, rows, rows_per_chunk):
     assert {r.n: r.newest for r in known.collect()} == want
 
 
-@pytest.mark.parametrize("rows_per_chunk", [None, 100, 20])
-def test_trailing(frame, rows, rows_per_chunk):
+@pytest.mark.parametrize("rows_per_block", [10_000, 100, 20])
+def test_trailing(frame, rows, rows_per_block):
     results = {"seen": lambda w: F.collect_list("n").over(w), "low": lambda w: F.min("n").over(w)}
-    done = trailing(frame, ["k"], ["t", "n"], 15, results, rows_per_chunk)
+    done = trailing(frame, ["k"], ["t", "n"], 15, results, rows_per_block=rows_per_block)
     want = {}
     for group in by_key(rows).values():
         numbers = [row[2] for row in group]
@@ -108,16 +101,23 @@ def test_trailing(frame, rows, rows_per_chunk):
     assert {r.n: (r.seen, r.low) for r in done.collect()} == want
 
 
-def test_cut_points_on_timestamps(spark):
+def test_counts_on_timestamps(spark):
     start = dt.datetime(2024, 1, 1)
     moments = [("cam", start + dt.timedelta(microseconds=i * 1_000_003)) for i in range(1500)]
     frame = spark.createDataFrame(moments, "k string, at timestamp")
-    counted = running_count(chunk(frame, ["k"], ["at"], rows_per_chunk=64), "pos")
+    counted = running_count(bucketed(frame, ["k"], ["at"], 64), "pos")
     found = [r.pos for r in counted.orderBy("at").collect()]
     assert found == list(range(1, 1501))
 
 
-def test_most_chunks(frame):
-    parts = chunk(frame, ["k"], ["t", "n"], rows_per_chunk=10, max_chunks=6)
-    assert parts.hot_rows().select(CHUNK).distinct().count() <= 6
-    assert ordered.MAX_CHUNKS >= 6
+def test_numbered_by_ranges(spark):
+    words = [f"w{i * 7919 % 3001:04}" for i in range(3001)]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").repartition(6)
+    assert [r.pos for r in numbered(frame, ["w"], "pos").orderBy("w").collect()] == list(range(1, 3002))
+    assert numbered(frame.where("false"), ["w"], "pos").collect() == []
+
+
+def test_class_index_has_no_window_of_one_partition(spark):
+    plan = class_index(spark.createDataFrame([("b",), ("a",), (None,)], "label string"))
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in plan.orderBy("idx").collect()] == [(0, "a"), (1, "b")]
