@@ -12,10 +12,9 @@ from ..config import LiveSettings
 from ..functions import boxes
 from ..functions.boxes import Box
 from .folds import Body, Columns, Fold, State, before, bodies
-from .ordered import Bucketed, bucketed, last_known, running_count
+from .ordered import Bucketed, bucketed, last_known, running_count, trailing
 
 FRAME_KEYS = ("source_id", "frame_id")
-CELL_PIXELS = 128
 
 
 def sampled_frames(frames: DataFrame, every_n: int) -> DataFrame:
@@ -131,43 +130,26 @@ class HoldFold(Fold):
         return head
 
 
-def matches_before(detections: DataFrame, least: float = LiveSettings.match_overlap) -> DataFrame:
-    """Each box with the box of the frame before (``frame_id`` - 1, same source) it overlaps
-    most, at least ``least``; the lower ``det_no`` on a tie. One row per matched box.
+def matches_before(detections: DataFrame, least: float = LiveSettings.match_overlap, span: float | None = None) -> DataFrame:
+    """Each box with the box of the frame before it overlaps most, at least ``least``; the lower ``det_no`` on a tie. One row
+    per matched box.
 
-    Boxes that overlap share a grid cell, so the join runs on (source, frame, cell) and never
-    pairs all boxes of two frames; equal boxes of a frame are compared once.
+    The frame before is the last one of the source that has boxes, whatever its number. Boxes are put together by frame, as one
+    picture holds few of them; frames then look back one row within their source.
     """
     if least <= 0:
         raise ValueError("least must be positive: boxes that do not overlap are not compared")
-    box = ("x", "y", "w", "h")
-    shapes = detections.groupBy(*FRAME_KEYS, *box).agg(F.min("det_no").alias("det_no"))
-    now = _on_cells(shapes)
-    before = _on_cells(shapes.withColumn("frame_id", F.col("frame_id") + 1))
-    before = before.select(*FRAME_KEYS, "_cell_x", "_cell_y", *[F.col(c).alias(f"prev_{c}") for c in (*box, "det_no")])
-    mine, theirs = Box.named(), Box.named("prev_")
-    # The pair belongs to the cell of the upper left corner of what both share.
-    at_corner = (_cell(F.greatest(mine.x, theirs.x)) == F.col("_cell_x")) & (
-        _cell(F.greatest(mine.y, theirs.y)) == F.col("_cell_y")
-    )
-    # Both sides grow with the data, so neither is broadcast.
-    pairs = now.join(before.hint("merge"), [*FRAME_KEYS, "_cell_x", "_cell_y"]).where(at_corner)
-    scored = pairs.withColumn("iou", boxes.overlap(mine, theirs)).where(F.col("iou") >= F.lit(least))
-    best = scored.groupBy(*FRAME_KEYS, *box).agg(
-        F.max(F.struct("iou", (-F.col("prev_det_no")).alias("_behind"))).alias("_best")
-    )
-    matched = best.select(
-        *FRAME_KEYS, *box, (-F.col("_best._behind")).alias("prev_det_no"), F.col("_best.iou").alias("iou")
-    )
-    return detections.join(matched.hint("merge"), [*FRAME_KEYS, *box])
-
-
-def _cell(pixel: Column) -> Column:
-    return F.floor(pixel / F.lit(float(CELL_PIXELS)))
-
-
-def _on_cells(shapes: DataFrame) -> DataFrame:
-    solid = shapes.where((F.col("w") > 0) & (F.col("h") > 0))
-    across = F.explode(F.sequence(_cell(F.col("x")), _cell(F.col("x") + F.col("w") - 1)))
-    down = F.explode(F.sequence(_cell(F.col("y")), _cell(F.col("y") + F.col("h") - 1)))
-    return solid.withColumn("_cell_x", across).withColumn("_cell_y", down)
+    columns = [name for name in detections.columns if name not in FRAME_KEYS]
+    pictures = detections.groupBy(*FRAME_KEYS).agg(F.collect_list(F.struct(*columns)).alias("_boxes"))
+    seen = trailing(pictures, ["source_id"], ["frame_id"], 2, {"_seen": lambda w: F.collect_list("_boxes").over(w)}, span)
+    pairs = seen.where(F.size("_seen") == 2).select(*FRAME_KEYS, F.explode("_boxes").alias("_box"), F.get("_seen", F.lit(0)).alias("_before"))
+    mine = Box(*(F.col(f"_box.{side}") for side in "xywh"))
+
+    def scored(other: Column) -> Column:
+        iou = boxes.overlap(mine, Box(other.x, other.y, other.w, other.h))
+        return F.struct(iou.alias("iou"), (-other.det_no).alias("behind"))
+
+    # Exploded from an array of one, so that it is worked out once and not again in the filter and in each column.
+    best = pairs.select(*FRAME_KEYS, "_box", F.explode(F.array(F.array_max(F.transform("_before", scored)))).alias("_best")).where(F.col("_best.iou") >= F.lit(least))
+    shown = [F.col(f"_box.{name}").alias(name) for name in columns]
+    return best.select(*FRAME_KEYS, *shown, (-F.col("_best.behind")).alias("prev_det_no"), F.col("_best.iou").alias("iou"))

@@ -281,7 +281,8 @@ SELECT CAST(event_id AS BIGINT) AS n, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v,
 UNION ALL SELECT event_id + 1099511627776, value, event_type FROM events""",
     "recent_by_date": f"""WITH {EVENTS},{RECENT} SELECT source_id, frame_id, event_ts, emotion, score FROM recent""",
     "store_mixed_depth": f"""WITH {EVENTS}
-SELECT source_id, frame_id, face_id, emotion, score, event_ts, CASE WHEN frame_id % 2 = 0 THEN event_date END AS event_date FROM stored""",
+SELECT source_id, frame_id, face_id, emotion, score, event_ts, CASE WHEN frame_id % 4 = 0 THEN event_date END AS event_date,
+       CASE frame_id % 4 WHEN 2 THEN emotion WHEN 3 THEN CAST(frame_id AS VARCHAR) END AS note FROM stored""",
     "recent_by_clock": f"""WITH {EVENTS},{RECENT} SELECT source_id, frame_id, event_ts FROM recent""",
     "frame_rate": FRAME_RATE,
     "bbox_to_pixels": """
@@ -307,11 +308,14 @@ SELECT source_id, frame_id, det_no, x, y, w, h, round(conf, 6) AS conf FROM rank
     "frame_counter": f"""WITH {FRAMES}
 SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, frame_id) AS frame_no FROM frames""",
     "iou_match": f"""WITH {_detections()},
+linked AS (
+  SELECT source_id, frame_id, lag(frame_id) OVER (PARTITION BY source_id ORDER BY frame_id) AS before
+  FROM (SELECT DISTINCT source_id, frame_id FROM cut)),
 pairs AS (
   SELECT a.source_id, a.frame_id, a.det_no, b.det_no AS prev_det_no, a.w * a.h + b.w * b.h AS areas,
          greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))
          * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared
-  FROM cut a JOIN cut b ON b.source_id = a.source_id AND b.frame_id = a.frame_id - 1),
+  FROM cut a JOIN linked USING (source_id, frame_id) JOIN cut b ON b.source_id = a.source_id AND b.frame_id = before),
 scored AS (SELECT *, CAST(shared AS DOUBLE) / (areas - shared) AS iou FROM pairs),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source_id, frame_id, det_no ORDER BY iou DESC, prev_det_no) AS r

@@ -241,14 +241,19 @@ def recent_by_date(spark, folder):
 
 @query
 def store_mixed_depth(spark, folder):
-    """A folder with files of narrower columns at its root beside those of each date, united with a folder that is missing."""
+    """A folder with files of narrower numbers at its root, of each date, and in plain sub-folders one and two levels deep whose
+    ``note`` is a number or a text, united with a folder that is missing."""
     path = fresh_folder(spark, "mixed")
     events = views.emotion_events(spark, folder)
-    late = F.col("frame_id") % 2 == 0
-    events.where(late).write.partitionBy("event_date").parquet(path)
-    events.where(~late).drop("event_date").withColumn("frame_id", F.col("frame_id").cast("int")).write.mode("append").parquet(path)
+    quarter = lambda n: events.where(F.col("frame_id") % 4 == n)
+    bare = lambda n: quarter(n).drop("event_date")
+    quarter(0).write.partitionBy("event_date").parquet(path)
+    bare(1).withColumn("frame_id", F.col("frame_id").cast("int")).write.mode("append").parquet(path)
+    bare(2).withColumn("note", F.col("emotion")).write.parquet(f"{path}/plain")
+    bare(3).withColumn("note", F.col("frame_id").cast("int")).write.parquet(f"{path}/one/two")
+    bare(3).write.parquet(f"{path}/one/two/too_deep")
     found = union_events(read_events(spark, path), read_events(spark, fresh_folder(spark, "missing")))
-    return found.select("source_id", "frame_id", "face_id", "emotion", "score", "event_ts", "event_date")
+    return found.select("source_id", "frame_id", "face_id", "emotion", "score", "event_ts", "event_date", "note")
 
 
 @query
@@ -320,8 +325,7 @@ def frame_counter(spark, folder):
 
 @query
 def iou_match(spark, folder):
-    found = stored(D.clamped(views.detections(spark, folder)), "boxes")
-    matched = D.matches_before(found)
+    matched = D.matches_before(D.clamped(views.detections(spark, folder)).select("source_id", "frame_id", "det_no", "x", "y", "w", "h"))
     return matched.select("source_id", "frame_id", "det_no", "prev_det_no", F.round("iou", 6).alias("iou"))
 
 

@@ -28,18 +28,20 @@ def test_box_rescale_and_relative(spark):
     assert tuple(row) == (20, 40, 66, 80, 10, 20, 33, 40, -1, 50, 25, 99, 0.0)
 
 
+@pytest.mark.parametrize("span", [None, 2])
 @pytest.mark.parametrize("shape", ["spread", "copies"])
-def test_matches_before(spark, shape):
+def test_matches_before(spark, shape, span):
     rng = random.Random(shape)
     rows = []
-    for frame in range(12):
+    frames = [f for f in range(16) if f not in (3, 7, 8)]  # the frame before is the last that exists
+    for frame in frames:
         for number in range(1, 15):
             box = (rng.randrange(-50, 600), rng.randrange(400), rng.randrange(1, 300), rng.randrange(1, 300))
             rows.append(("a", frame, number, *((10, 10, 50, 50) if shape == "copies" and number % 2 else box)))
-    got = D.matches_before(spark.createDataFrame(rows, SCHEMA), 0.25).collect()
+    got = D.matches_before(spark.createDataFrame(rows, SCHEMA), 0.25, span).collect()
     want = {}
     for _, frame, number, *box in rows:
-        scored = [(brute.iou(box, r[3:]), -r[2]) for r in rows if r[1] == frame - 1]
+        scored = [(brute.iou(box, r[3:]), -r[2]) for r in rows if r[1] == max((f for f in frames if f < frame), default=None)]
         best = max(scored, default=(0, 0))
         if best[0] >= 0.25:
             want[frame, number] = (-best[1], best[0])
