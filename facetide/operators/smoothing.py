@@ -232,7 +232,7 @@ class SwitchFold(Fold):
 
 
 class CandidateFold(Fold):
-    """Fading average and vote of a track."""
+    """Fading average and vote of a track. ``model`` names what the probabilities come from; a new one starts afresh."""
 
     def __init__(
         self,
@@ -241,22 +241,25 @@ class CandidateFold(Fold):
         labels: Sequence[str],
         settings: LiveSettings = LiveSettings(),
         probs: str = "probs",
+        model: str | None = None,
     ):
         self.keys, self.order, self.inputs = tuple(keys), tuple(order), (probs,)
         self.outputs = T.StructType(
             [T.StructField("vote_label", T.StringType()), T.StructField("ema_score", T.DoubleType())]
         )
-        self.labels, self.settings, self.probs = list(labels), settings, probs
+        self.labels, self.settings, self.probs, self.model = list(labels), settings, probs, model
 
     def start(self) -> State:
-        return {"ema": None, "votes": []}
+        return {"ema": None, "votes": [], "model": self.model}
 
     def run(self, state: State, rows: Columns, size: int) -> tuple[State, Columns]:
+        if state.get("model") != self.model:  # what another model gave is forgotten
+            state = self.start()
         averages = fade(None if state["ema"] is None else np.array(state["ema"]), rows[self.probs], self.settings.ema_alpha)
         # A shorter window than the state was built with keeps the newest votes.
         window = deque(state["votes"], maxlen=self.settings.votes)
         votes = [vote(window, class_label(self.labels, top)) for top in averages.argmax(axis=1).tolist()]
-        return {"ema": averages[-1].tolist(), "votes": list(window)}, {
+        return {"ema": averages[-1].tolist(), "votes": list(window), "model": self.model}, {
             "vote_label": votes,
             "ema_score": averages.max(axis=1),
         }
@@ -296,6 +299,8 @@ class SmoothFold(CandidateFold):
         return {**super().start(), "switch": list(SwitchState())}
 
     def run(self, state: State, rows: Columns, size: int) -> tuple[State, Columns]:
+        if state.get("model") != self.model:
+            state = self.start()
         after, out = super().run(state, rows, size)
         current, shown = SwitchState(*state["switch"]), []
         for label, score in zip(out["vote_label"], out["ema_score"].tolist()):

@@ -388,6 +388,50 @@ SELECT CAST(o_orderkey % 12 + 1 AS INTEGER) AS epoch, round(avg(o_totalprice / 1
     "stream_to_both": f"""WITH {EVENTS}
 SELECT source_id, frame_id, emotion, place FROM stored, (VALUES (0), (1)) places(place)""",
     "stream_timeline": TIMELINE,
+    "stream_watermark_account": f"""WITH {EVENTS},
+fed AS (
+  SELECT frame_id % 4 AS part, event_ts, event_minute, lower(emotion) AS emotion FROM stored WHERE emotion IS NOT NULL),
+marks AS (
+  SELECT part, max(max(event_ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS mark
+  FROM fed GROUP BY part),
+judged AS (
+  SELECT f.*, coalesce(date_trunc('minute', f.event_ts) + INTERVAL 1 MINUTE <= m.mark, false) AS behind FROM fed f JOIN marks m USING (part))
+SELECT count(*) AS n_input, count(*) FILTER (NOT behind) AS n_kept, count(*) FILTER (behind) AS n_dropped,
+       count(DISTINCT (part, event_minute, emotion)) FILTER (behind) AS groups_dropped FROM judged""",
+    "stream_pair_outcome": f"""WITH {EVENTS},
+bad AS (SELECT count(*) > 0 AS any_bad FROM stored WHERE score IS NULL)
+SELECT name, CASE WHEN NOT any_bad THEN 'finished' WHEN name = 'strict' THEN 'failed' ELSE 'stopped' END AS outcome,
+       any_bad AND name = 'strict' AS told FROM bad, (VALUES ('keep'), ('strict')) AS pair(name)""",
+    "stream_late_rows": f"""WITH {EVENTS},
+e AS (
+  SELECT source_id, frame_id % 4 AS part, {{'t': epoch_us(event_ts), 'frame': frame_id, 'face': face_id}} AS place FROM stored),
+newest AS (
+  SELECT source_id, part, max(max(place)) OVER (PARTITION BY source_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM e GROUP BY source_id, part)
+SELECT source_id, count(*) AS n_rows, count(*) FILTER (place < seen) AS n_late FROM e JOIN newest USING (source_id, part) GROUP BY source_id""",
+    "stream_vote_change": f"""WITH RECURSIVE {FACE_PROBS},
+fed AS (
+  SELECT *, least(CAST(floor(frame_id * 3 / (SELECT max(frame_id) FROM probs)) AS INTEGER), 2) AS part FROM probs),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY track_id, part = 2 ORDER BY frame_id) AS rn FROM fed),
+ema AS (
+  SELECT track_id, frame_id, part, rn, p AS e FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.track_id, o.frame_id, o.part, o.rn,
+         list_transform(range(1, 9), lambda i: 0.65::DOUBLE * o.p[i] + (1::DOUBLE - 0.65::DOUBLE) * m.e[i])
+  FROM ema m JOIN ordered o ON o.track_id = m.track_id AND o.rn = m.rn + 1 AND (o.part = 2) = (m.part = 2)),
+tops AS (
+  SELECT track_id, frame_id, part, {NAMES}[list_position(e, list_max(e))] AS top, list_max(e) AS score FROM ema),
+wide AS (
+  SELECT *, list(top) OVER (PARTITION BY track_id, part = 2 ORDER BY frame_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS seen FROM tops),
+ballots AS (
+  SELECT track_id, frame_id, unnest(votes) AS choice, generate_subscripts(votes, 1) AS spot
+  FROM (SELECT track_id, frame_id, CASE WHEN part = 0 THEN seen ELSE seen[-3:] END AS votes FROM wide)),
+counts AS (
+  SELECT track_id, frame_id, choice, count(*) AS n, max(spot) AS newest FROM ballots GROUP BY ALL),
+voted AS (
+  SELECT track_id, frame_id, arg_max(choice, n * 1000 + newest) AS vote_label FROM counts GROUP BY ALL)
+SELECT track_id, frame_id, vote_label, round(score, 6) AS ema_score FROM voted JOIN tops USING (track_id, frame_id)""",
     "stream_frame_rate": FRAME_RATE,
     "stream_throttle": THROTTLE,
     "stream_smooth": SMOOTH,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +15,16 @@ from ..functions.boxes import Box
 from ..operators import detections as D
 from ..operators import evaluation as E
 from ..operators.scoring import score_faces, usable, with_labels
-from ..operators.smoothing import SmoothFold, average_probs, smooth, switch_labels, vote_labels
+from ..operators.smoothing import CandidateFold, SmoothFold, average_probs, smooth, switch_labels, vote_labels
 from ..operators.throttle import ThrottleFold, throttle
 from ..operators.tracking import TrackFold, assign_tracks
 from ..schemas import EMOTIONS
 from ..session import fresh_folder, prepare, stored
-from ..sinks.files import append_to_both, compact_dates, write_labels
+from ..sinks.files import append_stream, append_to_both, compact_dates, write_labels
 from ..sources import labels as label_source
 from ..sources.store import read_events, stream_events, union_events
 from ..streaming import jobs
-from ..streaming.stateful import fold_stream, timely
+from ..streaming.stateful import fold_stream, late_rows, timely
 from . import analytics, ingest, live, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -507,10 +507,23 @@ def _table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def _as_stream(rows: DataFrame, purpose: str) -> DataFrame:
-    path = fresh_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
-    return stream_events(rows.sparkSession, path, rows.schema)
+PARTS = 4  # files, and so micro-batches, of the streams made from tables
+
+
+def _as_stream(rows: DataFrame, purpose: str, part: Column) -> DataFrame:
+    """``rows`` as a stream of one file per micro-batch; ``part`` (0 to PARTS - 1) tells the file of a row."""
+    spark, path = rows.sparkSession, fresh_folder(rows.sparkSession, purpose)
+    table = stored(rows.withColumn("_part", part), f"{purpose}-rows")
+    for number in range(PARTS):  # the order of the files is that of their times
+        table.where(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return stream_events(spark, path, rows.schema, max_files=1)
+
+
+def _by_time(rows: DataFrame, time: str) -> Column:
+    """PARTS stretches of ``time`` of equal length, in order."""
+    low, high = rows.agg(F.min(time).cast("double"), F.max(time).cast("double")).first()
+    place = (F.col(time).cast("double") - F.lit(low)) * F.lit(PARTS / (high - low or 1.0))
+    return F.least(F.floor(place), F.lit(PARTS - 1))
 
 
 @query
@@ -533,13 +546,38 @@ def stream_to_both(spark, folder):
 
 @query
 def stream_timeline(spark, folder):
-    raw = views.messages(_table_stream(spark, folder, "events"))
-    counts = jobs.live_timeline(ingest.ingest(raw, arrival="timestamp"))
+    raw = views.messages(views.table(spark, folder, "events"))
+    events = ingest.ingest(_as_stream(raw, "raw", _by_time(raw, "timestamp")), arrival="timestamp")
     path, mark = fresh_folder(spark, "stream-timeline"), fresh_folder(spark, "stream-timeline-progress")
-    jobs.keep_updates(counts, path, mark, "available-now").awaitTermination()
+    jobs.keep_updates(jobs.live_timeline(events), path, mark, "available-now").awaitTermination()
     return jobs.current_rows(spark, path, ["minute", "emotion"])
 
 
+@query
+def stream_watermark_account(spark, folder):
+    """A timeline of events that come in disorder: every part holds events of all times, so most are behind the watermark
+    from the third part on (Spark drops by the watermark that the batch before began with). All rows are accounted for."""
+    events = views.emotion_events(spark, folder).where("emotion IS NOT NULL").select("event_ts", "emotion", "frame_id")
+    stream = jobs.counted_input(_as_stream(events, "disorder", F.col("frame_id") % PARTS))
+    path, mark = fresh_folder(spark, "account"), fresh_folder(spark, "account-progress")
+    books = jobs.accounted(spark, lambda: jobs.keep_updates(jobs.live_timeline(stream, "1 day"), path, mark, "available-now"))
+    kept = jobs.current_rows(spark, path, ["minute", "emotion"]).agg(F.sum("count").alias("n_kept"))
+    taken = books.agg(F.sum("rows_in").alias("n_input"), F.sum("dropped").alias("groups_dropped"))
+    return taken.crossJoin(kept).select("n_input", "n_kept", (F.col("n_input") - F.col("n_kept")).alias("n_dropped"), "groups_dropped")  # one row each
+
+
+@query
+def stream_pair_outcome(spark, folder):
+    """Two streams over the same events: one keeps them, one fails on the first without a score, which stops the other."""
+    events = views.emotion_events(spark, folder).select("source_id", "frame_id", "score")
+    stream = _as_stream(events, "pair", F.col("frame_id") % PARTS)
+    strict = stream.withColumn("score", F.coalesce("score", F.raise_error(F.lit("an event has no score")).cast("double")))
+    places = [(fresh_folder(spark, "pair"), fresh_folder(spark, "pair-progress")) for _ in range(2)]
+    running = {name: append_stream(rows, *place, "100 milliseconds", None) for name, rows, place in (("keep", stream, places[0]), ("strict", strict, places[1]))}
+    ends = [(name, outcome, "an event has no score" in (error or "")) for name, outcome, error in jobs.supervise(running)]
+    return spark.createDataFrame(ends, "name string, outcome string, told boolean")
+
+
 @query
 def stream_frame_rate(spark, folder):
     moment = F.timestamp_millis(F.col("o_orderkey") * 100).alias("ts")
@@ -549,21 +587,50 @@ def stream_frame_rate(spark, folder):
     return jobs.current_rows(spark, path, ["source_id", "second"])
 
 
+def _folded(rows: DataFrame, fold, purpose: str) -> DataFrame:
+    """The stream's fold run to its end; late rows are kept beside the others, marked ``late``."""
+    return jobs.run_to_end(fold_stream(rows, fold), purpose, "late")
+
+
 @query
 def stream_throttle(spark, folder):
-    raw = views.messages(_table_stream(spark, folder, "events"))
-    events = _timed(ingest.ingest(raw, arrival="timestamp"))
+    events = _timed(views.emotion_events(spark, folder))
     fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
-    sent = timely(fold_stream(events, fold)).where("passed").drop("passed")
-    return jobs.run_to_end(sent, "stream-throttle")
+    sent = timely(_folded(_as_stream(events, "timed", _by_time(events, "t")), fold, "stream-throttle"))
+    return sent.where("passed").drop("passed")
+
+
+@query
+def stream_late_rows(spark, folder):
+    """Events in disorder: how many of each camera were too late for its state, and how many were not."""
+    events = _timed(views.emotion_events(spark, folder))
+    fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
+    done = _folded(_as_stream(events, "disorder", F.col("frame_id") % PARTS), fold, "stream-late")
+    late, in_time = (rows.select("source_id", F.lit(n).alias("late")) for n, rows in ((1, late_rows(done)), (0, timely(done))))
+    return late.union(in_time).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("late").alias("n_late"))
 
 
 @query
 def stream_smooth(spark, folder):
-    vectors = _as_stream(views.face_probs(spark, folder), "face-probs")
+    vectors = views.face_probs(spark, folder)
     fold = SmoothFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, SMOOTHING)
-    shown = timely(fold_stream(vectors, fold)).drop("probs")
-    return _smoothed_columns(jobs.run_to_end(shown, "stream-smooth"))
+    stream = _as_stream(vectors, "face-probs", _by_time(vectors, "frame_id"))
+    return _smoothed_columns(timely(_folded(stream, fold, "stream-smooth")).drop("probs"))
+
+
+@query
+def stream_vote_change(spark, folder):
+    """A stream that is stopped, and goes on from the same checkpoint with a shorter vote; then again with another model, whose
+    faces start afresh."""
+    vectors = views.face_probs(spark, folder)
+    path, out, mark = (fresh_folder(spark, f"vote-{name}") for name in ("in", "out", "progress"))
+    newest = vectors.agg(F.max("frame_id")).first()[0]
+    table = stored(vectors.withColumn("_part", F.least(F.floor(F.col("frame_id") * 3 / newest), F.lit(2))), "vote-rows")
+    for part, (length, model) in enumerate([(15, "first"), (3, "first"), (3, "second")]):
+        table.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(path)
+        fold = CandidateFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, LiveSettings(vote_window=length), model=model)
+        append_stream(timely(fold_stream(stream_events(spark, path, vectors.schema), fold)), out, mark, "available-now", None).awaitTermination()
+    return spark.read.parquet(out).select("track_id", "frame_id", "vote_label", F.round("ema_score", 6).alias("ema_score"))
 
 
 @query
@@ -571,16 +638,14 @@ def stream_hold(spark, folder):
     box = F.struct("det_no", "x", "y", "w", "h")
     found = views.detections(spark, folder, cameras=4).groupBy("source_id", "frame_id")
     per_frame = found.agg(F.to_json(F.sort_array(F.collect_list(box))).alias("boxes"))
-    frames = views.frames(spark, folder).join(per_frame, ["source_id", "frame_id"], "left")
-    shown = timely(fold_stream(_as_stream(frames, "frames"), D.HoldFold()))
-    kept = jobs.run_to_end(shown, "stream-hold").where("held_from is not null")
+    frames = stored(views.frames(spark, folder).join(per_frame, ["source_id", "frame_id"], "left"), "frames")
+    shown = timely(_folded(_as_stream(frames, "frames", _by_time(frames, "ts")), D.HoldFold(), "stream-hold"))
     parsed = F.from_json("shown", "array<struct<det_no: bigint, x: int, y: int, w: int, h: int>>")
-    return kept.select("source_id", "frame_id", "held_from", F.inline(parsed))
+    return shown.where("held_from is not null").select("source_id", "frame_id", "held_from", F.inline(parsed))
 
 
 @query
 def stream_track(spark, folder):
-    found = _as_stream(D.clamped(views.detections(spark, folder, cameras=4)).drop("conf"), "boxes")
-    numbered = timely(fold_stream(found, TrackFold()))
-    tracked = jobs.run_to_end(numbered, "stream-track")
+    found = stored(D.clamped(views.detections(spark, folder, cameras=4)).drop("conf"), "boxes")
+    tracked = timely(_folded(_as_stream(found, "boxes", _by_time(found, "ts")), TrackFold(), "stream-track"))
     return tracked.select("source_id", "frame_id", "det_no", "track_id")

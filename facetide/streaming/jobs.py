@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..config import IngestSettings
 from ..functions import text
@@ -68,9 +71,80 @@ def run_to_end(rows: DataFrame, purpose: str, partition_by: str | None = None) -
     spark = rows.sparkSession
     path, mark = fresh_folder(spark, purpose), fresh_folder(spark, f"{purpose}-progress")
     append_stream(rows, path, mark, "available-now", partition_by).awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def wait_for_any(spark: SparkSession) -> None:
     """Return, or raise its error, as soon as any running query ends."""
     spark.streams.awaitAnyTermination()
+
+
+class Accounts(StreamingQueryListener):
+    """Books of one query: per micro-batch the rows that came in, the watermark, and what was dropped behind it.
+
+    Rows that came in are counted by ``counted_input``. An aggregate meets the watermark after its rows are summed up per
+    group, so ``dropped`` counts groups there, and rows in keyed state.
+    """
+
+    ROWS = "rows_in"
+
+    def __init__(self):
+        self.batches: dict[int, tuple[int, str | None, int]] = {}
+        self.ended = threading.Event()
+        self.error: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        seen = progress.observedMetrics.get(self.ROWS)
+        dropped = sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        rows, mark, before = self.batches.get(progress.batchId, (0, None, 0))
+        self.batches[progress.batchId] = (max(rows, seen["n"] if seen else 0), progress.eventTime.get("watermark", mark), max(before, dropped))
+
+    def onQueryTerminated(self, event) -> None:
+        self.error = event.exception
+        self.ended.set()
+
+
+def counted_input(rows: DataFrame) -> DataFrame:
+    """``rows`` whose number is told to ``Accounts``."""
+    return rows.observe(Accounts.ROWS, F.count(F.lit(1)).alias("n"))
+
+
+def accounted(spark: SparkSession, start, seconds: float = 60.0) -> DataFrame:
+    """Run the query that ``start()`` starts to its end; (batch, rows_in, watermark, dropped) of its micro-batches."""
+    books = Accounts()
+    spark.streams.addListener(books)
+    try:
+        start().awaitTermination()
+        if not books.ended.wait(seconds):
+            raise TimeoutError("the query's last progress did not arrive")
+    finally:
+        spark.streams.removeListener(books)
+    rows = [(number, *told) for number, told in sorted(books.batches.items())]
+    return spark.createDataFrame(rows, "batch long, rows_in long, watermark string, dropped long")
+
+
+def supervise(queries: dict[str, StreamingQuery], poll_seconds: float = 0.2) -> list[tuple[str, str, str | None]]:
+    """Wait until all queries end, or one fails: then the others are stopped at once.
+
+    One (name, outcome, error) per query; outcomes are "finished", "failed" and "stopped".
+    """
+    errors: dict[str, str] = {}
+    running = dict(queries)
+    while running and not errors:
+        for name, query in list(running.items()):
+            try:
+                if query.awaitTermination(poll_seconds):
+                    del running[name]
+            except StreamingQueryException as error:
+                errors[name] = str(error)
+                del running[name]
+    for query in running.values():
+        query.stop()
+    return [(name, "failed" if name in errors else "stopped" if name in running else "finished", errors.get(name)) for name in queries]

@@ -9,6 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -51,7 +52,7 @@ def fold_stream(rows: DataFrame, fold: Fold, forget: Forget | None = None) -> Da
         if not parts:
             return
         body = json.loads(state.get[0]) if state.exists else {"fold": fold.start(), "newest": None}
-        given = pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", na_position="first")
+        given = (pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]).sort_values(order, kind="stable", na_position="first")
         given = given.reset_index(drop=True)
         newest = body["newest"]
         late = np.zeros(len(given), dtype=bool)
@@ -75,7 +76,8 @@ def fold_stream(rows: DataFrame, fold: Fold, forget: Forget | None = None) -> Da
 
     keyed = rows.groupBy(*fold.keys)
     timeout = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout
-    return keyed.applyInPandasWithState(advance, schema, STATE, "append", timeout)
+    folded = keyed.applyInPandasWithState(advance, schema, STATE, "append", timeout)
+    return folded.withColumn(LATE.name, F.coalesce(LATE.name, F.lit(False)))  # a partitioned sink can't take Python's rows as they are
 
 
 def _older(row: tuple, newest: list) -> bool:
@@ -95,3 +97,9 @@ def _values(column: pd.Series):
 def timely(folded: DataFrame) -> DataFrame:
     """Rows that came in order, without the marker."""
     return folded.where("not late").drop(LATE.name)
+
+
+def late_rows(folded: DataFrame) -> DataFrame:
+    """Rows that came too late for their key's state, without the fold's outputs to rely on. Write a folded stream with the marker
+    as a partition and both kinds are kept: the late ones beside the result, to be counted or sent again."""
+    return folded.where("late").drop(LATE.name)
