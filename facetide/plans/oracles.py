@@ -172,6 +172,42 @@ passed AS (
 SELECT source_id, frame_id, face_id, t, emotion FROM passed"""
 
 
+def _tracks(rows: str) -> str:
+    """``walk``: track numbers of ``rows`` (source_id, frame_id, det_no, ts, x, y, w, h), walked box by box: a box takes the free
+    live track it overlaps most, the oldest on a tie; boxes that tracks take count from the next frame on."""
+    track = "{{'id': {id}, 'x': {x}, 'y': {y}, 'w': {w}, 'h': {h}, 'seen': {seen}, 'taken': {taken}, 'nx': {nx}, 'ny': {ny}, 'nw': {nw}, 'nh': {nh}}}"
+    taken_now = {"taken": "true", "nx": "x", "ny": "y", "nw": "w", "nh": "h"}
+    new = track.format(id="following", x="x", y="y", w="w", h="h", seen="ts", **taken_now)
+    first = track.format(id="1::BIGINT", x="x", y="y", w="w", h="h", seen="ts", **taken_now)
+    hit = track.format(id="t.id", x="t.x", y="t.y", w="t.w", h="t.h", seen="t.seen", **taken_now)
+    moved = track.format(id="t.id", x="t.nx", y="t.ny", w="t.nw", h="t.nh", seen="s.ts", taken="false", nx="t.nx", ny="t.ny", nw="t.nw", nh="t.nh")
+    shared = "greatest(0, least(x + w, t.x + t.w) - greatest(x, t.x)) * greatest(0, least(y + h, t.y + t.h) - greatest(y, t.y))"
+    return f"""
+boxes AS (
+  SELECT source_id, frame_id, det_no, ts, x, y, w, h,
+         row_number() OVER (PARTITION BY source_id ORDER BY ts, frame_id, det_no) AS rn,
+         frame_id IS DISTINCT FROM lag(frame_id) OVER (PARTITION BY source_id ORDER BY ts, frame_id, det_no) AS opens FROM {rows}),
+walk AS (
+  SELECT source_id, frame_id, det_no, ts, rn, 1::BIGINT AS track_id, 2::BIGINT AS following, [{first}] AS tracks FROM boxes WHERE rn = 1
+  UNION ALL
+  SELECT source_id, frame_id, det_no, ts, rn, coalesce(hit, following), CASE WHEN hit IS NULL THEN following + 1 ELSE following END,
+         CASE WHEN hit IS NULL THEN list_append(live, {new}) ELSE list_transform(live, lambda t: CASE WHEN t.id = hit THEN {hit} ELSE t END) END
+  FROM (
+    SELECT *, CASE WHEN best.iou >= 0.25::DOUBLE THEN -best.age END AS hit FROM (
+      SELECT *, list_max(list_transform(list_filter(live, lambda t: NOT t.taken), lambda t:
+               {{'iou': CAST({shared} AS DOUBLE) / (w * h + t.w * t.h - {shared}), 'age': -t.id}})) AS best
+      FROM (
+        SELECT b.*, s.following, CASE WHEN b.opens THEN list_filter(
+                 list_transform(s.tracks, lambda t: CASE WHEN t.taken THEN {moved} ELSE t END), lambda t: b.ts - t.seen <= 0.9::DOUBLE)
+               ELSE s.tracks END AS live
+        FROM walk s JOIN boxes b ON b.source_id = s.source_id AND b.rn = s.rn + 1))))"""
+
+
+def _tracked(cameras: int) -> str:
+    return f"""WITH RECURSIVE {_detections(cameras)},{_tracks("cut")}
+SELECT source_id, frame_id, det_no, track_id FROM walk"""
+
+
 TIMELINE = f"""WITH {EVENTS}
 SELECT event_minute AS minute, lower(emotion) AS emotion, count(*) AS "count" FROM stored GROUP BY ALL"""
 
@@ -189,6 +225,39 @@ SELECT h.source_id, h.frame_id, h.held_from, d.det_no, d.x, d.y, d.w, d.h
 FROM held h JOIN det d ON d.source_id = h.source_id AND d.frame_id = h.held_from
 WHERE h.frame_id = h.held_from OR (h.ts - h.since) * 1000::DOUBLE <= 450"""
 
+LIVE = f"""WITH RECURSIVE {_detections(4)},{FRAMES},
+searched AS (SELECT source_id, frame_id AS held_from, ts AS since FROM frames WHERE frame_id % 3 = 0),
+held AS (
+  SELECT f.source_id, f.frame_id, f.ts, s.held_from, s.since
+  FROM frames f ASOF JOIN searched s ON f.source_id = s.source_id AND f.ts >= s.since),
+visible AS (
+  SELECT h.source_id, h.frame_id, h.ts, c.det_no, c.x, c.y, c.w, c.h, d.x * 7 + d.y * 3 AS seed
+  FROM held h JOIN det d ON d.source_id = h.source_id AND d.frame_id = h.held_from AND coalesce(d.conf, 0.8::DOUBLE) >= 0.45::DOUBLE
+  JOIN cut c ON c.source_id = d.source_id AND c.frame_id = d.frame_id AND c.det_no = d.det_no
+  WHERE h.frame_id = h.held_from OR (h.ts - h.since) * 1000::DOUBLE <= 450),{_tracks("visible")},
+faces AS (
+  SELECT v.*, w.track_id AS face_id, v.source_id || '/' || CAST(w.track_id AS VARCHAR) AS track_id
+  FROM visible v JOIN walk w USING (source_id, frame_id, det_no)),
+logit AS (
+  SELECT track_id, frame_id, list_transform(range(0, 8), lambda i: CAST((seed + i * 13) % 17 AS DOUBLE) / 4::DOUBLE) AS logits FROM faces),{SOFTMAX},{AVERAGES},
+tops AS (
+  SELECT track_id, frame_id, {NAMES}[list_position(e, list_max(e))] AS top, list_max(e) AS score FROM ema),
+{_votes("tops", "top", 15)},
+cand AS (
+  SELECT v.track_id, v.frame_id, v.vote_label AS candidate, t.score FROM voted v JOIN tops t USING (track_id, frame_id)),
+{_switch("cand", 0.55, 6)},
+n AS (
+  SELECT f.*, s.stable, s.stable_score, row_number() OVER (PARTITION BY f.source_id ORDER BY f.ts, f.frame_id, f.det_no) AS place
+  FROM faces f JOIN shown s USING (track_id, frame_id)),
+hop AS (
+  SELECT a.*, (SELECT min(b.place) FROM n b WHERE b.source_id = a.source_id AND b.place > a.place AND b.ts - a.ts >= 0.5::DOUBLE) AS next_place FROM n a),
+passed AS (
+  SELECT * FROM hop WHERE place = 1
+  UNION ALL
+  SELECT b.* FROM passed a JOIN hop b ON b.source_id = a.source_id AND b.place = a.next_place)
+SELECT source_id, frame_id, face_id, ts AS producer_ts, stable AS emotion, round(stable_score, 6) AS score,
+       x AS bbox_x, y AS bbox_y, w AS bbox_w, h AS bbox_h FROM passed"""
+
 FRAME_RATE = f"""WITH {FRAMES}
 SELECT source_id, date_trunc('second', make_timestamp(frame_id * 100000)) AS second, CAST(count(*) AS DOUBLE) AS fps
 FROM frames GROUP BY ALL"""
@@ -436,4 +505,7 @@ SELECT track_id, frame_id, vote_label, round(score, 6) AS ema_score FROM voted J
     "stream_throttle": THROTTLE,
     "stream_smooth": SMOOTH,
     "stream_hold": HELD,
+    "track_assign": _tracked(1),
+    "frame_to_event": LIVE,
+    "stream_track": _tracked(4),
 }
