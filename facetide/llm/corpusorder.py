@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_folder
 from . import words as W
-from .shared import map_texts, only, without
+from .shared import map_texts, only, packed, unpacked, without
 
 LEAST_BYTES = 50
 TRIGGER = 16
 SPACING = 128
 GRAM = 25
 BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 ENTRIES = 20_000  # dictionary entries of a task whose suffix array is made at once, whole triggers
 HOT = 5_000  # entries of a trigger beyond which its suffixes are sorted by all tasks
 SUFFIXES = 1 << 18  # suffixes sent at once
@@ -255,23 +255,6 @@ def _merged(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return lines[first], starts[first], reach[last] - shift[last]
 
 
-def _packed_texts(rows: DataFrame) -> DataFrame:
-    """``rows`` with every text as zstandard bytes, as it goes through a shuffle."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = [packer.compress(t.as_buffer()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["line", "id", "text"])
-
-    return map_texts(rows.select("line", "id", "text"), of, "line long, id long, text binary")
-
-
-def _unpacked(texts: pa.Array) -> pa.Array:
-    opener = zstandard.ZstdDecompressor()
-    return pa.array([opener.decompress(t.as_buffer()) for t in texts], pa.large_binary()).view(pa.large_string())
-
-
 def _entries(rows: DataFrame, found: DataFrame, least: int, buckets: int) -> DataFrame:
     """Dictionary entries outside settled phrases (``trigger``, ``body``, ``line``, ``id``, ``start``, ``end``), and the settled places (no ``body``)."""
 
@@ -284,7 +267,7 @@ def _entries(rows: DataFrame, found: DataFrame, least: int, buckets: int) -> Dat
         none = lambda kind: pa.nulls(len(lines), kind)
         out = [pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.binary()), pa.array(lines), none(pa.int64()), pa.array(starts), pa.array(ends)], ENTRY_COLUMNS)]
         for batch in texts.select(["line", "id", "text"]).to_batches():
-            names, numbers, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unpacked(batch.column(2))
+            names, numbers, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), unpacked(batch.column(2))
             for i, j in W.slices(opened):
                 data = _Bytes(opened.slice(i, j - i))
                 text, first, end, trigger = data.short_phrases(least)
@@ -303,7 +286,7 @@ def _entries(rows: DataFrame, found: DataFrame, least: int, buckets: int) -> Dat
                 out.append(pa.RecordBatch.from_arrays(columns, ENTRY_COLUMNS))
         return pa.Table.from_batches(out)
 
-    by_group = _packed_texts(rows).withColumn("bucket", F.col("line") % buckets).groupBy("bucket")
+    by_group = packed(rows.select("line", "id", "text")).withColumn("bucket", F.col("line") % buckets).groupBy("bucket")
     return by_group.cogroup(found.groupBy("bucket")).applyInArrow(of, "trigger long, body binary, line long, id long, start long, end long")
 
 
@@ -472,7 +455,7 @@ def kept_bytes(rows: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     ids = lists.select("line")
-    cut = map_texts(_packed_texts(only(rows, ids, "line")).join(lists, "line").select("id", "text", "spans"), of, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = map_texts(packed(only(rows, ids, "line")).join(lists, "line").select("id", "text", "spans"), of, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     whole = without(rows, ids, "line").select("id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))

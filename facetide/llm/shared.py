@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,26 @@ def map_texts(rows: DataFrame, of: Callable, schema: str | T.StructType) -> Data
     return rows.mapInArrow(of, schema)
 
 
+def packed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with each text as zstandard bytes, as it goes through a shuffle; null texts are empty."""
+    names, at = rows.columns, rows.columns.index(text)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = pa.array([packer.compress((t.as_buffer() or b"") if t.is_valid else b"") for t in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(len(names))], names)
+
+    schema = T.StructType([T.StructField(text, T.BinaryType()) if f.name == text else f for f in rows.schema.fields])
+    return map_texts(rows, of, schema)
+
+
+def unpacked(texts: pa.Array) -> pa.Array:
+    """Texts of ``packed`` rows."""
+    opener = zstandard.ZstdDecompressor()
+    return pa.array([opener.decompress(t.as_buffer()) for t in texts], pa.large_binary()).view(pa.large_string())
+
+
 def only(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``docs`` whose ``on`` is in ``ids`` (one row per id).
 

@@ -17,7 +17,8 @@ tied to the first of all. Windows in no verified passage are tied anew among the
 side: a passage of ``least`` tokens around c holds c - l and c + r for some l + r >= least - 2 * step + 1 on a grid of
 ``step``, which gets finer (``STEPS``). Last, what is still open is tied by whole passages of ``least`` tokens. Every round also
 ties by sketches for edited passages: pairs of minima, by hash functions of the round, of nearly a passage around c. So texts
-that share a passage among themselves but not with the first one are found.
+that share a passage among themselves but not with the first one are found. Equal texts are found by a hash beforehand: the
+first goes on alone, the others are reported as one passage each.
 
 Defined cases: null, empty and short texts have no windows; null ids are dropped; a passage repeated within one text is
 not reported; equal texts share one passage of their whole length; of equal passages the holder of the smallest id is
@@ -30,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 from . import words as W
-from .shared import map_texts, only
+from .shared import BROADCAST_ROWS, map_texts, only, packed, unpacked, without
 
 HASHES = 4
 SHINGLE = 5
@@ -48,7 +50,8 @@ SKETCHES = 2  # pairs of minima of a span and round
 _SIDE = (1 << 16) - 1  # reach of a window to either side that is kept; a passage needs far less
 
 SIDES = ("right", "left", "right_half", "left_half", "right_quarter", "left_quarter")
-WINDOWS = f"key long, {', '.join(f'{s} long' for s in SIDES)}, id long, place long, head long, head_place long"
+WINDOWS = "key long, right_left long, half long, quarter long, id long, place long, head long, head_place long"  # two sides in one number
+PAIRS_AT_ONCE = 2_000  # texts tied to one head that a task verifies; more are split
 BATCH = 50_000
 WORKED = 2_000  # windows whose keys are made at once
 
@@ -172,20 +175,23 @@ def _tied(key: np.ndarray, sides: list[np.ndarray], ids: np.ndarray, place: np.n
         ties.append(np.stack([own[other], head[other]], axis=1))
     pairs = np.unique(np.concatenate(ties), axis=0)
     names = WINDOWS.replace(" long", "").split(", ")
+    twos = [one | two << 31 for one, two in zip(sides[::2], sides[1::2])]
     rows = np.flatnonzero(goes_on)
     for i in range(0, len(rows), BATCH):
         x = rows[i : i + BATCH]
         none = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, *sides, ids, place)), none, none], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, *twos, ids, place)), none, none], names)
     for i in range(0, len(pairs), BATCH):
         x, h = pairs[i : i + BATCH, 0], pairs[i : i + BATCH, 1]
         spread, none = W.mix(place[x].view(np.uint64)).view(np.int64), pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(spread), *(none for _ in SIDES), *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), *(none for _ in twos), *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
 
 
 def _first_ties(windows: DataFrame) -> DataFrame:
     """Ties of all texts: those made in the tasks, and of the windows that go by key to the first with the same side."""
-    by_key = windows.repartition("key")
+    twos = [(name, SIDES[2 * k : 2 * k + 2]) for k, name in enumerate(("right_left", "half", "quarter"))]
+    one_of = {side: F.col(name).bitwiseAND(F.lit((1 << 31) - 1)) if k == 0 else F.shiftright(name, 31) for name, pair in twos for k, side in enumerate(pair)}
+    by_key = windows.repartition("key").withColumns(one_of)
     first = lambda side: F.min(F.struct("id", "place")).over(Window.partitionBy("key", side))
     heads = by_key.withColumns({f"first_{side}": first(side) for side in SIDES})
     given = F.struct(F.col("head").alias("id"), F.col("head_place").alias("place"))
@@ -230,24 +236,26 @@ def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
     return sorted(out)
 
 
-def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, step: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step: int) -> DataFrame:
     """Passages (``key`` null) of the tied texts, and the windows in none of them, with new keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, None)
+        theirs = np.zeros(0, np.uint64)
         for batch in batches:
+            names, heads = batch.column(1), batch.column(0).to_numpy()
             places, head_places = (c.flatten().to_numpy() for c in batch.columns[2:4])
-            ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
-            mine, theirs = W.as_large(batch.column(4)), W.as_large(batch.column(5))
+            ends = np.cumsum(pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False))
+            texts = unpacked(batch.column(4))
             passages, left, waiting = [], [], 0
-            for i, j in W.slices(mine):
-                tokens, at = W.shingles(*W.word_hashes(mine.slice(i, j - i)), SHINGLE)
+            for i, j in W.slices(texts):
+                tokens, at = W.shingles(*W.word_hashes(texts.slice(i, j - i)), SHINGLE)
                 for r in range(i, j):
-                    name, head = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                    if kept[0] != head:
-                        kept = (head, W.shingles(*W.word_hashes(theirs.slice(r, 1)), SHINGLE)[0])
-                    own = slice(ends[r - 1] if r else 0, ends[r])
-                    spans, failed = _compared(tokens[at[r - i] : at[r - i + 1]], kept[1], places[own], head_places[own])
+                    mine = tokens[at[r - i] : at[r - i + 1]]
+                    if not names[r].is_valid:  # a head goes before the texts that are tied to it
+                        theirs = mine
+                        continue
+                    name, head, own = names[r].as_py(), int(heads[r]), slice(ends[r - 1] if r else 0, ends[r])
+                    spans, failed = _compared(mine, theirs, places[own], head_places[own])
                     passages.extend((name, head, p, q + SHINGLE, x, y + SHINGLE, like) for p, q, x, y, like in spans)
                     left.append((name, failed))
                     waiting += failed.shape[1]
@@ -328,12 +336,40 @@ def _verified(ties: DataFrame, texts: DataFrame, least: int, percent: int, step:
         own, lows = np.nonzero(fits)[0], lows[fits]
         return W.mix((sums[lows + least] - sums[lows]) * W._powers(W._INVERSE, len(a))[lows]), own
 
-    pairs = ties.groupBy("id", "head").agg(F.collect_list(F.struct("place", "head_place")).alias("x"))  # windows of two texts
-    pairs = pairs.select("id", "head", F.col("x.place").alias("places"), F.col("x.head_place").alias("head_places"))
-    rows = pairs.join(texts.withColumnRenamed("text", "mine"), "id")
-    rows = rows.join(texts.select(F.col("id").alias("head"), F.col("text").alias("theirs")), "head")
-    rows = rows.select("id", "head", "places", "head_places", "mine", "theirs")
-    return map_texts(rows, of, "key long, id long, place long, head long, start long, end long, head_start long, head_end long, similarity double")
+    # A head's text goes once to each task that verifies texts tied to it, in front of them.
+    large = pairs.groupBy("head").count().where(F.col("count") > PAIRS_AT_ONCE)
+    few = large.count() <= BROADCAST_ROWS
+    parts = F.coalesce(F.ceil(F.col("count") / PAIRS_AT_ONCE), F.lit(1))
+    dealt = pairs.join(F.broadcast(large) if few else large, "head", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("count")
+    mine = dealt.join(only(texts, pairs.select("id").distinct(), "id"), "id")
+    heads = only(texts, pairs.select(F.col("head").alias("id")).distinct(), "id").withColumnRenamed("id", "head")
+    theirs = dealt.select("head", "part").distinct().join(heads, "head")
+    rows = mine.unionByName(theirs, allowMissingColumns=True).repartition("head", "part").sortWithinPartitions("head", "part", F.col("id").isNotNull())
+    return map_texts(rows.select("head", "id", "places", "head_places", "text"), of, "key long, id long, place long, head long, start long, end long, head_start long, head_end long, similarity double")
+
+
+def _pairs(ties: DataFrame) -> DataFrame:
+    """The tied windows of two texts in one row."""
+    pairs = ties.groupBy("id", "head").agg(F.collect_set(F.struct("place", "head_place")).alias("x"))  # windows of two texts
+    return stored(pairs.select("id", "head", F.col("x.place").alias("places"), F.col("x.head_place").alias("head_places")), "pairs")
+
+
+def _copies(bare: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """Passages of whole texts that an earlier row has equally, and the ids of those texts."""
+    hashed = bare.where("text IS NOT NULL").groupBy("id").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("hash"), F.max(F.md5(F.col("text").cast("binary"))).alias("other"))
+    hashed = hashed.where("hash = other").select("id", "hash")  # an id with several texts is no copy
+    first = hashed.groupBy("hash").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("hash", "head")
+    later = stored(hashed.join(first, "hash").where("id > head").select("id", "head"), "copies")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = W.as_large(batch.column(1))
+            counts = [np.diff(W.word_hashes(texts.slice(i, j - i))[1]) for i, j in W.slices(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], ["id", "n"])
+
+    counted = map_texts(only(bare, later.select("id"), "id"), of, "id long, n long").where(F.col("n") >= least_words).distinct()
+    zero = F.lit(0).cast("long")
+    return counted.join(later, "id").select("id", zero.alias("start"), F.col("n").alias("end"), "head", zero.alias("head_start"), F.col("n").alias("head_end"), F.lit(1.0).alias("similarity")), later.select("id")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
@@ -341,20 +377,21 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place (``head``, ``head_start``, ``head_end``) and the ``similarity`` of the passages' shingle sets."""
     least = least_words - SHINGLE + 1
     bare = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    ties = stored(_first_ties(_all_windows(bare, least)), "ties")
-    ids = ties.select("id").union(ties.select(F.col("head").alias("id"))).distinct()
-    texts = stored(only(bare, ids, "id").dropDuplicates(["id"]), "texts")
-    passages: list[DataFrame] = []
+    whole, later = _copies(bare, least_words)
+    firsts = without(bare, later, "id")
+    pairs = _pairs(_first_ties(_all_windows(firsts, least)))
+    ids = pairs.select("id").union(pairs.select(F.col("head").alias("id"))).distinct()
+    texts = stored(packed(only(firsts, ids, "id")).dropDuplicates(["id"]), "texts")
+    passages: list[DataFrame] = [whole]
     for step in (*STEPS, 0):
-        checked = _verified(ties, texts, least, percent, step)
-        checked = stored(checked, "checked")
+        checked = stored(_verified(pairs, texts, least, percent, step), "checked")
         passages.append(checked.where("key IS NULL").drop("key", "place"))
-        ties = stored(_ties(checked.where("key IS NOT NULL").select("key", "id", "place").distinct()).distinct(), "ties")
-        if ties.isEmpty():
+        pairs = _pairs(_ties(checked.where("key IS NOT NULL").select("key", "id", "place").distinct()))
+        if pairs.isEmpty():
             break
     out = passages[0]
     for x in passages[1:]:
-        out = out.union(x)
+        out = out.unionByName(x)
     return out.select("id", "start", "end", "head", "head_start", "head_end", "similarity").distinct()
 
 
