@@ -145,6 +145,21 @@ def _short(tokens: np.ndarray) -> np.ndarray:
     return (W.mix(tokens) >> np.uint64(33)).astype(np.int64) | 1
 
 
+class _Least:
+    """Least value of any range of up to ``longest`` places, from the least ones of ranges of 1, 2, 4, ... places."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        rows = [values]
+        while 1 << len(rows) <= longest:
+            before, step = rows[-1], 1 << (len(rows) - 1)
+            rows.append(np.concatenate([np.minimum(before[:-step], before[step:]), before[-step:]]) if step < len(before) else before)
+        self.table = np.stack(rows)
+
+    def __call__(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        level = np.frexp(size.astype(np.float64))[1] - 1  # floor of the logarithm to base 2
+        return np.minimum(self.table[level, low], self.table[level, low + size - (1 << level)])
+
+
 def _sides(tokens: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, least: int) -> list[np.ndarray]:
     """Evidence beside each minimum, as in ``SIDES``; 0 where the window does not reach so far."""
     reach = (least - 1) // 2  # a passage of ``least`` tokens around c holds c + reach or c - reach
@@ -153,10 +168,14 @@ def _sides(tokens: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, leas
     out = [right, left]
     for width, factor in zip((reach, max(1, reach // 2)), W.odd_constants(2, 13)):
         enough = max(1, width // 2)  # what an edit beside the end of a passage leaves
-        for sign, room in ((1, b - c), (-1, c - a)):
-            at = c[:, None] + sign * np.minimum(np.arange(1, width + 1), np.maximum(room, 0)[:, None])
-            least_hash = W.mix(tokens[at] * factor).min(axis=1) if len(c) else np.zeros(0, np.uint64)
-            out.append(np.where(room >= enough, _short(least_hash), 0))
+        least_of = _Least(W.mix(tokens * factor), width) if len(c) else None
+        for forward, room in ((True, b - c), (False, c - a)):
+            evidence = np.zeros(len(c), dtype=np.int64)
+            far = np.flatnonzero(room >= enough)
+            if len(far):
+                size = np.minimum(width, room[far])
+                evidence[far] = _short(least_of(c[far] + 1 if forward else c[far] - size, size))
+            out.append(evidence)
     return out
 
 
@@ -311,11 +330,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
         width = max(1, least - GRID + 1)  # a passage around c holds one of these spans
         lows = c[:, None] - np.arange(0, least, GRID)
         fits = (lows >= first[:, None]) & (lows + width - 1 <= last[:, None])
-        own = np.nonzero(fits)[0]
-        tokens = a[lows[fits][:, None] + np.arange(width)]
+        own, low = np.nonzero(fits)[0], lows[fits]
         base = W.mix(a[c[own]] + k[own].astype(np.uint64))
-        pairs = W.odd_constants(2 * SKETCHES, 17 + step).reshape(-1, 2)
-        keys = [W.mix(base + W.mix(W.mix(tokens * one).min(axis=1) + W.mix(tokens * two).min(axis=1) * np.uint64(W.BASE))) for one, two in pairs]
+        size = np.full(len(low), width)
+        minima = [_Least(W.mix(a * factor), width)(low, size) for factor in W.odd_constants(2 * SKETCHES, 17 + step)]
+        keys = [W.mix(base + W.mix(one + two * np.uint64(W.BASE))) for one, two in zip(minima[::2], minima[1::2])]
         return np.concatenate(keys), np.tile(own, SKETCHES)
 
     def _sided(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
