@@ -109,7 +109,8 @@ class TrackFold(Fold):
             begun = state.get("begun")
             if begun is None:
                 first = float(rows[time][0])
-                state = {**state, "tracks": self._next_frame(state["tracks"], None, first)}
+                live = self._next_frame(state["tracks"], None, first)
+                state = {**state, "tracks": [[-place - 1, *track[1:]] for place, track in enumerate(live)]}
                 begun = {"first": first, "start": [track[1:3] for track in state["tracks"]]}
             after, _ = self.run(state, rows, size)
             return {**after, "begun": begun}, {**begun, "tracks": after["tracks"], "frame": after["frame"], "new": after["next"] - 1, "tied": after["tied"]}
