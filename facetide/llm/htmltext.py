@@ -5,7 +5,9 @@ the characters per tag, scaled down by the share of link characters and tags: C
 the logarithm's base ln(C / not-linked C * link C + link Cbody / Cbody * C + e), at least e. A node's density sum adds up its children's. From the node of largest sum
 the path to the body is followed; the least density on it is the threshold, and the content is the node of
 largest sum below the highest node of the path that the threshold keeps: the largest such subtree that is all above it.
-What stands in tags that hold no running text, or in blocks named as menus, notices, adverts or comments, is not counted.
+What stands in tags that hold no running text, or in blocks named as menus, notices, adverts or comments, is not counted; a
+name that only has such a word in it doesn't silence a block of half the page's text. On the given pages the threshold never
+decides: the node of largest sum lies on the path whose least density it is. An article or main tag around it is taken whole.
 
 Defined cases: null and empty pages, and pages without text outside such tags, give the empty text; broken
 nesting is read as browsers do in the common cases (an open paragraph or list item ends where the next begins, an end tag
@@ -39,16 +41,16 @@ BOILERPLATE = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|topbar|toolbar|related|recommended|share|sharing|social|"
     r"comments?|comment-list|replies|respond|disqus|widget|search|login|signup|contentinfo|complementary|pagination|pager|tags?|skip)([^a-z]|$)"
 )
-RAW = ("script", "style", "textarea", "title")
 
 
 class Node:
     """A tag with its children (nodes and pieces of text in page order) and the counts of its subtree."""
 
-    __slots__ = ("tag", "parent", "children", "silent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "silent", "hinted", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, silent: bool = False):
         self.tag, self.parent, self.silent = tag, parent, silent
+        self.hinted = False  # silent by a part of its names alone
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -71,8 +73,10 @@ class _Tree(HTMLParser):
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._end_sibling(tag)
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-        silent = tag in SILENT or (tag == "header" and not self._inside("article", "main")) or bool(names and tag not in ("body", "article", "main", "a", "span", "b") and BOILERPLATE.search(names))
-        node = Node(tag, self.at, silent)
+        silent = tag in SILENT or (tag == "header" and not self._inside("article", "main"))
+        named = bool(names and tag not in ("body", "article", "main", "a", "span", "b") and BOILERPLATE.search(names))
+        node = Node(tag, self.at, silent or named)
+        node.hinted = named and not silent and not any(BOILERPLATE.fullmatch(name) for name in names.split())
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -116,6 +120,22 @@ class _Tree(HTMLParser):
             self.at = node.parent
 
 
+def heed_hints(root: Node) -> None:
+    """A block that holds half of the page's text or more is not silent because its name has a word such as "sidebar" in it
+    ("content-with-sidebar"); one whose whole name is such a word stays silent ("comments")."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and (not c.silent or c.hinted))
+    chars: dict[int, int] = {}
+    for node in reversed(nodes):  # children before parents
+        chars[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else chars.get(id(c), 0) for c in node.children)
+    for node in nodes:
+        if node.hinted and 2 * chars[id(node)] >= chars[id(root)]:
+            node.silent = False
+
+
 def _in_order(root: Node) -> list[Node]:
     """All nodes outside silent ones, parents first."""
     out, todo = [], [root]
@@ -215,6 +235,7 @@ def extract(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    heed_hints(tree.root)
     found = content(tree.root)
     return "\n".join(blocks(found)) if found is not None else ""
 

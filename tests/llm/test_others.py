@@ -101,6 +101,16 @@ def test_main_text(frame):
     assert htmltext.extract(PAGE % (frame % BODY)) == MAIN
 
 
+@pytest.mark.parametrize("name", ["content-with-sidebar", "post tag-news", "main-content no-sidebar", "article-header", "has-related-content", "search-results-page", "page-header-fixed layout"])
+def test_names_that_only_hold_such_a_word(name):
+    article = "".join(f"<p>Paragraph {i} of a text that is long enough to be the article of its page.</p>" for i in range(8))
+    page = f"<html><body><div class='menu'><a href='/'>Home</a></div><div class='{name}'>{article}</div><div class='sidebar'><p>An advert in a sidebar.</p></div></body></html>"
+    text = htmltext.extract(page)
+    assert text.count("Paragraph") == 8 and "advert" not in text and "Home" not in text
+    comments = f"<div class='comments'>{article}{article}</div>"
+    assert "Paragraph" not in htmltext.extract(f"<html><body><div class='text'><p>The short article itself, of one sentence.</p></div>{comments}</body></html>")
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "<html><body></body></html>"), (4, "<nav><a href=x>only</a></nav>"), (5, "plain  text\n here"), (6, "<p>a<p>b</div></p></body>"), (7, "<b" * 50), (8, "<div>" * 3000 + "deep text" + "</div>" * 3000)]
     pages = spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, n string")
