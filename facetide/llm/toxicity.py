@@ -9,43 +9,39 @@ backoff counts. An expression's evidence is the difference of its two log-likeli
 text's features are the mean over all its expressions, its most toxic ones, and how many kinds these were
 picked from. A logistic curve turns the features into the score.
 
-Expressions are counted in all training rows of the counting folds, added up per task before the shuffle, and
-spelt out once per distinct expression. The model that scores holds at most the ``MODEL_GRAMS`` and ``MODEL_WORDS`` most
-frequent n-grams and expressions (the bound of the broadcast; others back off). The curve is fitted on at most
-``CALIBRATION_ROWS`` labelled rows per class of a fold that was not counted. Scoring is a map over the
-documents, without shuffle.
+The model is a table of all expressions and one of all n-grams, as large as the corpus makes them, and is never gathered
+in one place. One pass cuts the documents into blocks of about ``BLOCK_BYTES`` of text (or one longer text): each lists its
+distinct expressions once, and its different texts as numbers into that list. All else is joins: expressions are counted
+over the blocks; groups of ``WORDS_PER_GROUP`` expressions ask the n-gram table for the n-grams that spell them
+and get the evidence of each; blocks ask for the evidence of their expressions. The curve is fitted on at most
+``CALIBRATION_ROWS`` labelled rows per class of a fold that was not counted. Scores come back to the rows by the texts' MD5.
 
 Defined cases: null and empty texts have no expressions and get the curve's value for no evidence; an unlabelled
 corpus or one without toxic rows gives every text the score 0; several labels of one id count each; rows with a
-null label or id teach nothing; labels, language, source and id are never inputs of a score (the id only
-divides the rows into folds).
+null label or id teach nothing; of rows with equal ids one text of the curve's fold is used; equal texts have equal scores;
+labels, language, source and id are never inputs of a score (the id only divides the rows into folds).
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import stored
-from . import words as W
 from .shared import BROADCAST_ROWS, map_texts
 
 ORDER = 5
-MODEL_GRAMS = 300_000
-MODEL_WORDS = 300_000
 CALIBRATION_ROWS = 4_000
 DISCOUNT = 0.75
-WORDS_REMEMBERED = 250_000  # evidence kept by a worker, forgotten when full
+BLOCK_BYTES = 8 << 20
+WORDS_PER_GROUP = 50_000
+GRAMS_REMEMBERED = 250_000  # counts kept by a task before it hands them on
 FOLDS = 5  # 0: held out, 4: the curve, others: counts
 TOP = 3
 FEATURES = TOP + 2
@@ -58,21 +54,68 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """``word``, ``toxic``, ``ordinary``: how many training texts (text, toxic) hold each expression."""
+class _Places(dict):
+    """Numbers of the expressions that tokens hold, in the order they are met; -1 for tokens of marks only."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(_EDGES)
+        place = self[token] = self.words.setdefault(word, len(self.words)) if word else -1
+        return place
+
+
+class _Block:
+    """Texts as numbers of their expressions, each different text and expression once."""
+
+    def __init__(self):
+        self.places = _Places()
+        self.texts: dict[bytes, int] = {}
+        self.kinds: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.taught: list[list[int]] = []  # how often each text was labelled toxic, ordinary
+        self.bytes = 0
+
+    def add(self, digest: bytes, text: str, toxic: int, ordinary: int) -> None:
+        at = self.texts.setdefault(digest, len(self.kinds))
+        if at == len(self.kinds):
+            tokens = text.lower().split()
+            places = np.fromiter(map(self.places.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+            kinds, counts = np.unique(places[places >= 0], return_counts=True)
+            self.kinds.append(kinds)
+            self.counts.append(counts.astype(np.int32))
+            self.taught.append([0, 0])
+            self.bytes += len(text)
+        self.taught[at][0] += toxic
+        self.taught[at][1] += ordinary
+
+    def row(self, number: int) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in self.kinds], dtype=np.int32)
+        kinds, taught = np.concatenate(self.kinds), np.array(self.taught)
+        classes = [np.bincount(kinds, np.repeat(taught[:, c], sizes), len(self.places.words)).astype(np.int64) for c in (0, 1)]
+        lists = [pa.array(list(self.places.words), pa.string()), *map(pa.array, classes), pa.array(list(self.texts), pa.binary()), pa.array(sizes), pa.array(kinds), pa.array(np.concatenate(self.counts))]
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], ["block", "words", "toxic", "ordinary", "digests", "sizes", "kinds", "counts"])
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A row per block of ``rows`` (digest, text, toxic, ordinary: how often the row was labelled so)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        number = TaskContext.get().partitionId() << 32
+        block = _Block()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[1 - toxic].update({w.strip(_EDGES) for w in (text or "").lower().split()})
-            if len(seen[0]) + len(seen[1]) > WORDS_REMEMBERED:
-                yield _counted(seen)
-                seen = (Counter(), Counter())
-        yield _counted(seen)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                block.add(*row)
+                if block.bytes >= BLOCK_BYTES:
+                    yield block.row(number)
+                    number, block = number + 1, _Block()
+        if block.kinds:
+            yield block.row(number)
 
-    parts = map_texts(rows, of, "gram string, toxic long, ordinary long").withColumnRenamed("gram", "word")
-    return parts.where("word != ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return map_texts(rows, of, "block long, words array<string>, toxic array<long>, ordinary array<long>, digests array<binary>, sizes array<int>, kinds array<int>, counts array<int>")
 
 
 def _counted(counts: tuple[dict, dict]) -> pa.RecordBatch:
@@ -95,7 +138,7 @@ def _gram_counts(counted: DataFrame) -> DataFrame:
                             for i in range(len(marked) - size + 1):
                                 gram = marked[i : i + size]
                                 into[gram] = into.get(gram, 0) + n
-            if len(grams[0]) + len(grams[1]) > WORDS_REMEMBERED:
+            if len(grams[0]) + len(grams[1]) > GRAMS_REMEMBERED:
                 yield _counted(grams)
                 grams = ({}, {})
         yield _counted(grams)
@@ -120,18 +163,38 @@ Pair = tuple[float, float]  # toxic, ordinary
 Model = tuple[dict[str, Pair], dict[str, Pair], dict[str, tuple[int, int]], Pair, Pair]
 
 
-def spelling(rows: list[tuple[str, int, int]]) -> tuple[dict[str, Pair], dict[str, Pair]]:
-    """The first two parts of a model from Kneser-Ney counts (gram, toxic, ordinary)."""
-    histories: dict[str, list[float]] = {}
+def _with_histories(grams: DataFrame) -> DataFrame:
+    """``grams`` and, as ``sum_`` and ``kinds_`` of each class, what follows each n-gram."""
+    after = grams.where(F.length("gram") > 1).groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("gram"))
+    sums = [f(c).alias(n + c) for n, f in (("sum_", F.sum), ("kinds_", lambda c: F.count_if(F.col(c) > 0))) for c in ("toxic", "ordinary")]
+    return grams.join(after.agg(*sums), "gram", "left")
+
+
+def _histories(rows: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """Sums and kinds of what follows each n-gram, where ``rows`` are all there are."""
+    histories: dict[str, list[int]] = {}
     for gram, *counts in rows:
         if len(gram) > 1:
-            h = histories.setdefault(gram[:-1], [0.0, 0.0, 0, 0])
+            h = histories.setdefault(gram[:-1], [0, 0, 0, 0])
             for c in (0, 1):
                 if counts[c]:
                     h[c] += counts[c]
                     h[2 + c] += 1
+    return histories
+
+
+def spelling(rows: list[tuple[str, int, int]], histories: dict[str, list[int]] | None = None, shared: int | None = None) -> tuple[dict[str, Pair], dict[str, Pair]]:
+    """The first two parts of a model from Kneser-Ney counts (gram, toxic, ordinary).
+
+    ``rows`` may be a part that holds with an n-gram all that it holds itself; then ``histories`` (sums and kinds of what
+    follows) and ``shared`` (the sum of the lowest order) are those of the whole.
+    """
+    if histories is None:
+        histories = _histories(rows)
+    if shared is None:
+        shared = sum(t + o for gram, t, o in rows if len(gram) == 1)
+    shared = shared or 1
     weight = {h: tuple(DISCOUNT * x[2 + c] / x[c] if x[c] else 1.0 for c in (0, 1)) for h, x in histories.items()}
-    shared = sum(t + o for gram, t, o in rows if len(gram) == 1) or 1
     floor = (0.1 / shared, 0.1 / shared)
     p: dict[str, Pair] = {}
     for gram, *counts in sorted(rows, key=lambda r: len(r[0])):
@@ -177,26 +240,59 @@ def evidence(model: Model, word: str) -> float:
     return ratio / (len(marked) - 1)
 
 
-def features(model: Model, texts: pa.Array, remembered: dict) -> np.ndarray:
-    """Per text: mean evidence, the ``TOP`` highest of distinct expressions, log of how many kinds there are."""
-    out = np.zeros((len(texts), FEATURES))
-    for i, text in enumerate(texts.to_pylist()):
-        expressions = (text or "").lower().split()
-        if not expressions:
-            continue
-        kinds = set(expressions)
-        missing = [w for w in kinds if w not in remembered]
-        if len(remembered) + len(missing) > WORDS_REMEMBERED:
-            remembered.clear()
-            missing = list(kinds)
-        for w in missing:
-            remembered[w] = evidence(model, w)
-        of = remembered.__getitem__
-        out[i, 0] = sum(map(of, expressions)) / len(expressions)
-        top = heapq.nlargest(TOP, map(of, kinds))
-        out[i, 1 : 1 + len(top)] = top
-        out[i, -1] = math.log1p(len(kinds))
-    return out
+def _substrings(group: pa.Table) -> pa.Table:
+    """The n-grams that spell a group's expressions, once each."""
+    grams = set()
+    for word in group["word"].to_pylist():
+        marked = f"{_START}{word}{_END}"
+        for size in range(1, ORDER + 1):
+            grams.update(marked[i : i + size] for i in range(len(marked) - size + 1))
+    return pa.table({"group": pa.array([group["group"][0].as_py()] * len(grams), pa.int64()), "gram": pa.array(list(grams), pa.string())})
+
+
+def _evidences(counted: DataFrame, grams: DataFrame) -> DataFrame:
+    """``word``, ``evidence`` of every expression, from the counts of all expressions and of all n-grams."""
+    each = (("kinds", lambda c: F.count_if(F.col(c) > 0)), ("total", F.sum))
+    sums = counted.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("toxic", "ordinary") for n, f in each)).first()
+    kinds, totals = (tuple(float(sums[f"{n}_{c}"] or 1) for c in ("toxic", "ordinary")) for n in ("kinds", "total"))
+    shared = grams.where(F.length("gram") == 1).agg(F.sum(F.col("toxic") + F.col("ordinary"))).first()[0]
+
+    def of(words: pa.Table, found: pa.Table) -> pa.Table:
+        rows, after = [], {}
+        for gram, toxic, ordinary, *follow in zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary", "sum_toxic", "sum_ordinary", "kinds_toxic", "kinds_ordinary"))):
+            rows.append((gram, toxic, ordinary))
+            if follow[0] is not None:
+                after[gram] = follow
+        texts = words["word"].to_pylist()
+        seen = {w: (t, o) for w, t, o in zip(texts, words["toxic"].to_pylist(), words["ordinary"].to_pylist()) if t or o}
+        model = (*spelling(rows, after, shared), seen, kinds, totals)
+        return pa.table({"word": words["word"], "evidence": pa.array([evidence(model, w) for w in texts], pa.float64())})
+
+    groups = max(1, -(-sums.n // WORDS_PER_GROUP))
+    grouped = counted.withColumn("group", F.pmod(F.xxhash64("word"), F.lit(groups))).groupBy("group")
+    asked = grouped.applyInArrow(_substrings, "group long, gram string")
+    return grouped.cogroup(asked.join(grams, "gram").groupBy("group")).applyInArrow(of, "word string, evidence double")
+
+
+def _features(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """Per text of a block: mean evidence, the ``TOP`` highest of distinct expressions, log of how many kinds there are.
+
+    Sums are rounded once, so equal texts get equal features in whatever block they are.
+    """
+    sizes, kinds, counts = (block[c].combine_chunks().flatten().to_numpy() for c in ("sizes", "kinds", "counts"))
+    of = np.zeros(answers.num_rows)
+    of[answers["place"].to_numpy()] = answers["evidence"].to_numpy()
+    values = of[kinds]
+    weighted, ends = values * counts, np.cumsum(sizes).tolist()
+    out = np.zeros((len(sizes), FEATURES))
+    for i, (a, b) in enumerate(zip([0, *ends], ends)):
+        if a < b:
+            out[i, 0] = math.fsum(weighted[a:b].tolist()) / counts[a:b].sum()
+            top = np.sort(values[a:b])[: -TOP - 1 : -1]
+            out[i, 1 : 1 + len(top)] = top
+            out[i, -1] = math.log1p(b - a)
+    lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, FEATURES, dtype=np.int32), pa.array(out.ravel()))
+    return pa.table({"digest": block["digests"].combine_chunks().flatten(), "features": lists})
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -211,56 +307,42 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _featured(docs: DataFrame, model: Broadcast, name: str, carried: list[str]) -> DataFrame:
-    """Features of column ``text`` beside the carried columns."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.worker_cache()
-        if cache.get("toxicity model") != name:
-            cache["toxicity model"], cache["toxicity words"] = name, {}
-        for batch in batches:
-            found = features(model.value, batch.column(0), cache["toxicity words"])
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, FEATURES, dtype=np.int32), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*carried, "features"])
-
-    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return map_texts(docs.select("text", *carried), of, schema)
-
-
-def _most(counts: DataFrame, most: int) -> list[tuple[str, int, int]]:
-    """The rows of highest count, at most so many."""
-    if counts.count() > most:
-        counts = counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), counts.columns[0]).limit(most)
-    rows = counts.toArrow()
-    return list(zip(*(rows[c].to_pylist() for c in (counts.columns[0], "toxic", "ordinary"))))
+def _lessons(named: DataFrame) -> DataFrame:
+    """``id``, ``toxic``, ``ordinary``: how many labels of each class the ids of the counting folds have."""
+    counting = named.where(fold("id").between(1, FOLDS - 2))
+    return counting.groupBy("id").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary"))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``id``, ``held_out``, ``score``, ``predicted`` of every document, and its whole ``row`` as a struct."""
-    spark = docs.sparkSession
-    bare = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(fold(id_col), F.lit(0)).alias("fold"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    labelled = bare.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "id")
-
-    words = stored(_word_counts(labelled.where(f"fold BETWEEN 1 AND {FOLDS - 2}").select("text", "toxic")), "expressions")
-    grams = stored(_kneser_ney(stored(_gram_counts(words), "grams")), "counts")
-    sums = words.agg(*(f(c).alias(f"{n}_{c}") for c in ("toxic", "ordinary") for n, f in (("kinds", lambda c: F.count_if(F.col(c) > 0)), ("total", F.sum)))).first()
-    kinds, totals = (tuple(float(sums[f"{n}_{c}"] or 1) for c in ("toxic", "ordinary")) for n in ("kinds", "total"))
-    often = {r[0]: r[1:] for r in _most(words.where("toxic + ordinary > 1"), MODEL_WORDS)}
-    model = spark.sparkContext.broadcast((*spelling(_most(grams, MODEL_GRAMS)), often, kinds, totals))
-    name = uuid.uuid4().hex
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bare = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), F.coalesce(fold(id_col), F.lit(0)).alias("fold"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND id IS NOT NULL")
+    lessons = _lessons(named)
+    few = named.count() <= BROADCAST_ROWS
+    taught = bare.join(F.broadcast(lessons) if few else lessons, "id", "left").select("digest", "text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("toxic", "ordinary")))
+
+    blocks = stored(_blocks(taught), "blocks")
+    listed = blocks.select(F.inline(F.arrays_zip("words", "toxic", "ordinary"))).withColumnRenamed("words", "word")
+    counted = stored(listed.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
+    grams = stored(_kneser_ney(stored(_gram_counts(counted.where("toxic + ordinary > 0")), "grams")), "counts")
+    known = stored(_evidences(counted, stored(_with_histories(grams), "histories")), "evidence")
+    answers = blocks.select(F.col("block").alias("asker"), F.posexplode("words").alias("place", "word")).join(known, "word").select("asker", "place", "evidence")
+    texts = blocks.select("block", "digests", "sizes", "kinds", "counts").groupBy("block")
+    found = texts.cogroup(answers.groupBy("asker")).applyInArrow(_features, "digest binary, features array<double>")
+    found = stored(found.dropDuplicates(["digest"]), "features")
 
     curve = named.where(fold("id") == FOLDS - 1).distinct()
     some, others = (curve.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS) for c in (1, 0))
-    chosen = bare.select("id", "text").join(F.broadcast(some.union(others)), "id")  # ids of at most 2 * CALIBRATION_ROWS rows
-    known = _featured(chosen, model, name, ["toxic"]).toArrow()
-    y = known["toxic"].to_numpy()
+    chosen = bare.join(F.broadcast(some.union(others)), "id").groupBy("id", "toxic").agg(F.min("digest").alias("digest"))  # at most 2 * CALIBRATION_ROWS rows
+    fitted = chosen.join(found, "digest").select("id", "toxic", "features").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    y = fitted["toxic"].to_numpy()
     if not len(y) or y.min() == y.max():
-        out = bare.select("id", "fold", F.lit(0.0).alias("score"), "row")
+        out = bare.withColumn("score", F.lit(0.0))
     else:
-        w = _fit(np.array(known["features"].to_pylist()), y)
+        w = _fit(np.array(fitted["features"].to_pylist()), y)
         z = F.lit(float(w[-1]))
         for k in range(FEATURES):
             z = z + F.lit(float(w[k])) * F.get("features", F.lit(k))
-        out = _featured(bare, model, name, ["id", "fold", "row"]).select("id", "fold", (1 / (1 + F.exp(-z))).alias("score"), "row")
+        out = bare.join(found.select("digest", (1 / (1 + F.exp(-z))).alias("score")), "digest")
     return out.select("id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "row")

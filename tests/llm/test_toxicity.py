@@ -1,5 +1,8 @@
+import math
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from facetide.llm import toxicity
@@ -35,8 +38,6 @@ def test_held_out_accuracy_and_shape(spark, documents, words_of):
 
 def test_folds_follow_the_checksum(spark):
     got = spark.range(50).select("id", toxicity.fold("id").alias("f")).collect()
-    import zlib
-
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
 
 
@@ -76,3 +77,48 @@ def test_shared_backoff_smooths_rare_expressions():
     assert of("xyzzy") > of("qqqq") == 0.0 > of("abcab")
     assert of("xyzzyq") > of("abcabq")
     assert of("...") == 0.0
+
+
+def test_scores_as_one_model_in_one_process(spark, documents, words_of, monkeypatch):
+    """Blocks and groups give each text what a model of all counts in one process gives it."""
+    rows, known = planted(words_of, 160)
+    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, "... --"), (903, None), (904, "Grobnak, (grobnak) unmet"), (904, "x")]
+    known += [(900, 1), (900, 0), (905, 1)]
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(toxicity, "WORDS_PER_GROUP", 50)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    words_in = lambda text: [w for w in (t.strip(toxicity._EDGES) for t in (text or "").lower().split()) if w]
+
+    words = {}
+    for i, text in rows:
+        for j, toxic in known:
+            if i == j and 1 <= fold(i) <= 3:
+                for w in set(words_in(text)):
+                    words.setdefault(w, [0, 0])[1 - toxic] += 1
+    raw = {}
+    for w, counts in words.items():
+        marked = f"\x02{w}\x03"
+        for size in range(1, toxicity.ORDER + 1):
+            for k in range(len(marked) - size + 1):
+                gram = raw.setdefault(marked[k : k + size], [0, 0])
+                gram[0] += counts[0]
+                gram[1] += counts[1]
+    grams = [(g, *(x if len(g) == toxicity.ORDER or g[0] == "\x02" else [sum(1 for h, y in raw.items() if h[1:] == g and y[c]) for c in (0, 1)])) for g, x in raw.items()]
+    kinds = tuple(float(sum(1 for x in words.values() if x[c])) for c in (0, 1))
+    totals = tuple(float(sum(x[c] for x in words.values())) for c in (0, 1))
+    model = (*toxicity.spelling(grams), {w: tuple(x) for w, x in words.items()}, kinds, totals)
+
+    def features(text):
+        own = words_in(text)
+        if not own:
+            return [0.0] * toxicity.FEATURES
+        top = sorted((toxicity.evidence(model, w) for w in set(own)), reverse=True)[: toxicity.TOP]
+        return [sum(toxicity.evidence(model, w) for w in own) / len(own), *top, *[0.0] * (toxicity.TOP - len(top)), math.log1p(len(set(own)))]
+
+    texts = dict(rows)
+    fit = sorted({(i, t) for i, t in known if fold(i) == 4 and i in texts})
+    w = toxicity._fit(np.array([features(texts[i]) for i, _ in fit]), np.array([t for _, t in fit]))
+    got = toxicity.score(documents(rows), spark.createDataFrame(known, "doc_id long, toxic int")).select("id", "score", "row.text").collect()
+    assert sorted((r.id, r.text or "") for r in got) == sorted((i, t or "") for i, t in rows)
+    for r in got:
+        assert abs(r.score - 1 / (1 + math.exp(-(np.dot(features(r.text), w[:-1]) + w[-1])))) < 1e-9
