@@ -11,10 +11,10 @@ picked from. A logistic curve turns the features into the score.
 
 The model is a table of all expressions and one of all n-grams, as large as the corpus makes them, and is never gathered
 in one place. One pass cuts the documents into blocks of about ``BLOCK_BYTES`` of text (or one longer text): each lists its
-distinct expressions once, and its different texts as numbers into that list. All else is joins: expressions are counted
-over the blocks; groups of ``WORDS_PER_GROUP`` expressions ask the n-gram table for the n-grams that spell them
-and get the evidence of each; blocks ask for the evidence of their expressions. The curve is fitted on at most
-``CALIBRATION_ROWS`` labelled rows per class of a fold that was not counted. Scores come back to the rows by the texts' MD5.
+distinct expressions once, dealt by checksum over groups (one per ``GROUP_BYTES`` of text) and packed, and its different texts as
+numbers into that list. A group adds up its expressions' counts, asks the n-gram table for the n-grams that spell them and
+answers each block with their evidence. The curve is fitted on at most ``CALIBRATION_ROWS`` labelled rows per class of
+a fold that was not counted. Scores come back to the rows by the texts' MD5.
 
 Defined cases: null and empty texts have no expressions and get the curve's value for no evidence; an unlabelled
 corpus or one without toxic rows gives every text the score 0; several labels of one id count each; rows with a
@@ -25,10 +25,12 @@ labels, language, source and id are never inputs of a score (the id only divides
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ ORDER = 5
 CALIBRATION_ROWS = 4_000
 DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
-WORDS_PER_GROUP = 50_000
+GROUP_BYTES = 64 << 20
 GRAMS_REMEMBERED = 250_000  # counts kept by a task before it hands them on
 FOLDS = 5  # 0: held out, 4: the curve, others: counts
 TOP = 3
@@ -91,16 +93,38 @@ class _Block:
         self.taught[at][0] += toxic
         self.taught[at][1] += ordinary
 
-    def row(self, number: int) -> pa.RecordBatch:
-        sizes = np.array([len(x) for x in self.kinds], dtype=np.int32)
-        kinds, taught = np.concatenate(self.kinds), np.array(self.taught)
-        classes = [np.bincount(kinds, np.repeat(taught[:, c], sizes), len(self.places.words)).astype(np.int64) for c in (0, 1)]
-        lists = [pa.array(list(self.places.words), pa.string()), *map(pa.array, classes), pa.array(list(self.texts), pa.binary()), pa.array(sizes), pa.array(kinds), pa.array(np.concatenate(self.counts))]
-        columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], ["block", "words", "toxic", "ordinary", "digests", "sizes", "kinds", "counts"])
+    def row(self, number: int, groups: int) -> pa.RecordBatch:
+        words = list(self.places.words)
+        group = np.fromiter((zlib.crc32(w.encode()) % groups for w in words), dtype=np.int64, count=len(words))
+        order = np.argsort(group, kind="stable")
+        rank = np.empty(len(words), dtype=np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        sizes, taught = np.array([len(x) for x in self.kinds], dtype=np.int32), np.array(self.taught)
+        kinds, counts, text = rank[np.concatenate(self.kinds)], np.concatenate(self.counts), np.repeat(np.arange(len(sizes)), sizes)
+        classes = [np.bincount(kinds, taught[text, c], len(words)).astype(np.int64) for c in (0, 1)]
+        ends = np.searchsorted(group[order], np.arange(groups + 1))
+        asks = []
+        for g in np.flatnonzero(np.diff(ends)).tolist():
+            i, j = ends[g], ends[g + 1]
+            asks.append({"group": g, "words": _pack("\n".join(words[k] for k in order[i:j].tolist()).encode()), "taught": _pack(np.concatenate([c[i:j] for c in classes]))})
+        inside = np.lexsort((kinds, text))
+        own = {"block": number, "digests": list(self.texts), "sizes": sizes, "kinds": _pack(np.diff(kinds[inside], prepend=np.int32(0))), "counts": _pack(counts[inside]), "asks": asks}
+        return pa.RecordBatch.from_pylist([own], _BLOCK)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+_ASK = pa.struct([("group", pa.int64()), ("words", pa.binary()), ("taught", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("kinds", pa.binary()), ("counts", pa.binary()), ("asks", pa.list_(_ASK))])
+
+
+def _pack(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def _unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _blocks(rows: DataFrame, groups: int) -> DataFrame:
     """A row per block of ``rows`` (digest, text, toxic, ordinary: how often the row was labelled so)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +134,35 @@ def _blocks(rows: DataFrame) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 block.add(*row)
                 if block.bytes >= BLOCK_BYTES:
-                    yield block.row(number)
+                    yield block.row(number, groups)
                     number, block = number + 1, _Block()
         if block.kinds:
-            yield block.row(number)
+            yield block.row(number, groups)
+
+    return map_texts(rows, of, "block long, digests array<binary>, sizes array<int>, kinds binary, counts binary, asks array<struct<group: long, words: binary, taught: binary>>")
+
+
+def _words(asks: pa.Table) -> Iterator[list[str]]:
+    """The expressions of each ask."""
+    return (_unpack(x).decode().split("\n") for x in asks["words"].to_pylist())
+
+
+def _tally(asks: pa.Table) -> dict[str, tuple[int, int]]:
+    """How many texts labelled toxic, and ordinary, hold each expression of a group that any of them holds."""
+    total: dict[str, tuple[int, int]] = {}
+    for words, taught in zip(_words(asks), asks["taught"].to_pylist()):
+        counts = np.frombuffer(_unpack(taught), dtype=np.int64).reshape(2, len(words))
+        for k in np.flatnonzero(counts.any(axis=0)).tolist():
+            t, o = total.get(words[k], (0, 0))
+            total[words[k]] = (t + int(counts[0, k]), o + int(counts[1, k]))
+    return total
+
 
-    return map_texts(rows, of, "block long, words array<string>, toxic array<long>, ordinary array<long>, digests array<binary>, sizes array<int>, kinds array<int>, counts array<int>")
+def _expressions(asks: pa.Table) -> pa.Table:
+    """``word``, ``toxic``, ``ordinary`` of a group's taught expressions."""
+    total = _tally(asks)
+    columns = [pa.array(list(total), pa.string()), *(pa.array([x[c] for x in total.values()], pa.int64()) for c in (0, 1))]
+    return pa.table(columns, ["word", "toxic", "ordinary"])
 
 
 def _counted(counts: tuple[dict, dict]) -> pa.RecordBatch:
@@ -240,38 +287,41 @@ def evidence(model: Model, word: str) -> float:
     return ratio / (len(marked) - 1)
 
 
-def _substrings(group: pa.Table) -> pa.Table:
+def _substrings(asks: pa.Table) -> pa.Table:
     """The n-grams that spell a group's expressions, once each."""
     grams = set()
-    for word in group["word"].to_pylist():
+    for word in set().union(*_words(asks)):
         marked = f"{_START}{word}{_END}"
         for size in range(1, ORDER + 1):
             grams.update(marked[i : i + size] for i in range(len(marked) - size + 1))
-    return pa.table({"group": pa.array([group["group"][0].as_py()] * len(grams), pa.int64()), "gram": pa.array(list(grams), pa.string())})
+    return pa.table({"group": pa.array([asks["group"][0].as_py()] * len(grams), pa.int64()), "gram": pa.array(list(grams), pa.string())})
 
 
-def _evidences(counted: DataFrame, grams: DataFrame) -> DataFrame:
-    """``word``, ``evidence`` of every expression, from the counts of all expressions and of all n-grams."""
+def _answers(asks: DataFrame, counted: DataFrame, grams: DataFrame) -> DataFrame:
+    """``asker``, ``group``, ``evidence`` (packed, in the order asked) of every ask, from the counts of all n-grams."""
     each = (("kinds", lambda c: F.count_if(F.col(c) > 0)), ("total", F.sum))
-    sums = counted.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("toxic", "ordinary") for n, f in each)).first()
+    sums = counted.agg(*(f(c).alias(f"{n}_{c}") for c in ("toxic", "ordinary") for n, f in each)).first()
     kinds, totals = (tuple(float(sums[f"{n}_{c}"] or 1) for c in ("toxic", "ordinary")) for n in ("kinds", "total"))
     shared = grams.where(F.length("gram") == 1).agg(F.sum(F.col("toxic") + F.col("ordinary"))).first()[0]
 
-    def of(words: pa.Table, found: pa.Table) -> pa.Table:
+    def of(asks: pa.Table, found: pa.Table) -> pa.Table:
         rows, after = [], {}
         for gram, toxic, ordinary, *follow in zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary", "sum_toxic", "sum_ordinary", "kinds_toxic", "kinds_ordinary"))):
             rows.append((gram, toxic, ordinary))
             if follow[0] is not None:
                 after[gram] = follow
-        texts = words["word"].to_pylist()
-        seen = {w: (t, o) for w, t, o in zip(texts, words["toxic"].to_pylist(), words["ordinary"].to_pylist()) if t or o}
-        model = (*spelling(rows, after, shared), seen, kinds, totals)
-        return pa.table({"word": words["word"], "evidence": pa.array([evidence(model, w) for w in texts], pa.float64())})
+        model = (*spelling(rows, after, shared), _tally(asks), kinds, totals)
+        known: dict[str, float] = {}
+        out = []
+        for words in _words(asks):
+            for w in words:
+                if w not in known:
+                    known[w] = evidence(model, w)
+            out.append(_pack(np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))))
+        return pa.table({"asker": asks["block"], "group": asks["group"], "evidence": pa.array(out, pa.binary())})
 
-    groups = max(1, -(-sums.n // WORDS_PER_GROUP))
-    grouped = counted.withColumn("group", F.pmod(F.xxhash64("word"), F.lit(groups))).groupBy("group")
-    asked = grouped.applyInArrow(_substrings, "group long, gram string")
-    return grouped.cogroup(asked.join(grams, "gram").groupBy("group")).applyInArrow(of, "word string, evidence double")
+    asked = asks.groupBy("group").applyInArrow(_substrings, "group long, gram string")
+    return asks.groupBy("group").cogroup(asked.join(grams, "gram").groupBy("group")).applyInArrow(of, "asker long, group long, evidence binary")
 
 
 def _features(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -279,10 +329,10 @@ def _features(block: pa.Table, answers: pa.Table) -> pa.Table:
 
     Sums are rounded once, so equal texts get equal features in whatever block they are.
     """
-    sizes, kinds, counts = (block[c].combine_chunks().flatten().to_numpy() for c in ("sizes", "kinds", "counts"))
-    of = np.zeros(answers.num_rows)
-    of[answers["place"].to_numpy()] = answers["evidence"].to_numpy()
-    values = of[kinds]
+    sizes = block["sizes"].combine_chunks().flatten().to_numpy()
+    kinds, counts = (np.frombuffer(_unpack(block[c][0].as_py()), dtype=np.int32) for c in ("kinds", "counts"))
+    of = np.frombuffer(b"".join(map(_unpack, answers.sort_by("group")["evidence"].to_pylist())))
+    values = of[np.cumsum(kinds, dtype=np.int32)]
     weighted, ends = values * counts, np.cumsum(sizes).tolist()
     out = np.zeros((len(sizes), FEATURES))
     for i, (a, b) in enumerate(zip([0, *ends], ends)):
@@ -322,14 +372,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = named.count() <= BROADCAST_ROWS
     taught = bare.join(F.broadcast(lessons) if few else lessons, "id", "left").select("digest", "text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("toxic", "ordinary")))
 
-    blocks = stored(_blocks(taught), "blocks")
-    listed = blocks.select(F.inline(F.arrays_zip("words", "toxic", "ordinary"))).withColumnRenamed("words", "word")
-    counted = stored(listed.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "expressions")
-    grams = stored(_kneser_ney(stored(_gram_counts(counted.where("toxic + ordinary > 0")), "grams")), "counts")
-    known = stored(_evidences(counted, stored(_with_histories(grams), "histories")), "evidence")
-    answers = blocks.select(F.col("block").alias("asker"), F.posexplode("words").alias("place", "word")).join(known, "word").select("asker", "place", "evidence")
-    texts = blocks.select("block", "digests", "sizes", "kinds", "counts").groupBy("block")
-    found = texts.cogroup(answers.groupBy("asker")).applyInArrow(_features, "digest binary, features array<double>")
+    groups = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // GROUP_BYTES))
+    blocks = stored(_blocks(taught, groups), "blocks")
+    asks = blocks.select("block", F.inline("asks"))
+    counted = stored(asks.groupBy("group").applyInArrow(_expressions, "word string, toxic long, ordinary long"), "expressions")
+    grams = stored(_kneser_ney(stored(_gram_counts(counted), "grams")), "counts")
+    answers = stored(_answers(asks, counted, stored(_with_histories(grams), "histories")), "answers")
+    found = blocks.drop("asks").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_features, "digest binary, features array<double>")
     found = stored(found.dropDuplicates(["digest"]), "features")
 
     curve = named.where(fold("id") == FOLDS - 1).distinct()

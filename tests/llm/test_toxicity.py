@@ -85,7 +85,7 @@ def test_scores_as_one_model_in_one_process(spark, documents, words_of, monkeypa
     rows += [(900, rows[0][1]), (901, rows[0][1]), (902, "... --"), (903, None), (904, "Grobnak, (grobnak) unmet"), (904, "x")]
     known += [(900, 1), (900, 0), (905, 1)]
     monkeypatch.setattr(toxicity, "BLOCK_BYTES", 3000)
-    monkeypatch.setattr(toxicity, "WORDS_PER_GROUP", 50)
+    monkeypatch.setattr(toxicity, "GROUP_BYTES", 9000)
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     words_in = lambda text: [w for w in (t.strip(toxicity._EDGES) for t in (text or "").lower().split()) if w]
 
