@@ -40,7 +40,8 @@ from .shared import BROADCAST_ROWS, map_texts
 
 ORDER = 5
 CALIBRATION_ROWS = 4_000
-DISCOUNT = 0.75
+DISCOUNT = 0.75  # of n-grams
+WORD_DISCOUNT = 1.0  # of expressions: one met once in a class counts there by its spelling and in the backoff's mass only
 BLOCK_BYTES = 8 << 20
 GROUP_BYTES = 64 << 20
 GRAMS_REMEMBERED = 250_000  # counts kept by a task before it hands them on
@@ -282,7 +283,7 @@ def evidence(model: Model, word: str) -> float:
         ratio = toxic - ordinary + math.log(kinds[0] / totals[0]) - math.log(kinds[1] / totals[1])
     else:
         spelt = (math.exp(toxic), math.exp(ordinary))
-        t, o = ((max(counts[c] - DISCOUNT, 0.0) + DISCOUNT * kinds[c] * spelt[c]) / totals[c] for c in (0, 1))
+        t, o = ((max(counts[c] - WORD_DISCOUNT, 0.0) + WORD_DISCOUNT * kinds[c] * spelt[c]) / totals[c] for c in (0, 1))
         ratio = math.log(max(t, 1e-300)) - math.log(max(o, 1e-300))
     return ratio / (len(marked) - 1)
 
