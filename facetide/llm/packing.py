@@ -5,7 +5,7 @@ pieces of ``capacity`` ids and a shorter last one. Pieces are then dealt at rand
 packs its own: around its largest piece left, completions of the rest of the sequence are searched depth
 first, largest piece first. A filling is dominated, and skipped, if it takes a smaller length where an unused larger
 one fits and completes no less (equal lengths count once; as the last piece only the largest that fits is tried).
-A branch is pruned when even all room it can still use would leave more waste than the incumbent, the
+A branch is pruned when even all pieces left that fit, taken together, would leave no less waste than the incumbent, the
 first of which is the plain best-fit filling; a filling without waste ends the search, as does
 ``NODES`` visited nodes, with the best incumbent kept. What remains of a group's badly filled sequences is
 packed again with that of other groups, in ever fewer groups, so that the number of sequences that are not full
@@ -105,8 +105,6 @@ class Encoder:
         if self._known is None:
             self._known = (np.array(self._ids, dtype=np.uint32), np.array(self._starts, dtype=np.int64))
         ids, starts = self._known
-        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        places = np.fromiter(map(self._places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
         each = starts[places + 1] - starts[places]
         ends = np.concatenate([[0], np.cumsum(each)])
         at = np.arange(ends[-1]) + np.repeat(starts[places] - ends[:-1], each)
@@ -197,6 +195,15 @@ def completed(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> np.ndar
     return out
 
 
+def _usable(room: int, x: int, largest, left: list[int]) -> int:
+    """The most of the room that pieces up to the length ``x`` can take, if they went together: all that is left of them."""
+    total = 0
+    while x and total < room:
+        total += x * left[x]
+        x = largest(x - 1)
+    return min(total, room)
+
+
 def _filling(gap: int, largest, left: list[int], smallest: int, nodes: int) -> list[int]:
     """Lengths that leave the least of the gap, as far as the search came."""
     best: list[int] = []
@@ -208,7 +215,7 @@ def _filling(gap: int, largest, left: list[int], smallest: int, nodes: int) -> l
     while stack:
         room, longest = stack.pop()
         x = largest(min(room, longest)) if longest > 0 else 0
-        if x and visited < nodes and waste:
+        if x and visited < nodes and waste > room - _usable(room, x, largest, left):
             visited += 1
             rest = room - x
             # as a last piece x dominates every shorter one; a shorter one is tried only if more fits beside it

@@ -43,6 +43,27 @@ def test_completed_fits_and_is_no_worse_than_first_fit(lengths):
     assert len(filled) <= max(len(bins), 1) + 1
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.integers(1, 40), st.lists(st.integers(1, 40), max_size=9))
+def test_filling_wastes_least(gap, lengths):
+    """The bound prunes no filling that wastes less: against all subsets."""
+    left = [lengths.count(x) for x in range(gap + 1)]
+    largest = lambda x: next((y for y in range(x, 0, -1) if left[y]), 0)
+    before = list(left)
+    got = packing._filling(gap, largest, left, 1, 10_000)
+    sums = {0}
+    for x in lengths:
+        sums |= {x + y for y in sums}
+    assert sum(got) == max(y for y in sums if y <= gap)
+    assert left == before and all(got.count(x) <= left[x] for x in got)
+
+
+def test_usable_room_bounds_what_is_left():
+    left = [0, 0, 1, 0, 0, 2, 0]
+    largest = lambda x: next((y for y in range(min(x, len(left) - 1), 0, -1) if left[y]), 0)
+    assert [packing._usable(room, largest(room), largest, left) for room in (1, 2, 5, 9, 20)] == [0, 2, 5, 9, 12]
+
+
 def test_search_beats_best_fit():
     lengths = np.array([6, 5, 4, 4, 3, 2], dtype=np.int64)  # best fit alone would put 6 with 4 first, and so does it
     assert packing.completed(lengths, 12).max() == 1
