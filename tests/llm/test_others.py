@@ -3,7 +3,10 @@
 import collections
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from facetide.llm import htmltext, licenses, quality, queries, rollups, urlfilter
 from facetide.session import fresh_folder
@@ -44,6 +47,30 @@ def test_forest_and_threshold(spark, documents, words_of, odd_rows):
     assert quality.judged(documents([]), labels).collect() == []
 
 
+def test_all_rows_grow_the_forest(spark):
+    counts = spark.range(30_000).select("id", *[(F.xxhash64(F.lit(s), "id") % 500 + 501).alias(s) for s in quality.STATISTICS])
+    forest = quality.grown(counts)
+    assert forest.rows.sum() == 30_000 and forest.rows.min() > 200  # more than 100 trees of 256 rows take
+    assert quality.grown(counts.limit(300)).rows.sum() == 300 * 86
+    few = quality.grown(counts.limit(100))
+    assert few.rows.tolist() == [100] * quality.TREES and quality.grown(counts.limit(0)).rows.sum() == 0
+    odd = quality.anomaly(forest, quality.features({s: np.array([700, 90_000 if s != "n_words" else 1]) for s in quality.STATISTICS}))
+    assert odd[0] < odd[1]
+
+
+def test_threshold_heeds_every_labelled_row(spark):
+    rng = np.random.default_rng(3)
+    scores, good = np.round(rng.random(40_000), 4), rng.random(40_000) < 0.6
+    good[scores > 0.7] = rng.random((scores > 0.7).sum()) < 0.2
+    known = spark.createDataFrame(pa.table({"anomaly": scores, "good": good.astype("int32")}))
+    values = np.unique(scores)
+    errors = [quality.GOOD_WEIGHT * good[scores > v].sum() + (~good[scores <= v]).sum() for v in values]
+    best = int(np.argmin(errors))
+    assert quality.threshold(known) == pytest.approx((values[best] + values[best + 1]) / 2, abs=1e-12)
+    assert quality.threshold(known.where("good = 1")) == quality.threshold(known.limit(0)) == 1.0
+
+
+
 def test_rollup_batches(spark, documents, odd_rows):
     docs = documents(odd_rows)
     counted = rollups.counted(docs, {rollups.WORDS: ""})
