@@ -507,18 +507,37 @@ def _table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-PARTS = 4  # files, and so micro-batches, of the streams made from tables
+PARTS = 4  # of the streams made from tables; each is one micro-batch or, of a fold, several in order
+ROWS_PER_TRIGGER = 500_000  # about, as a fold holds a trigger's rows of a key at once
 
 
-def _as_stream(rows: DataFrame, purpose: str, part: Column) -> DataFrame:
-    """``rows`` as a stream of one file per micro-batch; ``part`` (0 to PARTS - 1) tells the file of a row."""
+def _as_stream(rows: DataFrame, purpose: str, part: Column, order: str | None = None) -> DataFrame:
+    """``rows`` as a stream of one file per micro-batch; ``part`` (0 to PARTS - 1) tells the part of a row. With ``order`` a
+    part of many rows is cut into several files in that order."""
     spark, path = rows.sparkSession, fresh_folder(rows.sparkSession, purpose)
     table = stored(rows.withColumn("_part", part), f"{purpose}-rows")
-    for number in range(PARTS):  # the order of the files is that of their times
-        table.where(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    for number in range(PARTS):
+        _append_in_turn(table.where(F.col("_part") == number).drop("_part"), path, order)
     return stream_events(spark, path, rows.schema, max_files=1)
 
 
+def _append_in_turn(rows: DataFrame, path: str, order: str | None) -> None:
+    """``rows`` appended to ``path`` one file after the other, as a stream reads files in the order of their times.
+
+    Spark's range partitions of ``order`` make files of about ROWS_PER_TRIGGER rows, so what a trigger reads does not grow with the
+    table. Rows of one moment stay in one file; rows without come in the last one.
+    """
+    files = -(-rows.count() // ROWS_PER_TRIGGER) if order else 1
+    if files < 2:
+        rows.coalesce(1).write.mode("append").parquet(path)
+        return
+    spark, place = rows.sparkSession, fresh_folder(rows.sparkSession, "files")
+    ranges = rows.repartitionByRange(files, F.col(order).asc_nulls_last()).withColumn("_file", F.spark_partition_id())
+    ranges.write.partitionBy("_file").parquet(place)
+    for (number,) in sorted(spark.read.parquet(place).select("_file").distinct().collect()):  # one row per file
+        spark.read.schema(rows.schema).parquet(f"{place}/_file={number}").coalesce(1).write.mode("append").parquet(path)
+
+
 def _by_time(rows: DataFrame, time: str) -> Column:
     """PARTS stretches of ``time`` of equal length, in order."""
     low, high = rows.agg(F.min(time).cast("double"), F.max(time).cast("double")).first()
@@ -596,7 +615,7 @@ def _folded(rows: DataFrame, fold, purpose: str) -> DataFrame:
 def stream_throttle(spark, folder):
     events = _timed(views.emotion_events(spark, folder))
     fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
-    sent = timely(_folded(_as_stream(events, "timed", _by_time(events, "t")), fold, "stream-throttle"))
+    sent = timely(_folded(_as_stream(events, "timed", _by_time(events, "t"), "t"), fold, "stream-throttle"))
     return sent.where("passed").drop("passed")
 
 
@@ -605,7 +624,7 @@ def stream_late_rows(spark, folder):
     """Events in disorder: how many of each camera were too late for its state, and how many were not."""
     events = _timed(views.emotion_events(spark, folder))
     fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
-    done = _folded(_as_stream(events, "disorder", F.col("frame_id") % PARTS), fold, "stream-late")
+    done = _folded(_as_stream(events, "disorder", F.col("frame_id") % PARTS, "t"), fold, "stream-late")
     late, in_time = (rows.select("source_id", F.lit(n).alias("late")) for n, rows in ((1, late_rows(done)), (0, timely(done))))
     return late.union(in_time).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("late").alias("n_late"))
 
@@ -614,7 +633,7 @@ def stream_late_rows(spark, folder):
 def stream_smooth(spark, folder):
     vectors = views.face_probs(spark, folder)
     fold = SmoothFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, SMOOTHING)
-    stream = _as_stream(vectors, "face-probs", _by_time(vectors, "frame_id"))
+    stream = _as_stream(vectors, "face-probs", _by_time(vectors, "frame_id"), "frame_id")
     return _smoothed_columns(timely(_folded(stream, fold, "stream-smooth")).drop("probs"))
 
 
@@ -627,9 +646,9 @@ def stream_vote_change(spark, folder):
     newest = vectors.agg(F.max("frame_id")).first()[0]
     table = stored(vectors.withColumn("_part", F.least(F.floor(F.col("frame_id") * 3 / newest), F.lit(2))), "vote-rows")
     for part, (length, model) in enumerate([(15, "first"), (3, "first"), (3, "second")]):
-        table.where(F.col("_part") == part).drop("_part").write.mode("append").parquet(path)
+        _append_in_turn(table.where(F.col("_part") == part).drop("_part"), path, "frame_id")
         fold = CandidateFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, LiveSettings(vote_window=length), model=model)
-        append_stream(timely(fold_stream(stream_events(spark, path, vectors.schema), fold)), out, mark, "available-now", None).awaitTermination()
+        append_stream(timely(fold_stream(stream_events(spark, path, vectors.schema, max_files=1), fold)), out, mark, "available-now", None).awaitTermination()
     return spark.read.parquet(out).select("track_id", "frame_id", "vote_label", F.round("ema_score", 6).alias("ema_score"))
 
 
@@ -639,7 +658,7 @@ def stream_hold(spark, folder):
     found = views.detections(spark, folder, cameras=4).groupBy("source_id", "frame_id")
     per_frame = found.agg(F.to_json(F.sort_array(F.collect_list(box))).alias("boxes"))
     frames = stored(views.frames(spark, folder).join(per_frame, ["source_id", "frame_id"], "left"), "frames")
-    shown = timely(_folded(_as_stream(frames, "frames", _by_time(frames, "ts")), D.HoldFold(), "stream-hold"))
+    shown = timely(_folded(_as_stream(frames, "frames", _by_time(frames, "ts"), "ts"), D.HoldFold(), "stream-hold"))
     parsed = F.from_json("shown", "array<struct<det_no: bigint, x: int, y: int, w: int, h: int>>")
     return shown.where("held_from is not null").select("source_id", "frame_id", "held_from", F.inline(parsed))
 
@@ -647,5 +666,5 @@ def stream_hold(spark, folder):
 @query
 def stream_track(spark, folder):
     found = stored(D.clamped(views.detections(spark, folder, cameras=4)).drop("conf"), "boxes")
-    tracked = timely(_folded(_as_stream(found, "boxes", _by_time(found, "ts")), TrackFold(), "stream-track"))
+    tracked = timely(_folded(_as_stream(found, "boxes", _by_time(found, "ts"), "ts"), TrackFold(), "stream-track"))
     return tracked.select("source_id", "frame_id", "det_no", "track_id")

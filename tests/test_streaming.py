@@ -11,7 +11,7 @@ from facetide.operators.detections import HoldFold
 from facetide.operators.smoothing import SmoothFold, smooth
 from facetide.operators.throttle import ThrottleFold
 from facetide.operators.tracking import TrackFold, assign_tracks
-from facetide.plans import analytics, ingest, live, views
+from facetide.plans import analytics, ingest, live, queries, views
 from facetide.schemas import EVENT_STORED
 from facetide.sinks import files, kafka as kafka_sink
 from facetide.sources import kafka as kafka_source
@@ -274,3 +274,20 @@ def test_another_model_starts_afresh():
     assert first.run(state, rows, 1)[1]["vote_label"] == ["x"]
     second = SmoothFold(("k",), ("n",), "xyz", LiveSettings(vote_window=3), model="second")
     assert second.run(state, rows, 1)[1] == second.run(second.start(), rows, 1)[1]
+
+
+@pytest.mark.parametrize("name, size", [("stream_hold", 200), ("stream_track", 800), ("stream_late_rows", 200), ("stream_vote_change", 100)])
+def test_a_trigger_does_not_grow_with_the_table(spark, folder, monkeypatch, name, size):
+    read = []
+    real = queries.stream_events
+
+    def counted(spark, path, schema, max_files=None):
+        assert max_files == 1
+        read.extend(spark.read.schema(schema).parquet(path).groupBy(F.input_file_name()).count().toPandas()["count"])
+        return real(spark, path, schema, max_files)
+
+    whole = sorted(map(str, queries.QUERIES[name](spark, folder).collect()))
+    monkeypatch.setattr(queries, "stream_events", counted)
+    monkeypatch.setattr(queries, "ROWS_PER_TRIGGER", size)
+    assert sorted(map(str, queries.QUERIES[name](spark, folder).collect())) == whole
+    assert len(read) > queries.PARTS and max(read) < 2 * size
