@@ -71,10 +71,10 @@ def fold_table(df: DataFrame, fold: Fold, span: float | None = None) -> DataFram
     """``df`` with the fold's output columns. All rows are kept. ``df`` is read several times, so it should be
     a stored table or cheap to compute."""
     parts = bucketed(df, fold.keys, fold.order, span)
-    long = parts.long_keys()
+    long = stored(parts.long_places(), "places")
     entered = None
     if not long.isEmpty():
-        rows = join_alike(parts.rows.select(*dict.fromkeys([*parts.place, *fold.needed])), long, parts.keys, "left_semi") if parts.keys else parts.rows
+        rows = join_alike(parts.rows.select(*dict.fromkeys([*parts.place, *fold.needed])), long, parts.place, "left_semi") if parts.keys else parts.rows
         entered = fold.heads(replace(parts, rows=rows))
     schema = T.StructType([*df.schema.fields, *fold.outputs.fields])
     arrow_schema = to_arrow_schema(schema)

@@ -46,6 +46,13 @@ class Bucketed:
         reach = self.rows.groupBy(*self.keys).agg(F.min(BUCKET).alias("_low"), F.max(BUCKET).alias("_high"))
         return reach.where("_low < _high").select(*self.keys)
 
+    def long_places(self) -> DataFrame:
+        """(keys, BUCKET) of all buckets of these keys; a join with it spreads a key's rows over many tasks."""
+        buckets = self.rows.select(*self.place).distinct()
+        every = Window.partitionBy(*self.keys)
+        reach = buckets.withColumns({"_low": F.min(BUCKET).over(every), "_high": F.max(BUCKET).over(every)})
+        return reach.where("_low < _high").select(*self.place)
+
 
 def bucket_number(column: Column, kind: T.DataType, span: float | None = None) -> Column:
     """The bucket of a time in seconds, a timestamp, a date or a number, never negative; missing values first and NaN last, as they sort."""

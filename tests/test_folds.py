@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 import brute
 from facetide.config import LiveSettings
 from facetide.operators import folds
-from facetide.operators.folds import BODY, before
+from facetide.operators.folds import BODY, before, fold_table
 from facetide.operators.ordered import BUCKET
 from facetide.operators.smoothing import Switching, SwitchState, average_probs, smooth, switch, switch_labels, vote_labels
-from facetide.operators.throttle import throttle
+from facetide.operators.throttle import ThrottleFold, throttle
 from facetide.operators.tracking import assign_tracks
 
 SPANS = [None, 120, 37]
@@ -211,3 +211,22 @@ def test_tracks(spark, span, case):
     want = brute.tracks(frames, 0.9, 0.25)
     assert got == {(i, n): t for i, numbers in enumerate(want) for n, t in enumerate(numbers)}
     assert done.count() == len(rows)
+
+
+def test_rows_of_a_long_key_are_spread(spark, monkeypatch):
+    """With joins by shuffle, the rows of one camera must not meet in one task."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3990, "cam").alias("k"), (F.col("id") * 10.0).alias("t"), F.col("id").alias("n"))
+    seen = []
+    fold = ThrottleFold(("k",), "t", ("n",), 25.0)
+    heads = fold.heads
+    monkeypatch.setattr(fold, "heads", lambda parts: (seen.append(parts.rows.groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]), heads(parts))[1])
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        marked = fold_table(rows, fold, 100.0)
+        assert marked.where("passed").groupBy("k").count().orderBy("k").toPandas()["count"].tolist() == [4, 1330]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert seen[0].sum() == 3990 and seen[0].max() < 2000
