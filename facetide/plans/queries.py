@@ -113,7 +113,7 @@ def labelled_folder(spark, folder):
     """Label files of each language's documents, written into a folder of its name and listed again."""
     path = fresh_folder(spark, "labelled")
     documents = views.table(spark, folder, "documents").where("lang IS NOT NULL")
-    documents.select("lang", "text").repartition("lang").write.partitionBy("lang").parquet(path)
+    documents.select("lang", "text").write.partitionBy("lang").parquet(path)  # a file per task and language: no task takes a whole one
     found = label_source.read_labelled_folder(spark, path).where(F.col("path").endswith(".parquet"))
     return found.select(F.regexp_replace("label", "^lang=", "").alias("label")).distinct()
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -5,6 +7,8 @@ from pyspark.sql import functions as F
 
 from facetide.operators import evaluation as E
 from facetide.operators import scoring
+from facetide.plans.queries import QUERIES
+from facetide.session import shared_folder
 from facetide.sources import labels as L
 
 
@@ -64,6 +68,19 @@ def test_labelled_folder(spark, tmp_path):
     assert {tuple(r) for r in L.rows_per_split({"train": train, "val": val}).collect()} == {("train", 2), ("val", 1)}
 
 
+def test_a_labels_documents_are_not_put_into_one_task(spark, tmp_path):
+    texts = spark.range(0, 400, 1, 4).select("id", F.lit("en").alias("lang"), F.lit("text").alias("text"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert [tuple(r) for r in QUERIES["labelled_folder"](spark, str(tmp_path)).collect()] == [("en",)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    folders = sorted(Path(shared_folder(spark)).glob("labelled-*"), key=lambda p: p.stat().st_mtime)
+    assert len(list(folders[-1].rglob("*.parquet"))) > 1
+
+
 def test_scoring_skips_only_the_bad_face(spark):
     def picky():
         def score(faces: np.ndarray) -> np.ndarray:
