@@ -12,7 +12,7 @@ picked from. A logistic curve turns the features into the score.
 The model is a table of all expressions and one of all n-grams, as large as the corpus makes them, and is never gathered
 in one place. One pass cuts the documents into blocks of about ``BLOCK_BYTES`` of text (or one longer text): each lists its
 distinct expressions once, dealt by checksum over groups (one per ``GROUP_BYTES`` of text) and packed, and its different texts as
-numbers into that list. A group adds up its expressions' counts, asks the n-gram table for the n-grams that spell them and
+numbers into that list, packed by byte planes. A group adds up its expressions' counts, asks the n-gram table for the n-grams that spell them and
 answers each block with their evidence. The curve is fitted on at most ``CALIBRATION_ROWS`` labelled rows per class of
 a fold that was not counted. Scores come back to the rows by the texts' MD5.
 
@@ -43,7 +43,7 @@ CALIBRATION_ROWS = 4_000
 DISCOUNT = 0.75  # of n-grams
 WORD_DISCOUNT = 1.0  # of expressions: one met once in a class counts there by its spelling and in the backoff's mass only
 BLOCK_BYTES = 8 << 20
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 GRAMS_REMEMBERED = 250_000  # counts kept by a task before it hands them on
 FOLDS = 5  # 0: held out, 4: the curve, others: counts
 TOP = 3
@@ -118,13 +118,21 @@ _BLOCK = pa.schema([("block", pa.int64()), ("digests", pa.list_(pa.binary())), (
 
 
 def _pack(values: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+    """Numbers go in planes, all their first bytes before all second ones: the high ones are nearly all alike."""
+    if isinstance(values, bytes):
+        return zstandard.ZstdCompressor(level=3).compress(values)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def _numbers(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_unpack(packed), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _blocks(rows: DataFrame, groups: int) -> DataFrame:
     """A row per block of ``rows`` (digest, text, toxic, ordinary: how often the row was labelled so)."""
 
@@ -152,7 +160,7 @@ def _tally(asks: pa.Table) -> dict[str, tuple[int, int]]:
     """How many texts labelled toxic, and ordinary, hold each expression of a group that any of them holds."""
     total: dict[str, tuple[int, int]] = {}
     for words, taught in zip(_words(asks), asks["taught"].to_pylist()):
-        counts = np.frombuffer(_unpack(taught), dtype=np.int64).reshape(2, len(words))
+        counts = _numbers(taught, np.int64).reshape(2, len(words))
         for k in np.flatnonzero(counts.any(axis=0)).tolist():
             t, o = total.get(words[k], (0, 0))
             total[words[k]] = (t + int(counts[0, k]), o + int(counts[1, k]))
@@ -253,8 +261,10 @@ def spelling(rows: list[tuple[str, int, int]], histories: dict[str, list[int]] |
         lower = p.get(gram[1:], floor)
         h, w = histories[gram[:-1]], weight[gram[:-1]]
         p[gram] = tuple((max(counts[c] - DISCOUNT, 0.0) / h[c] if h[c] else 0.0) + w[c] * lower[c] for c in (0, 1))
-    logs = lambda x: {k: (math.log(t), math.log(o)) for k, (t, o) in x.items()}
-    return logs(p), logs(weight)
+    for x in (p, weight):
+        for k, (t, o) in x.items():
+            x[k] = math.log(t), math.log(o)
+    return p, weight
 
 
 def evidence(model: Model, word: str) -> float:
@@ -307,11 +317,14 @@ def _answers(asks: DataFrame, counted: DataFrame, grams: DataFrame) -> DataFrame
 
     def of(asks: pa.Table, found: pa.Table) -> pa.Table:
         rows, after = [], {}
-        for gram, toxic, ordinary, *follow in zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary", "sum_toxic", "sum_ordinary", "kinds_toxic", "kinds_ordinary"))):
-            rows.append((gram, toxic, ordinary))
-            if follow[0] is not None:
-                after[gram] = follow
-        model = (*spelling(rows, after, shared), _tally(asks), kinds, totals)
+        for part in found.to_batches(max_chunksize=10_000):
+            for gram, toxic, ordinary, *follow in zip(*(part[c].to_pylist() for c in ("gram", "toxic", "ordinary", "sum_toxic", "sum_ordinary", "kinds_toxic", "kinds_ordinary"))):
+                rows.append((gram, toxic, ordinary))
+                if follow[0] is not None:
+                    after[gram] = follow
+        spelt = spelling(rows, after, shared)
+        del rows, after  # the largest of what a task holds
+        model = (*spelt, _tally(asks), kinds, totals)
         known: dict[str, float] = {}
         out = []
         for words in _words(asks):
@@ -331,8 +344,8 @@ def _features(block: pa.Table, answers: pa.Table) -> pa.Table:
     Sums are rounded once, so equal texts get equal features in whatever block they are.
     """
     sizes = block["sizes"].combine_chunks().flatten().to_numpy()
-    kinds, counts = (np.frombuffer(_unpack(block[c][0].as_py()), dtype=np.int32) for c in ("kinds", "counts"))
-    of = np.frombuffer(b"".join(map(_unpack, answers.sort_by("group")["evidence"].to_pylist())))
+    kinds, counts = (_numbers(block[c][0].as_py(), np.int32) for c in ("kinds", "counts"))
+    of = np.concatenate([np.zeros(0), *(_numbers(x, np.float64) for x in answers.sort_by("group")["evidence"].to_pylist())])
     values = of[np.cumsum(kinds, dtype=np.int32)]
     weighted, ends = values * counts, np.cumsum(sizes).tolist()
     out = np.zeros((len(sizes), FEATURES))
@@ -378,7 +391,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     asks = blocks.select("block", F.inline("asks"))
     counted = stored(asks.groupBy("group").applyInArrow(_expressions, "word string, toxic long, ordinary long"), "expressions")
     grams = stored(_kneser_ney(stored(_gram_counts(counted), "grams")), "counts")
-    answers = stored(_answers(asks, counted, stored(_with_histories(grams), "histories")), "answers")
+    answers = _answers(asks, counted, stored(_with_histories(grams), "histories"))  # asked once, so not stored
     found = blocks.drop("asks").groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_features, "digest binary, features array<double>")
     found = stored(found.dropDuplicates(["digest"]), "features")
 

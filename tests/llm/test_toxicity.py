@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from facetide.llm import toxicity
+from facetide.session import stored
 
 BAD = ["grobnak", "skarvel", "vudrik"]
 
@@ -122,3 +123,20 @@ def test_scores_as_one_model_in_one_process(spark, documents, words_of, monkeypa
     assert sorted((r.id, r.text or "") for r in got) == sorted((i, t or "") for i, t in rows)
     for r in got:
         assert abs(r.score - 1 / (1 + math.exp(-(np.dot(features(r.text), w[:-1]) + w[-1])))) < 1e-9
+
+
+def test_tables_kept_on_disk_are_small(spark, documents, words_of, monkeypatch):
+    """Evidence is as large as the lists of expressions and asked once, so it isn't written to the shared folder too."""
+    kept = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, purpose: kept.append(purpose) or stored(df, purpose))
+    rows, known = planted(words_of, 60)
+    assert toxicity.score(documents(rows), spark.createDataFrame(known, "doc_id long, toxic int")).count() == 60
+    assert "blocks" in kept and "answers" not in kept
+
+
+def test_packed_numbers_come_back_and_are_smaller():
+    rng = np.random.default_rng(3)
+    for values in (rng.geometric(0.01, 50_000).astype(np.int32), rng.normal(size=999), np.zeros(0, np.int64), np.array([-1, 1 << 40])):
+        assert toxicity._numbers(toxicity._pack(values), values.dtype).tolist() == values.tolist()
+    gaps = rng.geometric(0.01, 50_000).astype(np.int32)
+    assert len(toxicity._pack(gaps)) < 0.9 * len(toxicity._pack(gaps.tobytes()))
