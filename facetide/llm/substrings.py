@@ -27,6 +27,7 @@ the kept one; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ SIDES = ("right", "left", "right_half", "left_half", "right_quarter", "left_quar
 WINDOWS = "key long, right_left long, half long, quarter long, id long, place long, head long, head_place long"  # two sides in one number
 PAIRS_AT_ONCE = 2_000  # texts tied to one head that a task verifies; more are split
 BATCH = 50_000
-WORKED = 2_000  # windows whose keys are made at once
+WORKED = 10_000  # windows whose keys are made at once
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,26 +77,26 @@ def compact_windows(values: np.ndarray, width: int, bits: int) -> tuple[np.ndarr
 
     ``bits`` low bits of every value are its place. A value below ``1 << bits`` divides two texts.
     """
-    mask = (1 << bits) - 1
-    minima = np.unique(_window_minima(values, width) & np.uint64(mask)).astype(np.int64)
-    out: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int, int]] = []  # value, place, first place of its span
-    last = 0  # first place after the latest divider
-    for v, c in zip(values[minima].tolist(), minima.tolist()):
-        first = stack[-1][1] + 1 if stack else last
-        while stack and stack[-1][0] > v:
-            _, p, first = stack.pop()
-            out.append((first, p, c - 1))
-        if v <= mask:
-            last = c + 1
-            stack.clear()
-        else:
-            stack.append((v, c, first))
-    end = len(values) - 1
-    out.extend((first, p, end) for _, p, first in stack)
-    found = np.array(out, dtype=np.int64).reshape(-1, 3)
-    found = found[found[:, 2] - found[:, 0] + 1 >= width]
-    return found[:, 0], found[:, 1], found[:, 2]
+    mask = np.uint64((1 << bits) - 1)
+    place = np.unique(_window_minima(values, width) & mask).astype(np.int64)
+    v = values[place]
+    a = np.concatenate([[-1], place])[_smaller_before(v) + 1] + 1
+    b = np.concatenate([[len(values)], place[::-1]])[_smaller_before(v[::-1]) + 1][::-1] - 1
+    node = (v > mask) & (b - a + 1 >= width)
+    return a[node], place[node], b[node]
+
+
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """The nearest place before each that has a smaller value, -1 if there is none; by jumps over what is known to be larger."""
+    before = np.arange(-1, len(values) - 1)
+    open_ = np.flatnonzero(before >= 0)
+    while len(open_):
+        at = before[open_]
+        larger = values[at] > values[open_]
+        open_ = open_[larger]
+        before[open_] = before[at[larger]]
+        open_ = open_[before[open_] >= 0]
+    return before
 
 
 def _place(k: int, a: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,9 +133,11 @@ def _all_windows(bare: DataFrame, least: int) -> DataFrame:
                     a, c, b = compact_windows(values, least, bits)
                     owner = np.searchsorted(starts, c, side="right") - 1
                     first = starts[owner]
-                    found.append((W.mix(hashed[c] + np.uint64(k)).view(np.int64), *_sides(tokens, a, c, b, least), names[i + owner], _place(k, a - first, c - first, b - first)))
+                    sides = (x.astype(np.int32) for x in _sides(tokens, a, c, b, least))
+                    found.append((W.mix(hashed[c] + np.uint64(k)).view(np.int64), *sides, names[i + owner], _place(k, a - first, c - first, b - first)))
         if found:
             key, *sides, ids, place = (np.concatenate(x) for x in zip(*found))
+            found.clear()
             yield from _tied(key, sides, ids, place)
 
     return map_texts(bare.where("text IS NOT NULL").select("id", "text"), of, WINDOWS)
@@ -182,28 +185,30 @@ def _sides(tokens: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, leas
 def _tied(key: np.ndarray, sides: list[np.ndarray], ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of windows with one key and side the first goes on; the others are tied to it here."""
     goes_on = np.zeros(len(key), dtype=bool)
-    ties = []
-    for side in sides:
-        own = np.flatnonzero(side)
-        own = own[np.lexsort((place[own], ids[own], side[own], key[own]))]
+    ties = [np.zeros(0, np.int64)]
+    in_order = np.lexsort((place, ids))
+    for side, factor in zip(sides, W.odd_constants(len(sides), 19)):
+        own = in_order[side[in_order] != 0]
+        both = W.mix(key[own].view(np.uint64) + side[own].astype(np.uint64) * factor)
+        own = own[np.argsort(both, kind="stable")]
         first = np.ones(len(own), dtype=bool)
         first[1:] = (key[own][1:] != key[own][:-1]) | (side[own][1:] != side[own][:-1])
         goes_on[own[first]] = True
         head = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))] if len(own) else own
         other = ids[own] != ids[head]
-        ties.append(np.stack([own[other], head[other]], axis=1))
-    pairs = np.unique(np.concatenate(ties), axis=0)
+        ties.append(own[other] * len(key) + head[other])
+    pairs = np.stack(np.divmod(np.unique(np.concatenate(ties)), max(len(key), 1)), axis=1)
     names = WINDOWS.replace(" long", "").split(", ")
-    twos = [one | two << 31 for one, two in zip(sides[::2], sides[1::2])]
     rows = np.flatnonzero(goes_on)
     for i in range(0, len(rows), BATCH):
         x = rows[i : i + BATCH]
         none = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(v[x]) for v in (key, *twos, ids, place)), none, none], names)
+        twos = [one[x].astype(np.int64) | two[x].astype(np.int64) << 31 for one, two in zip(sides[::2], sides[1::2])]
+        yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (key[x], *twos, ids[x], place[x])), none, none], names)
     for i in range(0, len(pairs), BATCH):
         x, h = pairs[i : i + BATCH, 0], pairs[i : i + BATCH, 1]
         spread, none = W.mix(place[x].view(np.uint64)).view(np.int64), pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(spread), *(none for _ in twos), *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), none, none, none, *(pa.array(v) for v in (ids[x], place[x], ids[h], place[h]))], names)
 
 
 def _first_ties(windows: DataFrame) -> DataFrame:
@@ -226,8 +231,26 @@ def _ties(windows: DataFrame) -> DataFrame:
     return ties.select("id", "place", F.col("first.id").alias("head"), F.col("first.place").alias("head_place"))
 
 
-def _runs(places: np.ndarray, gap: int) -> list[np.ndarray]:
-    return np.split(places, np.flatnonzero(np.diff(places) > gap) + 1) if len(places) else []
+def _runs(places: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """Where the runs of ascending ``places`` that are at most ``gap`` apart begin and end in them."""
+    cuts = (np.flatnonzero(places[1:] - places[:-1] > gap) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(places)])) if len(places) else []
+
+
+def _ascending(values: np.ndarray) -> np.ndarray:
+    """The distinct values."""
+    out = np.sort(values)
+    first = np.ones(len(out), dtype=bool)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``ascending``."""
+    if not len(ascending):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(ascending, values)
+    return ascending[np.minimum(at, len(ascending) - 1)] == values
 
 
 def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
@@ -236,25 +259,48 @@ def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
     A span too unlike as a whole is tried again in parts, cut at ever smaller gaps.
     """
     out = []
-    todo = [(run, 0) for run in _runs(np.flatnonzero(np.isin(a, b)), GAPS[0])]
+    shared = np.flatnonzero(_among(a, np.sort(b)))
+    todo = [(shared[i:j], 0) for i, j in _runs(shared, GAPS[0])]
     while todo:
         run, level = todo.pop()
         p, q = int(run[0]), int(run[-1])
         if q - p + 1 < least:
             continue
-        inside = a[p : q + 1]
-        theirs = max(_runs(np.flatnonzero(np.isin(b, inside)), GAPS[level]), key=len)
-        r, s = int(theirs[0]), int(theirs[-1])
-        one, two = np.unique(inside), np.unique(b[r : s + 1])
-        common = len(np.intersect1d(one, two, assume_unique=True))
+        one = _ascending(a[p : q + 1])
+        theirs = np.flatnonzero(_among(b, one))
+        i, j = max(_runs(theirs, GAPS[level]), key=lambda x: x[1] - x[0])
+        r, s = int(theirs[i]), int(theirs[j - 1])
+        two = _ascending(b[r : s + 1])
+        common = int(np.count_nonzero(_among(two, one)))
         union = len(one) + len(two) - common
         if s - r + 1 >= least and 100 * common >= percent * union:
             out.append((p, q, r, s, common / union))
         elif level + 1 < len(GAPS):
-            todo.extend((part, level + 1) for part in _runs(run, GAPS[level + 1]))
+            todo.extend((run[i:j], level + 1) for i, j in _runs(run, GAPS[level + 1]))
     return sorted(out)
 
 
+class _Slice:
+    """Tokens of a slice's texts one after the other, and what the keys of their windows are made from, each made once."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.tokens * W._powers(W.BASE, len(self.tokens)))])
+
+    def minima(self, width: int, factors: np.ndarray) -> list[np.ndarray]:
+        """Least hash of the ``width`` tokens from each place on, by each function."""
+        kept = self.__dict__.setdefault("kept", [])
+        for factor in factors[len(kept) :]:
+            least, reach = W.mix(self.tokens * factor), 1
+            while 2 * reach <= width:
+                least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+            kept.append(np.minimum(least[: max(0, len(least) - width + reach)], least[width - reach :]) if reach < width else least)
+        return kept
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step: int) -> DataFrame:
     """Passages (``key`` null) of the tied texts, and the windows in none of them, with new keys."""
 
@@ -265,9 +311,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
             places, head_places = (c.flatten().to_numpy() for c in batch.columns[2:4])
             ends = np.cumsum(pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False))
             texts = unpacked(batch.column(4))
-            passages, left, waiting = [], [], 0
             for i, j in W.slices(texts):
                 tokens, at = W.shingles(*W.word_hashes(texts.slice(i, j - i)), SHINGLE)
+                here, passages, left, waiting = _Slice(tokens), [], [], 0
                 for r in range(i, j):
                     mine = tokens[at[r - i] : at[r - i + 1]]
                     if not names[r].is_valid:  # a head goes before the texts that are tied to it
@@ -276,84 +322,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
                     name, head, own = names[r].as_py(), int(heads[r]), slice(ends[r - 1] if r else 0, ends[r])
                     spans, failed = _compared(mine, theirs, places[own], head_places[own])
                     passages.extend((name, head, p, q + SHINGLE, x, y + SHINGLE, like) for p, q, x, y, like in spans)
-                    left.append((name, failed))
-                    waiting += failed.shape[1]
-                    if waiting > BATCH:
-                        yield _checked(passages, left)
+                    if step and len(failed):  # without a step, what shares a whole passage with the head has been verified
+                        left.append((name, int(at[r - i]), failed))
+                        waiting += len(failed)
+                    if waiting > WORKED:
+                        yield from _checked(passages, here, left)
                         passages, left, waiting = [], [], 0
-            yield _checked(passages, left)
-
-    def _checked(passages: list[tuple], left: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        m, n = len(passages), sum(x.shape[1] for _, x in left)
+                yield from _checked(passages, here, left)
+
+    def _checked(passages: list[tuple], here: _Slice, left: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        yield _rows(passages, *(np.zeros(0, np.int64),) * 3)
+        if left:
+            sizes = [len(x) for *_, x in left]
+            names, starts = (np.repeat(np.array(x, np.int64), sizes) for x in list(zip(*left))[:2])
+            places = np.concatenate([x for *_, x in left])
+            for i in range(0, len(places), WORKED):
+                yield _rows([], *_rekeyed(here, *(x[i : i + WORKED] for x in (names, starts, places))))
+
+    def _rows(passages: list[tuple], names: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        m, n = len(passages), len(keys)
         none = lambda size, kind=pa.int64(): pa.nulls(size, kind)
-        keys, places = np.concatenate([np.zeros((2, 0), np.int64), *(x for _, x in left)], axis=1)
-        names = np.repeat(np.array([i for i, _ in left], np.int64), [x.shape[1] for _, x in left])
         kinds = [pa.int64()] * 6 + [pa.float64()]
         spans = [pa.array([x[f] for x in passages], kind) for f, kind in enumerate(kinds)]
         columns = [pa.concat_arrays(x) for x in ((none(m), pa.array(keys)), (spans[0], pa.array(names)), (none(m), pa.array(places)), *((x, none(n, x.type)) for x in spans[1:]))]
         return pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "head", "start", "end", "head_start", "head_end", "similarity"])
 
     def _compared(a: np.ndarray, b: np.ndarray, place: np.ndarray, head_place: np.ndarray) -> tuple[list, np.ndarray]:
-        k, left, c, right = _opened(place)
+        """Passages of two texts, and the windows in none of them."""
+        _, left, c, right = _opened(place)
         _, head_left, _, head_right = _opened(head_place)
         spans: list = []
         order = np.argsort(left, kind="stable")
+        lows, highs, head_lows, head_highs = (x[order].tolist() for x in (left, right, head_left, head_right))
         i = 0
-        while i < len(order):  # windows that overlap are one region
-            x = order[i]
-            p, q, r, s = left[x], right[x], head_left[x], head_right[x]
+        while i < len(lows):  # windows that overlap are one region
+            p, q, r, s = lows[i], highs[i], head_lows[i], head_highs[i]
             i += 1
-            while i < len(order) and left[order[i]] <= q:
-                x = order[i]
-                q, r, s = max(q, right[x]), min(r, head_left[x]), max(s, head_right[x])
+            while i < len(lows) and lows[i] <= q:
+                q, r, s = max(q, highs[i]), min(r, head_lows[i]), max(s, head_highs[i])
                 i += 1
             found = _shared_spans(a[p : q + 1], b[r : s + 1], least, percent)
-            spans.extend((int(p) + x[0], int(p) + x[1], int(r) + x[2], int(r) + x[3], x[4]) for x in found)
+            spans.extend((p + x[0], p + x[1], r + x[2], r + x[3], x[4]) for x in found)
         covered = np.zeros(len(a) + 1, dtype=bool)
         for p, q, *_ in spans:
             covered[p : q + 1] = True
-        open_ = np.flatnonzero(~covered[c])
-        if not step:  # what shares a whole passage with the head has been verified
-            return spans, np.zeros((2, 0), np.int64)
-        keys, places = [], []
-        for i in range(0, len(open_), WORKED):
-            x = open_[i : i + WORKED]
-            for found in (_sketched, _sided if step > 1 else _whole):
-                of, own = found(a, k[x], left[x], c[x], right[x])
-                keys.append(of.view(np.int64))
-                places.append(place[x][own])
-        both = np.unique(np.stack([np.concatenate(keys), np.concatenate(places)]), axis=1) if keys else np.zeros((2, 0), np.int64)
-        return spans, both
-
-    def _sketched(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spans, place[~covered[c]]
+
+    def _rekeyed(here: _Slice, names: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, new key, place of windows; ``starts`` are their texts' first tokens in the slice."""
+        k, first, c, last = _opened(places)
+        windows = k, first + starts, c + starts, last + starts
+        found = [of(here, *windows) for of in (_sketched, _sided if step > 1 else _whole)]
+        keys, own = (np.concatenate(x) for x in zip(*found))
+        keys, names, places = keys.view(np.int64), names[own], places[own]
+        mixed = W.mix(keys.view(np.uint64) + W.mix(places.view(np.uint64) + W.mix(names.view(np.uint64))))
+        order = np.argsort(mixed, kind="stable")
+        keys, names, places = keys[order], names[order], places[order]
+        once = np.ones(len(keys), dtype=bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1]) | (names[1:] != names[:-1])
+        return names[once], keys[once], places[once]
+
+    def _sketched(here: _Slice, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the minimum with pairs of minima of nearly a passage around it, whatever the places; and whose they are."""
         width = max(1, least - GRID + 1)  # a passage around c holds one of these spans
         lows = c[:, None] - np.arange(0, least, GRID)
         fits = (lows >= first[:, None]) & (lows + width - 1 <= last[:, None])
         own, low = np.nonzero(fits)[0], lows[fits]
-        base = W.mix(a[c[own]] + k[own].astype(np.uint64))
-        size = np.full(len(low), width)
-        minima = [_Least(W.mix(a * factor), width)(low, size) for factor in W.odd_constants(2 * SKETCHES, 17 + step)]
+        base = W.mix(here.tokens[c[own]] + k[own].astype(np.uint64))
+        minima = [x[low] for x in here.minima(width, W.odd_constants(2 * SKETCHES, 17 + step))]
         keys = [W.mix(base + W.mix(one + two * np.uint64(W.BASE))) for one, two in zip(minima[::2], minima[1::2])]
         return np.concatenate(keys), np.tile(own, SKETCHES)
 
-    def _sided(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _sided(here: _Slice, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the minimum with a token on each side, and whose they are."""
         reach = max(0, least - 2 * step + 1)
         back = np.arange(0, reach + 1, step)
         lows, highs = c[:, None] - back, c[:, None] + -(-(reach - back) // step) * step
         fits = (lows >= first[:, None]) & (highs <= last[:, None])
         own, lows, highs = np.nonzero(fits)[0], lows[fits], highs[fits]
+        a = here.tokens
         mine = W.mix(a[c[own]] + k[own].astype(np.uint64))
         return W.mix(mine + a[lows] * np.uint64(W.BASE) + a[highs] + (c[own] - lows).astype(np.uint64)), own
 
-    def _whole(a: np.ndarray, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(here: _Slice, k: np.ndarray, first: np.ndarray, c: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all passages of ``least`` tokens around the minimum, token by token, and whose they are."""
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * W._powers(W.BASE, len(a)))])
         lows = c[:, None] - np.arange(least)
         fits = (lows >= first[:, None]) & (lows + least - 1 <= last[:, None])
         own, lows = np.nonzero(fits)[0], lows[fits]
-        return W.mix((sums[lows + least] - sums[lows]) * W._powers(W._INVERSE, len(a))[lows]), own
+        return W.mix((here.sums[lows + least] - here.sums[lows]) * W._powers(W._INVERSE, len(here.tokens))[lows]), own
 
     # A head's text goes once to each task that verifies texts tied to it, in front of them.
     large = pairs.groupBy("head").count().where(F.col("count") > PAIRS_AT_ONCE)

@@ -101,3 +101,32 @@ def test_empty_table(documents):
 def test_given_documents(spark, folder, name):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     holds_all(S.shared_passages(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_nearest_smaller_places():
+    rng = np.random.default_rng(8)
+    for v in (rng.permutation(300), np.arange(50), np.arange(50)[::-1].copy(), np.zeros(0, np.int64), np.array([4])):
+        assert S._smaller_before(v).tolist() == [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+
+
+def test_windows_of_a_slice_get_their_keys_together():
+    """Least hashes are made once for all texts of a slice, and those of a text are what it would have alone."""
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(1, 1 << 60, n).astype(np.uint64) for n in (80, 3, 120)]
+    factors = S.W.odd_constants(4, 25)
+    whole = S._Slice(np.concatenate(texts)).minima(39, factors)
+    alone = S._Slice(texts[2]).minima(39, factors)
+    for one, two, factor in zip(whole, alone, factors):
+        hashed = S.W.mix(texts[2] * factor)
+        assert one[83 : 83 + len(two)].tolist() == two.tolist() == [hashed[i : i + 39].min() for i in range(120 - 38)]
+    assert all(len(x) == 0 for x in S._Slice(texts[1]).minima(39, factors))
+
+
+def test_shared_spans_with_repeats_and_edits():
+    rng = np.random.default_rng(10)
+    passage = rng.integers(1, 1 << 60, 70).astype(np.uint64)
+    other = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    a = np.concatenate([other(20), passage, other(30), passage[:10]])
+    b = np.concatenate([other(5), passage[:35], other(2), passage[35:], other(9)])
+    assert S._shared_spans(a, b, 46, 80) == [(20, 89, 5, 76, 70 / 72)]
+    assert S._shared_spans(a, other(90), 46, 80) == [] == S._shared_spans(a, a[:0], 46, 80)
