@@ -215,7 +215,9 @@ def _first_ties(windows: DataFrame) -> DataFrame:
     """Ties of all texts: those made in the tasks, and of the windows that go by key to the first with the same side."""
     twos = [(name, SIDES[2 * k : 2 * k + 2]) for k, name in enumerate(("right_left", "half", "quarter"))]
     one_of = {side: F.col(name).bitwiseAND(F.lit((1 << 31) - 1)) if k == 0 else F.shiftright(name, 31) for name, pair in twos for k, side in enumerate(pair)}
-    by_key = windows.repartition("key").withColumns(one_of)
+    all_of = Window.partitionBy("key")
+    several = F.min("id").over(all_of) != F.max("id").over(all_of)  # most keys are in one text only: these rows needn't be put in order by side
+    by_key = windows.repartition("key").withColumn("several", several).where("several OR head IS NOT NULL").withColumns(one_of)
     first = lambda side: F.min(F.struct("id", "place")).over(Window.partitionBy("key", side))
     heads = by_key.withColumns({f"first_{side}": first(side) for side in SIDES})
     given = F.struct(F.col("head").alias("id"), F.col("head_place").alias("place"))

@@ -130,3 +130,14 @@ def test_shared_spans_with_repeats_and_edits():
     b = np.concatenate([other(5), passage[:35], other(2), passage[35:], other(9)])
     assert S._shared_spans(a, b, 46, 80) == [(20, 89, 5, 76, 70 / 72)]
     assert S._shared_spans(a, other(90), 46, 80) == [] == S._shared_spans(a, a[:0], 46, 80)
+
+
+def test_windows_whose_key_one_text_has_are_left_out_before_they_are_put_in_order_by_side(spark):
+    rows = [(1, 5 | 6 << 31, 0, 0, 10, 100, None, None), (1, 5 | 7 << 31, 0, 0, 11, 101, None, None), (1, 8 | 7 << 31, 0, 0, 12, 102, None, None)]
+    rows += [(2, 5, 5, 5, 13, 103, None, None), (2, 5, 5, 5, 13, 104, None, None), (3, 5, 0, 0, 14, 105, None, None)]  # one text
+    rows += [(4, None, None, None, 15, 106, 9, 90), (5, 0, 0, 0, 16, 107, None, None), (5, 0, 0, 0, 17, 108, None, None)]  # tied before; no side
+    ties = S._first_ties(spark.createDataFrame(rows, S.WINDOWS))
+    assert sorted(map(tuple, ties.collect())) == [(11, 101, 10, 100), (12, 102, 11, 101), (15, 106, 9, 90)]
+    plan = ties._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lowest = max(i for i, x in enumerate(plan) if " Window [" in x)
+    assert any("Filter" in x and "isnotnull(head" in x for x in plan[lowest - 2 : lowest])
