@@ -37,7 +37,8 @@ from .shared import map_texts
 NODES = 400
 PIECES_PER_GROUP = 20_000
 FULL = 0.995  # sequences filled below this share are packed again
-CHUNKS_REMEMBERED = 1_200_000  # tokenized words kept by a worker, forgotten when more
+ODD_AT_ONCE = 1_000  # chunks that take all steps of the tokenizer, whose results are large
+CHUNKS_REMEMBERED = 300_000  # tokenized words kept by a worker, about 50 MB; when more, those met least are forgotten
 
 
 _PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")  # no combining marks: their normal form is simply lower case
@@ -70,25 +71,47 @@ class Encoder:
         self._whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self._split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self._split = regex.compile(steps[0]["pattern"]["Regex"] + "|\n").findall  # line ends are kept, as ends of chunks
         self._merge = self._whole.model.tokenize
-        self._spelling = _byte_letters()
-        self._forget()
+        self._spelling = _byte_letters() | {0x0A: "\n"}
+        self._places = _Places()
+        self._ids, self._starts, self._known = array("I"), array("q", [0]), None
+        self._met = np.zeros(0, np.int32)
 
     def _forget(self) -> None:
+        """Keeps the chunks met most, half of what is remembered at most; most chunks of large tables are met once."""
+        met = self._met
+        kept = np.argsort(-met, kind="stable")[: CHUNKS_REMEMBERED // 2]
+        kept = np.sort(kept[met[kept] > 1])
+        ids, starts = np.array(self._ids, dtype=np.uint32), np.array(self._starts, dtype=np.int64)
+        sizes = np.diff(starts)[kept]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1]) + np.repeat(starts[:-1][kept] - ends[:-1], sizes)
+        again = set(kept.tolist())
+        chunks = [chunk for chunk, place in self._places.items() if place in again]  # in order of their places
         self._places = _Places()
-        self._ids, self._starts, self._known = array("I"), array("q", [0]), None
+        self._places.update(zip(chunks, range(len(chunks))))
+        self._ids, self._starts, self._known = array("I", ids[at].tobytes()), array("q", ends.astype(np.int64).tobytes()), None
+        self._met = met[kept] // 2  # so that chunks not met any more go with time
 
     def _learn(self, new: list[bytes]) -> None:
         chunks = [c.decode() for c in new]
         odd = [c for c in chunks if not _PLAIN.fullmatch(c) or "<|" in c]
-        by_steps = dict(zip(odd, self._whole.encode_batch_fast(odd, add_special_tokens=False))) if odd else {}
+        by_steps: dict[str, list[int]] = {}
+        for i in range(0, len(odd), ODD_AT_ONCE):
+            some = odd[i : i + ODD_AT_ONCE]
+            by_steps.update((c, e.ids) for c, e in zip(some, self._whole.encode_batch_fast(some, add_special_tokens=False)))
+        pieces = self._split("".join(c + "\n" for c in chunks if c not in by_steps).lower())
+        distinct = list({*pieces} - {"\n"})
+        spelt = "\n".join(distinct).encode().decode("latin-1").translate(self._spelling).split("\n")
+        ids_of = {piece: [t.id for t in self._merge(letters)] for piece, letters in zip(distinct, spelt)}
+        rest = iter(pieces)
         for chunk in chunks:
             if chunk in by_steps:
-                self._ids.extend(by_steps[chunk].ids)
+                self._ids.extend(by_steps[chunk])
             else:
-                for piece in self._split(chunk.lower()):
-                    self._ids.extend(t.id for t in self._merge(piece.encode().decode("latin-1").translate(self._spelling)))
+                for piece in iter(rest.__next__, "\n"):
+                    self._ids.extend(ids_of[piece])
             self._starts.append(len(self._ids))
         self._known = None
 
@@ -102,6 +125,8 @@ class Encoder:
         if self._places.new:
             self._learn(self._places.new)
             self._places.new = []
+            self._met = np.concatenate([self._met, np.zeros(len(self._places) - len(self._met), np.int32)])
+        self._met += np.bincount(places, minlength=len(self._met)).astype(np.int32)
         if self._known is None:
             self._known = (np.array(self._ids, dtype=np.uint32), np.array(self._starts, dtype=np.int64))
         ids, starts = self._known

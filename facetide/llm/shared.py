@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,21 @@ BROADCAST_ROWS = 2_000_000  # ids of 8 bytes: at most about 16 MB to each execut
 def map_texts(rows: DataFrame, of: Callable, schema: str | T.StructType) -> DataFrame:
     """``rows.mapInArrow``, with batches small enough for rows that hold texts."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
-    return rows.mapInArrow(of, schema)
+
+    def then_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        give_back()
+
+    return rows.mapInArrow(then_small, schema)
+
+
+def give_back() -> None:
+    """Returns to the system what a task freed: Python workers live on, and the next stage's are beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def packed(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -26,6 +26,21 @@ def test_ids_are_the_tokenizers(texts):
         assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_what_is_met_least(whole, words_of, monkeypatch):
+    """What a worker remembers stays within bounds, common chunks stay, and the ids are the tokenizer's all the same."""
+    monkeypatch.setattr(packing, "CHUNKS_REMEMBERED", 60)
+    encoder = packing.Encoder(FILE)
+    learnt = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learnt.extend(new), learn(new)))
+    for n in range(30):
+        texts = [" ".join(["Common,", "ünï", *words_of(700 + n, 20), "İΣ <|x", "Common,"]), "", "ünï Common,"]
+        ids, at = encoder.encode([t.encode() for t in texts])
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder._places) <= 60 + 30 and len(encoder._met) == len(encoder._places) == len(encoder._starts) - 1
+    assert learnt.count(b"Common,") == learnt.count("ünï".encode()) == 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_completed_fits_and_is_no_worse_than_first_fit(lengths):
