@@ -187,10 +187,11 @@ def _tied(key: np.ndarray, sides: list[np.ndarray], ids: np.ndarray, place: np.n
     goes_on = np.zeros(len(key), dtype=bool)
     ties = [np.zeros(0, np.int64)]
     in_order = np.lexsort((place, ids))
+    low = np.uint64((1 << int(len(key)).bit_length()) - 1)  # bits of a hash that make room for the rank in this order, so that plain sorting keeps it
     for side, factor in zip(sides, W.odd_constants(len(sides), 19)):
         own = in_order[side[in_order] != 0]
         both = W.mix(key[own].view(np.uint64) + side[own].astype(np.uint64) * factor)
-        own = own[np.argsort(both, kind="stable")]
+        own = own[(np.sort((both & ~low) | np.arange(len(own), dtype=np.uint64)) & low).astype(np.int64)]
         first = np.ones(len(own), dtype=bool)
         first[1:] = (key[own][1:] != key[own][:-1]) | (side[own][1:] != side[own][:-1])
         goes_on[own[first]] = True
@@ -235,7 +236,7 @@ def _ties(windows: DataFrame) -> DataFrame:
 
 def _runs(places: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """Where the runs of ascending ``places`` that are at most ``gap`` apart begin and end in them."""
-    cuts = (np.flatnonzero(places[1:] - places[:-1] > gap) + 1).tolist()
+    cuts = ((places[1:] - places[:-1] > gap).nonzero()[0] + 1).tolist()
     return list(zip([0, *cuts], [*cuts, len(places)])) if len(places) else []
 
 
@@ -261,7 +262,9 @@ def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
     A span too unlike as a whole is tried again in parts, cut at ever smaller gaps.
     """
     out = []
-    shared = np.flatnonzero(_among(a, np.sort(b)))
+    shared = _among(a, np.sort(b)).nonzero()[0]
+    if len(shared) == 0 or shared[-1] - shared[0] + 1 < least:
+        return out
     todo = [(shared[i:j], 0) for i, j in _runs(shared, GAPS[0])]
     while todo:
         run, level = todo.pop()
@@ -269,15 +272,17 @@ def _shared_spans(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> lis
         if q - p + 1 < least:
             continue
         one = _ascending(a[p : q + 1])
-        theirs = np.flatnonzero(_among(b, one))
-        i, j = max(_runs(theirs, GAPS[level]), key=lambda x: x[1] - x[0])
-        r, s = int(theirs[i]), int(theirs[j - 1])
-        two = _ascending(b[r : s + 1])
-        common = int(np.count_nonzero(_among(two, one)))
-        union = len(one) + len(two) - common
-        if s - r + 1 >= least and 100 * common >= percent * union:
-            out.append((p, q, r, s, common / union))
-        elif level + 1 < len(GAPS):
+        if 100 * len(run) >= percent * len(one):  # else the shared tokens are too few, whatever is beside them in ``b``
+            theirs = _among(b, one).nonzero()[0]
+            i, j = max(_runs(theirs, GAPS[level]), key=lambda x: x[1] - x[0])
+            r, s = int(theirs[i]), int(theirs[j - 1])
+            two = _ascending(b[r : s + 1])
+            common = int(np.count_nonzero(_among(two, one)))
+            union = len(one) + len(two) - common
+            if s - r + 1 >= least and 100 * common >= percent * union:
+                out.append((p, q, r, s, common / union))
+                continue
+        if level + 1 < len(GAPS):
             todo.extend((run[i:j], level + 1) for i, j in _runs(run, GAPS[level + 1]))
     return sorted(out)
 
@@ -311,6 +316,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
         for batch in batches:
             names, heads = batch.column(1), batch.column(0).to_numpy()
             places, head_places = (c.flatten().to_numpy() for c in batch.columns[2:4])
+            _, lefts, centres, rights = _opened(places)
+            _, head_lefts, _, head_rights = _opened(head_places)
             ends = np.cumsum(pc.fill_null(batch.column(2).value_lengths(), 0).to_numpy(zero_copy_only=False))
             texts = unpacked(batch.column(4))
             for i, j in W.slices(texts):
@@ -322,7 +329,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
                         theirs = mine
                         continue
                     name, head, own = names[r].as_py(), int(heads[r]), slice(ends[r - 1] if r else 0, ends[r])
-                    spans, failed = _compared(mine, theirs, places[own], head_places[own])
+                    spans, covered = _compared(mine, theirs, *(x[own] for x in (lefts, rights, head_lefts, head_rights)))
+                    failed = places[own] if covered is None else places[own][~covered[centres[own]]]
                     passages.extend((name, head, p, q + SHINGLE, x, y + SHINGLE, like) for p, q, x, y, like in spans)
                     if step and len(failed):  # without a step, what shares a whole passage with the head has been verified
                         left.append((name, int(at[r - i]), failed))
@@ -349,13 +357,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
         columns = [pa.concat_arrays(x) for x in ((none(m), pa.array(keys)), (spans[0], pa.array(names)), (none(m), pa.array(places)), *((x, none(n, x.type)) for x in spans[1:]))]
         return pa.RecordBatch.from_arrays(columns, ["key", "id", "place", "head", "start", "end", "head_start", "head_end", "similarity"])
 
-    def _compared(a: np.ndarray, b: np.ndarray, place: np.ndarray, head_place: np.ndarray) -> tuple[list, np.ndarray]:
-        """Passages of two texts, and the windows in none of them."""
-        _, left, c, right = _opened(place)
-        _, head_left, _, head_right = _opened(head_place)
+    def _compared(a: np.ndarray, b: np.ndarray, *windows: np.ndarray) -> tuple[list, np.ndarray | None]:
+        """Passages of two texts, and the tokens of the first that are in one, if any is."""
         spans: list = []
-        order = np.argsort(left, kind="stable")
-        lows, highs, head_lows, head_highs = (x[order].tolist() for x in (left, right, head_left, head_right))
+        order = np.argsort(windows[0], kind="stable")
+        lows, highs, head_lows, head_highs = (x[order].tolist() for x in windows)
         i = 0
         while i < len(lows):  # windows that overlap are one region
             p, q, r, s = lows[i], highs[i], head_lows[i], head_highs[i]
@@ -365,10 +371,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int, percent: int, step
                 i += 1
             found = _shared_spans(a[p : q + 1], b[r : s + 1], least, percent)
             spans.extend((p + x[0], p + x[1], r + x[2], r + x[3], x[4]) for x in found)
+        if not spans:
+            return spans, None
         covered = np.zeros(len(a) + 1, dtype=bool)
         for p, q, *_ in spans:
             covered[p : q + 1] = True
-        return spans, place[~covered[c]]
+        return spans, covered
 
     def _rekeyed(here: _Slice, names: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, new key, place of windows; ``starts`` are their texts' first tokens in the slice."""

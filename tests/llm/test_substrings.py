@@ -141,3 +141,31 @@ def test_windows_whose_key_one_text_has_are_left_out_before_they_are_put_in_orde
     plan = ties._jdf.queryExecution().optimizedPlan().toString().splitlines()
     lowest = max(i for i, x in enumerate(plan) if " Window [" in x)
     assert any("Filter" in x and "isnotnull(head" in x for x in plan[lowest - 2 : lowest])
+
+
+def test_spans_with_too_few_shared_tokens_are_given_up_early(monkeypatch):
+    """Every eighth token shared: no set of the other text's tokens can be similar enough, so none is made."""
+    rng = np.random.default_rng(12)
+    a, b = (rng.integers(1, 1 << 60, 120).astype(np.uint64) for _ in range(2))
+    b[::8] = a[::8]
+    asked, among = [], S._among
+    monkeypatch.setattr(S, "_among", lambda values, ascending: asked.append(len(values)) or among(values, ascending))
+    assert S._shared_spans(a, b, 46, 80) == [] and asked == [120]
+
+
+def test_first_window_of_a_key_and_side_is_the_head():
+    """Of equal keys and sides the smallest id, then place, goes on, in whatever order windows come."""
+    rng = np.random.default_rng(13)
+    key, ids, place = rng.integers(0, 9, 400), rng.integers(0, 40, 400), rng.permutation(400)
+    sides = [rng.integers(0, 4, 400).astype(np.int32) for _ in S.SIDES]
+    got = {r for t in S._tied(key, sides, ids, place) for r in zip(*(t.column(c).to_pylist() for c in ("id", "place", "head", "head_place")))}
+    expected, heads = set(), set()
+    for side in sides:
+        first = {}
+        for k in np.lexsort((place, ids)).tolist():
+            if side[k]:
+                h = first.setdefault((key[k], side[k]), k)
+                heads.add((ids[h], place[h], None, None))
+                if ids[h] != ids[k]:
+                    expected.add((ids[k], place[k], ids[h], place[h]))
+    assert got == expected | heads
