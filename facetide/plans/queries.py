@@ -20,7 +20,7 @@ from ..operators.throttle import ThrottleFold, throttle
 from ..operators.tracking import TrackFold, assign_tracks
 from ..schemas import EMOTIONS
 from ..session import fresh_folder, prepare, stored
-from ..sinks.files import append_stream, append_to_both, compact_dates, write_labels
+from ..sinks.files import append_in_turn, append_stream, append_to_both, compact_dates, write_labels
 from ..sources import labels as label_source
 from ..sources.store import read_events, stream_events, union_events
 from ..streaming import jobs
@@ -513,29 +513,20 @@ ROWS_PER_TRIGGER = 500_000  # about, as a fold holds a trigger's rows of a key a
 
 def _as_stream(rows: DataFrame, purpose: str, part: Column, order: str | None = None) -> DataFrame:
     """``rows`` as a stream of one file per micro-batch; ``part`` (0 to PARTS - 1) tells the part of a row. With ``order`` a
-    part of many rows is cut into several files in that order."""
+    part of many rows is cut into several files in that order. ``rows`` is read several times, so it should be a stored table."""
     spark, path = rows.sparkSession, fresh_folder(rows.sparkSession, purpose)
-    table = stored(rows.withColumn("_part", part), f"{purpose}-rows")
-    for number in range(PARTS):
-        _append_in_turn(table.where(F.col("_part") == number).drop("_part"), path, order)
+    marked = rows.withColumn("_part", part)
+    sizes = dict(marked.groupBy("_part").count().collect())  # one row per part
+    parts = [(marked.where(F.col("_part") == number).drop("_part"), sizes.get(number, 0)) for number in range(PARTS)]
+    append_in_turn([_cut(some, size, order) for some, size in parts], path)
     return stream_events(spark, path, rows.schema, max_files=1)
 
 
-def _append_in_turn(rows: DataFrame, path: str, order: str | None) -> None:
-    """``rows`` appended to ``path`` one file after the other, as a stream reads files in the order of their times.
-
-    Spark's range partitions of ``order`` make files of about ROWS_PER_TRIGGER rows, so what a trigger reads does not grow with the
-    table. Rows of one moment stay in one file; rows without come in the last one.
-    """
-    files = -(-rows.count() // ROWS_PER_TRIGGER) if order else 1
-    if files < 2:
-        rows.coalesce(1).write.mode("append").parquet(path)
-        return
-    spark, place = rows.sparkSession, fresh_folder(rows.sparkSession, "files")
-    ranges = rows.repartitionByRange(files, F.col(order).asc_nulls_last()).withColumn("_file", F.spark_partition_id())
-    ranges.write.partitionBy("_file").parquet(place)
-    for (number,) in sorted(spark.read.parquet(place).select("_file").distinct().collect()):  # one row per file
-        spark.read.schema(rows.schema).parquet(f"{place}/_file={number}").coalesce(1).write.mode("append").parquet(path)
+def _cut(rows: DataFrame, size: int, order: str | None) -> DataFrame:
+    """Partitions of about ROWS_PER_TRIGGER rows in ``order``, so what a trigger reads does not grow with the table: Spark's range
+    partitions. Rows of one moment stay together; rows without come last."""
+    files = -(-size // ROWS_PER_TRIGGER) if order else 1
+    return rows.coalesce(1) if files < 2 else rows.repartitionByRange(files, F.col(order).asc_nulls_last())
 
 
 def _by_time(rows: DataFrame, time: str) -> Column:
@@ -566,7 +557,7 @@ def stream_to_both(spark, folder):
 @query
 def stream_timeline(spark, folder):
     raw = views.messages(views.table(spark, folder, "events"))
-    events = ingest.ingest(_as_stream(raw, "raw", _by_time(raw, "timestamp")), arrival="timestamp")
+    events = ingest.ingest(_as_stream(stored(raw, "raw-rows"), "raw", _by_time(raw, "timestamp")), arrival="timestamp")
     path, mark = fresh_folder(spark, "stream-timeline"), fresh_folder(spark, "stream-timeline-progress")
     jobs.keep_updates(jobs.live_timeline(events), path, mark, "available-now").awaitTermination()
     return jobs.current_rows(spark, path, ["minute", "emotion"])
@@ -577,7 +568,7 @@ def stream_watermark_account(spark, folder):
     """A timeline of events that come in disorder: every part holds events of all times, so most are behind the watermark
     from the third part on (Spark drops by the watermark that the batch before began with). All rows are accounted for."""
     events = views.emotion_events(spark, folder).where("emotion IS NOT NULL").select("event_ts", "emotion", "frame_id")
-    stream = jobs.counted_input(_as_stream(events, "disorder", F.col("frame_id") % PARTS))
+    stream = jobs.counted_input(_as_stream(stored(events, "disorder-rows"), "disorder", F.col("frame_id") % PARTS))
     path, mark = fresh_folder(spark, "account"), fresh_folder(spark, "account-progress")
     books = jobs.accounted(spark, lambda: jobs.keep_updates(jobs.live_timeline(stream, "1 day"), path, mark, "available-now"))
     kept = jobs.current_rows(spark, path, ["minute", "emotion"]).agg(F.sum("count").alias("n_kept"))
@@ -589,7 +580,7 @@ def stream_watermark_account(spark, folder):
 def stream_pair_outcome(spark, folder):
     """Two streams over the same events: one keeps them, one fails on the first without a score, which stops the other."""
     events = views.emotion_events(spark, folder).select("source_id", "frame_id", "score")
-    stream = _as_stream(events, "pair", F.col("frame_id") % PARTS)
+    stream = _as_stream(stored(events, "pair-rows"), "pair", F.col("frame_id") % PARTS)
     strict = stream.withColumn("score", F.coalesce("score", F.raise_error(F.lit("an event has no score")).cast("double")))
     places = [(fresh_folder(spark, "pair"), fresh_folder(spark, "pair-progress")) for _ in range(2)]
     running = {name: append_stream(rows, *place, "100 milliseconds", None) for name, rows, place in (("keep", stream, places[0]), ("strict", strict, places[1]))}
@@ -615,7 +606,7 @@ def _folded(rows: DataFrame, fold, purpose: str) -> DataFrame:
 def stream_throttle(spark, folder):
     events = _timed(views.emotion_events(spark, folder))
     fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
-    sent = timely(_folded(_as_stream(events, "timed", _by_time(events, "t"), "t"), fold, "stream-throttle"))
+    sent = timely(_folded(_as_stream(stored(events, "timed-rows"), "timed", _by_time(events, "t"), "t"), fold, "stream-throttle"))
     return sent.where("passed").drop("passed")
 
 
@@ -624,7 +615,7 @@ def stream_late_rows(spark, folder):
     """Events in disorder: how many of each camera were too late for its state, and how many were not."""
     events = _timed(views.emotion_events(spark, folder))
     fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), THROTTLE_SECONDS)
-    done = _folded(_as_stream(events, "disorder", F.col("frame_id") % PARTS, "t"), fold, "stream-late")
+    done = _folded(_as_stream(stored(events, "disorder-rows"), "disorder", F.col("frame_id") % PARTS, "t"), fold, "stream-late")
     late, in_time = (rows.select("source_id", F.lit(n).alias("late")) for n, rows in ((1, late_rows(done)), (0, timely(done))))
     return late.union(in_time).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("late").alias("n_late"))
 
@@ -633,7 +624,7 @@ def stream_late_rows(spark, folder):
 def stream_smooth(spark, folder):
     vectors = views.face_probs(spark, folder)
     fold = SmoothFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, SMOOTHING)
-    stream = _as_stream(vectors, "face-probs", _by_time(vectors, "frame_id"), "frame_id")
+    stream = _as_stream(stored(vectors, "face-probs-rows"), "face-probs", _by_time(vectors, "frame_id"), "frame_id")
     return _smoothed_columns(timely(_folded(stream, fold, "stream-smooth")).drop("probs"))
 
 
@@ -646,7 +637,8 @@ def stream_vote_change(spark, folder):
     newest = vectors.agg(F.max("frame_id")).first()[0]
     table = stored(vectors.withColumn("_part", F.least(F.floor(F.col("frame_id") * 3 / newest), F.lit(2))), "vote-rows")
     for part, (length, model) in enumerate([(15, "first"), (3, "first"), (3, "second")]):
-        _append_in_turn(table.where(F.col("_part") == part).drop("_part"), path, "frame_id")
+        rows = table.where(F.col("_part") == part).drop("_part")
+        append_in_turn([_cut(rows, rows.count(), "frame_id")], path)
         fold = CandidateFold(("source_id", "track_id"), ("frame_id",), EMOTIONS, LiveSettings(vote_window=length), model=model)
         append_stream(timely(fold_stream(stream_events(spark, path, vectors.schema, max_files=1), fold)), out, mark, "available-now", None).awaitTermination()
     return spark.read.parquet(out).select("track_id", "frame_id", "vote_label", F.round("ema_score", 6).alias("ema_score"))
@@ -665,6 +657,6 @@ def stream_hold(spark, folder):
 
 @query
 def stream_track(spark, folder):
-    found = stored(D.clamped(views.detections(spark, folder, cameras=4)).drop("conf"), "boxes")
+    found = stored(D.clamped(views.detections(spark, folder, cameras=4)).drop("conf", "frame_w", "frame_h"), "boxes")
     tracked = timely(_folded(_as_stream(found, "boxes", _by_time(found, "ts"), "ts"), TrackFold(), "stream-track"))
     return tracked.select("source_id", "frame_id", "det_no", "track_id")

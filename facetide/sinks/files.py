@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -49,6 +51,37 @@ def print_stream(events: DataFrame, checkpoint: str | None = None, trigger: str
     return with_trigger(writer, trigger).start()
 
 
+def append_in_turn(parts: list[DataFrame], path: str) -> None:
+    """Append ``parts`` to ``path``, one file per partition, as a stream is to read them: in the order of their partitions.
+
+    A stream reads files in the order of their times. A part's files are written at once, then the times are set, a second apart;
+    only names and times pass through the driver. A store that keeps no set times gets the files one after the other.
+    """
+    spark = parts[0].sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = _data_files(store, place) if store.exists(place) else {}
+    names: list[str] = []
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        new = _data_files(store, place).keys() - before.keys() - set(names)
+        names += sorted(new, key=lambda name: int(name.split("-")[1]))  # part-<partition>-...
+    newest = max([int(time.time() * 1000) - 1000 * len(names), *before.values()])
+    for number, name in enumerate(names, 1):
+        store.setTimes(place.suffix(f"/{name}"), newest + 1000 * number, -1)
+    times = _data_files(store, place)
+    moments = [newest, *(times[name] for name in names)]
+    if any(later <= earlier for earlier, later in zip(moments, moments[1:])):
+        for name in names:
+            spark.read.schema(parts[0].schema).parquet(f"{path}/{name}").coalesce(1).write.mode("append").parquet(path)
+            store.delete(place.suffix(f"/{name}"), False)
+
+
+def _data_files(store, place) -> dict[str, int]:
+    """Names and times of a folder's Parquet files."""
+    return {s.getPath().getName(): s.getModificationTime() for s in store.listStatus(place) if s.getPath().getName().startswith("part-")}
+
+
 def compact_dates(events: DataFrame, path: str, rows_per_file: int) -> None:
     """Rewrite ``events`` as fewer files under a new ``path``, keeping the date partitions.
 

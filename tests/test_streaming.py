@@ -2,11 +2,13 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from facetide.config import IngestSettings, LiveSettings
+from facetide.operators import tracking
 from facetide.operators.detections import HoldFold
 from facetide.operators.smoothing import SmoothFold, smooth
 from facetide.operators.throttle import ThrottleFold
@@ -291,3 +293,77 @@ def test_a_trigger_does_not_grow_with_the_table(spark, folder, monkeypatch, name
     monkeypatch.setattr(queries, "ROWS_PER_TRIGGER", size)
     assert sorted(map(str, queries.QUERIES[name](spark, folder).collect())) == whole
     assert len(read) > queries.PARTS and max(read) < 2 * size
+
+
+def test_files_of_a_stream_are_written_by_few_jobs(spark, folder, monkeypatch):
+    """One job per file, one after the other, took longer than the table had rows for."""
+    monkeypatch.setattr(queries, "ROWS_PER_TRIGGER", 100)
+    found = queries.stored(views.detections(spark, folder, cameras=4), "few-jobs")
+    context, group = spark.sparkContext, "few-jobs"
+    context.setJobGroup(group, "files of a stream")
+    stream = queries._as_stream(found, "few-jobs", queries._by_time(found, "ts"), "ts")
+    jobs_run = len(context.statusTracker().getJobIdsForGroup(group))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    read = []
+    query = stream.writeStream.foreachBatch(lambda rows, _: read.append(rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(read) > 50 and jobs_run < len(read) and sum(n for *_, n in read) == found.count()
+    assert all(before < after for (_, before, _), (after, _, _) in zip(read, read[1:]))
+
+
+@pytest.mark.parametrize("keeps_times", [True, False])
+def test_files_are_read_in_turn(spark, tmp_path, monkeypatch, keeps_times):
+    path = str(tmp_path / "in")
+    if not keeps_times:
+        monkeypatch.setattr(files, "_data_files", lambda store, place, real=files._data_files: dict.fromkeys(real(store, place), 0))
+    table = spark.range(0, 200, 1, 4)
+    first = [table.where(F.col("id") % 2 == n).where("id < 100").repartitionByRange(3, "id") for n in (1, 0)]
+    files.append_in_turn([*first, table.where("id < 0").coalesce(1)], path)
+    files.append_in_turn([table.where("id >= 100").coalesce(1)], path)
+    read = []
+    stream = stream_events(spark, path, table.schema, max_files=1)
+    query = stream.writeStream.foreachBatch(lambda rows, _: read.append([r.id for r in rows.collect()])).trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = [sorted(ids) for ids in read if ids]
+    assert [i for ids in read for i in ids] == [*range(1, 100, 2), *range(0, 100, 2), *range(100, 200)] and len(read) == 7
+
+
+def test_stream_of_nulls_late_rows_and_several_keys(spark, tmp_path):
+    """Rows come packed to the state: each keeps its key, its columns and its own outputs."""
+    rows = [(None, 1.0, 1, 1, "a"), ("b", None, 2, 1, None), ("b", 1.0, 3, 1, "c"), (None, 1.2, 4, 1, "d"), ("b", 0.5, 5, 1, "late"), ("b", 1.9, 6, 1, None), ("e", 0.1, 7, 1, "f"), (None, 0.9, 8, 1, "late")]
+    frame = spark.createDataFrame(rows, "source_id string, t double, frame_id long, face_id long, note string")
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    fold = ThrottleFold(("source_id",), "t", ("frame_id", "face_id"), 0.5)
+    for part in ("frame_id < 5", "frame_id >= 5"):
+        feed(frame.repartition(3), source, [part])
+        run(fold_stream(stream_events(spark, source, frame.schema), fold), out, mark, partition_by="late")
+    done = spark.read.schema(f"{frame._jdf.schema().toDDL()}, passed boolean, late boolean").parquet(out)
+    assert sorted(done.select(frame.columns).collect(), key=lambda r: r.frame_id) == sorted(map(tuple, rows), key=lambda r: r[2])
+    assert {r.frame_id: r.passed for r in done.where("not late").collect()} == {1: True, 2: False, 3: True, 4: False, 6: True, 7: True}
+    assert {(r.frame_id, r.passed, r.note) for r in done.where("late").collect()} == {(5, None, "late"), (8, None, "late")}
+
+
+def walked(fold, rows, cuts, crowd, monkeypatch):
+    monkeypatch.setattr(tracking, "CROWD", crowd)
+    state, numbers = fold.start(), []
+    for low, high in zip(cuts, cuts[1:]):
+        state, made = fold.run(json.loads(json.dumps(state)), {name: values[low:high] for name, values in rows.items()}, high - low)
+        numbers += list(made["track_id"])
+    return json.dumps(state), numbers
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_tracks_matched_at_once_are_those_walked_box_by_box(monkeypatch, seed):
+    rng = random.Random(seed)
+    time, rows = 0.0, []
+    for frame in range(150):
+        time += rng.choice([0.0, 0.3, 0.4, 0.9, 2.0])
+        for n in range(rng.choice([1, 2, 6])):
+            again = rows and rng.random() < 0.3  # equal boxes make ties
+            rows.append((time, frame, n, *(rows[-rng.randint(1, min(len(rows), 9))][3:] if again else (rng.randrange(90), rng.randrange(90), rng.randint(20, 60), rng.randint(20, 60)))))
+    columns = {name: np.array(values) for name, values in zip(("ts", "frame_id", "det_no", "x", "y", "w", "h"), zip(*rows))}
+    cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(5))})
+    one_by_one = walked(TrackFold(), columns, cuts, -1, monkeypatch)
+    monkeypatch.setattr(tracking, "SLICE", rng.choice([1, 50, 8192]))
+    monkeypatch.setattr(tracking, "best_overlap", None)  # no box is compared on its own any more
+    assert walked(TrackFold(), columns, cuts, 10**6, monkeypatch) == one_by_one
