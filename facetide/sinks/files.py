@@ -11,6 +11,8 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 # Fixed value: the default trigger.
 DEFAULT_TRIGGER = "5 seconds"
 
+SPLIT = {"parquet.block.size": 2 << 20, "compression": "none"}  # so that several tasks can read one file of a stream
+
 
 def with_trigger(writer: DataStreamWriter, trigger: str | None) -> DataStreamWriter:
     """``trigger`` is an interval such as "5 seconds", or "available-now" for one bounded run."""
@@ -63,7 +65,7 @@ def append_in_turn(parts: list[DataFrame], path: str) -> None:
     before = _data_files(store, place) if store.exists(place) else {}
     names: list[str] = []
     for part in parts:
-        part.write.mode("append").parquet(path)
+        part.write.mode("append").options(**SPLIT).parquet(path)
         new = _data_files(store, place).keys() - before.keys() - set(names)
         names += sorted(new, key=lambda name: int(name.split("-")[1]))  # part-<partition>-...
     newest = max([int(time.time() * 1000) - 1000 * len(names), *before.values()])

@@ -21,7 +21,7 @@ from ..operators.folds import Fold, _runs, _to_arrow, _to_values
 STATE = T.StructType([T.StructField("body", T.StringType())])
 LATE = T.StructField("late", T.BooleanType())
 PACK = "_pack"  # many rows of one key as one Arrow message
-PACKED_ROWS = 50_000  # at most, of what a fold gives back
+PACKED_ROWS = 20_000  # at most, of what a fold gives back; packs are dealt to all tasks, however few keys there are
 
 
 class Forget(NamedTuple):
@@ -130,7 +130,8 @@ def _fold_packed(rows: DataFrame, fold: Fold, schema: T.StructType) -> DataFrame
 
     packed = rows.mapInArrow(pack, T.StructType([*key_schema.fields, T.StructField(PACK, T.BinaryType())]))
     folded = packed.groupBy(*keys).applyInPandasWithState(advance, f"{PACK} binary", STATE, "append", GroupStateTimeout.NoTimeout)
-    return folded.mapInArrow(unpack, schema)
+    dealt = folded.withColumn(PACK, F.coalesce(PACK, F.lit(b""))).repartition(rows.sparkSession.sparkContext.defaultParallelism)  # Python's rows can't be dealt as they are
+    return dealt.mapInArrow(unpack, schema)
 
 
 def _in_order(rows: pa.RecordBatch, order: list[str]) -> pa.RecordBatch:
